@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import arrow_map, read
 
 RATE = 8_000
-FRAME, HOP, FAN = 512, 512, 2
+FRAME, HOP, FAN = 512, 256, 2
 #: Frequency bins of the four bands; the lowest bins carry only the mean level.
 BANDS = ((4, 32), (32, 80), (80, 144), (144, 257))
 BLOCK = 512
