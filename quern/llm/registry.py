@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import html, langid, media, quality, tokens, warc
+from quern.llm import html, langid, media, neardup, quality, tokens, warc
 
-MODULES = (quality, warc, media, html, tokens, langid)
+MODULES = (quality, warc, media, html, tokens, langid, neardup)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
