@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import decontam, html, langid, media, neardup, pii, quality, tokens, warc
+from quern.llm import decontam, html, langid, media, mixing, neardup, pii, quality, tokens, warc
 
-MODULES = (pii, quality, decontam, warc, media, html, tokens, langid, neardup)
+MODULES = (pii, quality, decontam, mixing, warc, media, html, tokens, langid, neardup)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
