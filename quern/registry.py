@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.operators import dense, evaluation, fusion, sparse
+from quern.operators import dense, evaluation, fusion, reporting, sparse
 
-MODULES = (sparse, dense, fusion, evaluation)
+MODULES = (sparse, dense, fusion, evaluation, reporting)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
