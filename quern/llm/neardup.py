@@ -7,9 +7,11 @@
 3. Band keys that several classes share are buckets. In each bucket the others are compared with the
    smallest, which makes as many pairs as the bucket has rows. Components of the links found so far
    settle almost all buckets.
-4. Buckets that still hold more than one component are compared across their components, the rows
-   outside the largest one with all others; pairs within a component are never made. So no link
-   between components that the bands bring together is left out, at whatever size of a bucket.
+4. Documents of buckets that still hold more than one component are compared across components.
+   Two similar sets share a shingle among the rarest of each (prefix filtering, which misses
+   nothing), so a text that differs from its bucket by words of its own is in no pair, however
+   large the bucket. Pairs within a component are never made, and of a shingle's documents those
+   outside its largest component are held against the others.
 5. All pairs first pass the odd sketches, then the intersection and union of the full sets.
 
 The bands miss a pair that is exactly as similar as the threshold with a chance below 1e-5.
@@ -33,6 +35,8 @@ from quern.llm.shingles import mix, shingles, similar
 SAMPLES = 256
 MISS = 1e-5
 ODD_BITS = 1024
+#: Documents up to which a shingle counts as rare among those that the buckets leave unsettled.
+RARE = 32
 _WORDS = ODD_BITS // 64
 _STEP = 1024
 
@@ -133,6 +137,34 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return materialise(arrow_map(pairs.join(b, "v").join(a, "u").select("u", "v", "text_u", "text_v"), rows, f"u {kind}, v {kind}"), "links")
 
 
+def _prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, token, bound): the shingles of which two similar sets must share one.
+
+    Of a set of n shingles all but ceil(percent * n) - 1 of any fixed order are enough; the order
+    goes from rare to frequent. Shingles that only one document has come first and match nothing, so
+    a text with enough words of its own has no tokens left at all. bound: the
+    most that the set can have in common with another. That is what any other document has of it; and
+    for a pair that meets at a frequent shingle only the frequent ones of them, since if the two
+    share a rare one, it comes earlier in both orders, and they meet there as well.
+    """
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                s = shingles(b.column("text")[at].as_py(), width)
+                ids = pa.array([b.column("doc_id")[at].as_py()], b.schema.field("doc_id").type).take(pa.array(np.zeros(len(s), np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], ["doc_id", "n", "token"])
+
+    every = materialise(arrow_map(texts.select("doc_id", "text"), rows, f"doc_id {kind}, n bigint, token bigint"), "shingles")
+    shared = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    sets = every.join(shared, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
+    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("held"))
+    return sets.where(length > 0).withColumn("frequent", F.size(F.filter("held", lambda t: t["df"] > RARE))).select(
+        "doc_id", F.size("held").alias("held"), "frequent", F.explode(F.slice("held", F.lit(1), length.cast("int"))).alias("t")
+    ).select("doc_id", "t.token", F.when(F.col("t.df") > RARE, F.col("frequent")).otherwise(F.col("held")).alias("bound"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
@@ -164,16 +196,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = stars.join(odd.alias("a"), F.col("u") == F.col("a.doc_id")).join(odd.alias("b"), F.col("v") == F.col("b.doc_id")).where(alike("a", "b")).select("u", "v")
     found = components(_links(materialise(stars, "pairs"), texts, width, percent))
 
-    # Buckets of more than one component: across the components.
+    # Buckets of more than one component: across the components, by prefixes.
     own = F.coalesce("component", "doc_id").alias("component")
-    placed = materialise(members.join(found, F.col("doc_id") == F.col("node"), "left").select("band", "pivot", "doc_id", own), "placed")
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = placed.join(open_.select("band", "main"), "band").where("doc_id <> pivot")
-    rest = materialise(rest.join(odd, "doc_id"), "open")
+    placed = materialise(members.join(found, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", own), "placed")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
+    unsettled = materialise(placed.join(mixed, "band").select("doc_id", "component").distinct(), "unsettled")
+    tokens = _prefixes(texts.join(sized(unsettled.select("doc_id")), "doc_id", "left_semi"), width, percent)
+    tokens = materialise(tokens.join(unsettled, "doc_id"), "prefixes")
+    parts = tokens.groupBy("token", "component").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = materialise(tokens.join(open_.select("token", "main"), "token").join(odd, "doc_id"), "open")
     a, b = rest.where("component <> main").alias("a"), rest.alias("b")
-    across = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.doc_id") < F.col("b.doc_id")))
-    pairs = a.join(b, across & alike("a", "b")).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+    across = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.doc_id") < F.col("b.doc_id")))
+    common = F.least("a.bound", "b.bound")
+    possible = common * 100 >= (F.col("a.n_shingles") + F.col("b.n_shingles") - common) * percent
+    pairs = a.join(b, across & possible & alike("a", "b")).select(F.greatest("a.doc_id", "b.doc_id").alias("u"), F.least("a.doc_id", "b.doc_id").alias("v")).distinct()
     more = _links(materialise(pairs, "pairs"), texts, width, percent)
     found = components(more.union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))) if more.limit(1).count() else found
 
