@@ -183,11 +183,14 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Pipeline stage: every row of docs, with the spans in its text replaced; n_chars follows."""
     spans = find_spans(docs).where(F.size("spans") > 0).select(F.col("key").alias("of_key"), F.col("doc_id").alias("of_id"), "spans").dropDuplicates(["of_key", "of_id"])
     spans = materialise(spans, "pii-redact")
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    text = F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    joined = docs.join(sized(spans), (key == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
-    new = {"text": text} | ({"n_chars": F.when(F.col("spans").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    joined = packed.join(sized(spans), (F.col("key") == F.col("of_key")) & F.col("row.doc_id").eqNullSafe(F.col("of_id")), "left")
+    text = F.when(F.col("spans").isNotNull(), redact(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    out = joined.select("row", text.alias("new"), F.col("spans").isNotNull().alias("changed"))
+    kept = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.col("changed"), F.length("new")).otherwise(kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(kept[c].alias(c) for c in docs.columns))
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
