@@ -35,8 +35,6 @@ from quern.llm.shingles import mix, shingles, similar
 SAMPLES = 256
 MISS = 1e-5
 ODD_BITS = 1024
-#: Documents up to which a shingle counts as rare among those that the buckets leave unsettled.
-RARE = 32
 _WORDS = ODD_BITS // 64
 _STEP = 1024
 
@@ -142,10 +140,10 @@ def _prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
     Of a set of n shingles all but ceil(percent * n) - 1 of any fixed order are enough; the order
     goes from rare to frequent. Shingles that only one document has come first and match nothing, so
-    a text with enough words of its own has no tokens left at all. bound: the
-    most that the set can have in common with another. That is what any other document has of it; and
-    for a pair that meets at a frequent shingle only the frequent ones of them, since if the two
-    share a rare one, it comes earlier in both orders, and they meet there as well.
+    a text with enough words of its own has no tokens left at all. bound: how many of the set's
+    shared shingles come from this one on. Where two sets meet first, that is the most that they can
+    have in common; a similar pair passes this bound there at the latest, and fails it at later ones
+    that only repeat the pair.
     """
     kind = texts.schema["doc_id"].dataType.simpleString()
 
@@ -160,9 +158,8 @@ def _prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
     shared = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     sets = every.join(shared, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("held"))
-    return sets.where(length > 0).withColumn("frequent", F.size(F.filter("held", lambda t: t["df"] > RARE))).select(
-        "doc_id", F.size("held").alias("held"), "frequent", F.explode(F.slice("held", F.lit(1), length.cast("int"))).alias("t")
-    ).select("doc_id", "t.token", F.when(F.col("t.df") > RARE, F.col("frequent")).otherwise(F.col("held")).alias("bound"))
+    placed = sets.where(length > 0).select("doc_id", F.size("held").alias("held"), F.posexplode(F.slice("held", F.lit(1), length.cast("int"))).alias("at", "t"))
+    return placed.select("doc_id", "t.token", (F.col("held") - F.col("at")).alias("bound"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
