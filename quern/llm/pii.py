@@ -51,7 +51,7 @@ _VALID = {
     "phone": lambda v: F.length(_DIGITS(v)).between(10, 15),
 }
 #: Look-alikes: runs of digits with separators, and anything round an @.
-_LIKE = {"number": r"(\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*+)", "address": r"""((?<![^\s@<>"'(),;:])[^\s@<>"'(),;:]++@[^\s@<>"'(),;:]++)"""}
+_LIKE = {"number": r"((?<![\p{L}0-9])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*+)", "address": r"""((?<![^\s@<>"'(),;:])[^\s@<>"'(),;:]++@[^\s@<>"'(),;:]++)"""}
 _LIKE_MAY = {"number": lambda t: t.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"), "address": lambda t: t.contains("@")}
 #: Whether a look-alike has the shape of a kind.
 _SHAPE = {
@@ -89,9 +89,10 @@ def base_spans(text: Column) -> Column:
 
 
 def _look_alikes(text: Column, base: Column) -> Column:
-    """Spans of look-alikes that touch no base span; kind is -1."""
+    """Spans of look-alikes that touch no base span and no letter behind; kind is -1."""
     found = F.concat(*(F.when(_LIKE_MAY[k](text), _find(text, _LIKE[k], lambda v: reduce(Column.__or__, (f(v) for f in _SHAPE.values())), -1)).otherwise(_none()) for k in _LIKE))
-    return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return F.filter(found, lambda s: free(s) & ~F.substring(text, s["end"] + 1, F.lit(1)).rlike(r"[\p{L}0-9]"))
 
 
 def _context(text: Column, start: Column) -> Column:
