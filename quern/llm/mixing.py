@@ -8,7 +8,8 @@ that fits, in an order that is seeded for each epoch.
 
 The prefix of a leaf isn't found by sorting the leaf: documents fall into ranges of their order key,
 the ranges' token sums are added up, whole ranges are taken or left, and only the range in which the
-budget ends is looked at document by document.
+budget ends is looked at document by document. A leaf of n documents has about sqrt(n) ranges, so
+neither the ranges of a leaf nor the documents of a range are ever many.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 from quern.llm.common import materialise, read, sized
 
 LEVELS = ("domain", "language", "origin")
-#: Documents in a range of the order key, on average over the corpus.
-RANGE_ROWS = 10_000
 NONE = "(none)"
 
 
@@ -99,11 +98,11 @@ def _order_key(epoch: Column, mix: Mix) -> Column:
 def _plan(docs: DataFrame, mix: Mix, total: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents without their texts, the leaves with their budgets, and the documents taken in the ranges in which budgets end."""
     rows = materialise(docs.select("doc_id", *_tree(mix), n_tokens(F.col("text")).alias("n_tokens")), "mix-rows")
-    leaves = budgets(materialise(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves"), mix, total)
-    leaves = leaves.where("tokens > 0").withColumn("full", F.floor(F.col("budget") / F.col("tokens"))).withColumn("part", F.col("budget") - F.col("full") * F.col("tokens"))
+    sizes = materialise(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.ceil(F.sqrt(F.count("*"))).alias("ranges")), "mix-leaves")
+    leaves = budgets(sizes, mix, total).where("tokens > 0").join(sizes.select(*LEVELS, "ranges"), list(LEVELS))
+    leaves = leaves.withColumn("full", F.floor(F.col("budget") / F.col("tokens"))).withColumn("part", F.col("budget") - F.col("full") * F.col("tokens"))
     leaves = materialise(leaves, "mix-budgets")
-    ranges = max(1, -(-rows.count() // RANGE_ROWS))
-    placed = rows.join(sized(leaves.where("part > 0")), list(LEVELS)).withColumn("key", _order_key(F.col("full"), mix)).withColumn("range", _range(F.col("key"), ranges))
+    placed = rows.join(sized(leaves.where("part > 0")), list(LEVELS)).withColumn("key", _order_key(F.col("full"), mix)).withColumn("range", _range(F.col("key"), F.col("ranges")))
     sums = placed.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("in_range"), F.first("part").alias("part"))
     upto = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.sum("in_range").over(upto)).where("upto > part")
@@ -112,14 +111,14 @@ def _plan(docs: DataFrame, mix: Mix, total: int | None) -> tuple[DataFrame, Data
     last = placed.join(sized(ends), list(LEVELS)).where("range = end_range").groupBy(*LEVELS, "doc_id", "key", "part", "before").agg(F.sum("n_tokens").alias("n"))
     running = Window.partitionBy(*LEVELS).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     taken = last.withColumn("upto", F.col("before") + F.sum("n").over(running)).where("upto <= part").select(*LEVELS, F.col("doc_id").alias("taken_id"))
-    leaves = leaves.join(sized(ends.select(*LEVELS, "end_range")), list(LEVELS), "left").select(*LEVELS, "full", "part", "end_range", F.lit(ranges).alias("ranges"))
+    leaves = leaves.join(sized(ends.select(*LEVELS, "end_range")), list(LEVELS), "left").select(*LEVELS, "full", "part", "end_range", "ranges")
     return rows, materialise(leaves, "mix-leaves"), materialise(taken, "mix-taken")
 
 
-def _range(key: Column, ranges: int | Column) -> Column:
+def _range(key: Column, ranges: Column) -> Column:
     """The place of a key among equal ranges of its first 32 bits."""
     number = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
-    return F.shiftright(number * (F.lit(ranges) if isinstance(ranges, int) else ranges), 32)
+    return F.shiftright(number * ranges, 32)
 
 
 def _take(rows: DataFrame, leaves: DataFrame, taken: DataFrame, mix: Mix) -> DataFrame:

@@ -197,10 +197,9 @@ def test_budgets_equal_stepwise_sharing(spark, total):
                 assert abs(got[d, g, s] - int(low[s] + 1e-6)) <= 1, (d, g, s)
 
 
-def test_mixing_takes_seeded_prefixes(spark, monkeypatch):
+def test_mixing_takes_seeded_prefixes(spark):
     from quern.llm import mixing
 
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(1, 9), rng.choice(["en", "de", None]), f"src{rng.randint(0, 3)}", 1) for i in range(200)] + ODD
     docs = clashing(frame(spark, rows))
