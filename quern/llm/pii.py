@@ -7,6 +7,10 @@ pattern is as sure of a kind as the share of its distinct values that are known
 a look-alike is as sure as its patterns together. Sure look-alikes count as known in the next round,
 and all their occurrences become spans. A text's own spans never leave it; base spans always stay.
 
+Identifiers that stand next to each other make one run of digits and separators. Such a run is cut
+at base spans and at blanks, and each of its parts with the shape of a kind is a look-alike. A part
+that is a base entity elsewhere, or that a base expression accepts by itself, is known from the start.
+
 Places are found without a loop over characters: the texts between the matches and the matches
 themselves come from the same expression, and their lengths add up to the places. The expressions
 are written so that the engine never tries a run of characters twice (possessive repeats, starts at
@@ -50,6 +54,12 @@ _VALID = {
     "card": lambda v: F.length(_DIGITS(v)).between(14, 19) & F.call_function("luhn_check", _DIGITS(v)),
     "phone": lambda v: F.length(_DIGITS(v)).between(10, 15),
 }
+#: A look-alike has so many digits at most; parts of a run have no more.
+MOST_DIGITS = 19
+#: Pieces of a run between its blanks.
+_PIECE = r"(\+?\(?[0-9](?:[().-]{0,2}[0-9])*+)"
+#: Kinds of look-alikes; a shorter part from the same place isn't a further value of the patterns there.
+LIKE, SHORTER = -1, -2
 #: Look-alikes: runs of digits with separators, and anything round an @.
 _LIKE = {"number": r"((?<![\p{L}0-9])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])*+)", "address": r"""((?<![^\s@<>"'(),;:])[^\s@<>"'(),;:]++@[^\s@<>"'(),;:]++)"""}
 _LIKE_MAY = {"number": lambda t: t.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"), "address": lambda t: t.contains("@")}
@@ -88,11 +98,50 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*kinds), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
 
 
-def _look_alikes(text: Column, base: Column) -> Column:
-    """Spans of look-alikes that touch no base span and no letter behind; kind is -1."""
-    found = F.concat(*(F.when(_LIKE_MAY[k](text), _find(text, _LIKE[k], lambda v: reduce(Column.__or__, (f(v) for f in _SHAPE.values())), -1)).otherwise(_none()) for k in _LIKE))
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(found, lambda s: free(s) & ~F.substring(text, s["end"] + 1, F.lit(1)).rlike(r"[\p{L}0-9]"))
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with blanks for its spans; each is longer than the two separators that a run may have in a row."""
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(acc["at"], s["start"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
+
+    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end))
+
+
+def _shaped(value: Column) -> Column:
+    return reduce(Column.__or__, (f(value) for f in _SHAPE.values()))
+
+
+def _parts(run: Column, whole: Column) -> Column:
+    """The parts of a run with a kind's shape, from piece to piece; without those to its end if it isn't whole."""
+    pieces = _find(run["value"], _PIECE, lambda v: F.lit(True), LIKE)
+
+    def of(pieces: Column) -> Column:
+        def from_piece(first: Column, i: Column) -> Column:
+            upto = F.slice(pieces, i + 1, MOST_DIGITS)  # every piece has a digit
+            part = lambda last: F.substring(run["value"], first["start"] + 1, last["end"] - first["start"])
+            spans = F.transform(upto, lambda x: F.struct((run["start"] + first["start"]).alias("start"), (run["start"] + x["end"]).alias("end"), F.lit(LIKE).alias("kind"), part(x).alias("value")))
+            spans = F.filter(spans, lambda x: _shaped(x["value"]) & ((x["end"] < run["end"]) | whole))
+            longest = F.array_max(F.transform(spans, lambda x: x["end"]))
+            return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["end"] == longest, LIKE).otherwise(SHORTER).alias("kind"), x["value"].alias("value")))
+
+        return F.flatten(F.transform(pieces, from_piece))
+
+    return F.flatten(F.transform(F.array(pieces), of))
+
+
+def _look_alikes(text: Column, masked: Column) -> Column:
+    """Spans of look-alikes that touch no base span and no letter behind; kind is LIKE or SHORTER.
+
+    masked: the text with blanks for its base spans.
+    """
+    whole = lambda s: ~F.substring(text, s["end"] + 1, F.lit(1)).rlike(r"[\p{L}0-9]")
+    runs = _find(masked, _LIKE["number"], lambda v: F.length(_DIGITS(v)) >= 7, LIKE)
+    numbers = F.flatten(F.transform(runs, lambda s: F.when(s["value"].contains(" "), _parts(s, whole(s))).when(whole(s) & _shaped(s["value"]), F.array(s)).otherwise(_none())))
+    addresses = F.filter(_find(masked, _LIKE["address"], _shaped, LIKE), whole)
+    return F.concat(*(F.when(_LIKE_MAY[k](masked), x).otherwise(_none()) for k, x in (("number", numbers), ("address", addresses))))
 
 
 def _context(text: Column, start: Column) -> Column:
@@ -108,8 +157,18 @@ def _coded(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _given(seen: DataFrame) -> DataFrame:
+    """(value, kind, score) of look-alikes that are base entities elsewhere, or cut from a run and valid by themselves."""
+    values = seen.groupBy(F.lower("value").alias("value")).agg(F.max("kind").alias("kind"), F.min("kind").alias("least")).where("least < 0")
+    v = F.col("value")
+    card = v.rlike("^[0-9]+(?:-[0-9]+)*$") & _VALID["card"](v)
+    phone = v.rlike(rf"^{_BASE['phone']}$") & _VALID["phone"](v)
+    kind = F.when(F.col("kind") >= 0, F.col("kind")).when(card, KINDS.index("card")).when(phone, KINDS.index("phone"))
+    return materialise(values.select("value", kind.alias("kind"), F.lit(1.0).alias("score")).where("kind is not null"), "pii-given")
+
+
 def _discover(seen: DataFrame) -> DataFrame | None:
-    """(value, kind) of look-alikes that patterns are sure of; None if no pattern is sure of anything.
+    """(value, kind) of look-alikes that are known or that patterns are sure of; None if there are none.
 
     seen: (key, start, end, kind, value, context) of base spans and look-alikes.
     """
@@ -117,26 +176,29 @@ def _discover(seen: DataFrame) -> DataFrame | None:
     patterns = F.array_distinct(F.array(F.array_join("context", " "), F.when(n > 0, F.get("context", n - 1))))
     edges = seen.select(F.explode(patterns).alias("pattern"), F.lower("value").alias("value"), "kind").where("pattern <> ''")
     edges = materialise(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
-    found = None
+    found = given = _given(seen)
     for _ in range(ROUNDS):
-        known = edges.select("pattern", "value", "kind", F.when(F.col("kind") >= 0, 1.0).alias("score"))
-        if found is not None:
-            new = found.select("value", F.col("kind").alias("new_kind"), F.col("score").alias("new_score"))
-            known = edges.join(sized(new), "value", "left").select("pattern", "value", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("new_kind", F.lit(-1))).alias("kind"), F.when(F.col("kind") >= 0, 1.0).otherwise(F.col("new_score")).alias("score"))
+        new = found.select("value", F.col("kind").alias("new_kind"), F.col("score").alias("new_score"))
+        known = edges.join(sized(new), "value", "left").select("pattern", "value", F.col("kind").alias("own"), F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("new_kind", F.lit(LIKE))).alias("kind"), F.when(F.col("kind") >= 0, 1.0).otherwise(F.col("new_score")).alias("score"))
         sums = [F.sum(F.when(F.col("kind") == i, F.col("score")).otherwise(0.0)).alias(k) for i, k in enumerate(KINDS)]
-        shares = known.groupBy("pattern").agg(F.count("*").alias("n"), *sums)
-        sure = shares.select("pattern", F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(k).alias("support"), (F.col(k) / F.col("n")).alias("share")) for i, k in enumerate(KINDS)))).alias("s"))
+        shares = known.groupBy("pattern").agg(F.count_if((F.col("own") != SHORTER) | F.col("score").isNotNull()).alias("n"), *sums)
+        sure = shares.select("pattern", F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(k).alias("support"), F.try_divide(F.col(k), F.col("n")).alias("share")) for i, k in enumerate(KINDS)))).alias("s"))
         sure = sure.where((F.col("s.support") >= MIN_SUPPORT) & (F.col("s.share") >= MIN_CONFIDENCE)).select("pattern", F.col("s.kind").alias("of"), F.least(F.col("s.share"), F.lit(0.99)).alias("share"))
         sure = materialise(sure, "pii-patterns")
         if not sure.limit(1).count():
-            return None
+            break
         shape = reduce(Column.__or__, ((F.col("of") == i) & _SHAPE[k](F.col("value")) for i, k in enumerate(KINDS)))
         scored = edges.where("kind < 0").join(sized(sure), "pattern").where(shape).groupBy("value", "of").agg((1 - F.exp(F.sum(F.log(1 - F.col("share"))))).alias("score"))
         scored = scored.where(F.col("score") >= MIN_SCORE).groupBy("value").agg(F.max_by(F.struct(F.col("of").alias("kind"), "score"), F.struct("score", -F.col("of"))).alias("b")).select("value", "b.kind", "b.score")
-        found = materialise(scored, "pii-found")
-        if not found.limit(1).count():
-            return None
-    return found
+        found = materialise(scored.join(sized(given.select("value")), "value", "left_anti").unionByName(given), "pii-found")
+    return found if found.limit(1).count() else None
+
+
+def _outermost(spans: Column) -> Column:
+    """Without spans that lie within another one."""
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], F.array_append(acc["out"], s)).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +214,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     some = F.col("text").rlike("[0-9@]")
     rows = rows.select("doc_id", "key", F.when(some, F.col("text")).otherwise("").alias("text"))
     based = rows.select("doc_id", "key", "text", F.when(F.col("text") != "", base_spans(F.col("text"))).otherwise(_none()).alias("base"))
-    both = based.select("*", F.when(F.col("text") != "", _look_alikes(F.col("text"), F.col("base"))).otherwise(_none()).alias("likes"))
+    both = based.select("*", F.when(F.col("text") != "", _look_alikes(F.col("text"), _masked(F.col("text"), F.col("base")))).otherwise(_none()).alias("likes"))
     with_context = F.transform(F.concat("base", "likes"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), _context(F.col("text"), s["start"]).alias("context")))
     table = materialise(both.select("doc_id", "key", "base", with_context.alias("seen")), "pii-spans")
     seen = table.where(F.size("seen") > 0).select("doc_id", "key", F.explode("seen").alias("s")).select("doc_id", "key", "s.*")
@@ -161,7 +223,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return table.select("doc_id", "key", "base", F.col("base").alias("spans"))
     named = found.select(F.col("value").alias("found_value"), F.col("kind").alias("of"))
     added = seen.where("kind < 0").join(sized(named), F.lower("value") == F.col("found_value"))
-    added = added.select("doc_id", "key", F.struct("start", "end", F.col("of").alias("kind"), "value").alias("span")).distinct().groupBy("doc_id", "key").agg(F.collect_list("span").alias("more"))
+    added = added.select("doc_id", "key", F.struct("start", "end", F.col("of").alias("kind"), "value").alias("span")).distinct().groupBy("doc_id", "key").agg(_outermost(F.collect_list("span")).alias("more"))
     added = materialise(added.select(F.col("doc_id").alias("id"), F.col("key").alias("of_key"), "more"), "pii-added")
     joined = table.join(sized(added), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of_key")), "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", _none())), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))

@@ -75,6 +75,30 @@ def test_personal_data_learns_from_contexts(spark):
     assert all(got[i][0] == got[i][1] != "" for i in range(8))
 
 
+def test_personal_data_finds_neighbours_in_one_run(spark):
+    from quern.llm.pii import _coded, find_spans
+
+    rows = [(i, f"ring office line 0{i}0 555 777{i} now", None, None, None) for i in range(3)]
+    rows += [
+        (10, "x 7536784127813050 4845168114407329 y", None, None, None),  # both pass the checksum
+        (11, "x +1 (826) 555-4081 190.137.223.204 y", None, None, None),
+        (12, "to 2353820953013749 4550997810720808, to", None, None, None),  # the first one fails it
+        (13, "x 12345678901234 10.0.0.1 98765432109876 y", None, None, None),  # neither passes, nor is known
+        *((20 + i, f"please ping server address 10.0.{i}.7 today", None, None, None) for i in range(8)),
+        (30, "look at server address 10.0.300.7 5551234567890123 now", None, None, None),
+        (31, "4845168114407329x 1 2 3", None, None, None),
+        (32, "x 4845168114407329 4845168114407329z", None, None, None),
+    ]
+    got = {r.doc_id: (r.b, r.s) for r in find_spans(frame(spark, rows)).select("doc_id", _coded(F.col("base")).alias("b"), _coded(F.col("spans")).alias("s")).collect()}
+    assert got[10] == ("", "card:2:18,card:19:35")
+    assert got[11] == ("ip:20:35", "phone:2:19,ip:20:35")
+    assert got[12] == ("", "card:20:36")
+    assert got[13][0] == got[13][1] == "ip:17:25"
+    assert got[30] == ("", "ip:23:33")
+    assert got[32] == ("", "card:2:18")
+    assert all(got[i] == ("", "") for i in range(3))
+
+
 def test_personal_data_odd_rows_and_redaction(spark, tmp_path):
     from quern.llm.pii import find_spans, redact_personal_data
 
