@@ -4,8 +4,10 @@ Markup is stripped into lines, one per block element. Elements that can't hold t
 page headers and footers, sidebars, notices, adverts, forms, comments) leave a gap of empty lines.
 The text lengths of a sliding window of lines are added; where the sum rises from nothing a block
 of the page surges, where it falls back to nothing it dives. The surging block with the most text
-is the article, and every line between its two points is kept, however short. Inside an article or
-main element no gaps are made, so that an advert in its middle doesn't cut it.
+is the article, and every line between its two points is kept, however short or linked. Lines that
+are mostly links only don't count for the points. Blocks of one parent are one block, whatever was
+taken out between them and however they are wrapped. Inside an article or main element no gaps are
+made, so that an advert in its middle doesn't cut it; a main element's own lines go with its article.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from os.path import commonprefix
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +29,7 @@ WINDOW = 3
 GAP = WINDOW
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+_MAIN_TAG = re.compile(r"<(?:article|main)[\s/>]", re.I)
 _RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "select", "title", "math", "object", "canvas", "audio", "video")}
 _DROP = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "button", "head", "label", "fieldset"}
 _MAIN = {"article", "main"}
@@ -38,14 +43,46 @@ _NOISE = frozenset(
 )
 #: Classes or ids of the article's container where the page has no element for it.
 _CONTENT = frozenset("content main article post story main-content maincontent page-content post-content post-body article-content article-body articlebody entry-content story-body".split())
+#: First parts of a class that keep an article, or what holds one, from being the page's article.
+_ASIDE = frozenset("comment comments disqus reply replies respond related recommended".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 
-def _noisy(name: str, attributes: str, inside: bool) -> bool:
+class Line(NamedTuple):
+    text: str  # empty for a gap
+    linked: int  # characters in links
+    main: int  # number of the article or main element, or 0
+    within: int  # number of the main element round that article, or 0
+    path: tuple[int, ...]  # open layout elements
+
+
+def _holds(page: str, at: int, name: str) -> str:
+    """main or article if the element that opens before at is one or holds one, else nothing."""
+    found = name if name in _MAIN else ""
+    if found == "main" or not _MAIN_TAG.search(page, at):
+        return found
+    depth, end = 1, len(page)
+    while depth and at < end and (m := _TOKEN.search(page, at)):
+        at, x = m.end(), (m[2] or "").lower()
+        if x in _RAW and not m[1] and not m[3].endswith("/"):
+            e = _RAW[x].search(page, at)
+            at = e.end() if e else end
+        elif x == name:
+            depth += -1 if m[1] else not m[3].endswith("/")
+        if x in _MAIN and not m[1] and depth:
+            found = x
+            if x == "main":
+                break
+    return found
+
+
+def _noisy(name: str, attributes: str, inside: bool, holds=lambda: "") -> bool:
+    """holds: whether the element is or holds the page's main or article, which a class doesn't make noise."""
     if name in _DROP and not (inside and name == "header"):
         return True
     if not attributes or name in ("html", "body"):
         return False
+    marks = []
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "role" and value in _NOISE_ROLES):
@@ -54,10 +91,13 @@ def _noisy(name: str, attributes: str, inside: bool) -> bool:
             for token in value.split():
                 parts = re.split(r"[-_]+", token)
                 if parts[0] not in ("has", "no", "with", "without", "post", "entry", "article") and not _NOISE.isdisjoint(parts):
-                    return True
+                    marks.append(parts)
                 if parts[0] in ("post", "entry", "article") and parts[1:] and not {"comment", "comments", "share", "related", "nav", "navigation", "footer", "ad", "ads"}.isdisjoint(parts[1:]):
-                    return True
-    return False
+                    marks.append(parts)
+    if not marks:
+        return False
+    held = holds()
+    return held != "main" and not (held == "article" and all(parts[1:] and parts[0] not in _ASIDE for parts in marks))
 
 
 def _marked(attributes: str) -> bool:
@@ -65,27 +105,32 @@ def _marked(attributes: str) -> bool:
     return bool(attributes) and any(key.lower() in ("class", "id", "itemprop") and not _CONTENT.isdisjoint("".join(values).lower().split()) for key, *values in _ATTRIBUTE.findall(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters in links, number of the article or main element or 0) for each block; empty texts are gaps."""
-    lines: list[tuple[str, int, int]] = []
+def lines_of(page: str) -> list[Line]:
+    """A line for each block; empty texts are gaps."""
+    lines: list[Line] = []
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # open elements: whether each starts a dropped part, or a main one
     dropped = mains = in_link = 0
     main: list[int] = []
+    layout: list[int] = []  # for each open element its number if it is of the layout, or 0
+    parts = 0
+
+    def add(line: str, n: int = 1) -> None:
+        lines.extend([Line(line, linked, main[-1] if main else 0, main[-2] if len(main) > 1 else 0, tuple(filter(None, layout)))] * n)
 
     def close() -> None:
         nonlocal linked
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                lines.append((line, linked, main[-1] if main else 0))
+                add(line)
             text.clear()
         linked = 0
 
     def gap(n: int) -> None:
         close()
-        lines.extend([("", 0, main[-1] if main else 0)] * n)
+        add("", n)
 
     def outermost() -> bool:
         """Whether no part of the page's layout is open: what is taken out here isn't amid a text."""
@@ -97,6 +142,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if any(x == name for x, *_ in stack):
             while stack:
                 x, was, top = stack.pop()
+                layout.pop()
                 dropped -= was
                 if top:
                     close()
@@ -151,7 +197,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if name in _MAIN and dropped and [x for x, was, _ in stack if was] == ["form"]:  # a form round the whole page
             stack = [(x, False, top) for x, _, top in stack]
             dropped = 0
-        noisy = not dropped and _noisy(name, m[3], bool(main))
+        lone = not any(x == "article" and top for x, _, top in stack)
+        noisy = not dropped and _noisy(name, m[3], bool(main), lambda at=at, name=name, lone=lone: _holds(page, at, name) if lone else "")
         if noisy and not main and outermost():
             gap(GAP)
         elif noisy:
@@ -159,10 +206,12 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if dropped or noisy:
             top = False
         elif main:  # an article in main stands for itself; other parts belong to what holds them
-            top = name == "article" and not any(x == "article" and y for x, _, y in stack)
+            top = name == "article" and lone
         else:
             top = name in _MAIN or (name in ("div", "section", "td") and _marked(m[3]))
         stack.append((name, noisy, top))
+        parts += 1
+        layout.append(parts if name in _GAPPED else 0)
         dropped += noisy
         if top:
             if not main:
@@ -190,26 +239,58 @@ def blocks(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return found
 
 
+def _joined(found: list[tuple[int, int]], lines: list[Line]) -> list[tuple[int, int]]:
+    """Neighbouring blocks of the same parent as one; a menu in a layout element of its own stays a border.
+
+    A wrapper with nothing but one block isn't that block's parent.
+    """
+    reach: dict[int, tuple[int, int]] = {}  # first and last text line of each layout element
+    for i, x in enumerate(lines):
+        if x.text:
+            for part in x.path:
+                reach[part] = (reach.get(part, (i, i))[0], i)
+
+    def parent(surge: int, dive: int, path: tuple[int, ...]) -> tuple[int, ...]:
+        while path and surge <= reach[path[-1]][0] and reach[path[-1]][1] < dive:
+            path = path[:-1]
+        return path
+
+    open_blocks = [(a, b, parent(a, b, tuple(commonprefix([x.path for x in lines[a:b] if x.text])))) for a, b in found]
+    while True:
+        done: list[tuple[int, int, tuple[int, ...]]] = []
+        for a, b, path in open_blocks:
+            if done and done[-1][2] == path and all(x.path == path for x in lines[done[-1][1] : a] if x.text):
+                a = done.pop()[0]
+                path = parent(a, b, path)
+            done.append((a, b, path))
+        if len(done) == len(open_blocks):
+            return [x[:2] for x in done]
+        open_blocks = done
+
+
 def extract(page: str | None) -> str:
     """The article's blocks in page order, joined by line ends; empty if there is no text."""
     if not page:
         return ""
     lines = lines_of(page)
-    tops: dict[int, int] = {}
-    for t, _, k in lines:
-        tops[k] = tops.get(k, 0) + len(t)
-    marked = {k: n for k, n in tops.items() if k and n}
-    if marked:
-        best = max(marked, key=lambda k: (marked[k], -k))
-        lines = [x for x in lines if x[2] == best]
-        lengths = [len(t) for t, _, _ in lines]
-    else:
-        lengths = [0 if linked * 5 > len(t) * 3 else len(t) for t, linked, _ in lines]
-    found = blocks(lengths)
+    tops: dict[int, dict[int, int]] = {}  # characters of each outer main or article element: its own and its articles'
+    for x in lines:
+        if x.main:
+            of = tops.setdefault(x.within or x.main, {})
+            of[x.main] = of.get(x.main, 0) + len(x.text)
+    choices = []
+    for k, of in tops.items():
+        article = max((x for x in of if x != k), key=lambda x: (of[x], -x), default=k)
+        choices.append((of.get(k, 0) + of[article] * (article != k), -k, {k, article}))
+    best = max(choices, key=lambda x: x[:2], default=(0, 0, set()))
+    if best[0]:
+        return "\n".join(x.text for x in lines if x.text and x.main in best[2])
+    lengths = [0 if x.linked * 5 > len(x.text) * 3 else len(x.text) for x in lines]
+    found = _joined(blocks(lengths), lines)
     if not found:
         return ""
     surge, dive = max(found, key=lambda b: (sum(lengths[b[0] : b[1]]), -b[0]))
-    return "\n".join(t for (t, _, _), n in zip(lines[surge:dive], lengths[surge:dive], strict=True) if t and n)
+    return "\n".join(x.text for x in lines[surge:dive] if x.text)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

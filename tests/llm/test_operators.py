@@ -342,6 +342,27 @@ def test_html_cases(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>one two three four</p><p><a href=x>linked names only</a></p><p>five six seven</p>", "one two three four\nlinked names only\nfive six seven"),
+        ("<p>one two three</p><ul><li><a>a a</a><li><a>b b</a><li><a>c c</a><li><a>d d</a></ul><p>four five</p>", "one two three\na a\nb b\nc c\nd d\nfour five"),
+        ("<p>one two three</p><aside>no</aside><p>four five</p><div class=ad>no</div><p>six</p>", "one two three\nfour five\nsix"),
+        ("<div><div><p>one two three</p></div></div><div><div><p>four five</p></div></div><div><div><div><p>six</p></div></div></div>", "one two three\nfour five\nsix"),
+        ("<div>Site name</div><div><ul><li><a>a a</a><li><a>b b</a><li><a>c c</a></ul></div><div><p>one two three four</p></div>", "one two three four"),
+        ("<main><h1>Head</h1><p>lead</p><article>long story text</article><article>teaser</article></main>", "Head\nlead\nlong story text"),
+        ("<article class='post category-promotion'><p>one two</p></article><p>no</p>", "one two"),
+        ("<div class='layout-sidebar'><main class='content-comments'><p>one two</p></main></div><div><p>no</p></div>", "one two"),
+        ("<div class='page-with-sidebar'><div id=sidebar>no</div><article>one two</article></div>", "one two"),
+        ("<div><p>the text of it</p></div><div class='comment-list'><article class='comment-body'>no, a longer comment than the text</article></div>", "the text of it"),
+    ],
+)
+def test_html_keeps_whole_articles(page, text):
+    from quern.llm.html import extract
+
+    assert extract(page) == text
+
+
 def test_html_rows(spark):
     from quern.llm.html import blocks, main_text
 
