@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from quern.functions.text import compact, index_tokens
 from quern.plans.common import r6, read, sized, top_k
 
 K1, B = 1.5, 0.75
+#: Characters of a gram, and grams of a window; a shorter phrase is held against all texts.
+GRAM, WINDOW = 6, 12
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,21 +58,58 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, min_score: float = 0.
     return out.where(F.col("score") >= min_score).select("query_id", "doc_id", "score_raw", "score", "matched_terms", "rank")
 
 
+def minimisers(text: str) -> np.ndarray:
+    """The smallest hash of each window of grams; a text that holds another one has all of the other's."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(x) - GRAM + 1
+    if n < WINDOW:
+        return np.empty(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        h = (h ^ x[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    least = h[: n - WINDOW + 1]
+    for k in range(1, WINDOW):
+        least = np.minimum(least, h[k : k + n - WINDOW + 1])
+    return np.unique(least).view(np.int64)
+
+
+def _grams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, gram): the minimisers of each row's text."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):  # so that the grams of few texts are held at once
+                part = b.slice(at, 200)
+                found = [minimisers(x or "") for x in part.column(1).to_pylist()]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(found) if found else [], pa.int64())], ["id", "gram"])
+
+    small = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return small.mapInArrow(rows, f"id {small.schema['id'].dataType.simpleString()}, gram bigint")
+
+
 def exact_phrases(phrases: DataFrame, docs: DataFrame, content_score: float = 0.98) -> DataFrame:
     """(query_id, doc_id, score) of documents that hold a query's phrase, white space and case aside.
 
-    phrases: (query_id, phrase). Candidates share the phrase's rarest token with the document, so a
-    phrase is only looked for where it can be.
+    phrases: (query_id, phrase). A document that holds a phrase has all minimisers of its characters,
+    so that candidates are the documents with the phrase's rarest one. Phrases that are too short for
+    a window are held against all documents.
     """
-    given = phrases.select("query_id", compact("phrase").alias("needle"), F.array_distinct(index_tokens("phrase")).alias("tokens")).where("needle <> ''")
-    tokens = tokenised(docs)
-    wanted = given.select(F.explode("tokens").alias("token")).distinct()
-    found = tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token")).join(sized(wanted), "token", "left_semi")
-    df = found.groupBy("token").agg(F.count("*").alias("df"))
-    rarest = given.select("query_id", "needle", F.explode("tokens").alias("token")).join(df, "token").groupBy("query_id", "needle").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    candidates = found.join(sized(rarest), "token").select("query_id", "needle", "doc_id")
+    given = phrases.select("query_id", compact("phrase").alias("needle")).where("needle <> ''").distinct()
     texts = docs.select("doc_id", compact("text").alias("hay"))
-    return candidates.join(texts, "doc_id").where(F.contains("hay", F.col("needle"))).groupBy("query_id", "doc_id").agg(F.lit(content_score).alias("score"))
+    long = F.length("needle") >= GRAM + WINDOW - 1
+    needles = given.where(long).select("needle").distinct()
+    wanted = _grams(needles.select("needle", F.col("needle").alias("t")), "needle", "t").withColumnRenamed("id", "needle")
+    found = _grams(texts, "doc_id", "hay").join(sized(wanted.select("gram").distinct()), "gram", "left_semi").withColumnRenamed("id", "doc_id")
+    df = found.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = wanted.join(df, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+    candidates = found.join(sized(rarest), "gram").select("needle", F.col("doc_id").alias("id")).distinct()
+    holds = F.contains("hay", F.col("needle"))
+    held = candidates.join(texts, F.col("id").eqNullSafe(F.col("doc_id"))).where(holds).select("needle", "doc_id")
+    short = given.where(~long).select("needle").distinct()
+    held = held.union(texts.join(sized(short), holds).select("needle", "doc_id"))
+    return given.join(held, "needle").select("query_id", "doc_id").distinct().withColumn("score", F.lit(content_score))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,19 @@ def test_fixed_and_boundary_chunks(spark):
     assert sorted(x[0] for x in rows(key_value_blocks(ini), "block")) == ["a b.k: v", "top: 1"]
 
 
+def test_exact_phrases_equal_containment(spark):
+    from quern.operators.sparse import exact_phrases
+
+    texts = ["один длинный текст на русском языке без латиницы", "the dataset is large", "she can handle it", "a long phrase that is bro\nken by line ends somewhere", "x" * 500 + "of the", "", None, "data set and hand", "ünïcödé 😀 text, a phrase of some length 😀", "the of the of"]
+    phrases = ["длинный текст на русском", "data set", "hand", "of the", "phrase that is broken by line ends", "a", "😀 text, a phrase of some length", "x" * 300, "not anywhere in the texts at all", " ", None, "текст"]
+    docs = spark.createDataFrame([*enumerate(texts), (1, texts[1]), (None, texts[2])], "doc_id bigint, text string")
+    given = spark.createDataFrame([*enumerate(phrases), (20, "HAND")], "query_id bigint, phrase string")
+    flat = lambda x: "".join((x or "").lower().split())
+    want = {(q, d) for q, p in [*enumerate(phrases), (20, "hand")] if flat(p) for d, t in [*enumerate(texts), (None, texts[2])] if flat(p) in flat(t)}
+    got = [(r.query_id, r.doc_id) for r in exact_phrases(given, docs).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_metrics_golden(spark):
     from quern.operators.evaluation import ir_metrics
 
