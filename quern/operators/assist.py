@@ -34,10 +34,10 @@ def mapped_status(*stored: Column) -> Column:
     return F.coalesce(*known, F.lit("pending"))
 
 
-def combined_verdict(rule: Column, model: Column) -> tuple[Column, Column]:
-    """(score, flagged): .4 of the rules and .6 of a model where it has spoken; flagged below .7."""
+def combined_verdict(rule: Column, model: Column, said: Column) -> tuple[Column, Column]:
+    """(score, flagged): .4 of the rules and .6 of a model where it has spoken; flagged below .7 or where the model says so."""
     score = F.coalesce(0.4 * rule + 0.6 * model, rule)
-    return score, score < 0.7
+    return score, (score < 0.7) | F.coalesce(said, F.lit(False))
 
 
 def repeated_edges(pages: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule scores from the labels' quality, a model's from toxicity where that is known."""
     rule = F.when(F.col("quality") == 1, 1.0).otherwise(0.5)
-    score, flagged = combined_verdict(rule, F.when(F.col("doc_id") % 3 > 0, 1.0 - F.col("toxic")))
+    score, flagged = combined_verdict(rule, 1.0 - F.col("toxic"), F.col("toxic") == 1)
     return read(spark, sf_dir, "labels").select("doc_id", r6(score).alias("score"), flagged.alias("flagged"))
 
 

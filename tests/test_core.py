@@ -53,6 +53,16 @@ def test_exact_phrases_equal_containment(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_verdicts_use_every_known_label(spark, tmp_path):
+    from quern.operators.assist import combined_verdict, verdicts
+
+    labels = [(3, 1, 1), (4, 1, 1), (6, 1, None), (9, 0, None), (12, 0, 0), (15, 1, 0)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: (r.score, r.flagged) for r in verdicts(spark, str(tmp_path)).collect()}
+    assert got == {3: (0.4, True), 4: (0.4, True), 6: (1.0, False), 9: (0.5, True), 12: (0.8, False), 15: (1.0, False)}
+    assert rows(spark.range(1), combined_verdict(F.lit(1.0), F.lit(0.9), F.lit(True))[1])[0][0] is True
+
+
 def test_metrics_golden(spark):
     from quern.operators.evaluation import ir_metrics
 
