@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.markup import DROPPED, ENTITIES, line_kind, rendered
-from quern.functions.text import index_tokens, preview, quoted_phrases
+from quern.functions.text import index_tokens, quoted_phrases
 from quern.plans.common import r6, read
 
 SYNONYMS: Mapping[str, tuple[str, ...]] = {"ention": ("mention",), "hand": ("palm", "fist"), "erth": ("earth",)}
@@ -68,7 +68,7 @@ def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's user turns as numbered entries, an empty line between them."""
     t = read(spark, sf_dir, "conversations").where("role = 'user'")
     numbered = t.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    entry = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), preview("text", 100))
+    entry = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), "text")
     return numbered.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", entry.alias("e")))), lambda x: x["e"]), "\n\n").alias("context"))
 
 

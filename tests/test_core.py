@@ -63,6 +63,14 @@ def test_verdicts_use_every_known_label(spark, tmp_path):
     assert rows(spark.range(1), combined_verdict(F.lit(1.0), F.lit(0.9), F.lit(True))[1])[0][0] is True
 
 
+def test_answer_context_holds_whole_turns(spark, tmp_path):
+    from quern.operators.assist import answer_context
+
+    turns = [(1, 0, "user", "a" * 300), (1, 1, "assistant", "no"), (1, 2, "user", "b")]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert rows(answer_context(spark, str(tmp_path)), "context") == [(f"[1] {'a' * 300}\n\n[2] b",)]
+
+
 def test_metrics_golden(spark):
     from quern.operators.evaluation import ir_metrics
 
