@@ -96,6 +96,15 @@ def test_greedy_dedup_keeps_what_a_dropped_one_resembles(spark):
     assert sorted(r.doc_id for r in greedy_dedup(ranked, pairs).collect()) == [1, 3]
 
 
+def test_rerank_candidates_are_all_that_fusion_keeps(spark, tmp_path):
+    from quern.operators.rerank import q_near_dup_pairs
+
+    text = "river stone walks quiet morning light"
+    spark.createDataFrame([(i, text, "src1") for i in range(35)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert q_near_dup_pairs(spark, str(tmp_path)).count() == 30 * 29 // 2
+
+
 def test_rate_limit_counts_accepted_calls_only(spark):
     from quern.streaming.events import accepted_calls
 
