@@ -24,6 +24,8 @@ from quern.llm.common import arrow_map, read
 
 RATE = 8_000
 FRAME, HOP, FAN = 512, 256, 2
+#: Frames that the hop is made smaller for, and the smallest hop.
+FEW, LEAST_HOP = 4, 16
 #: Frequency bins of the four bands; the lowest bins carry only the mean level.
 BANDS = ((4, 32), (32, 80), (80, 144), (144, 257))
 BLOCK = 512
@@ -56,15 +58,18 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 def peaks(samples: np.ndarray) -> np.ndarray:
     """Rows (frame, bin): per frame and band the strongest bin that is above the frame's mean level.
 
-    Frames are transformed a block at a time, so the working memory doesn't grow with the length.
+    The hop is HOP, halved where there would be fewer than FEW frames. Frames are transformed a block at a time, so the working memory doesn't grow with the length.
     """
-    n = max(1, -(-len(samples) // HOP))
+    hop = HOP
+    while hop > LEAST_HOP and len(samples) <= (FEW - 1) * hop:
+        hop //= 2
+    n = max(1, -(-len(samples) // hop))
     found = []
     for at in range(0, n, BLOCK):
         k = min(BLOCK, n - at)
-        part = samples[at * HOP : (at + k - 1) * HOP + FRAME].astype(np.float32) - 128.0
-        part = np.pad(part, (0, (k - 1) * HOP + FRAME - len(part)))
-        frames = part.reshape(k, FRAME) if HOP == FRAME else np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        part = samples[at * hop : (at + k - 1) * hop + FRAME].astype(np.float32) - 128.0
+        part = np.pad(part, (0, (k - 1) * hop + FRAME - len(part)))
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::hop]
         power = np.log1p(np.abs(np.fft.rfft(frames * _WINDOW, axis=1)))
         mean = power[:, BANDS[0][0] :].mean(axis=1)
         for lo, hi in BANDS:
@@ -76,13 +81,13 @@ def peaks(samples: np.ndarray) -> np.ndarray:
 
 
 def pairs(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, frames): each peak with the next FAN x 4 peaks, of those the ones in later frames."""
+    """(hashes, frames): each peak with the next FAN x 4 peaks of later frames, of those the ones less than 64 frames away."""
     hashes, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for step in range(len(BANDS), len(BANDS) * (1 + FAN), 2):
-        a, b = p[:-step], p[step:]
-        if not len(a):
-            break
-        ok = (b[:, 0] > a[:, 0]) & (b[:, 0] - a[:, 0] < 64)
+    later = np.searchsorted(p[:, 0], p[:, 0], side="right")
+    for step in range(len(BANDS) * FAN):
+        ok = later + step < len(p)
+        a, b = p[ok], p[later[ok] + step]
+        ok = b[:, 0] - a[:, 0] < 64
         a, b = a[ok], b[ok]
         hashes.append((a[:, 1] << 15) | (b[:, 1] << 6) | (b[:, 0] - a[:, 0]))
         times.append(a[:, 0])

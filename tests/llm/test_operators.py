@@ -318,6 +318,18 @@ def test_fingerprints_find_a_shifted_part():
     assert max(set(offsets), key=offsets.count) == 40
 
 
+def test_fingerprints_pair_all_next_peaks():
+    from quern.llm.media import pad, pairs, peaks
+
+    p = np.array([(f, 10 + f) for f in range(12)])
+    h, t = pairs(p)
+    assert sorted(zip(t, h, strict=True)) == sorted((a, (10 + a) << 15 | (10 + b) << 6 | (b - a)) for a in range(12) for b in range(a + 1, min(a + 9, 12)))
+    two = np.array([(0, 5), (0, 40), (1, 6)])
+    assert len(pairs(two)[0]) == 2 and not len(pairs(two[:2])[0])
+    short = lambda text: pairs(peaks(np.frombuffer(pad(text), np.uint8)))[0].tolist()
+    assert short(b"a few words of a short text") and short(b"a few words of a short text") != short(b"some other words, as short")
+
+
 # HTML
 
 
