@@ -113,6 +113,19 @@ def test_rate_limit_counts_accepted_calls_only(spark):
     assert [r.accepted for r in sorted(accepted_calls(e, 2, 10).collect(), key=lambda r: r.event_id)] == [True, True, False, False, True, True, False]
 
 
+def test_latest_before_equals_one_window(spark):
+    from pyspark.sql import Window
+
+    from quern.streaming.events import latest_before
+
+    e = spark.range(400).select(F.col("id").alias("event_id"), F.when(F.col("id") % 7 > 0, (F.col("id") % 3).cast("string")).alias("event_type"), F.timestamp_seconds(F.xxhash64("id") % 10_000).alias("ts"), F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 1000).alias("arrival"))
+    seen = F.max("ts").over(Window.partitionBy("event_type").orderBy("arrival", "event_id").rowsBetween(Window.unboundedPreceding, -1))
+    got = latest_before(e, 30)
+    assert sorted(rows(got, "event_id", "seen"), key=lambda r: r[0]) == sorted(rows(e.withColumn("seen", seen), "event_id", "seen"), key=lambda r: r[0])
+    ordered = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(event_type" in ordered and "range" in ordered.split("windowspecdefinition(event_type", 1)[1][:40]
+
+
 def test_streams_equal_tables(spark, sf, tmp_path):
     from quern.streaming.events import event_time, start_daily_rollup, windowed_counts
 
