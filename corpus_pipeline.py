@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.common import materialise
+from quern.llm.common import scratch, scratch_path
 from quern.llm.decontam import drop_contaminated
 from quern.llm.mixing import mix_documents
 from quern.llm.neardup import drop_near_duplicates
@@ -25,15 +25,17 @@ STAGES = [
     ("mixing", mix_documents),
 ]
 
-#: SQL can't express the fitted classifier; the tests hold the other stages against brute force.
+#: SQL can't express the fitted classifier; the tests hold run() against plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each returns is written and read again."""
+    """Applies the stages to documents; what each returns is written and read again, and its scratch tables removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, materialise, read, shared_dir, sized
+from quern.llm.common import arrow_map, materialise, read, scratch_path, sized
 
 #: Payload bytes after which a task starts a new archive; what is read at once; the smallest payload that is ever revisited.
 ARCHIVE_BYTES = 32 << 20
@@ -53,7 +53,7 @@ def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str |
 
 
 def headers(head: bytes) -> dict[str, str]:
-    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
+    return {k: v.strip() for k, found, v in (line.partition(":") for line in head.decode().split("\r\n")[1:]) if found}
 
 
 def records(chunks: Iterable[bytes]) -> Iterator[bytes]:
@@ -78,16 +78,23 @@ def records(chunks: Iterable[bytes]) -> Iterator[bytes]:
 
 
 def inflated(f: BinaryIO) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, in pieces."""
-    d = zlib.decompressobj(31)
+    """The content of a gzip file of one or more members, in pieces of at most CHUNK bytes.
+
+    A stream that ends before its trailer, or whose checksum is wrong, raises an error.
+    """
+    d, begun = zlib.decompressobj(31), False
     while data := f.read(CHUNK):
         while data:
-            yield d.decompress(data)
-            data = d.unused_data
             if d.eof:
                 d = zlib.decompressobj(31)
-    if tail := d.flush():
-        yield tail
+            begun = True
+            if piece := d.decompress(data, CHUNK):
+                yield piece
+            data = d.unused_data if d.eof else d.unconsumed_tail
+    while begun and not d.eof and (piece := d.decompress(b"", CHUNK)):
+        yield piece
+    if begun and not d.eof:
+        raise ValueError("the archive is cut off within a compressed stream")
 
 
 def parse(raw: bytes) -> tuple[str, int, str, str, str | None]:
@@ -170,22 +177,29 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """Rewrites each archive with one member for each record; returns (path, index, records)."""
+    """Rewrites each archive with one member for each record; returns (path, index, records).
+
+    archives: (path, records). An archive that holds other than its number of records raises an
+    error. The index has a line for each record: id, url, digest, offset and length.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _store(folder)
         for b in batches:
             done = []
-            for source in b.column("path").to_pylist():
+            for source, expected in zip(b.column("path").to_pylist(), b.column("records").to_pylist(), strict=True):
                 name = f"{path}/members-{uuid.uuid4().hex}.warc.gz"
                 offset = n = 0
                 with store.open_input_stream(source, compression=None) as f, store.open_output_stream(name, compression=None) as out, store.open_output_stream(name + ".idx", compression=None) as index:
                     for raw in records(inflated(f)):
-                        member = gzip.compress(raw, 4, mtime=0)
+                        member, head = gzip.compress(raw, 4, mtime=0), headers(raw[: raw.index(b"\r\n\r\n")])
                         out.write(member)
-                        index.write(json.dumps({"offset": offset, "length": len(member)}).encode() + b"\n")
+                        entry = {"id": head["WARC-Record-ID"], "url": head["WARC-Target-URI"], "digest": head["WARC-Payload-Digest"], "offset": offset, "length": len(member)}
+                        index.write(json.dumps(entry).encode() + b"\n")
                         offset += len(member)
                         n += 1
+                if n != expected:
+                    raise ValueError(f"{source} holds {n} records, not {expected}")
                 done.append((name, name + ".idx", n))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.string()), pa.array([x[2] for x in done], pa.int64())], ["path", "index", "records"])
 
@@ -197,6 +211,19 @@ def spread(archives: DataFrame) -> DataFrame:
     return archives.repartition(max(1, min(2_000, archives.count())))
 
 
+def fetch(index: DataFrame, member_path: str, url: str) -> list[bytes]:
+    """The records of a URL in one archive, read at their offsets alone. index: the lines of its index."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(member_path if "://" in member_path else f"file://{member_path}")
+    with store.open_input_file(path) as f:
+        found = []
+        for e in index.where(F.col("url") == url).orderBy("offset").select("offset", "length").toLocalIterator():
+            f.seek(e.offset)
+            found.append(gzip.decompress(f.read(e.length)))
+    return found
+
+
 def read_members(members: DataFrame, folder: str) -> DataFrame:
     """One row for each record, fetched at its offset: page_id (text), payload_bytes, payload_digest, record_type, refers_to."""
 
@@ -229,7 +256,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType
-    folder = f"{shared_dir(spark)}/quern/warc-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "warc")
     got = read_members(normalise(write_archives(plan_records(pages), folder), folder), folder)
     bare = F.when(F.col("page_id") != "", F.col("page_id")).cast(kind)
     return got.select(bare.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
