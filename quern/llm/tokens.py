@@ -1,16 +1,13 @@
 """Token counts (operator 8): batches encoded in Arrow functions that return lengths only.
 
-A worker gathers texts until a byte bound is reached, encodes the gathered pieces in one call and
-keeps nothing but the counts. A text longer than the piece bound is cut where the tokenizer itself
-would cut: in front of a single blank that stands between two letters. The byte-level pre-tokenizer
-starts a new piece there (" ?\\p{L}+"), and no special string holds a blank, so the counts of the
-pieces add up to the count of the text.
-
-The tokenizers library encodes 1.2 MB a second here, which is more CPU time than a token count is
-worth. Where the caller also names the file of the same vocabulary as ranks, texts of Latin letters,
-digits, ASCII punctuation and plain blanks are encoded from the ranks (5 times as fast, the same
-ids); all other texts, in which two libraries could disagree about character classes, and texts
-with a special string go through the tokenizers library.
+A text is cut where the tokenizer itself would cut: in front of a single blank before a letter, and
+between a Latin letter and a mark of punctuation. The byte-level pre-tokenizer starts a new piece
+there (" ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+"), and no special string holds a blank or one of
+these marks, so the counts of the pieces add up to the count of the text. A worker gathers
+the distinct pieces of its texts until their bytes reach a bound and has the library encode them in
+one call; nothing but the pieces' lengths is kept, and a text's count is the sum over its pieces.
+Texts repeat their words, so that most pieces are encoded once for many texts. The lengths that are
+held are bounded by the bytes of their pieces; beyond the bound they are forgotten and encoded again.
 """
 
 from __future__ import annotations
@@ -25,23 +22,21 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, read
 
-PIECE_CHARS = 8_000
+#: UTF-8 bytes of the pieces in one call of the library, and of the pieces whose lengths are held.
 CALL_BYTES = 1 << 18
-#: In front of such a blank the byte-level pre-tokenizer always starts a new piece.
-SAFE = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
+HELD_BYTES = 4 << 20
+#: Characters whose pieces are looked at together.
+GROUP_CHARS = 1 << 19
+#: Here the byte-level pre-tokenizer always starts a new piece.
+SAFE = re.compile(r"(?<=\S)(?= [^\W\d_])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?])")
 
-#: A text without any of these characters is encoded from the ranks.
-OTHER = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f]")
-_loaded: dict[str, object] = {}
+_loaded: dict[object, object] = {}
 
 
-def pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
+def segments(text: str, limit: int = GROUP_CHARS) -> Iterator[str]:
     """Parts of about limit characters, cut at safe places only; a text without any stays whole."""
     start = 0
-    while len(text) - start > limit:
-        cut = SAFE.search(text, start + limit)
-        if cut is None:
-            break
+    while len(text) - start > limit and (cut := SAFE.search(text, start + limit)):
         yield text[start : cut.start()]
         start = cut.start()
     yield text[start:]
@@ -59,53 +54,55 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def _ranks(path: str):
-    """The encoder of a rank file."""
-    if path not in _loaded:
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+class Lengths(dict):
+    """Token counts of pieces, encoded by the library in calls of CALL_BYTES."""
 
+    def __init__(self, path: str):
+        self.tokenizer, self.size = _tokenizer(path), 0
 
-def _counts(texts: list[str], path: str, rank_path: str | None = None) -> list[int]:
-    tokenizer, out = _tokenizer(path), [0] * len(texts)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    ranks = _ranks(rank_path) if rank_path else None
-    batch: list[str] = []
-    owner: list[int] = []
-    size = 0
-
-    def flush() -> None:
-        nonlocal size
+    def learn(self, pieces: Iterable[str]) -> None:
+        batch: list[str] = []
+        size = 0
+        for piece in dict.fromkeys(pieces):
+            if piece not in self:
+                batch.append(piece)
+                size += len(piece.encode())
+                if size >= CALL_BYTES:
+                    self._encode(batch, size)
+                    batch, size = [], 0
+        self._encode(batch, size)
+
+    def _encode(self, batch: list[str], size: int) -> None:
         if batch:
-            for i, e in zip(owner, tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                out[i] += len(e)
-        batch.clear()
-        owner.clear()
+            self.update(zip(batch, map(len, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
+            self.size += size
+
+    def counts(self, texts: list[str]) -> list[int]:
+        out = [0] * len(texts)
+        group: list[tuple[int, list[str]]] = []
         size = 0
 
-    for i, text in enumerate(texts):
-        plain = ranks is not None and not OTHER.search(text) and not any(x in text for x in special)
-        for piece in pieces(text):
-            if plain:
-                out[i] += len(ranks.encode_ordinary(piece))
-                continue
-            batch.append(piece)
-            owner.append(i)
-            size += len(piece)
-            if size >= CALL_BYTES:
-                flush()
-    flush()
-    return out
-
-
-def token_counts(docs: DataFrame, tokenizer_path: str, rank_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
+        def add() -> None:
+            if self.size > HELD_BYTES:
+                self.clear()
+                self.size = 0
+            self.learn(piece for _, pieces in group for piece in pieces)
+            for i, pieces in group:
+                out[i] += sum(map(self.__getitem__, pieces))
+            group.clear()
+
+        for i, text in enumerate(texts):
+            for part in segments(text):
+                group.append((i, SAFE.split(part)))
+                size += len(part)
+                if size >= GROUP_CHARS:
+                    add()
+                    size = 0
+        add()
+        return out
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     A null text counts as empty: 0 bytes, 0 tokens. A null id is kept. Repeated rows are counted
@@ -115,9 +112,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, rank_path: str | None = N
     schema = f"doc_id {small.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = _loaded.setdefault(("lengths", tokenizer_path), Lengths(tokenizer_path))  # kept for the worker's next tasks
         for b in batches:
             texts = b.column("text").to_pylist()
-            n = _counts(texts, tokenizer_path, rank_path)
+            n = lengths.counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
@@ -129,7 +127,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, rank_path: str | None = N
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {"op8_token_counts": op8_token_counts}
