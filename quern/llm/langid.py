@@ -20,8 +20,8 @@ from quern.llm.common import arrow_map, held_out, read
 
 PROFILE = 300
 ORDERS = (1, 2, 3)
-#: More distinct languages than this are taken for an error in the column; their profiles go to every task.
-MAX_LANGS = 1_000
+#: Languages whose profiles go to the tasks at once; with more of them the texts are passed over once for each block.
+BLOCK_LANGS = 1_000
 _BITS = 21
 _FLUSH = 1 << 20
 
@@ -94,10 +94,10 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
     totals = arrow_map(labelled, rows, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = totals.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= PROFILE)
-    found = top.limit(MAX_LANGS * PROFILE + 1).toPandas()
-    if len(found) > MAX_LANGS * PROFILE:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    return {lang: part.sort_values("rank")["gram"].to_numpy(np.uint64) for lang, part in found.sort_values("lang").groupby("lang", sort=True)}
+    profiles: dict[str, list[int]] = {}
+    for r in top.orderBy("lang", "rank").toLocalIterator():
+        profiles.setdefault(r.lang, []).append(r.gram)
+    return {lang: np.array(g, np.int64).view(np.uint64) for lang, g in profiles.items()}
 
 
 def distances(doc: np.ndarray, profile: np.ndarray) -> int:
@@ -109,6 +109,19 @@ def distances(doc: np.ndarray, profile: np.ndarray) -> int:
     return int(np.where(there, np.abs(place - np.arange(len(doc))), PROFILE).sum())
 
 
+def nearest(text: str | None, profiles: dict[str, np.ndarray], best: str | None = None, first: int | None = None, second: int | None = None) -> tuple[str | None, int | None, int | None]:
+    """The nearest language and the two smallest distances, also counting those found before; all None without a letter."""
+    doc = ranked(*grams(text))
+    if len(doc):
+        for lang, profile in profiles.items():
+            d = distances(doc, profile)
+            if first is None or d < first:
+                best, first, second = lang, d, first
+            elif second is None or d < second:
+                second = d
+    return best, first, second
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out (the column out), lang_pred and score for every row of docs.
 
@@ -117,26 +130,23 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], out: Column, id_c
     text when nothing was learnt get `und` with score 0. Ties go to the language first in order.
     A null id is kept, repeated rows each give a row, other columns are ignored.
     """
-    small = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    names = list(profiles)
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores = [], []
-            for text in b.column("text").to_pylist():
-                doc = ranked(*grams(text))
-                if not len(doc) or not names:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                d = [distances(doc, profiles[x]) for x in names]
-                best = int(np.argmin(d))
-                rest = min((x for i, x in enumerate(d) if i != best), default=None)
-                langs.append(names[best])
-                scores.append(1.0 if rest is None else 0.5 if d[best] + rest == 0 else rest / (d[best] + rest))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
-
-    return arrow_map(small, rows, f"doc_id {small.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    small = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("best"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("second"))
+    names = sorted(profiles)
+    kind = small.schema["doc_id"].dataType.simpleString()
+    for at in range(0, len(names), BLOCK_LANGS):
+        block = {x: profiles[x] for x in names[at : at + BLOCK_LANGS]}
+        last = at + BLOCK_LANGS >= len(names)
+
+        def rows(batches: Iterable[pa.RecordBatch], block=block, last=last) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [nearest(t, block, *held) for t, *held in zip(*(b.column(c).to_pylist() for c in ("text", "best", "first", "second")), strict=True)]
+                cols = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)] if found else [pa.array([], k) for k in (pa.string(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.nulls(b.num_rows, pa.string()) if last else b.column("text"), *cols], ["doc_id", "held_out", "text", "best", "first", "second"])
+
+        small = arrow_map(small, rows, f"doc_id {kind}, held_out boolean, text string, best string, first bigint, second bigint")
+    both = F.col("first") + F.col("second")
+    score = F.when(F.col("best").isNull(), 0.0).when(F.col("second").isNull(), 1.0).when(both == 0, 0.5).otherwise(F.col("second") / both)
+    return small.select("doc_id", "held_out", F.coalesce("best", F.lit("und")).alias("lang_pred"), score.alias("score"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
