@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,11 +75,13 @@ def _share_out(children: DataFrame, parent: list[str], level: str, mix: Mix) ->
 def budgets(leaves: DataFrame, mix: Mix, total: int | None = None) -> DataFrame:
     """(domain, language, origin, tokens, budget) from (domain, language, origin, tokens).
 
-    total: the budget in tokens; the mix's share of all tokens if not given.
+    total: the budget in tokens; the mix's share of all tokens if not given. Only tokens that may be
+    taken count as a node's room: those under a weight of zero, on any level, leave the budget to others.
     """
     if total is None:
         total = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * mix.share)
-    leaves = leaves.withColumn("cap", F.col("tokens") * F.lit(float(mix.epochs)))
+    open_ = reduce(Column.__and__, (_weight(level, mix) > 0 for level in LEVELS))  # what a weight of zero closes has no room on any level
+    leaves = leaves.withColumn("cap", F.when(open_, F.col("tokens") * F.lit(float(mix.epochs))).otherwise(F.lit(0.0)))
     got = None
     for depth, level in enumerate(LEVELS):
         keys = list(LEVELS[: depth + 1])
@@ -150,7 +153,8 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None, total: int | None = Non
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents, each as often as it is taken, with its columns and its epoch.
 
-    The texts aren't shuffled: what is taken is decided row by row from the leaves' budgets.
+    The texts aren't shuffled: what is taken is decided row by row from the leaves' budgets. Nulls,
+    repeated rows, ties and an empty table are as in mix_sources; other columns are kept.
     """
     mix = Mix()
     _, leaves, taken = _plan(docs, mix, None)
