@@ -1,10 +1,10 @@
 """Media columns (operator 6): bytes stored as WAV, and spectral-peak pair fingerprints.
 
-A payload becomes an 8-bit mono WAV written and read by the wave module. Short-time Fourier
-transforms of the samples give the strongest peak of each of four bands of every frame. Peaks that
-stand out are paired with the next few peaks of later frames; each pair is hashed as (frequency,
-frequency, distance in frames) and stored with the frame of its first peak: a time-coded array, as
-used for finding a recording again by aligned offsets.
+A payload becomes an 8-bit mono WAV written and read by the wave module. In the short-time Fourier
+transforms of the samples a peak is a bin that none of its neighbours in frequency and time exceeds
+and that stands out from its neighbours' mean. Peaks are paired with the next few peaks of later frames; each
+pair is hashed as (frequency, frequency, distance in frames) and stored with the frame of its first
+peak: a time-coded array, as used for finding a recording again by aligned offsets.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import arrow_map, read
 
 RATE = 8_000
-FRAME, HOP, FAN = 512, 256, 2
+FRAME, HOP, FAN = 512, 256, 8
 #: Frames that the hop is made smaller for, and the smallest hop.
 FEW, LEAST_HOP = 4, 16
-#: Frequency bins of the four bands; the lowest bins carry only the mean level.
-BANDS = ((4, 32), (32, 80), (80, 144), (144, 257))
+#: The lowest bins carry only the mean level and are no peaks; bins and frames to each side that a peak is held against.
+LOWEST, NEAR_BINS, NEAR_FRAMES = 4, 8, 1
 BLOCK = 512
 PAD = 64
 
@@ -56,35 +56,55 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """Rows (frame, bin): per frame and band the strongest bin that is above the frame's mean level.
+    """Rows (frame, bin): bins that are the largest of all near them and above the mean of those in their frame.
 
-    The hop is HOP, halved where there would be fewer than FEW frames. Frames are transformed a block at a time, so the working memory doesn't grow with the length.
+    Of equal neighbours all count. Frames less than HOP apart are no neighbours. The hop is HOP, halved where there would be fewer than FEW frames.
+    Frames are transformed a block at a time, with the frames next to it, so that the working memory
+    doesn't grow with the length and the peaks don't depend on where the blocks end.
     """
     hop = HOP
     while hop > LEAST_HOP and len(samples) <= (FEW - 1) * hop:
         hop //= 2
     n = max(1, -(-len(samples) // hop))
+    near = NEAR_FRAMES * hop // HOP  # frames that overlap almost wholly aren't held against each other
     found = []
     for at in range(0, n, BLOCK):
-        k = min(BLOCK, n - at)
-        part = samples[at * hop : (at + k - 1) * hop + FRAME].astype(np.float32) - 128.0
-        part = np.pad(part, (0, (k - 1) * hop + FRAME - len(part)))
+        first, last = max(0, at - near), min(n, at + BLOCK + near)
+        part = samples[first * hop : (last - 1) * hop + FRAME].astype(np.float32) - 128.0
+        part = np.pad(part, (0, (last - first - 1) * hop + FRAME - len(part)))
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::hop]
         power = np.log1p(np.abs(np.fft.rfft(frames * _WINDOW, axis=1)))
-        mean = power[:, BANDS[0][0] :].mean(axis=1)
-        for lo, hi in BANDS:
-            best = power[:, lo:hi].argmax(axis=1)
-            strong = np.flatnonzero(power[np.arange(k), best + lo] > mean * 1.05 + 1e-6)
-            found.append(np.stack([strong + at, best[strong] + lo], axis=1))
-    out = np.concatenate(found)
-    return out[np.lexsort((out[:, 1], out[:, 0]))]
+        top = _largest_near(_largest_near(power, NEAR_BINS, 1), near, 0)
+        peak = (power >= top) & (power > _mean_near(power, NEAR_BINS) + 1e-6)
+        at_frame, at_bin = np.nonzero(peak[at - first : at - first + BLOCK, LOWEST:])
+        found.append(np.stack([at_frame + at, at_bin + LOWEST], axis=1))
+    return np.concatenate(found)
+
+
+def _mean_near(x: np.ndarray, reach: int) -> np.ndarray:
+    """For each entry of a row the mean of those at most reach away."""
+    sums = np.pad(np.cumsum(x, axis=1, dtype=np.float64), ((0, 0), (1, 0)))
+    at = np.arange(x.shape[1])
+    lo, hi = np.maximum(at - reach, 0), np.minimum(at + reach + 1, x.shape[1])
+    return (sums[:, hi] - sums[:, lo]) / (hi - lo)
+
+
+def _largest_near(x: np.ndarray, reach: int, axis: int) -> np.ndarray:
+    """For each entry the largest of those at most reach away along an axis."""
+    x = np.moveaxis(x, axis, 0)
+    padded = np.pad(x, ((reach, reach), (0, 0)), constant_values=-1.0)
+    width, size = 2 * reach + 1, 1
+    while 2 * size <= width:
+        padded, size = np.maximum(padded[: len(padded) - size], padded[size:]), 2 * size
+    out = np.maximum(padded[: len(x)], padded[width - size : width - size + len(x)])
+    return np.moveaxis(out, 0, axis)
 
 
 def pairs(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, frames): each peak with the next FAN x 4 peaks of later frames, of those the ones less than 64 frames away."""
+    """(hashes, frames): each peak with the next FAN peaks of later frames, of those the ones less than 64 frames away."""
     hashes, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     later = np.searchsorted(p[:, 0], p[:, 0], side="right")
-    for step in range(len(BANDS) * FAN):
+    for step in range(FAN):
         ok = later + step < len(p)
         a, b = p[ok], p[later[ok] + step]
         ok = b[:, 0] - a[:, 0] < 64
@@ -129,11 +149,11 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """feature: pairs, peaks and a digest of the time-coded array."""
+    """feature: pairs, peaks and a digest of the time-coded array, whose hashes and frames are the last two columns."""
     d = media_columns(read(spark, sf_dir, "documents"))
     coded = F.sha2(F.concat_ws(";", F.array_join("hashes", ","), F.array_join("frames", ",")), 256)
     feature = F.concat_ws(":", F.size("hashes").cast("string"), F.col("n_peaks").cast("string"), coded)
-    return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "hashes", "frames")
 
 
 QUERIES = {"op6_media_columns": op6_media_columns}
