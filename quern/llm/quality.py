@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, held_out, read
 
-#: Bound of the labelled sample and of the preference pairs drawn from it.
+#: Bound of the labelled sample; every pair of a better and a worse document in it is a preference.
 MAX_LABELLED = 20_000
-MAX_PAIRS = 60_000
+#: Better documents whose pairs are held in memory at once.
+BLOCK = 500
 CUT = 0.7
 
 #: Classes of bytes whose shares are features.
@@ -92,12 +93,37 @@ class Model:
         return np.concatenate([z, np.abs(z)], axis=-1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        s = (self.expand(x) @ self.weights - self.threshold) / self.spread + np.log(CUT / (1 - CUT))
+        linear = (self.expand(x) * self.weights).sum(axis=-1)  # row by row, so that equal texts score the same in any batch
+        s = (linear - self.threshold) / self.spread + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(s, -60, 60)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, seed: int = 7, l2: float = 1e-2) -> Model:
-    """Bradley-Terry by Newton steps on preference pairs drawn evenly from both classes.
+def _step(good: np.ndarray, bad: np.ndarray, w: np.ndarray, l2: float) -> np.ndarray:
+    """The Newton step of the mean logistic loss over all pairs of a good and a bad row.
+
+    The gradient and the Hessian of all pairs need only sums over the matrix of pair weights, which
+    is made a block of rows at a time; no differences of features are formed.
+    """
+    n, d = len(good) * len(bad), len(w)
+    g, h = np.zeros(d), np.zeros((d, d))
+    of_bad, pull = np.zeros(len(bad)), np.zeros(len(bad))
+    s_bad = bad @ w
+    for at in range(0, len(good), BLOCK):
+        part = good[at : at + BLOCK]
+        p = 1 / (1 + np.exp(-np.clip((part @ w)[:, None] - s_bad[None], -40, 40)))
+        v = p * (1 - p)
+        g += part.T @ (1 - p).sum(axis=1)
+        pull += (1 - p).sum(axis=0)
+        of_bad += v.sum(axis=0)
+        cross = part.T @ (v @ bad)
+        h += (part * v.sum(axis=1)[:, None]).T @ part - cross - cross.T
+    g -= bad.T @ pull
+    h += (bad * of_bad[:, None]).T @ bad
+    return np.linalg.solve(h / n + l2 * np.eye(d), g / n - l2 * w)
+
+
+def fit(x: np.ndarray, label: np.ndarray, l2: float = 1e-2) -> Model:
+    """Bradley-Terry by Newton steps on all preference pairs.
 
     Without two classes there is no preference; then every document scores exactly the cut.
     """
@@ -108,13 +134,9 @@ def fit(x: np.ndarray, label: np.ndarray, seed: int = 7, l2: float = 1e-2) -> Mo
     scale = x.std(axis=0)
     model = Model(x.mean(axis=0), np.where(scale > 1e-9, scale, 1.0), np.zeros(2 * d), 0.0, 1.0)
     z = model.expand(x)
-    rng = np.random.default_rng(seed)
-    n = min(MAX_PAIRS, len(good) * len(bad))
-    diff = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
     w = np.zeros(2 * d)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -40, 40)))
-        step = np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / n + l2 * np.eye(2 * d), diff.T @ (1 - p) / n - l2 * w)
+        step = _step(z[good], z[bad], w, l2)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -157,13 +179,22 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
 
 def classify(docs: DataFrame, labels: DataFrame, out: Column) -> DataFrame:
-    """Learns from the labelled rows where out is false, then scores all rows."""
+    """Learns from the labelled rows where out is false, then scores all rows: doc_id, held_out, score, predicted.
+
+    A null text scores as an empty one, a null id is kept and never learnt from. A row labelled both
+    ways counts once for each label. Repeated rows each give a row and equal texts equal scores; a
+    score of exactly the cut is accepted. Without labels of both kinds every row scores the cut. An
+    empty table gives no rows; other columns are ignored.
+    """
     model = train(docs.where(~out), labels)
     return score(docs.select("doc_id", out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of docs that the classifier accepts, with all their columns."""
+    """Pipeline stage: the rows of docs that the classifier accepts, with all their columns.
+
+    Nulls, ties, repeated rows and empty tables are as in classify; other columns are kept.
+    """
     model = train(docs.where(~held_out()), read(spark, sf_dir, "labels"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
     return score(whole, model, ["row"]).where("predicted = 1").select("row.*")
