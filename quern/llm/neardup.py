@@ -155,7 +155,7 @@ def _prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], ["doc_id", "n", "token"])
 
     every = materialise(arrow_map(texts.select("doc_id", "text"), rows, f"doc_id {kind}, n bigint, token bigint"), "shingles")
-    shared = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = sized(materialise(every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared"))
     sets = every.join(shared, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("held"))
     placed = sets.where(length > 0).select("doc_id", F.size("held").alias("held"), F.posexplode(F.slice("held", F.lit(1), length.cast("int"))).alias("at", "t"))
@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tokens = materialise(tokens.join(unsettled, "doc_id"), "prefixes")
     parts = tokens.groupBy("token", "component").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = materialise(tokens.join(open_.select("token", "main"), "token").join(odd, "doc_id"), "open")
+    open_ = sized(materialise(open_.select("token", "main"), "open-tokens"))  # written first, so that the join has nothing but its sides and a hot token can be split
+    rest = materialise(tokens.join(open_, "token").join(odd, "doc_id"), "open")
     a, b = rest.where("component <> main").alias("a"), rest.alias("b")
     across = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.doc_id") < F.col("b.doc_id")))
     common = F.least("a.bound", "b.bound")
@@ -220,13 +221,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays (5 words, 80 %), with all its columns.
 
-    Of rows that repeat an id one stays.
+    Of rows that repeat an id the first in the order of all columns stays, of equal ones any. Null or
+    blank texts, and rows without an id, stay; an empty table stays empty.
     """
     decided = near_duplicates(docs)
     out = docs.join(sized(materialise(decided.where(~F.col("kept")).select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
     repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if repeated.limit(1).count():
-        once = out.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        once = out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
         out = out.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
     return out
 
