@@ -1,13 +1,19 @@
 """HTML extraction (operator 7): line-block distribution.
 
-Markup is stripped into lines, one per block element. Elements that can't hold the article (menus,
-page headers and footers, sidebars, notices, adverts, forms, comments) leave a gap of empty lines.
-The text lengths of a sliding window of lines are added; where the sum rises from nothing a block
-of the page surges, where it falls back to nothing it dives. The surging block with the most text
-is the article, and every line between its two points is kept, however short or linked. Lines that
-are mostly links only don't count for the points. Blocks of one parent are one block, whatever was
-taken out between them and however they are wrapped. Inside an article or main element no gaps are
-made, so that an advert in its middle doesn't cut it; a main element's own lines go with its article.
+Markup is stripped into lines, one per block element, scripts and styles with it. A line weighs the
+characters of its text that are no links; one that is mostly links weighs nothing, nor does one that
+its element, role, class or id hints to be a menu, header, footer, sidebar, notice, advert, form or
+comment. Over the lines slides a window that adds up weights. Where the sum rises from nothing a
+block of the page begins, where it falls back to nothing it ends; within it the text surges where the
+sum first reaches a threshold and dives where it last does. The block with the most weight holds the
+article. Lines between surge and dive are kept, however short or linked, and so are the short ones
+before and after that lie in the same parent as they. A block that surges in an article or main
+element stands for all of that element. Blocks of one parent are one block, whatever lies between
+them and however they are wrapped.
+
+Hints decide by themselves only where a word of a class says plainly what an element is (a comment,
+an advert, a cookie notice). The other words (social, widget, related) need the text's consent: an
+element with them that has much text of its own is kept, and none of them makes an article noise.
 """
 
 from __future__ import annotations
@@ -24,33 +30,40 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, read
 
-#: Lines in a window, and empty lines left by what was taken out.
+#: Lines in a window, and empty lines round what is hinted to be no part of the article.
 WINDOW = 3
 GAP = WINDOW
+#: Characters of a window at which text surges and dives; on a page of short lines a share of its largest window.
+SURGE, SHARE = 40, 0.2
+#: Characters outside links from which an element stays that is noise by a vague word alone.
+ENOUGH = 160
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _MAIN_TAG = re.compile(r"<(?:article|main)[\s/>]", re.I)
-_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "select", "title", "math", "object", "canvas", "audio", "video")}
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "select", "title", "canvas", "audio", "video")}
 _DROP = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "button", "head", "label", "fieldset"}
 _MAIN = {"article", "main"}
 _BLOCK = {"p", "div", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "header", "footer", "nav", "aside", "form", "address", "details", "summary", "body", "html", "dialog", "fieldset", "center", "title"}
 _NESTED = {"div", "section", "ul", "ol", "dl", "table", "tr", "td", "span", "p", "li", "figure", "details", "blockquote"} | _DROP | _MAIN
 _GAPPED = {"div", "section", "table"} | _MAIN
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-#: Words in a class or id that mark what isn't the article.
+#: Words in a class or id that say what isn't the article, and words that only make it likely.
 _NOISE = frozenset(
-    "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner comment comments disqus reply replies respond sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription share sharing social related recommended footer masthead widget login signup pagination pager toolbar topbar skip".split()
+    "ad ads advert advertisement advertising adsense sponsor sponsored comment comments disqus reply replies respond sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr popup modal newsletter subscribe subscription footer masthead pagination pager toolbar topbar".split()
 )
+_VAGUE = frozenset("promo promotion banner notice alert overlay share sharing social related recommended widget login signup skip".split())
 #: Classes or ids of the article's container where the page has no element for it.
 _CONTENT = frozenset("content main article post story main-content maincontent page-content post-content post-body article-content article-body articlebody entry-content story-body".split())
 #: First parts of a class that keep an article, or what holds one, from being the page's article.
-_ASIDE = frozenset("comment comments disqus reply replies respond related recommended".split())
+_ASIDE = frozenset("comment comments disqus reply replies respond".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 
 class Line(NamedTuple):
     text: str  # empty for a gap
     linked: int  # characters in links
+    noise: bool  # hinted to be no part of the article
+    vague: tuple[int, ...]  # numbers of the open elements that a vague word hints at
     main: int  # number of the article or main element, or 0
     within: int  # number of the main element round that article, or 0
     path: tuple[int, ...]  # open layout elements
@@ -76,28 +89,40 @@ def _holds(page: str, at: int, name: str) -> str:
     return found
 
 
-def _noisy(name: str, attributes: str, inside: bool, holds=lambda: "") -> bool:
-    """holds: whether the element is or holds the page's main or article, which a class doesn't make noise."""
+def _hint(name: str, attributes: str, inside: bool, holds=lambda: "") -> str:
+    """noise or vague if the element is hinted to be no part of the article, else nothing.
+
+    holds: whether the element is or holds the page's main or article, which a class doesn't make noise.
+    """
     if name in _DROP and not (inside and name == "header"):
-        return True
+        return "noise"
     if not attributes or name in ("html", "body"):
-        return False
-    marks = []
+        return ""
+    plain, vague = [], False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "role" and value in _NOISE_ROLES):
-            return True
+            return "noise"
         if key in ("class", "id"):
             for token in value.split():
                 parts = re.split(r"[-_]+", token)
-                if parts[0] not in ("has", "no", "with", "without", "post", "entry", "article") and not _NOISE.isdisjoint(parts):
-                    marks.append(parts)
-                if parts[0] in ("post", "entry", "article") and parts[1:] and not {"comment", "comments", "share", "related", "nav", "navigation", "footer", "ad", "ads"}.isdisjoint(parts[1:]):
-                    marks.append(parts)
-    if not marks:
-        return False
+                if parts[0] in ("has", "no", "with", "without"):
+                    continue
+                if parts[0] in ("post", "entry", "article"):
+                    if parts[1:] and not {"comment", "comments", "share", "related", "nav", "navigation", "footer", "ad", "ads"}.isdisjoint(parts[1:]):
+                        plain.append(parts)
+                elif not _NOISE.isdisjoint(parts):
+                    plain.append(parts)
+                elif parts[0] in _ASIDE:
+                    plain.append(parts[:1] * 2)
+                else:
+                    vague = vague or not _VAGUE.isdisjoint(parts)
+    if not plain and not vague:
+        return ""
     held = holds()
-    return held != "main" and not (held == "article" and all(parts[1:] and parts[0] not in _ASIDE for parts in marks))
+    if held == "main" or (held == "article" and all(parts[1:] and parts[0] not in _ASIDE for parts in plain)):
+        return ""
+    return "noise" if plain else "" if held == "article" else "vague"
 
 
 def _marked(attributes: str) -> bool:
@@ -106,18 +131,20 @@ def _marked(attributes: str) -> bool:
 
 
 def lines_of(page: str) -> list[Line]:
-    """A line for each block; empty texts are gaps."""
+    """A line for each block, with its hints; empty texts are gaps."""
     lines: list[Line] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: whether each starts a dropped part, or a main one
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: whether each starts a part hinted at, a main one, a vague one
+    vague: list[int] = []
     dropped = mains = in_link = 0
+    head = False
     main: list[int] = []
     layout: list[int] = []  # for each open element its number if it is of the layout, or 0
     parts = 0
 
     def add(line: str, n: int = 1) -> None:
-        lines.extend([Line(line, linked, main[-1] if main else 0, main[-2] if len(main) > 1 else 0, tuple(filter(None, layout)))] * n)
+        lines.extend([Line(line, linked, dropped > 0, tuple(vague), main[-1] if main else 0, main[-2] if len(main) > 1 else 0, tuple(filter(None, layout)))] * n)
 
     def close() -> None:
         nonlocal linked
@@ -141,12 +168,15 @@ def lines_of(page: str) -> list[Line]:
         nonlocal dropped
         if any(x == name for x, *_ in stack):
             while stack:
-                x, was, top = stack.pop()
+                x, was, top, hinted = stack.pop()
+                if was or top or hinted:
+                    close()
                 layout.pop()
                 dropped -= was
                 if top:
-                    close()
                     main.pop()
+                if hinted:
+                    vague.pop()
                 if x == name:
                     break
 
@@ -154,10 +184,10 @@ def lines_of(page: str) -> list[Line]:
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
-            if not dropped:
-                text.append(page[at:])
+            text.append(page[at:])
+            linked += (len(page) - at) * bool(in_link)
             break
-        if not dropped and m.start() > at:
+        if m.start() > at and not head:
             part = page[at : m.start()]
             text.append(part)
             linked += len(part) * bool(in_link)
@@ -172,7 +202,11 @@ def lines_of(page: str) -> list[Line]:
             continue
         if name == "a":
             in_link = 0 if m[1] else 1
-        if not dropped and name in _BLOCK:
+        if name == "head":
+            head = not m[1]
+        elif name == "body":
+            head = False
+        if name in _BLOCK:
             close()
         if m[1]:
             was = dropped
@@ -194,25 +228,29 @@ def lines_of(page: str) -> list[Line]:
                     break
         elif name == "li" and stack and stack[-1][0] in ("li", "p"):
             shut("li")
-        if name in _MAIN and dropped and [x for x, was, _ in stack if was] == ["form"]:  # a form round the whole page
-            stack = [(x, False, top) for x, _, top in stack]
+        if name in _MAIN and dropped and [x for x, was, *_ in stack if was] == ["form"]:  # a form round the whole page
+            close()
+            stack = [(x, False, top, hinted) for x, _, top, hinted in stack]
             dropped = 0
-        lone = not any(x == "article" and top for x, _, top in stack)
-        noisy = not dropped and _noisy(name, m[3], bool(main), lambda at=at, name=name, lone=lone: _holds(page, at, name) if lone else "")
+        lone = not any(x == "article" and top for x, _, top, _ in stack)
+        hint = "" if dropped else _hint(name, m[3], bool(main), lambda at=at, name=name, lone=lone: _holds(page, at, name) if lone else "")
+        noisy = hint == "noise"
         if noisy and not main and outermost():
             gap(GAP)
-        elif noisy:
+        elif hint:
             close()
-        if dropped or noisy:
+        if dropped or hint:
             top = False
         elif main:  # an article in main stands for itself; other parts belong to what holds them
             top = name == "article" and lone
         else:
             top = name in _MAIN or (name in ("div", "section", "td") and _marked(m[3]))
-        stack.append((name, noisy, top))
+        stack.append((name, noisy, top, hint == "vague"))
         parts += 1
         layout.append(parts if name in _GAPPED else 0)
         dropped += noisy
+        if hint == "vague":
+            vague.append(parts)
         if top:
             if not main:
                 gap(GAP)
@@ -268,29 +306,74 @@ def _joined(found: list[tuple[int, int]], lines: list[Line]) -> list[tuple[int,
         open_blocks = done
 
 
+def weighed(lines: list[Line]) -> tuple[list[int], list[bool]]:
+    """The weight of each line, and whether it is noise."""
+    own: dict[int, int] = {}  # characters outside links of each element that a vague word hints at
+    for x in lines:
+        for part in x.vague:
+            own[part] = own.get(part, 0) + (len(x.text) - x.linked if not x.noise else 0)
+    noise = [x.noise or any(own[part] < ENOUGH for part in x.vague) for x in lines]
+    return [0 if n or x.linked * 5 > len(x.text) * 3 else len(x.text) - x.linked for x, n in zip(lines, noise, strict=True)], noise
+
+
+def core(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
+    """The lines from the surge to the dive: from the first to behind the last that stands in a window of enough weight."""
+    sums = [sum(weights[i : i + window]) for i in range(max(1, len(weights) - window + 1))]
+    least = min(SURGE, SHARE * max(sums))
+    dense = [i for i, n in enumerate(sums) if n >= least > 0]
+    if not dense:
+        return 0, 0
+    ahead = next(i for i in range(dense[0], len(weights)) if weights[i])
+    return ahead, dense[-1] + window
+
+
 def extract(page: str | None) -> str:
     """The article's blocks in page order, joined by line ends; empty if there is no text."""
     if not page:
         return ""
     lines = lines_of(page)
-    tops: dict[int, dict[int, int]] = {}  # characters of each outer main or article element: its own and its articles'
-    for x in lines:
-        if x.main:
-            of = tops.setdefault(x.within or x.main, {})
-            of[x.main] = of.get(x.main, 0) + len(x.text)
-    choices = []
-    for k, of in tops.items():
-        article = max((x for x in of if x != k), key=lambda x: (of[x], -x), default=k)
-        choices.append((of.get(k, 0) + of[article] * (article != k), -k, {k, article}))
-    best = max(choices, key=lambda x: x[:2], default=(0, 0, set()))
-    if best[0]:
-        return "\n".join(x.text for x in lines if x.text and x.main in best[2])
-    lengths = [0 if x.linked * 5 > len(x.text) * 3 else len(x.text) for x in lines]
-    found = _joined(blocks(lengths), lines)
+    weights, noise = weighed(lines)
+    found = _joined(blocks(weights), [x._replace(text="") if n else x for x, n in zip(lines, noise, strict=True)])
     if not found:
         return ""
-    surge, dive = max(found, key=lambda b: (sum(lengths[b[0] : b[1]]), -b[0]))
-    return "\n".join(x.text for x in lines[surge:dive] if x.text)
+    surge, dive = _densest(found, weights, lines)
+    first, last = core(weights[surge:dive])
+    first, last = surge + first, surge + last
+    at: dict[int, int] = {}
+    within: dict[int, int] = {}  # the main element round an article
+    for x, n in zip(lines[first:last], weights[first:last], strict=True):
+        if n:
+            at[x.main] = at.get(x.main, 0) + n
+    for x in lines:
+        within[x.main] = x.within
+    best = max(at, key=lambda k: (at[k], -k))
+    if best:
+        outer = within[best] or best
+        inner = best if within[best] else _largest_article(outer, weights, lines)
+        return "\n".join(x.text for x, n in zip(lines, noise, strict=True) if x.text and not n and x.main in (outer, inner))
+    parent = tuple(commonprefix([x.path for x, n in zip(lines[first:last], weights[first:last], strict=True) if n]))
+    kept = lambda i: not noise[i] and (first <= i < last or lines[i].path[: len(parent)] == parent)
+    return "\n".join(lines[i].text for i in range(surge, dive) if lines[i].text and kept(i))
+
+
+def _largest_article(outer: int, weights: list[int], lines: list[Line]) -> int:
+    held: dict[int, int] = {}
+    for x, n in zip(lines, weights, strict=True):
+        if x.within == outer:
+            held[x.main] = held.get(x.main, 0) + n
+    return max(held, key=lambda k: (held[k], -k), default=outer)
+
+
+def _densest(found: list[tuple[int, int]], weights: list[int], lines: list[Line]) -> tuple[int, int]:
+    """The block with the most weight; of lines in main elements only the largest one counts."""
+
+    def weight(block: tuple[int, int]) -> int:
+        of: dict[int, int] = {}
+        for x, n in zip(lines[slice(*block)], weights[slice(*block)], strict=True):
+            of[x.main] = of.get(x.main, 0) + n
+        return max(of.values())
+
+    return max(found, key=lambda b: (weight(b), -b[0]))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
