@@ -1,32 +1,43 @@
-"""Ranking quality: hit rate, precision, recall, reciprocal rank and nDCG, per query and on average."""
+"""Ranking quality: hit rate, precision, recall, reciprocal rank and nDCG, per query and on average, and what to choose by them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.fusion import LANES_SQL, lanes, merge_lanes
-from quern.operators.sparse import benchmark_queries, exact_phrases
-from quern.plans.common import r6, read, top_k
+from quern.operators.fusion import LANES_SQL, lanes, merge_lanes, query_set
+from quern.plans.common import materialise, r6, read, sized, top_k
 
 KS = (1, 3, 5, 10)
+#: What counts for one strategy against another, in this order.
+KEY = ("rr_10", "recall_10", "recall_5", "precision_3")
+# The tags of a query and the words that give them.
+QUERY_TAGS: Mapping[str, Sequence[str]] = {
+    "exact_numeric_requirement": ("多少", "几个", "几篇", "多长", "多久", "比例", "字", "时间", "%", "率"),
+    "format_or_standard": ("格式", "标准", "编号", "字体", "国家标准", "参考文献"),
+    "enumeration_or_scope": ("哪些", "哪几", "哪三", "组成", "包括", "分别", "分类", "范围"),
+    "policy_rule": ("办法", "规定", "原则", "职责", "评选", "抽检", "申诉", "处理", "奖励"),
+}
+
 
+def normalised_ids(ids: Column) -> Column:
+    """Ids as text, without null, empty and zero ones."""
+    return F.filter(F.transform(ids, lambda x: x.cast("string")), lambda x: x.isNotNull() & (x != "") & (x != "0"))
 
-def ir_metrics(rankings: DataFrame, judgments: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """One row for each judged query. rankings: (query_id, doc_id, rank); judgments: (query_id, doc_id).
+
+def graded_metrics(graded: DataFrame, relevant: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
+    """One row for each query of relevant (query_id, n_relevant). graded: (query_id, rank) of the relevant results.
 
     Precision divides by k even if fewer documents were found. A query of which nothing relevant was
     found has zeros. Recall's arguments are never swapped, whichever list is shorter.
     """
-    relevant = judgments.select("query_id", "doc_id").distinct()
-    n = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    hits = rankings.select("query_id", "doc_id", "rank").join(relevant, ["query_id", "doc_id"])
-    rank = F.col("rank")
-    aggs = []
+    rank, aggs = F.col("rank"), []
     for k in ks:
         inside = rank <= k
         aggs += [F.count_if(inside).alias(f"hits_{k}"), F.sum(F.when(inside, 1 / F.log2(rank + 1)).otherwise(0.0)).alias(f"dcg_{k}")]
-    per = n.join(hits.groupBy("query_id").agg(F.min("rank").alias("first_rank"), *aggs), "query_id", "left")
+    per = relevant.join(graded.groupBy("query_id").agg(F.min("rank").alias("first_rank"), *aggs), "query_id", "left")
     out = [F.col("query_id"), F.col("n_relevant"), F.col("first_rank")]
     for k in ks:
         got = F.coalesce(F.col(f"hits_{k}"), F.lit(0))
@@ -41,40 +52,98 @@ def ir_metrics(rankings: DataFrame, judgments: DataFrame, ks: tuple[int, ...] =
     return per.select(*out)
 
 
-def summarise(metrics: DataFrame) -> DataFrame:
+def ir_metrics(rankings: DataFrame, judgments: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
+    """One row for each judged query. rankings: (query_id, doc_id, rank); judgments: (query_id, doc_id)."""
+    relevant = judgments.select("query_id", "doc_id").distinct()
+    n = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    return graded_metrics(rankings.select("query_id", "doc_id", "rank").join(relevant, ["query_id", "doc_id"]), n, ks)
+
+
+def summarise(metrics: DataFrame, *by: str) -> DataFrame:
     """Means over the queries, and their number."""
     names = [c for c in metrics.columns if c.rpartition("_")[0] in ("hit", "precision", "recall", "rr", "ndcg")]
-    return metrics.agg(F.count("*").alias("query_count"), *(F.round(F.avg(c), 4).alias(c) for c in names))
+    return metrics.groupBy(*by).agg(F.count("*").alias("query_count"), *(F.round(F.avg(c), 4).alias(c) for c in names))
+
+
+def query_tags(query: Column, tags: Mapping[str, Sequence[str]] = QUERY_TAGS) -> Column:
+    """The tags of which the query holds a word."""
+    found = [F.when(F.array_contains(F.transform(F.array(*map(F.lit, words)), lambda w: F.contains(query, w)), True), F.lit(tag)) for tag, words in tags.items()]
+    return F.array_compact(F.array(*found))
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant documents hold the query's passage."""
-    return exact_phrases(benchmark_queries(spark, sf_dir).withColumnRenamed("query", "phrase"), read(spark, sf_dir, "documents")).select("query_id", "doc_id")
+def best_strategy(summaries: DataFrame) -> DataFrame:
+    """The strategy with the largest mean reciprocal rank, recall at 10 and 5 and precision at 3, in this order. Ties go to the first name."""
+    key = F.struct(*KEY)
+    return summaries.agg(F.min_by("strategy", F.struct(*(-F.col(c) for c in KEY), F.col("strategy"))).alias("strategy"), F.max(key).alias("key")).select("strategy", "key.*")
 
 
-def _rankings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def recommended_chunking(stats: DataFrame) -> DataFrame:
+    """Of chunkings (strategy, rr_10, hit_1, recall_5, chunks) the one that ranks best, with fewer chunks at a tie."""
+    order = F.struct(-F.col("rr_10"), -F.col("hit_1"), -F.col("recall_5"), F.col("chunks"), F.col("strategy"))
+    return stats.agg(F.min_by(F.struct("strategy", "rr_10", "hit_1", "recall_5", "chunks"), order).alias("b")).select("b.*")
+
+
+def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(strategy, query_id, doc_id, rank): ten results of the single lanes on whole queries, and of their fusion."""
     ranked = lanes(spark, sf_dir)
-    hybrid = top_k(merge_lanes(ranked).withColumn("rrf", r6("rrf")), ["query_id"], [F.desc("rrf"), F.col("doc_id")], 10)
-    return {"keyword": ranked.where("lane = 'keyword'").select("query_id", "doc_id", "rank"), "hybrid": hybrid.select("query_id", "doc_id", "rank")}
+    single = ranked.where("sub = 0 and rank <= 10").select(F.col("lane").alias("strategy"), "query_id", "doc_id", "rank")
+    hybrid = top_k(merge_lanes(ranked), ["query_id"], [F.desc(r6("rrf")), F.col("doc_id")], 10).select(F.lit("hybrid").alias("strategy"), "query_id", "doc_id", "rank")
+    return materialise(single.unionByName(hybrid), "strategies")
+
+
+def _per_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each strategy for the queries that have a vector: relevant are the documents of the query's label.
+
+    Labels are compared for the results alone, and counted, so that no pairs of documents are made.
+    """
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asked = query_set(spark, sf_dir).where("vec_id is not null").join(vectors, "vec_id").select("query_id", F.col("label").alias("wanted"))
+    asked = materialise(asked, "asked")
+    counts = vectors.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("n_relevant"))
+    names = spark.createDataFrame([("exact",), ("hybrid",), ("keyword",), ("vector",)], "strategy string")
+    results = strategies(spark, sf_dir).join(sized(asked), "query_id")
+    graded = vectors.join(F.broadcast(results), F.col("vec_id") == F.col("doc_id")).where("label = wanted") if results.limit(100_001).count() <= 100_000 else vectors.join(results, F.col("vec_id") == F.col("doc_id")).where("label = wanted")
+    key = F.struct("strategy", "query_id")
+    wanted = asked.join(counts, "wanted").crossJoin(F.broadcast(names)).select(key.alias("query_id"), "n_relevant")
+    return graded_metrics(graded.select(key.alias("query_id"), "rank"), wanted).withColumnRenamed("query_id", "of").select("of.*", "*").drop("of")
 
 
 def q_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ir_metrics(_rankings(spark, sf_dir)["keyword"], _judged(spark, sf_dir))
+    """The keyword lane on whole queries, held against the documents that hold the query's passage."""
+    ranked = lanes(spark, sf_dir).where("sub = 0")
+    return ir_metrics(ranked.where("lane = 'keyword'"), ranked.where("lane = 'exact'"))
 
 
 def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(q_per_query(spark, sf_dir))
 
 
+def q_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise(_per_strategy(spark, sf_dir), "strategy")
+
+
+def q_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_strategy(q_strategies(spark, sf_dir))
+
+
 def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which strategy does better for each query, by reciprocal rank, then recall, then precision."""
-    r, j = _rankings(spark, sf_dir), _judged(spark, sf_dir)
-    a, b = (ir_metrics(r[s], j).select("query_id", F.struct("rr_10", "recall_10", "precision_3").alias(s)) for s in ("keyword", "hybrid"))
-    won = F.when(F.col("hybrid") > F.col("keyword"), "hybrid").when(F.col("hybrid") < F.col("keyword"), "keyword").otherwise("tie")
-    return a.join(b, "query_id").groupBy(won.alias("winner")).agg(F.count("*").alias("queries"), r6(F.avg(F.col("hybrid.rr_10") - F.col("keyword.rr_10"))).alias("rr_delta"))
+    """For how many queries each strategy does better than the vector lane, or worse, or as well."""
+    m = materialise(_per_strategy(spark, sf_dir), "per-strategy")
+    of = m.select("strategy", "query_id", F.struct(*KEY).alias("own"))
+    base = of.where("strategy = 'vector'").select("query_id", F.col("own").alias("base"))
+    won = F.when(F.col("own") > F.col("base"), "better").when(F.col("own") < F.col("base"), "worse").otherwise("tie")
+    return of.where("strategy <> 'vector'").join(sized(base), "query_id").groupBy("strategy", won.alias("outcome")).agg(F.count("*").alias("queries"), r6(F.avg(F.col("own.rr_10") - F.col("base.rr_10"))).alias("rr_delta"))
+
+
+def q_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of all turns of conversations, by words of the given texts, most frequent first."""
+    tags = {"numeric": ("%", "0"), "order": ("of the", "and the"), "question": ("?",)}
+    t = read(spark, sf_dir, "conversations").select(F.explode(query_tags(F.col("text"), tags)).alias("tag"))
+    return t.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")
 
 
-def _metrics_sql(rankings: str, name: str = "m") -> str:
+def _metrics_sql(rankings: str, name: str = "m", judged: str = "ex", ids: str = "query_id") -> str:
+    """CTE of the metrics by ids. rankings: (ids, doc_id, rank); judged: (ids, doc_id)."""
     cols = []
     for k in KS:
         cols.append(
@@ -82,18 +151,25 @@ def _metrics_sql(rankings: str, name: str = "m") -> str:
             round(count(rank) filter (rank <= {k}) / any_value(n_relevant)::double, 6) as recall_{k}, round(case when min(rank) <= {k} then 1.0::double / min(rank) else 0 end, 6) as rr_{k},
             round(coalesce(sum(1 / log2(rank + 1)) filter (rank <= {k}), 0) / list_sum(list_transform(range(1, least(any_value(n_relevant), {k}) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg_{k}"""
         )
-    return f"""{name} as (select query_id, any_value(n_relevant) as n_relevant, min(rank) as first_rank, {", ".join(cols)} from
-        (select ex.query_id, ex.doc_id, count(*) over (partition by ex.query_id) as n_relevant, r.rank from ex left join ({rankings}) r on r.query_id = ex.query_id and r.doc_id = ex.doc_id) group by query_id)"""
+    return f"""{name} as (select {ids}, any_value(n_relevant) as n_relevant, min(rank) as first_rank, {", ".join(cols)} from
+        (select j.*, count(*) over (partition by {", ".join("j." + c.strip() for c in ids.split(","))}) as n_relevant, r.rank from (select distinct * from {judged}) j left join ({rankings}) r using ({ids}, doc_id)) group by {ids})"""
 
 
-_HYBRID = "select query_id, doc_id, row_number() over (partition by query_id order by round(rrf, 6) desc, doc_id)::int as rank from mg qualify rank <= 10"
-_KEYWORD = "select query_id, doc_id, rank from lr where lane = 'keyword'"
+_KEYWORD = "select query_id, doc_id, rank from lr where lane = 'keyword' and sub = 0"
+_STRATEGIES = f"""st_ as (select lane as strategy, query_id, doc_id, rank from lr where sub = 0 and rank <= 10 union all
+    select 'hybrid', query_id, doc_id, rank from (select query_id, doc_id, row_number() over (partition by query_id order by round(rrf, 6) desc, doc_id)::int as rank from mg) where rank <= 10),
+    ju as (select strategy, query_id, v.vec_id as doc_id from q0 join embeddings q using (vec_id) join embeddings v on v.label = q.label cross join (values ('exact'), ('hybrid'), ('keyword'), ('vector')) t(strategy)),
+    {_metrics_sql("select * from st_", "ps", "ju", "strategy, query_id")}"""
 _NAMES = [f"{m}_{k}" for k in KS for m in ("hit", "precision", "recall", "rr", "ndcg")]
-QUERIES = {"ir_metrics_per_query": q_per_query, "ir_metrics_summary": q_summary, "strategy_compare": q_compare}
+_MEANS = ", ".join(f"round(avg({c}), 4) as {c}" for c in _NAMES)
+_KEY_SQL = lambda t: "(" + ", ".join(f"{t}.{c}" for c in KEY) + ")"
+QUERIES = {"ir_metrics_per_query": q_per_query, "ir_metrics_summary": q_summary, "strategy_metrics": q_strategies, "best_strategy": q_best, "strategy_compare": q_compare, "query_tags": q_tags}
 ORACLE = {
-    "ir_metrics_per_query": f"with {LANES_SQL}, {_metrics_sql(_KEYWORD)} select * from m",
-    "ir_metrics_summary": f"with {LANES_SQL}, {_metrics_sql(_KEYWORD)} select count(*) as query_count, {', '.join(f'round(avg({c}), 4) as {c}' for c in _NAMES)} from m",
-    "strategy_compare": f"""with {LANES_SQL}, {_metrics_sql(_KEYWORD, "a")}, {_metrics_sql(_HYBRID, "b")},
-        c as (select case when (b.rr_10, b.recall_10, b.precision_3) > (a.rr_10, a.recall_10, a.precision_3) then 'hybrid' when (b.rr_10, b.recall_10, b.precision_3) < (a.rr_10, a.recall_10, a.precision_3) then 'keyword' else 'tie' end as winner, b.rr_10 - a.rr_10 as d from a join b using (query_id))
-        select winner, count(*) as queries, round(avg(d), 6) as rr_delta from c group by winner""",
+    "ir_metrics_per_query": f"with {LANES_SQL}, ej as (select query_id, doc_id from ex), {_metrics_sql(_KEYWORD, judged='ej')} select * from m",
+    "ir_metrics_summary": f"with {LANES_SQL}, ej as (select query_id, doc_id from ex), {_metrics_sql(_KEYWORD, judged='ej')} select count(*) as query_count, {_MEANS} from m",
+    "strategy_metrics": f"with {LANES_SQL}, {_STRATEGIES} select strategy, count(*) as query_count, {_MEANS} from ps group by strategy",
+    "best_strategy": f"with {LANES_SQL}, {_STRATEGIES}, b as (select strategy, {_MEANS} from ps group by strategy) select strategy, {', '.join(KEY)} from b order by {', '.join(f'{c} desc' for c in KEY)}, strategy limit 1",
+    "strategy_compare": f"""with {LANES_SQL}, {_STRATEGIES}, c as (select a.strategy, case when {_KEY_SQL("a")} > {_KEY_SQL("b")} then 'better' when {_KEY_SQL("a")} < {_KEY_SQL("b")} then 'worse' else 'tie' end as outcome, a.rr_10 - b.rr_10 as d
+        from ps a join ps b on a.query_id = b.query_id and b.strategy = 'vector' and a.strategy <> 'vector') select strategy, outcome, count(*) as queries, round(avg(d), 6) as rr_delta from c group by 1, 2""",
+    "query_tags": "with t as (select unnest([case when contains(text, '%') or contains(text, '0') then 'numeric' end, case when contains(text, 'of the') or contains(text, 'and the') then 'order' end, case when contains(text, '?') then 'question' end]) as tag from conversations) select tag, count(*) as n from t where tag is not null group by 1",
 }

@@ -1,42 +1,59 @@
-"""Fusion of lanes: ranks, reciprocal rank fusion, bonuses, diversity, relevance floor, documents."""
+"""Fusion of lanes: queries and their parts, ranks, reciprocal rank fusion, bonuses, diversity, relevance floor, documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators.sparse import BM25_SQL, benchmark_queries, bm25, exact_phrases
-from quern.plans.common import r6, read, top_k
+from quern.functions.text import index_tokens, quoted_phrases, section_title
+from quern.operators.dense import distance_to_similarity, knn
+from quern.operators.sparse import COMPACT_SQL, TITLE_SQL, TOKENS_SQL, bm25, bm25_sql, documents_index, exact_phrases
+from quern.plans.common import materialise, r6, read, sized, top_k
 
 RRF_K = 60
+#: Results of a lane, and the least similarity and keyword score of one.
+LANE, MIN_SIMILARITY, MIN_KEYWORD = 20, 0.3, 0.05
+
+
+def search_queries(queries: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, sub, query): each query (0) and, where it says something else, its first keywords (1)."""
+    words = F.array_join(F.slice(F.array_distinct(F.concat(quoted_phrases("query"), index_tokens("query"))), 1, most), " ")
+    parts = F.array(F.struct(F.lit(0).alias("sub"), F.col("query").alias("query")), F.struct(F.lit(1).alias("sub"), words.alias("query")))
+    out = queries.select("query_id", F.col("query").alias("whole"), F.explode(parts).alias("p")).where("trim(p.query) <> '' and (p.sub = 0 or p.query <> whole)")
+    return out.select("query_id", "p.sub", "p.query")
 
 
 def lane_ranks(hits: DataFrame) -> DataFrame:
-    """hits (query_id, lane, doc_id, score) with the rank within query and lane, ties by id."""
-    w = Window.partitionBy("query_id", "lane").orderBy(F.desc("score"), "doc_id")
+    """hits (query_id, sub, lane, doc_id, score) with the rank within query, part and lane, ties by id."""
+    w = Window.partitionBy("query_id", "sub", "lane").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w))
 
 
 def merge_lanes(ranked: DataFrame) -> DataFrame:
-    """One row for each query and document: the best score of each lane, the best rank of each, and the lanes."""
-    best = ranked.groupBy("query_id", "doc_id", "lane").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
+    """One row for each query and document: the best score of each kind of lane, the rrf of the best rank in each lane of each part, how many parts hit, and the lanes."""
+    best = ranked.groupBy("query_id", "doc_id", "lane", "sub").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
     of = lambda lane: F.max(F.when(F.col("lane") == lane, F.col("score")))
     return best.groupBy("query_id", "doc_id").agg(
         F.coalesce(of("vector"), F.lit(0.0)).alias("vector_score"),
         F.coalesce(of("keyword"), F.lit(0.0)).alias("keyword_score"),
         F.coalesce(of("exact"), F.lit(0.0)).alias("exact_score"),
         F.array_sort(F.collect_set("lane")).alias("lanes"),
-        F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"),
+        F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("rrf"),
         F.min("rank").alias("best_rank"),
+        F.countDistinct("sub").alias("hits"),
     )
 
 
-def fuse(merged: DataFrame, limit: int = 30) -> DataFrame:
-    """The rrf over the query's largest, plus .02 for a second lane and .03 for an exact hit, at most 1; cut at limit."""
-    share = F.col("rrf") / F.max("rrf").over(Window.partitionBy("query_id"))
-    bonus = F.when(F.size("lanes") > 1, 0.02).otherwise(0.0) + F.when(F.array_contains("lanes", "exact"), 0.03).otherwise(0.0)
-    scored = merged.withColumn("score", r6(F.least(F.lit(1.0), share + bonus)))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.desc(F.size("lanes")), F.col("doc_id")], limit)
+def fuse(merged: DataFrame, limit: int = 30, rrf: bool = True) -> DataFrame:
+    """The rrf over the query's largest, or else the best score of any lane, and bonuses, at most 1; cut at limit.
+
+    Bonuses: .02 for a second lane, .03 for an exact hit, .02 for each further part of the query that hits, up to .08.
+    """
+    base = F.col("rrf") / F.max("rrf").over(Window.partitionBy("query_id")) if rrf else F.greatest("vector_score", "keyword_score", "exact_score")
+    exact = F.array_contains("lanes", "exact")
+    bonus = F.when(F.size("lanes") > 1, 0.02).otherwise(0.0) + F.when(exact, 0.03).otherwise(0.0) + F.least(F.lit(0.08), 0.02 * (F.col("hits") - 1))
+    scored = merged.withColumn("score", r6(F.least(F.lit(1.0), base + bonus)))
+    return top_k(scored, ["query_id"], [F.desc("score"), F.desc("hits"), F.desc(F.size("lanes")), F.desc(exact), F.col("doc_id")], limit)
 
 
 def diversify(ranked: DataFrame, key: str, k: int = 10) -> DataFrame:
@@ -46,17 +63,24 @@ def diversify(ranked: DataFrame, key: str, k: int = 10) -> DataFrame:
     return top_k(passes, ["query_id"], [F.col("pass"), F.desc("score"), F.col("doc_id")], k, "position")
 
 
+def strong_support(exact: Column, hits: Column, relevance: Column, semantic: Column, signal: Column) -> Column:
+    """An exact hit, two parts of the query, or enough relevance, semantic score or retrieval signal."""
+    return exact | (hits >= 2) | (relevance >= 0.28) | F.coalesce(semantic >= 0.55, F.lit(False)) | (signal >= 0.28)
+
+
 def relevance_floor(df: DataFrame, least: float = 0.45, ratio: float = 0.75, gap: float = 0.18) -> DataFrame:
-    """Rows at or above max(least, ratio x top, top - gap) of their query; those with strong support if there are any, else the first.
+    """Rows at or above max(least, ratio x top, top - gap) of their query; those with strong support if there are any.
 
-    df: query_id, doc_id, score, strong (boolean).
+    df: query_id, doc_id, score, strong (boolean, or null where nothing is known about support). If no
+    row is strong, all stay where nothing is known about any of them, else the first.
     """
     by = Window.partitionBy("query_id")
     top = F.max("score").over(by)
     kept = df.withColumn("floor", F.greatest(F.lit(least), ratio * top, top - gap)).where("score >= floor")
-    any_strong = F.max("strong").over(by)
-    first = F.row_number().over(by.orderBy(F.desc("score"), "doc_id"))
-    return kept.withColumn("any_strong", any_strong).withColumn("first", first).where(F.when(F.col("any_strong"), F.col("strong")).otherwise(F.col("first") == 1)).drop("any_strong", "first")
+    kept = kept.withColumn("any_strong", F.coalesce(F.max("strong").over(by), F.lit(False))).withColumn("known", F.count("strong").over(by) > 0)
+    kept = kept.withColumn("first", F.row_number().over(by.orderBy(F.desc("score"), "doc_id")))
+    stays = F.when(F.col("any_strong"), F.coalesce("strong", F.lit(False))).otherwise(~F.col("known") | (F.col("first") == 1))
+    return kept.where(stays).drop("any_strong", "known", "first")
 
 
 def collapse_to_documents(chunks: DataFrame, key: str, k: int = 10) -> DataFrame:
@@ -65,30 +89,62 @@ def collapse_to_documents(chunks: DataFrame, key: str, k: int = 10) -> DataFrame
     return top_k(one, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
+def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query, vec_id): the benchmark's items, and the titles of the documents whose id 100 divides, which may have a vector."""
+    items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("bigint").alias("vec_id"))
+    asking = read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")), section_title("text"), "doc_id")
+    return items.union(asking).where("query is not null")
+
+
 def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keyword lane (20 best) and the exact lane of the benchmark queries."""
-    docs, queries = read(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir)
-    keyword = bm25(queries, docs, k=20).select("query_id", F.lit("keyword").alias("lane"), "doc_id", "score")
-    exact = exact_phrases(queries.withColumnRenamed("query", "phrase"), docs).select("query_id", F.lit("exact").alias("lane"), "doc_id", "score")
-    return lane_ranks(keyword.union(exact))
+    """(query_id, sub, lane, doc_id, score, rank) of the query set, as a scratch table.
+
+    The keyword lane of each part of a query, the exact lane of the whole one, and the vector lane
+    where the query has a vector; what is not similar enough is dropped without ranking anew.
+    """
+    docs, queries = read(spark, sf_dir, "documents"), materialise(query_set(spark, sf_dir), "queries")
+    parts = search_queries(queries).select(F.concat_ws("#", "query_id", "sub").alias("query_id"), "query")
+    of = lambda i: F.split_part("query_id", F.lit("#"), F.lit(i))
+    found = bm25(parts, documents_index(spark, sf_dir), LANE, MIN_KEYWORD)
+    keyword = found.select(of(1).alias("query_id"), of(2).cast("int").alias("sub"), F.lit("keyword").alias("lane"), "doc_id", "score", "rank")
+    held = exact_phrases(queries.withColumnRenamed("query", "phrase"), docs).withColumn("sub", F.lit(0)).withColumn("lane", F.lit("exact"))
+    exact = lane_ranks(held.select("query_id", "sub", "lane", "doc_id", "score"))
+    vectors = read(spark, sf_dir, "embeddings")
+    asked = vectors.join(sized(queries.where("vec_id is not null").select("query_id", "vec_id")), "vec_id").select("query_id", F.col("embedding").alias("vec"))
+    near = knn(asked, vectors, LANE).where(F.col("similarity") >= MIN_SIMILARITY)
+    vector = near.select("query_id", F.lit(0).alias("sub"), F.lit("vector").alias("lane"), F.col("vec_id").alias("doc_id"), r6(distance_to_similarity(1 - F.col("similarity"))).alias("score"), "rank")
+    return materialise(keyword.unionByName(exact).unionByName(vector), "lanes")
+
+
+def fused_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse(merge_lanes(lanes(spark, sf_dir)))
 
 
 def q_lane_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes(spark, sf_dir)
 
 
+def q_search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_queries(query_set(spark, sf_dir))
+
+
 def q_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = merge_lanes(lanes(spark, sf_dir))
     return top_k(m.withColumn("rrf", r6("rrf")), ["query_id"], [F.desc("rrf"), F.desc(F.size("lanes")), F.col("best_rank"), F.col("doc_id")], 10).select("query_id", "doc_id", "rrf", "lanes", "best_rank", "rank")
 
 
 def q_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuse(merge_lanes(lanes(spark, sf_dir))).select("query_id", "doc_id", "score", "keyword_score", "exact_score", "lanes", "rank")
+    return fused_results(spark, sf_dir).select("query_id", "doc_id", "score", "vector_score", "keyword_score", "exact_score", "lanes", "hits", "rank")
+
+
+def q_fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion by the best score of any lane."""
+    return fuse(merge_lanes(lanes(spark, sf_dir)), rrf=False).select("query_id", "doc_id", "score", "rank")
 
 
 def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = fuse(merge_lanes(lanes(spark, sf_dir)))
-    return fused.join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    fused = materialise(fused_results(spark, sf_dir), "fused")
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(sized(fused), "doc_id")
 
 
 def q_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,47 +152,57 @@ def q_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = fuse(merge_lanes(lanes(spark, sf_dir))).withColumn("strong", F.array_contains("lanes", "exact"))
-    return relevance_floor(fused.select("query_id", "doc_id", "score", "strong")).select("query_id", "doc_id", "score", r6("floor").alias("floor"), "strong")
+    """The floor over fused results, which know of exact hits and of parts of the query."""
+    fused = fused_results(spark, sf_dir)
+    strong = strong_support(F.array_contains("lanes", "exact"), F.col("hits"), F.lit(0.0), F.lit(None).cast("double"), F.lit(0.0))
+    return relevance_floor(fused.select("query_id", "doc_id", "score", strong.alias("strong"))).select("query_id", "doc_id", "score", r6("floor").alias("floor"), "strong")
 
 
 def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_to_documents(_sourced(spark, sf_dir).drop("rank"), "source")
 
 
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lanes, fusion, diversity by source and the relevance floor, for all benchmark queries."""
-    spread = diversify(_sourced(spark, sf_dir), "source").withColumn("strong", F.array_contains("lanes", "exact"))
-    return relevance_floor(spread).select("query_id", "doc_id", "source", "score", "position", "strong")
-
-
-EXACT_SQL = r"ex as (select item_id as query_id, doc_id, 0.98::double as score from benchmark b join documents d on contains(regexp_replace(lower(d.text), '\s+', '', 'g'), regexp_replace(lower(b.text), '\s+', '', 'g')))"
-LANES_SQL = f"""{BM25_SQL.replace("qualify rank <= 10", "qualify rank <= 20")}, {EXACT_SQL},
-    ln as (select query_id, 'keyword' as lane, doc_id, round(score_raw / max(score_raw) over (partition by query_id), 6) as score from bm union all select query_id, 'exact', doc_id, score from ex),
-    lr as (select *, row_number() over (partition by query_id, lane order by score desc, doc_id)::int as rank from ln),
-    mg as (select query_id, doc_id, max(case when lane = 'keyword' then score else 0 end)::double as keyword_score, max(case when lane = 'exact' then score else 0 end)::double as exact_score,
-        list_sort(list(distinct lane)) as lanes, sum(1.0::double / (60 + rank)) as rrf, min(rank) as best_rank from lr group by all),
-    fs as (select *, round(least(1.0, rrf / max(rrf) over (partition by query_id) + case when len(lanes) > 1 then 0.02 else 0 end + case when list_contains(lanes, 'exact') then 0.03 else 0 end), 6) as score from mg),
-    fu as (select *, row_number() over (partition by query_id order by score desc, len(lanes) desc, doc_id)::int as rank from fs qualify rank <= 30),
+_WORDS = TOKENS_SQL.format("query")
+LANES_SQL = f"""
+    q0 as (select * from (select 'b' || item_id as query_id, text as query, null::bigint as vec_id from benchmark union all
+        select 'd' || doc_id, {TITLE_SQL.format("text")}, doc_id from documents where doc_id % 100 = 0) where query is not null),
+    qk as (select query_id, query, {_WORDS} as w from q0),
+    sq as (select query_id, 0 as sub, query from q0 where trim(query) <> '' union all select query_id, 1, ws from
+        (select *, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i])[1:10], ' ') as ws from qk) where trim(ws) <> '' and ws <> query),
+    {bm25_sql("select query_id || '#' || sub as query_id, query from sq", LANE)},
+    km as (select split_part(query_id, '#', 1) as query_id, split_part(query_id, '#', 2)::int as sub, 'keyword' as lane, doc_id, round(score_raw / max(score_raw) over (partition by query_id), 6) as score, rank::int as rank from bm),
+    ex as (select query_id, doc_id, 0.98::double as score from q0 join documents d on {COMPACT_SQL.format("query")} <> '' and contains({COMPACT_SQL.format("d.text")}, {COMPACT_SQL.format("query")})),
+    vn as (select 'd' || q.vec_id as query_id, v.vec_id as doc_id, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 6) as s from embeddings q join embeddings v on q.vec_id % 100 = 0 where 'd' || q.vec_id in (select query_id from q0)),
+    vr as (select *, row_number() over (partition by query_id order by s desc, doc_id)::int as rank from vn qualify rank <= {LANE}),
+    lr as materialized (select * from km where score >= {MIN_KEYWORD} union all select query_id, 0, 'exact', doc_id, score, row_number() over (partition by query_id order by score desc, doc_id)::int from ex
+        union all select query_id, 0, 'vector', doc_id, round(greatest(0.0, least(1.0, 1 - (1 - s))), 6), rank from vr where s >= {MIN_SIMILARITY}),
+    mg as (select query_id, doc_id, max(case when lane = 'vector' then score else 0 end)::double as vector_score, max(case when lane = 'keyword' then score else 0 end)::double as keyword_score,
+        max(case when lane = 'exact' then score else 0 end)::double as exact_score, list_sort(list(distinct lane)) as lanes, round(sum(1.0::double / (60 + rank)), 12) as rrf, min(rank) as best_rank, count(distinct sub) as hits from lr group by query_id, doc_id),
+    bo as (select *, case when len(lanes) > 1 then 0.02::double else 0 end + case when list_contains(lanes, 'exact') then 0.03::double else 0 end + least(0.08::double, 0.02::double * (hits - 1)) as bonus from mg),
+    fs as (select *, round(least(1.0, rrf / max(rrf) over (partition by query_id) + bonus), 6) as score from bo),
+    fu as (select *, row_number() over (partition by query_id order by score desc, hits desc, len(lanes) desc, list_contains(lanes, 'exact') desc, doc_id)::int as rank from fs qualify rank <= 30),
     so as (select fu.*, source from fu join documents using (doc_id)),
     dv as (select *, least(3, row_number() over (partition by query_id, source order by score desc, doc_id))::int as pass from so),
     dp as (select *, row_number() over (partition by query_id order by pass, score desc, doc_id)::int as position from dv qualify position <= 10)"""
+_SUPPORTED = "list_contains(lanes, 'exact') or hits >= 2"
 _FLOOR = "greatest(0.45, 0.75 * max(score) over (partition by query_id), max(score) over (partition by query_id) - 0.18)"
 
 
-def _floor_sql(table: str, columns: str) -> str:
-    return f"""a as (select *, list_contains(lanes, 'exact') as strong, {_FLOOR} as floor from {table}), b as (select *, bool_or(strong) over (partition by query_id) as any_strong,
-        row_number() over (partition by query_id order by score desc, doc_id) as first from a where score >= floor)
-        select {columns} from b where case when any_strong then strong else first = 1 end"""
+def floor_sql(table: str, strong: str, columns: str, name: str = "") -> str:
+    """CTEs and the final select of the floor over table."""
+    return f"""fa{name} as (select *, {strong} as strong, {_FLOOR} as floor from {table}), fb{name} as (select *, bool_or(strong) over (partition by query_id) as any_strong,
+        row_number() over (partition by query_id order by score desc, doc_id) as first from fa{name} where score >= floor)
+        select {columns} from fb{name} where case when any_strong then strong else first = 1 end"""
 
 
-QUERIES = {"lane_ranks": q_lane_ranks, "rrf_fusion": q_rrf, "fused_bonus_rank": q_fused, "diversify_top10": q_diversify, "relevance_floor": q_floor, "collapse_chunks": q_collapse, "hybrid_search": hybrid_search}
+QUERIES = {"search_queries": q_search_queries, "lane_ranks": q_lane_ranks, "rrf_fusion": q_rrf, "fused_bonus_rank": q_fused, "fused_best_score": q_fused_scores, "diversify_top10": q_diversify, "relevance_floor": q_floor, "collapse_chunks": q_collapse}
 ORACLE = {
-    "lane_ranks": f"with {LANES_SQL} select query_id, lane, doc_id, score, rank from lr",
+    "search_queries": f"with {LANES_SQL} select * from sq",
+    "lane_ranks": f"with {LANES_SQL} select query_id, sub, lane, doc_id, score, rank from lr",
     "rrf_fusion": f"with {LANES_SQL}, o as (select query_id, doc_id, round(rrf, 6) as rrf, lanes, best_rank from mg) select *, row_number() over (partition by query_id order by rrf desc, len(lanes) desc, best_rank, doc_id)::int as rank from o qualify rank <= 10",
-    "fused_bonus_rank": f"with {LANES_SQL} select query_id, doc_id, score, keyword_score, exact_score, lanes, rank from fu",
+    "fused_bonus_rank": f"with {LANES_SQL} select query_id, doc_id, score, vector_score, keyword_score, exact_score, lanes, hits, rank from fu",
+    "fused_best_score": f"with {LANES_SQL}, o as (select *, round(least(1.0, greatest(vector_score, keyword_score, exact_score) + bonus), 6) as score from bo) select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, hits desc, len(lanes) desc, list_contains(lanes, 'exact') desc, doc_id)::int as rank from o qualify rank <= 30",
     "diversify_top10": f"with {LANES_SQL} select query_id, doc_id, source, score, pass, position from dp",
-    "relevance_floor": f"with {LANES_SQL}, {_floor_sql('fu', 'query_id, doc_id, score, round(floor, 6) as floor, strong')}",
+    "relevance_floor": f"with {LANES_SQL}, {floor_sql('fu', _SUPPORTED, 'query_id, doc_id, score, round(floor, 6) as floor, strong')}",
     "collapse_chunks": f"with {LANES_SQL}, o as (select query_id, source, max(score) as score, first(doc_id order by score desc, doc_id) as doc_id from so group by all) select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from o qualify rank <= 10",
-    "hybrid_search": f"with {LANES_SQL}, {_floor_sql('dp', 'query_id, doc_id, source, score, position, strong')}",
 }

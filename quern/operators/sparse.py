@@ -1,20 +1,25 @@
-"""The sparse lane: an inverted index as tables, BM25, and exact phrases."""
+"""The sparse lane: an inverted index as tables, BM25 with phrase boosts, and exact phrases."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import compact, index_tokens
-from quern.plans.common import r6, read, sized, top_k
+from quern.functions.text import STOPWORDS, compact, index_tokens, quoted_phrases, section_title
+from quern.plans.common import exists, materialise, r6, read, shared_dir, sized, table_version, top_k
 
 K1, B = 1.5, 0.75
+#: Parts of the postings by the hash of their token; a search reads only those of its tokens.
+SHARDS = 64
 #: Characters of a gram, and grams of a window; a shorter phrase is held against all texts.
 GRAM, WINDOW = 6, 12
+# What a query in the source text, a quoted phrase in the content, and one in the source text add.
+IN_SOURCE, PHRASE_IN_CONTENT, PHRASE_IN_SOURCE = 0.20, 0.25, 0.15
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,9 +32,51 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "dl", F.explode("tokens").alias("token")).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: documents and their average length."""
-    return docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+@dataclass(frozen=True)
+class Index:
+    """postings: (token, doc_id, tf, dl, shard); terms: (token, df, cf); stats: one row (n, avgdl, min_dl, max_dl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def _shard(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(SHARDS)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Builds the index of docs under path, from one pass over the texts; what is there already is replaced.
+
+    Documents are counted within themselves, so that their postings need no shuffle but the one that
+    gathers each shard; terms and statistics are read from the postings.
+    """
+    spark = docs.sparkSession
+    counted = tokenised(docs, id_col, text_col).select("doc_id", "dl", F.explode("tokens").alias("token"))
+    tf = counted.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")).withColumn("shard", _shard(F.col("token")))
+    tf.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    p = spark.read.parquet(f"{path}/postings")
+    p.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{path}/terms")
+    lengths = p.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl")).write.mode("overwrite").parquet(f"{path}/stats")
+    spark.createDataFrame([(True,)], "done boolean").write.mode("overwrite").parquet(f"{path}/done")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+
+
+def index_of(docs: DataFrame, scope: str = "", id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index of a table of files, built once for its present content and kept in the shared folder.
+
+    A scope names what docs was restricted to, so that each scope has an index of its own. When the
+    table's files change, so does the index's name, and a new one is built.
+    """
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/quern/index-{table_version(docs)}-{text_col}-{scope}"
+    if not exists(spark, f"{path}/done/_SUCCESS"):
+        write_index(docs, path, id_col, text_col)
+    return read_index(spark, path)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -37,27 +84,48 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(index_tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
-    """The k best documents of each query: query_id, doc_id, score_raw, score, matched_terms, rank.
-
-    score is score_raw over the query's largest. Ties go to the smaller id. Only tokens that some
-    query has leave the documents' rows, and they are counted before they are shuffled.
-    """
-    terms = query_terms(queries)
-    wanted = sized(terms.select("token").distinct())
-    tokens = tokenised(docs)
-    held = tokens.select("doc_id", "dl", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = held.groupBy("token").agg(F.count("*").alias("df"))
-    weights = terms.join(df, "token").crossJoin(F.broadcast(corpus_stats(tokens)))
+def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
+    """(query_id, doc_id, bm25, matched_terms) for every document that has a token of the query."""
+    terms = materialise(query_terms(queries).withColumn("shard", _shard(F.col("token"))), "query-terms")
+    shards = [r.shard for r in terms.select("shard").distinct().collect()]  # SHARDS at most
+    df = index.terms.join(sized(terms.select("token").distinct()), "token", "left_semi")
+    weights = terms.join(df, "token").crossJoin(F.broadcast(index.stats))
     weights = weights.select("query_id", "token", "avgdl", (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
     gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = held.join(weights, "token").groupBy("query_id", "doc_id").agg(r6(F.sum(gain)).alias("score_raw"), F.array_sort(F.collect_set("token")).alias("matched_terms"))
+    held = index.postings.where(F.col("shard").isin(shards)).drop("shard")
+    return held.join(sized(weights), "token").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("bm25"), F.array_sort(F.collect_set("token")).alias("matched_terms"))
+
+
+def phrase_boost(query: Column, phrases: Column, content: Column, source: Column) -> Column:
+    """What phrases add to a score: .20 if the whole query stands in the source text; and .25 or .15 for the first quoted phrase that the content or else the source text has.
+
+    All of them are compact forms; phrases is an array.
+    """
+    hit = lambda p: F.when(F.contains(content, p), PHRASE_IN_CONTENT).when(F.contains(source, p), PHRASE_IN_SOURCE)
+    first = F.get(F.filter(F.transform(phrases, hit), lambda x: x.isNotNull()), 0)
+    return F.when((query != "") & F.contains(source, query), IN_SOURCE).otherwise(0.0) + F.coalesce(first, F.lit(0.0))
+
+
+def ranked_scores(scored: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
+    """query_id, doc_id, score_raw, score, matched_terms, rank: score is score_raw over the query's largest, ties go to the smaller id."""
     best = top_k(scored, ["query_id"], [F.desc("score_raw"), F.col("doc_id")], k)
-    top = best.groupBy("query_id").agg(F.max("score_raw").alias("top"))
-    out = best.join(top, "query_id").withColumn("score", r6(F.col("score_raw") / F.col("top")))
+    out = best.withColumn("score", r6(F.col("score_raw") / F.max("score_raw").over(Window.partitionBy("query_id"))))
     return out.where(F.col("score") >= min_score).select("query_id", "doc_id", "score_raw", "score", "matched_terms", "rank")
 
 
+def bm25(queries: DataFrame, index: Index, k: int = 10, min_score: float = 0.0) -> DataFrame:
+    """The k best documents of each query by BM25 alone."""
+    return ranked_scores(bm25_scores(queries, index).withColumn("score_raw", r6("bm25")), k, min_score)
+
+
+def bm25_boosted(queries: DataFrame, index: Index, texts: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
+    """The k best documents of each query by BM25 and phrase boosts. texts: (doc_id, content, source), compact."""
+    asked = queries.select("query_id", compact("query").alias("whole"), F.transform(quoted_phrases("query"), compact).alias("phrases"))
+    scored = bm25_scores(queries, index).join(texts, "doc_id").join(sized(asked), "query_id")
+    boost = phrase_boost(F.col("whole"), F.col("phrases"), F.col("content"), F.col("source"))
+    return ranked_scores(scored.select("query_id", "doc_id", r6(F.col("bm25") + boost).alias("score_raw"), "matched_terms"), k, min_score)
+
+
 def minimisers(text: str) -> np.ndarray:
     """The smallest hash of each window of grams; a text that holds another one has all of the other's."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -89,68 +157,122 @@ def _grams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return small.mapInArrow(rows, f"id {small.schema['id'].dataType.simpleString()}, gram bigint")
 
 
-def exact_phrases(phrases: DataFrame, docs: DataFrame, content_score: float = 0.98) -> DataFrame:
-    """(query_id, doc_id, score) of documents that hold a query's phrase, white space and case aside.
+def phrase_hits(phrases: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(query_id, phrase, doc_id): documents that hold a query's phrase, white space and case aside.
 
     phrases: (query_id, phrase). A document that holds a phrase has all minimisers of its characters,
     so that candidates are the documents with the phrase's rarest one. Phrases that are too short for
     a window are held against all documents.
     """
     given = phrases.select("query_id", compact("phrase").alias("needle")).where("needle <> ''").distinct()
-    texts = docs.select("doc_id", compact("text").alias("hay"))
+    texts = docs.select("doc_id", compact(text_col).alias("hay"))
     long = F.length("needle") >= GRAM + WINDOW - 1
     needles = given.where(long).select("needle").distinct()
-    wanted = _grams(needles.select("needle", F.col("needle").alias("t")), "needle", "t").withColumnRenamed("id", "needle")
+    wanted = materialise(_grams(needles.select("needle", F.col("needle").alias("t")), "needle", "t").withColumnRenamed("id", "needle"), "phrase-grams")
     found = _grams(texts, "doc_id", "hay").join(sized(wanted.select("gram").distinct()), "gram", "left_semi").withColumnRenamed("id", "doc_id")
+    found = materialise(found, "text-grams")  # the grams of phrases only; read twice
     df = found.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = wanted.join(df, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
     candidates = found.join(sized(rarest), "gram").select("needle", F.col("doc_id").alias("id")).distinct()
     holds = F.contains("hay", F.col("needle"))
-    held = candidates.join(texts, F.col("id").eqNullSafe(F.col("doc_id"))).where(holds).select("needle", "doc_id")
-    short = given.where(~long).select("needle").distinct()
-    held = held.union(texts.join(sized(short), holds).select("needle", "doc_id"))
-    return given.join(held, "needle").select("query_id", "doc_id").distinct().withColumn("score", F.lit(content_score))
+    held = texts.join(sized(candidates), F.col("id").eqNullSafe(F.col("doc_id"))).where(holds).select("needle", "doc_id")
+    short = materialise(given.where(~long).select("needle").distinct(), "short-phrases")
+    if short.limit(1).count():
+        held = held.union(texts.join(sized(short), holds).select("needle", "doc_id"))
+    return given.join(held, "needle").select("query_id", F.col("needle").alias("phrase"), "doc_id").distinct()
+
+
+def exact_phrases(phrases: DataFrame, docs: DataFrame, content_score: float = 0.98) -> DataFrame:
+    """(query_id, doc_id, score) of documents that hold a query's phrase."""
+    return phrase_hits(phrases, docs).select("query_id", "doc_id").distinct().withColumn("score", F.lit(content_score))
+
+
+def exact_search(phrases: DataFrame, docs: DataFrame, source: Column, content_score: float = 0.98, source_score: float = 0.35) -> DataFrame:
+    """(query_id, doc_id, score, phrases, in_content): phrases in the content count .98, those in the source text alone .35.
+
+    A document's score is that of its best phrase; phrases are all that it holds, in order.
+    """
+    rows = docs.select("doc_id", "text", source.alias("source_text"))
+    hits = phrase_hits(phrases, rows).withColumn("score", F.lit(content_score)).union(phrase_hits(phrases, rows, "source_text").withColumn("score", F.lit(source_score)))
+    return hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("phrase")).alias("phrases")).withColumn("in_content", F.col("score") == content_score)
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def documents_index(spark: SparkSession, sf_dir: str) -> Index:
+    return index_of(read(spark, sf_dir, "documents"))
+
+
 def q_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(benchmark_queries(spark, sf_dir), read(spark, sf_dir, "documents"))
+    return bm25(benchmark_queries(spark, sf_dir), documents_index(spark, sf_dir))
+
+
+def q_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries, their first half quoted; the source text of a document is its section title."""
+    half = F.expr("substring(query, 1, cast(length(query) / 2 as int))")
+    asked = benchmark_queries(spark, sf_dir).select("query_id", F.concat(F.lit('"'), half, F.lit('" '), "query").alias("query"))
+    texts = read(spark, sf_dir, "documents").select("doc_id", compact("text").alias("content"), compact(section_title("text")).alias("source"))
+    return bm25_boosted(asked, documents_index(spark, sf_dir), texts, min_score=0.05)
 
 
 def q_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(tokenised(read(spark, sf_dir, "documents")))
-    return p.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return documents_index(spark, sf_dir).terms
 
 
 def q_doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokenised(read(spark, sf_dir, "documents"))
-    return t.agg(F.count("*").alias("n"), r6(F.avg("dl")).alias("avgdl"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl"))
+    return documents_index(spark, sf_dir).stats.select("n", r6("avgdl").alias("avgdl"), "min_dl", "max_dl")
 
 
 def q_exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_phrases(benchmark_queries(spark, sf_dir).withColumnRenamed("query", "phrase"), read(spark, sf_dir, "documents"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in ("a an and are as at be by for from in is of on or that the this to was were with").split())
+def q_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four words of each benchmark item as phrases, in texts and section titles."""
+    four = F.array_join(F.slice(F.split("query", " "), 1, 4), " ")
+    asked = benchmark_queries(spark, sf_dir).select("query_id", four.alias("phrase"))
+    found = exact_search(asked, read(spark, sf_dir, "documents"), section_title("text"))
+    return found.select("query_id", "doc_id", "score", F.array_join("phrases", "|").alias("phrases"), "in_content")
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 TOKENS_SQL = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda x: length(x) > 1 and x not in ({_STOP}))"
-BM25_SQL = f"""
+COMPACT_SQL = r"regexp_replace(lower({}), '\s+', '', 'g')"
+TITLE_SQL = r"substring(trim(regexp_replace(regexp_extract({}, '^\s*([^\n]+)', 1), '^[# ]+', '')), 1, 120)"
+
+
+def bm25_sql(queries: str, k: int = 10, add: str = "0.0") -> str:
+    """CTEs up to bm: the k best of queries (query_id, query), with what a boost adds."""
+    return f"""
     d as (select doc_id, {TOKENS_SQL.format("text")} as tk from documents),
     dl as (select doc_id, len(tk) as dl from d where len(tk) > 0),
     st as (select count(*) as n, avg(dl) as avgdl from dl),
     tf as (select doc_id, token, count(*) as tf from (select doc_id, unnest(tk) as token from d) group by all),
     df as (select token, count(*) as df from tf group by all),
-    q as (select query_id, token, count(*) as qtf from (select item_id as query_id, unnest({TOKENS_SQL.format("text")}) as token from benchmark) group by all),
-    sc as (select query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score_raw, list_sort(list(distinct q.token)) as matched_terms
+    qs as ({queries}),
+    q as (select query_id, token, count(*) as qtf from (select query_id, unnest({TOKENS_SQL.format("query")}) as token from qs) group by all),
+    sb as (select query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as bm, list_sort(list(distinct q.token)) as matched_terms
         from q join df using (token) join tf using (token) join dl using (doc_id) cross join st group by query_id, doc_id),
-    bm as (select *, row_number() over (partition by query_id order by score_raw desc, doc_id) as rank from sc qualify rank <= 10)"""
-QUERIES = {"bm25_top10": q_bm25, "postings_df": q_postings, "doc_length_stats": q_doc_lengths, "exact_phrase": q_exact_phrases}
+    sc as (select query_id, doc_id, round(bm + {add}, 6) as score_raw, matched_terms from sb join qs using (query_id) join documents dd using (doc_id)),
+    bm as (select *, row_number() over (partition by query_id order by score_raw desc, doc_id) as rank from sc qualify rank <= {k})"""
+
+
+BM25_SQL = bm25_sql("select item_id as query_id, text as query from benchmark")
+_FOUND = "select query_id, doc_id, score_raw, round(score_raw / max(score_raw) over (partition by query_id), 6) as score, matched_terms, rank::int as rank from bm"
+_HALF = COMPACT_SQL.format("regexp_extract(query, '[\"“](.{2,}?)[\"”]', 1)")
+_BOOST = f"""(case when contains({COMPACT_SQL.format(TITLE_SQL.format("dd.text"))}, {COMPACT_SQL.format("query")}) then 0.2 else 0 end
+    + case when {_HALF} = '' then 0 when contains({COMPACT_SQL.format("dd.text")}, {_HALF}) then 0.25 when contains({COMPACT_SQL.format(TITLE_SQL.format("dd.text"))}, {_HALF}) then 0.15 else 0 end)"""
+QUERIES = {"bm25_top10": q_bm25, "bm25_phrase_boost": q_boosted, "postings_df": q_postings, "doc_length_stats": q_doc_lengths, "exact_phrase": q_exact_phrases, "exact_search": q_exact_search}
 ORACLE = {
-    "bm25_top10": f"with {BM25_SQL} select query_id, doc_id, score_raw, round(score_raw / max(score_raw) over (partition by query_id), 6) as score, matched_terms, rank::int as rank from bm",
+    "bm25_top10": f"with {BM25_SQL} {_FOUND}",
+    "bm25_phrase_boost": f"""with {bm25_sql("select item_id as query_id, '\"' || text[1 : length(text) // 2] || '\" ' || text as query from benchmark", add=_BOOST)}, ok as ({_FOUND}) select * from ok where score >= 0.05""",
     "postings_df": f"with t as (select doc_id, unnest({TOKENS_SQL.format('text')}) as token from documents), p as (select doc_id, token, count(*) as tf from t group by all) select token, count(*) as df, sum(tf)::bigint as cf from p group by token",
     "doc_length_stats": f"with t as (select len({TOKENS_SQL.format('text')}) as dl from documents) select count(*) as n, round(avg(dl), 6) as avgdl, min(dl)::int as min_dl, max(dl)::int as max_dl from t where dl > 0",
-    "exact_phrase": r"""select item_id as query_id, doc_id, 0.98::double as score from benchmark b join documents d
-        on contains(regexp_replace(lower(d.text), '\s+', '', 'g'), regexp_replace(lower(b.text), '\s+', '', 'g'))""",
+    "exact_phrase": f"""select item_id as query_id, doc_id, 0.98::double as score from benchmark b join documents d
+        on contains({COMPACT_SQL.format("d.text")}, {COMPACT_SQL.format("b.text")})""",
+    "exact_search": f"""with p as (select item_id as query_id, {COMPACT_SQL.format("array_to_string(string_split(text, ' ')[1:4], ' ')")} as phrase from benchmark),
+        h as (select doc_id, {COMPACT_SQL.format("text")} as c, {COMPACT_SQL.format(TITLE_SQL.format("text"))} as s from documents)
+        select query_id, doc_id, case when contains(c, phrase) then 0.98 else 0.35 end::double as score, phrase as phrases, contains(c, phrase) as in_content from p join h on contains(c, phrase) or contains(s, phrase)""",
 }
