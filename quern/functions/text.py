@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,12 +14,29 @@ STOPWORDS = (
     "of", "on", "or", "that", "the", "this", "to", "was", "were", "with",
 )
 _HAN = "一-鿿"
+#: Characters that compatibility folding surely leaves alone: Latin ones and Han.
+_FOLDED = r"[^\x00-\x9f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃ一-鿿]"
 
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _fold(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column | str) -> Column:
+    """The text with compatibility forms folded (full width, ligatures, composed accents).
+
+    Spark has no function for it. Only texts with characters that may change go to Python, in
+    batches; Latin and Han texts pass by.
+    """
+    t = _c(text)
+    other = t.rlike(_FOLDED)
+    return F.when(other, F.pandas_udf(_fold, "string")(F.when(other, t))).otherwise(t)
+
+
 def _pairs_of(run: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
 
@@ -53,6 +73,19 @@ def normalised(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(text)), r"(?U)[\s\W_]+", " "))
 
 
+# The pairs of quotation marks round a phrase.
+QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("《", "》"), ("「", "」"))
+
+
+def marked_phrases(text: Column | str) -> Column:
+    """Phrases of two or more characters between any quotation marks, without repeats, those of one pair after the other.
+
+    Marks are paired by their places, so that two apostrophes make a phrase of what lies between them.
+    """
+    found = [F.transform(F.regexp_extract_all(_c(text), F.lit(f"(?s){a}(.*?){b}"), F.lit(1)), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")) for a, b in QUOTES]
+    return F.array_distinct(F.filter(F.concat(*found), lambda x: F.length(x) >= 2))
+
+
 def quoted_phrases(text: Column | str) -> Column:
     """Phrases of two or more characters in double or corner quotes, without repeats."""
     t = _c(text)
@@ -61,22 +94,108 @@ def quoted_phrases(text: Column | str) -> Column:
     return F.array_distinct(F.concat(straight, corner))
 
 
-def clean_prose(text: Column | str) -> Column:
-    """Marks of no width dropped, line ends and blanks unified, blank runs and repeated lines collapsed.
+def bind(x: Column, of) -> Column:
+    """of(x), with x computed once however often it is used."""
+    return F.get(F.transform(F.array(x), of), 0)
 
-    Compatibility forms aren't folded: Spark has no function for it.
-    """
-    t = F.regexp_replace(_c(text), "[﻿­​-‏⁠]", "")
+
+def _bare(text: Column) -> Column:
+    """Without marks of no width and control characters, with one kind of line end and of blank."""
+    t = F.regexp_replace(text, "[\ufeff\u00ad\u200b-\u200f\u2060]", "")
     t = F.regexp_replace(t, "\r\n?", "\n")
-    t = F.regexp_replace(t, "[ 　]", " ")
-    t = F.regexp_replace(t, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
-    return F.regexp_replace(F.trim(F.regexp_replace(F.array_join(distinct_lines(lines), "\n"), "\n{3,}", "\n\n")), "^\n+|\n+$", "")
+    t = F.regexp_replace(t, "[\u00a0\u3000]", " ")
+    return F.regexp_replace(t, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
+
+
+def _ended(lines: Column) -> Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n")), "^\n+|\n+$", "")
+
+
+def clean_prose(text: Column | str) -> Column:
+    """Compatibility forms folded, marks of no width dropped, line ends and blanks unified, blank runs and repeated lines collapsed."""
+    collapsed = F.transform(F.split(_bare(nfkc(text)), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
+    return _ended(distinct_lines(collapsed))
+
+
+def clean_markup(text: Column | str) -> Column:
+    """As prose, but every line stays."""
+    return _ended(F.transform(F.split(_bare(nfkc(text)), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " "))))
+
+
+def clean_structured(text: Column | str) -> Column:
+    """As markup, with the indents of its lines; a tab counts as four blanks."""
+    def line(x: Column) -> Column:
+        x = F.rtrim(F.replace(x, F.lit("\t"), F.lit("    ")))
+        indent = F.regexp_extract(x, "^ *", 0)
+        return F.concat(indent, F.regexp_replace(F.substring(x, F.length(indent) + 1, F.length(x)), "[ \t]{2,}", " "))
+
+    return F.regexp_replace(F.regexp_replace(F.array_join(F.transform(F.split(_bare(nfkc(text)), "\n"), line), "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+# Extensions whose lines and indents, or whose lines alone, are kept.
+STRUCTURED = ("json", "yaml", "yml", "toml", "ini", "cfg", "conf", "env", "properties", "py", "js", "ts", "java", "c", "cpp", "h", "go", "rs", "sh", "sql")
+MARKUP = ("md", "markdown", "rst", "html", "htm", "xml", "svg")
+
+
+def clean_by_kind(text: Column | str, extension: Column) -> Column:
+    """Cleaned by the profile of a file's extension."""
+    return F.when(extension.isin(*STRUCTURED), clean_structured(text)).when(extension.isin(*MARKUP), clean_markup(text)).otherwise(clean_prose(text))
 
 
 def distinct_lines(lines: Column) -> Column:
     """Without lines of three or more characters that repeat the line before, and without double empty lines."""
-    return F.filter(lines, lambda x, i: (i == 0) | ~((x == F.get(lines, i - 1)) & ((F.length(x) >= 3) | (x == ""))))
+
+    def of(lines: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(lines, F.lit(1), F.size(lines) - 1))
+        repeats = lambda x, p: F.coalesce((x == p) & ((F.length(x) >= 3) | (x == "")), F.lit(False))
+        kept = F.zip_with(lines, before, lambda x, p: F.when(~repeats(x, p), x))
+        return F.array_compact(kept)
+
+    return F.when(F.size(lines) > 0, bind(lines, of)).otherwise(lines)
+
+
+def looks_like_heading(line: Column) -> Column:
+    """A short line without an end mark that is numbered, names a chapter, or is all capitals."""
+    numbered = line.rlike(r"^(?i:chapter|section|appendix)\b|^\d+(?:\.\d+){0,5}\s+\S+|^第[一二三四五六七八九十0-9]+(?:章|节|部分|条)|^[A-Z0-9][A-Z0-9 _./:-]{2,}$")
+    return (F.length(line) <= 60) & ~line.rlike(r"[.!?。！？；;:：]$") & numbered
+
+
+def looks_like_table_row(line: Column) -> Column:
+    return line.rlike(r"[|\t]|\S+\s{2,}\S+")
+
+
+def looks_like_list_item(line: Column) -> Column:
+    return line.rlike(r"^(?:[-*+•·]|\d+[.)、]|[(（]\d+[)）])\s+\S")
+
+
+def is_page_number(line: Column) -> Column:
+    return line.rlike(r"^(?i:page\s+\d+(?:\s*(?:of|/)\s*\d+)?|[-–—]?\s*\d{1,4}\s*[-–—]?|\d+\s*/\s*\d+|第\s*\d+\s*页(?:\s*共\s*\d+\s*页)?)$")
+
+
+def merged_lines(text: Column | str) -> Column:
+    """Lines that a break cut are joined: after a comma or a hyphen, or where the next begins in lower case or with a closing mark.
+
+    Headings, list items and table rows stay lines of their own; so do lines after an end mark. Empty
+    lines separate paragraphs.
+    """
+    structural = lambda x: looks_like_list_item(x) | looks_like_table_row(x) | looks_like_heading(x)
+    closing = "[),，。；;:：!?！？」』】）\\]]"
+
+    def joins(p: Column, x: Column) -> Column:
+        hyphen, ends = p.rlike("[-‐‑]$"), p.rlike(r"[.!?。！？；;:：]$")
+        follows = p.rlike("[,，、/／(（]$") | x.rlike(f"^{closing}") | x.rlike(rf"^[a-z{_HAN}“\"‘（(]") | (F.length(p) < 90)
+        return (p != "") & (x != "") & ~structural(p) & ~structural(x) & ~ends & F.when(hyphen, x.rlike("^[A-Za-z0-9]")).otherwise(follows)
+
+    def mark(p: Column, x: Column) -> Column:
+        tight = p.rlike("[(（/／]$") | x.rlike(f"^{closing}")
+        return F.when(p.isNull(), "").when(~joins(p, x), "\n").when(p.rlike("[-‐‑]$"), "\u0001").when(tight, "").otherwise(" ")
+
+    def of(lines: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(lines, F.lit(1), F.size(lines) - 1))
+        return F.array_join(F.zip_with(lines, before, lambda x, p: F.concat(mark(p, x), x)), "")
+
+    joined = bind(F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x)), of)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, "[-‐‑]\u0001", ""), "\n{3,}", "\n\n"), "^\n+|\n+$", "")
 
 
 def token_estimate(text: Column | str) -> Column:
@@ -92,10 +211,14 @@ def section_title(text: Column | str) -> Column:
     return F.substring(F.trim(F.regexp_replace(first, "^[# ]+", "")), 1, 120)
 
 
+# The marks of a citation.
+CITATIONS = (r"\[(\d+)\]", r"【(\d+)】", r"\((\d+)\)", r"\[来源(\d+)\]", r"【来源(\d+)】", r"\[参考(\d+)\]", r"【参考(\d+)】")
+
+
 def citation_indices(text: Column | str) -> Column:
-    """Sorted distinct numbers of the citation marks [1], (1) and 【1】."""
-    marks = [F.regexp_extract_all(_c(text), F.lit(p), F.lit(1)) for p in (r"\[(\d+)\]", r"\((\d+)\)", r"【(\d+)】")]
-    return F.array_sort(F.array_distinct(F.transform(F.concat(*marks), lambda x: x.cast("int"))))
+    """Sorted distinct numbers of all citation marks; numbers too large for one are left out."""
+    marks = [F.regexp_extract_all(_c(text), F.lit(p), F.lit(1)) for p in CITATIONS]
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.concat(*marks), lambda x: x.try_cast("int")))))
 
 
 def support_score(text: Column, sources: Column, hedges: tuple[str, ...]) -> Column:
@@ -131,3 +254,63 @@ def is_url(x: Column | str) -> Column:
 
 def safe_file_name(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), r'[<>:"/\\|?*\x00-\x1f]', "_")
+
+
+def is_uuid(x: Column | str) -> Column:
+    return _c(x).rlike(r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+
+
+def is_strong_password(x: Column | str, least: int = 8) -> Column:
+    """Long enough, with a lower and an upper case letter and a digit."""
+    t = _c(x)
+    return (F.length(t) >= least) & t.rlike("[a-z]") & t.rlike("[A-Z]") & t.rlike("[0-9]")
+
+
+def is_given(x: Column | str) -> Column:
+    """Neither null nor blank."""
+    return F.coalesce(F.trim(_c(x)) != "", F.lit(False))
+
+
+def within(x: Column | str, low: float | None = None, high: float | None = None) -> Column:
+    t = _c(x)
+    return F.coalesce((t >= low if low is not None else F.lit(True)) & (t <= high if high is not None else F.lit(True)), F.lit(False))
+
+
+def source_name(*names: Column, default: str = "Unknown") -> Column:
+    """The first name that isn't blank, trimmed."""
+    return F.coalesce(*(F.nullif(F.trim(n), F.lit("")) for n in names), F.lit(default))
+
+
+def with_source_names(text: Column, names: Column) -> Column:
+    """Citation marks replaced by 【name】 of the source with their number, from 1; others stay.
+
+    names: an array. A mark is found once: what a name holds isn't replaced again.
+    """
+    any_mark = "(" + "|".join(p.replace("(\\d+)", "\\d+") for p in CITATIONS) + ")"
+    cut = F.split(F.regexp_replace(text, any_mark, "\u0000$1\u0000"), "\u0000")
+
+    def named(x: Column) -> Column:
+        n = F.regexp_extract(x, "^[^0-9]*([0-9]+)", 1).try_cast("int")
+        known = x.rlike(f"^{any_mark}$") & n.between(1, F.size(names))
+        return F.when(known, F.concat(F.lit("【"), F.get(names, n - 1), F.lit("】"))).otherwise(x)
+
+    return F.array_join(F.transform(cut, named), "")
+
+
+def json_in(text: Column | str) -> Column:
+    """The JSON of an answer: what a fence holds, or else from the first brace to the last; null if that isn't JSON."""
+    t = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    fenced = F.nullif(F.regexp_extract(t, r"(?s)^```[^\n]*\n(.*)\n[ \t]*```[^\n]*$", 1), F.lit(""))
+    outer = F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit(""))
+    found = F.trim(F.coalesce(fenced, outer))
+    return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
+def canonical_json(entries: Column) -> Column:
+    """A map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def extractive_summary(name: Column, kind: Column, text: Column, chunks: Column, most: int = 200) -> Column:
+    """What a file is, how much it holds, and its beginning."""
+    return F.concat_ws("\n", F.concat(F.lit("File: "), name), F.concat(F.lit("Type: "), kind), F.concat(F.lit("Characters: "), F.length(text).cast("string"), F.lit(", chunks: "), chunks.cast("string")), preview(text, most))

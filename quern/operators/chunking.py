@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import section_title, token_estimate
-from quern.plans.common import r6, read
+from quern.plans.common import materialise, r6, read
 
 
 def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
     """Windows of size characters, each overlap characters into the one before; the last ends with the text.
 
-    doc_id, chunk_index, start_char, end_char, content (trimmed; blank ones are left out).
+    doc_id, chunk_index, start_char, end_char, content (without white space at its ends). Blank windows
+    are left out and take no index.
     """
     n = F.length("text")
     last = F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap)).cast("int"))
-    cut = docs.where(n > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    start = F.col("chunk_index") * (size - overlap)
-    out = cut.select("doc_id", "chunk_index", start.alias("start_char"), F.least(start + size, n).alias("end_char"), F.trim(F.substring(F.col("text"), start + 1, F.lit(size))).alias("content"))
-    return out.where("content <> ''")
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((k * (size - overlap)).alias("start_char"), F.least(k * (size - overlap) + size, n).alias("end_char"), bare(F.substring(F.col("text"), k * (size - overlap) + 1, F.lit(size))).alias("content")))
+    kept = F.filter(windows, lambda w: w["content"] != "")
+    return docs.where(n > 0).select("doc_id", F.posexplode(kept).alias("chunk_index", "w")).select("doc_id", "chunk_index", "w.*")
 
 
 def paragraph_blocks(docs: DataFrame) -> DataFrame:
@@ -32,11 +35,21 @@ def paragraph_blocks(docs: DataFrame) -> DataFrame:
     return parts.withColumn("start_char", F.coalesce(F.sum(F.length("content") + 2).over(before), F.lit(0)))
 
 
+def page_chunks(pages: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
+    """Chunks of pages (doc_id, page_number, text), each with its page and an index that runs through the document."""
+    cut = fixed_chunks(pages.select(F.struct("doc_id", "page_number").alias("doc_id"), "text"), size, overlap)
+    flat = cut.select("doc_id.doc_id", "doc_id.page_number", F.col("chunk_index").alias("in_page"), "start_char", "end_char", "content")
+    by = Window.partitionBy("doc_id").orderBy("page_number", "in_page")
+    return flat.withColumn("chunk_index", F.row_number().over(by) - 1).drop("in_page")
+
+
 def boundary_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
     """Windows whose end goes back to the last paragraph, sentence or word end nearby, if there is one.
 
     The next window starts overlap characters before the last end, never past it, so that the chunks
-    cover the text.
+    cover the text. doc_id, chunk_index, start_char, end_char, content (trimmed; blank ones are left
+    out). Where a window ends depends on where the one before ended, so each text is walked through
+    once, in batches of texts.
     """
     slack = min(120, max(20, size // 4))
 
@@ -56,32 +69,209 @@ def boundary_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100) -> Da
             start = max(start + 1, end - overlap)
         return out
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(d, i, s, e, t[s:e].strip()) for d, t in zip(f["doc_id"], f["text"], strict=True) if t for i, (s, e) in enumerate(cut(t))]
-            yield pd.DataFrame([x for x in out if x[4]], columns=["doc_id", "chunk_index", "start_char", "end_char", "content"])
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                found = [(k, i, s, e, c) for k, t in enumerate(part.column("text").to_pylist()) if t for i, (s, e) in enumerate(cut(t)) if (c := t[s:e].strip())]
+                cols = list(zip(*found, strict=True)) if found else [[]] * 5
+                ids = part.column("doc_id").take(pa.array(cols[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in cols[1:4]), pa.array(cols[4], pa.string())], ["doc_id", "chunk_index", "start_char", "end_char", "content"])
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id bigint, chunk_index int, start_char int, end_char int, content string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, chunk_index int, start_char int, end_char int, content string")
 
 
-def heading_sections(docs: DataFrame) -> DataFrame:
-    """Lines of a Markdown text gathered under their heading: doc_id, section, title, level, content.
+def named_chunks(chunks: DataFrame, strategy: str) -> DataFrame:
+    """Chunks under the name of their strategy, with an id that tells all three."""
+    return chunks.withColumn("strategy", F.lit(strategy)).withColumn("chunk_id", F.concat_ws("::", F.lit(strategy), F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+
+
+def paragraph_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
+    """Boundary chunks, named paragraph_SIZE_OVERLAP."""
+    return named_chunks(boundary_chunks(docs, size, overlap), f"paragraph_{size}_{overlap}")
+
 
-    Lines are numbered in their text and the last heading is carried forward by a window.
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+def under_headings(marked: DataFrame, levels: int = 6) -> DataFrame:
+    """Adds section (its number) and path (the titles open at a line, from the outermost) to lines.
+
+    marked: doc_id, pos, level (null where the line is no heading), title. A title is open until a
+    heading of its level or of one above it comes.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    level = F.length(F.regexp_extract("line", r"^(#{1,6}) +[^ ]", 1))
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    marked = lines.withColumn("level", level).withColumn("section", F.sum((level > 0).cast("int")).over(by))
-    return marked.groupBy("doc_id", "section").agg(
-        F.max(F.when(F.col("level") > 0, section_title("line"))).alias("title"), F.max("level").alias("level"),
+    by = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda of: F.max(F.when(of, F.col("pos"))).over(by)
+    out = marked.withColumn("section", F.count("level").over(by))
+    open_ = []
+    for k in range(1, levels + 1):
+        mine, above = at(F.col("level") == k), at(F.col("level") < k)
+        title = F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(by)
+        open_.append(F.when(mine.isNotNull() & (mine > F.coalesce(above, F.lit(-1))), title))
+    return out.withColumn("path", F.array_compact(F.array(*open_)))
+
+
+def _sections(marked: DataFrame) -> DataFrame:
+    """doc_id, section, title, level, section_path, content of lines under headings (with column line)."""
+    lines = under_headings(marked)
+    return lines.groupBy("doc_id", "section").agg(
+        F.max("title").alias("title"), F.max("level").alias("level"), F.array_join(F.min_by("path", "pos"), " / ").alias("section_path"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"),
     )
 
 
+def heading_sections(docs: DataFrame) -> DataFrame:
+    """Lines of a Markdown text gathered under their heading: doc_id, section, title, level, section_path, content."""
+    level = F.nullif(F.length(F.regexp_extract("line", r"^(#{1,6}) +[^ ]", 1)), F.lit(0))
+    return _sections(_lines(docs).withColumn("level", level).withColumn("title", F.when(level.isNotNull(), section_title("line"))))
+
+
+def rst_sections(docs: DataFrame) -> DataFrame:
+    """Lines of a reStructuredText gathered under their heading, which a line of one mark underlines.
+
+    The levels are the marks in the order in which they first appear in a text.
+    """
+    by = Window.partitionBy("doc_id").orderBy("pos")
+    below = F.lead("line").over(by)
+    mark = F.regexp_extract("below", r"""^([=\-~^"'`#*+:._])\1*\s*$""", 1)
+    lines = _lines(docs).withColumn("below", below)
+    lines = lines.withColumn("mark", F.when((F.trim("line") != "") & (mark != "") & (F.length(F.rtrim("below")) >= F.length(F.rtrim("line"))) & ~F.col("line").rlike(r"^(\W)\1+$"), mark))
+    first = F.min(F.when(F.col("mark").isNotNull(), F.col("pos"))).over(Window.partitionBy("doc_id", "mark"))
+    ranked = lines.withColumn("first", F.when(F.col("mark").isNotNull(), first))
+    level = F.dense_rank().over(Window.partitionBy("doc_id", F.col("mark").isNotNull()).orderBy("first"))
+    return _sections(ranked.withColumn("level", F.when(F.col("mark").isNotNull(), F.least(level, F.lit(6)))).withColumn("title", F.when(F.col("mark").isNotNull(), F.trim("line"))).drop("below", "mark", "first"))
+
+
+#: How a definition begins, in the usual languages; the first group is its name.
+SYMBOL = r"^\s*(?:export\s+|public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|async\s+|pub(?:\([a-z]+\))?\s+)*(?:def|class|function|func|fn|interface|struct|enum|trait|impl|type|module|namespace)\s+([A-Za-z_][A-Za-z0-9_]*)"
+
+
+def code_sections(docs: DataFrame) -> DataFrame:
+    """Lines of a program gathered under the definition they follow; section_path names those round it, by indents of four blanks."""
+    name = F.nullif(F.regexp_extract("line", SYMBOL, 1), F.lit(""))
+    indent = F.length(F.regexp_extract(F.replace(F.col("line"), F.lit("\t"), F.lit("    ")), "^ *", 0))
+    return _sections(_lines(docs).withColumn("title", name).withColumn("level", F.when(name.isNotNull(), F.least(F.floor(indent / 4).cast("int") + 1, F.lit(6)))))
+
+
+def yaml_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, block): `path.to.key: value` for each line of a YAML text; keys that only hold others are blocks too.
+
+    Levels are indents of two blanks, a list's dash counts as its item's indent, comments are left out.
+    """
+    parts = r"^( *)((?:- +)*)([^\s#:][^:#]*?)\s*:(?:\s+(.*?))?\s*$"
+    key = F.nullif(F.trim(F.regexp_extract("line", parts, 3)), F.lit(""))
+    indent = F.length(F.regexp_extract("line", parts, 1)) + F.length(F.regexp_extract("line", parts, 2))
+    marked = _lines(docs).withColumn("title", key).withColumn("level", F.when(key.isNotNull(), F.least(F.floor(indent / 2).cast("int") + 1, F.lit(6))))
+    lines = under_headings(marked).where("title is not null")
+    value = F.nullif(F.regexp_extract("line", parts, 4), F.lit(""))
+    return lines.select("doc_id", "pos", F.concat(F.array_join("path", "."), F.lit(":"), F.coalesce(F.concat(F.lit(" "), value), F.lit(""))).alias("block"))
+
+
+def json_blocks(docs: DataFrame, deepest: int = 64) -> DataFrame:
+    """(doc_id, path, value): the leaves of JSON texts; arrays of scalars stay whole.
+
+    Containers are opened one level of all texts at a time, so that no text is walked through by itself.
+    """
+    spark = docs.sparkSession
+    open_ = docs.select("doc_id", F.lit("").alias("path"), F.try_parse_json("text").alias("v")).where("v is not null")
+    done = None
+    for _ in range(deepest):
+        typed = materialise(open_.select("doc_id", "path", F.to_json("v").alias("j"), F.schema_of_variant("v").alias("kind")), "json-level")
+        nested = F.col("kind").startswith("OBJECT") | (F.col("kind").startswith("ARRAY<") & F.col("kind").rlike("OBJECT|ARRAY<ARRAY|VARIANT"))
+        leaves = typed.where(~nested & (F.col("j") != "{}")).select("doc_id", "path", F.regexp_replace("j", '^"(.*)"$', "$1").alias("value"))
+        done = leaves if done is None else done.unionByName(leaves)
+        if not typed.where(nested).limit(1).count():
+            break
+        again = typed.where(nested).select("doc_id", "path", F.parse_json("j").alias("v"))
+        inner = again.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("at", "key", "inner"))
+        name = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("at").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
+        open_ = inner.select("doc_id", F.concat("path", name).alias("path"), F.col("inner").alias("v"))
+    return done
+
+
+def _xml_nodes(texts: pd.Series) -> pd.Series:
+    def walk(node: ElementTree.Element, path: str, out: list) -> list:
+        path = f"{path}/{node.tag.rpartition('}')[2]}"
+        out.append({"path": path, "attributes": ", ".join(f"{k}={v}" for k, v in sorted(node.attrib.items())), "children": ", ".join(dict.fromkeys(c.tag.rpartition("}")[2] for c in node)), "text": " ".join("".join([node.text or "", *(c.tail or "" for c in node)]).split())})
+        for c in node:
+            walk(c, path, out)
+        return out
+
+    def one(text: str | None) -> list | None:
+        if not text or "<!ENTITY" in text:  # entities of its own may make a text of any size
+            return None
+        try:
+            return walk(ElementTree.fromstring(text), "", [])
+        except (ElementTree.ParseError, ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
+def xml_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, path, attributes, children, text) for each node of XML texts; those that can't be read give none."""
+    nodes = F.pandas_udf(_xml_nodes, "array<struct<path:string,attributes:string,children:string,text:string>>")
+    return docs.select("doc_id", F.posexplode(nodes(F.col("text"))).alias("pos", "node")).select("doc_id", "pos", "node.*")
+
+
+def keyed_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of a text that begin at each line with a key or a tag: doc_id, block, content."""
+    starts = F.col("line").rlike(r"^\s*(?:[\w.-]+\s*[:=]|<[A-Za-z][^>]*>)")
+    by = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = _lines(docs).withColumn("block", F.sum(starts.cast("int")).over(by))
+    return numbered.groupBy("doc_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"))
+
+
+def packed_rows(sheets: DataFrame, budget: int = 480) -> DataFrame:
+    """Rows of sheets packed into chunks of at most a token budget: doc_id, chunk_index, content, rows.
+
+    sheets: doc_id, columns (names), rows (arrays of cells). A row reads `row 3: name: x; size: 2`, and
+    a row above the budget is a chunk of its own.
+    """
+    named = lambda row: F.array_join(F.filter(F.zip_with("columns", row, lambda c, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(c, F.lit(": "), v))), lambda x: x.isNotNull()), "; ")
+    texts = F.transform("rows", lambda row, i: F.concat(F.lit("row "), (i + 1).cast("string"), F.lit(": "), named(row)))
+    costs = F.transform(texts, lambda t: F.struct(t.alias("text"), token_estimate(t).alias("n")))
+    kind = "struct<n:int,chunk:int,out:array<struct<text:string,chunk:int>>>"
+
+    def step(acc, x):
+        full = (acc["n"] > 0) & (acc["n"] + x["n"] > budget)
+        chunk = acc["chunk"] + F.when(full, 1).otherwise(0)
+        return F.struct(F.when(full, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"), chunk.alias("chunk"), F.array_append(acc["out"], F.struct(x["text"].alias("text"), chunk.alias("chunk"))).alias("out")).cast(kind)
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.array().cast("array<struct<text:string,chunk:int>>").alias("out")).cast(kind)
+    placed = sheets.select("doc_id", F.posexplode(F.aggregate(costs, zero, step, lambda acc: acc["out"])).alias("pos", "x"))
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.col("x.text").alias("text"))))
+    return placed.groupBy("doc_id", F.col("x.chunk").alias("chunk_index")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("content"), F.count("*").alias("rows"))
+
+
+def structured_terms(*fields: Column, headers: Column | None = None) -> Column:
+    """The fields of a chunk that aren't blank, and its column headers, once each."""
+    terms = F.array(*(F.nullif(F.trim(f), F.lit("")) for f in fields))
+    return F.array_distinct(F.array_compact(F.concat(terms, headers) if headers is not None else terms))
+
+
+# What a chunk's metadata hold if nothing is known.
+METADATA = ("section_title", "section_path", "sheet_name", "structured_terms", "symbol_name", "symbol_type", "node_name", "leaf_value", "column_headers", "slide_title", "source_region", "page_number", "source_type")
+
+
+def with_metadata(chunks: DataFrame) -> DataFrame:
+    """Chunks with all metadata columns; those that are missing are null."""
+    return chunks.select("*", *(F.lit(None).cast("string").alias(c) for c in METADATA if c not in chunks.columns))
+
+
+def chunker_of(kind: Column, text: Column) -> Column:
+    """Which chunker a text goes to, by its kind of file, else by how it begins."""
+    begins = F.ltrim(text)
+    sniffed = F.when(begins.rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull(), "json").when(begins.startswith("<?xml"), "xml").when(text.rlike(r"(?m)^#{1,6} +\S"), "markdown").when(text.rlike(r"(?m)^\[[^\]\n]+\]\s*$"), "ini").otherwise("text")
+    known = {"md": "markdown", "markdown": "markdown", "rst": "rst", "json": "json", "xml": "xml", "svg": "xml", "yaml": "yaml", "yml": "yaml", "toml": "ini", "ini": "ini", "properties": "ini", "cfg": "ini", "csv": "rows", "tsv": "rows", "xlsx": "rows", "html": "text", "py": "code", "js": "code", "java": "code", "go": "code", "rs": "code", "ts": "code"}
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in known.items() for x in kv))[F.lower(kind)], sniffed)
+
+
 def key_value_blocks(docs: DataFrame) -> DataFrame:
     """`section.key: value` for the lines of an INI or properties text; comments and other lines are left out."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    lines = _lines(docs).withColumn("line", F.trim("line"))
     section = F.when(F.col("line").rlike(r"^\[.*\]$"), F.regexp_extract("line", r"^\[(.*)\]$", 1))
     by = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     carried = lines.withColumn("section", F.last(section, ignorenulls=True).over(by)).where(F.col("line").rlike(r"^[^#;\[=:]+[=:]"))
@@ -89,6 +279,85 @@ def key_value_blocks(docs: DataFrame) -> DataFrame:
     return carried.select("doc_id", "pos", F.concat(F.concat_ws(".", "section", key), F.lit(": "), value).alias("block"))
 
 
+def _joined(df: DataFrame, key: str, order: str, line: Column) -> DataFrame:
+    """One text for each key of its lines in order."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t"))))
+    return df.groupBy(F.col(key).alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations")
+
+
+def q_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents, turns as pages, windows of 200 characters."""
+    c = page_chunks(_turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), "text"), 200, 20)
+    return c.select("doc_id", "page_number", "chunk_index", "start_char", "end_char", F.md5("content").alias("content_md5"))
+
+
+def q_paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = paragraph_chunks(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), 400, 40)
+    return c.select("chunk_id", "doc_id", "chunk_index", "start_char", "end_char")
+
+
+def q_rst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as reStructuredText: each turn under its role, a part of it under the turn's number."""
+    rule = lambda x, m: F.concat(x, F.lit("\n"), F.repeat(F.lit(m), F.length(x)), F.lit("\n"))
+    t = _joined(_turns(spark, sf_dir), "conv_id", "turn", F.concat(rule(F.col("role"), "="), rule(F.concat(F.lit("turn "), F.col("turn").cast("string")), "-"), F.lit("some text")))
+    return rst_sections(t).where("level = 2").select("doc_id", "title", "section_path")
+
+
+def q_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as programs: a class for each role, a method for each turn."""
+    t = _joined(_turns(spark, sf_dir), "conv_id", "turn", F.concat(F.lit("class "), F.col("role"), F.lit(":\n    def turn_"), F.col("turn").cast("string"), F.lit("(self):\n        pass")))
+    return code_sections(t).where("level = 2").select("doc_id", "title", "section_path", "content")
+
+
+def q_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation").withColumn("one", F.lit(1))
+    t = _joined(n, "n_regionkey", "n_nationkey", F.concat(F.lit("nation:\n  "), F.col("n_name"), F.lit(":\n    key: "), F.col("n_nationkey").cast("string")))
+    return yaml_blocks(t).select("doc_id", "block")
+
+
+def q_ini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _joined(read(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", F.concat(F.lit("["), F.col("c_name"), F.lit("]\nsegment = "), F.col("c_mktsegment")))
+    return key_value_blocks(t).select("doc_id", "block")
+
+
+def q_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    text = F.concat(F.lit('{"user": {"id": '), F.col("user_id").cast("string"), F.lit(', "kinds": ["'), F.col("event_type"), F.lit('", "x"]}, "list": [{"p": '), F.col("props"), F.lit("}]}"))
+    return json_blocks(e.select(F.col("event_id").alias("doc_id"), text.alias("text")))
+
+
+def q_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    text = F.concat(F.lit('<part key="'), F.col("p_partkey").cast("string"), F.lit('"><brand>'), F.col("p_brand"), F.lit("</brand><size>"), F.col("p_size").cast("string"), F.lit("</size></part>"))
+    return xml_blocks(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
+def q_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _joined(_turns(spark, sf_dir), "conv_id", "turn", F.concat("role", F.lit(": turn\n  more of "), F.col("turn").cast("string")))
+    return keyed_blocks(t)
+
+
+def q_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' customers as sheets."""
+    c = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("r"))
+    sheets = c.select("doc_id", F.array(F.lit("name"), F.lit("segment")).alias("columns"), F.transform("r", lambda x: F.array(x["c_name"], x["c_mktsegment"])).alias("rows"))
+    return packed_rows(sheets, 60).select("doc_id", "chunk_index", "rows")
+
+
+def q_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.get(F.array(*map(F.lit, ["md", "py", "csv", ""])), (F.col("doc_id") % 4).cast("int")).alias("kind"), "text")
+    return d.groupBy(chunker_of(F.col("kind"), F.coalesce("text", F.lit(""))).alias("chunker")).agg(F.count("*").alias("n"))
+
+
+def q_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", F.array_join(structured_terms(F.col("p_brand"), F.lit(" "), F.col("p_type"), headers=F.array("p_brand", "p_name")), "|").alias("terms"))
+
+
 def q_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fixed_chunks(read(spark, sf_dir, "documents"))
     return c.select("doc_id", "chunk_index", "start_char", "end_char", F.md5("content").alias("content_md5"))
@@ -121,11 +390,55 @@ def q_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", token_estimate("text").alias("tokens"), section_title("text").alias("title"))
 
 
-QUERIES = {"fixed_chunks": q_fixed, "chunk_stats": q_chunk_stats, "paragraph_blocks": q_paragraphs, "boundary_chunks": q_boundary, "heading_sections": q_sections, "token_estimate": q_token_estimate}
-_FIXED = "c as (select doc_id, text, unnest(range(greatest(0, ceil((length(text) - 1000) / 900.0))::int + 1))::int as chunk_index from documents where length(text) > 0), k as (select doc_id, chunk_index, chunk_index * 900 as start_char, least(chunk_index * 900 + 1000, length(text))::int as end_char, trim(substring(text, chunk_index * 900 + 1, 1000), ' ') as content from c)"
+QUERIES = {
+    "fixed_chunks": q_fixed, "chunk_stats": q_chunk_stats, "paragraph_blocks": q_paragraphs, "boundary_chunks": q_boundary, "heading_sections": q_sections, "token_estimate": q_token_estimate,
+    "page_chunks": q_page_chunks, "paragraph_chunks": q_paragraph_chunks, "rst_sections": q_rst, "code_sections": q_code, "yaml_blocks": q_yaml, "ini_blocks": q_ini, "json_blocks": q_json, "xml_blocks": q_xml, "keyed_blocks": q_keyed, "packed_rows": q_packed, "chunker_dispatch": q_dispatch, "structured_terms": q_terms}
+_BARE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def _fixed_sql(source: str, size: int, step: int) -> str:
+    """CTEs up to k: the fixed windows of source (ids in doc_id, text)."""
+    content = _BARE.format(f"substring(text, i * {step} + 1, {size})")
+    return f"""c as (select *, unnest(range(greatest(0, ceil((length(text) - {size}) / {step}.0))::int + 1))::int as i from ({source}) where length(text) > 0),
+        w as (select * exclude (text), i * {step} as start_char, least(i * {step} + {size}, length(text))::int as end_char, {content} as content from c),
+        k as (select * exclude (i), (row_number() over (partition by doc_id order by i) - 1)::int as chunk_index from w where content <> '')"""
+
+
+def _boundary_sql(source: str, size: int, overlap: int) -> str:
+    """CTEs up to bc: the boundary windows of source (doc_id, text), one window of all texts at a time."""
+    slack = min(120, max(20, size // 4))
+    low = f"greatest(s + 1, s + {size} - {slack})"
+    tail = f"substring(text, {low} + 1, s + {size} - {low})"
+    back = lambda mark, n: f"case when contains({tail}, {mark}) then s + {size} - (strpos(reverse({tail}), reverse({mark})) - 1) end"
+    end = f"case when s + {size} >= n then n else coalesce({back('chr(10) || chr(10)', 2)}, {back(chr(39) + '. ' + chr(39), 2)}, {back('chr(10)', 1)}, {back(chr(39) + ' ' + chr(39), 1)}, s + {size}) end"
+    return f"""t as materialized (select doc_id, text, length(text) as n from ({source}) where length(text) > 0),
+        b as (select doc_id, 0::bigint as i, 0::bigint as s, (select {end} from (select t.text, t.n, 0::bigint as s))::bigint as e from t union all
+            select doc_id, i, s, {end} as e from (select b.doc_id, b.i + 1 as i, greatest(b.s + 1, b.e - {overlap}) as s, t.text, t.n from b join t using (doc_id) where b.e < t.n)),
+        bc as (select b.doc_id, i::int as chunk_index, s::int as start_char, e::int as end_char from b join t using (doc_id) where {_BARE.format("substring(text, s + 1, e - s)")} <> '')"""
+
+
+_FIXED = _fixed_sql("select doc_id, text from documents", 1000, 900)
 ORACLE = {
-    "fixed_chunks": f"with {_FIXED} select doc_id, chunk_index, start_char, end_char, md5(content) as content_md5 from k where content <> ''",
-    "chunk_stats": f"with {_FIXED} select count(*) as chunks, round(avg(length(content)), 6) as avg_chars, min(length(content))::int as min_chars, max(length(content))::int as max_chars from k where content <> ''",
+    "fixed_chunks": f"with {_FIXED} select doc_id, chunk_index, start_char, end_char, md5(content) as content_md5 from k",
+    "chunk_stats": f"with {_FIXED} select count(*) as chunks, round(avg(length(content)), 6) as avg_chars, min(length(content))::int as min_chars, max(length(content))::int as max_chars from k",
+    "boundary_chunks": f"with recursive {_boundary_sql('select doc_id, text from documents', 1000, 100)} select * from bc",
+    "paragraph_chunks": f"with recursive {_boundary_sql('select page_id as doc_id, html as text from pages', 400, 40)} select *, 'paragraph_400_40::' || doc_id || '::' || chunk_index as chunk_id from bc",
+    "page_chunks": f"with {_fixed_sql('select conv_id as cid, turn, (conv_id, turn) as doc_id, text from conversations', 200, 180)} select cid as doc_id, turn as page_number, (row_number() over (partition by cid order by turn, chunk_index) - 1)::int as chunk_index, start_char, end_char, md5(content) as content_md5 from k",
+    "rst_sections": "select conv_id as doc_id, 'turn ' || turn as title, role || ' / turn ' || turn as section_path from conversations",
+    "code_sections": "select conv_id as doc_id, 'turn_' || turn as title, role || ' / turn_' || turn as section_path, '    def turn_' || turn || '(self):' || chr(10) || '        pass' as content from conversations",
+    "yaml_blocks": "select n_regionkey as doc_id, unnest(['nation:', 'nation.' || n_name || ':', 'nation.' || n_name || '.key: ' || n_nationkey]) as block from nation",
+    "ini_blocks": "select c_nationkey as doc_id, c_name || '.segment: ' || c_mktsegment as block from customer",
+    "json_blocks": "select event_id as doc_id, unnest(['user.id', 'user.kinds', 'list[0].p.k']) as path, unnest([user_id::varchar, '[\"' || event_type || '\",\"x\"]', props->>'$.k']) as value from events",
+    "xml_blocks": "select p_partkey as doc_id, unnest([0, 1, 2])::int as pos, unnest(['/part', '/part/brand', '/part/size']) as path, unnest(['key=' || p_partkey, '', '']) as attributes, unnest(['brand, size', '', '']) as children, unnest(['', p_brand, p_size::varchar]) as text from part",
+    "keyed_blocks": "select conv_id as doc_id, row_number() over (partition by conv_id order by turn) as block, role || ': turn' || chr(10) || '  more of ' || turn as content from conversations",
+    "packed_rows": """with recursive r as (select c_nationkey as doc_id, row_number() over (partition by c_nationkey order by c_custkey) as i, c_name, c_mktsegment from customer),
+        c as materialized (select *, len(list_filter(string_split('row ' || i || ': name: ' || c_name || '; segment: ' || c_mktsegment, ' '), lambda x: x <> '')) as n from r),
+        p as (select doc_id, i, n, 0 as chunk from c where i = 1 union all
+            select c.doc_id, c.i, case when p.n + c.n > 60 then c.n else p.n + c.n end, p.chunk + case when p.n + c.n > 60 then 1 else 0 end from p join c on c.doc_id = p.doc_id and c.i = p.i + 1)
+        select doc_id, chunk as chunk_index, count(*) as rows from p group by 1, 2""",
+    "chunker_dispatch": r"""with d as (select doc_id % 4 as k, coalesce(text, '') as t from documents)
+        select case k when 0 then 'markdown' when 1 then 'code' when 2 then 'rows' else case when regexp_matches(ltrim(t, ' '), '^[\[{]') and json_valid(t) then 'json' when starts_with(ltrim(t, ' '), '<?xml') then 'xml' when regexp_matches(t, '(?m)^#{1,6} +\S') then 'markdown' when regexp_matches(t, '(?m)^\[[^\]\n]+\]\s*$') then 'ini' else 'text' end end as chunker, count(*) as n from d group by 1""",
+    "structured_terms": "select p_partkey, p_brand || '|' || p_type || case when p_name in (p_brand, p_type) then '' else '|' || p_name end as terms from part",
     "paragraph_blocks": r"with p as (select doc_id, unnest(string_split_regex(text, '\n[ \t]*\n+')) as c, generate_subscripts(string_split_regex(text, '\n[ \t]*\n+'), 1) as pos from documents), q as (select doc_id, coalesce(sum(length(c) + 2) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as s from p where trim(c) <> '') select doc_id, count(*) as paragraphs, max(s) as last_start from q group by 1",
     "heading_sections": "select conv_id as doc_id, role as title, count(*) as sections, max(length('## ' || role || chr(10) || text))::int as longest from conversations group by 1, 2",
     "token_estimate": r"select doc_id, greatest(1, case when contains(text, ' ') then len(list_filter(string_split_regex(text, '[\s]+'), lambda w: w <> '')) else length(text) // 2 end)::int as tokens, substring(trim(regexp_replace(regexp_extract(text, '^\s*([^\n]+)', 1), '^[# ]+', '')), 1, 120) as title from documents",

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import STOPWORDS, compact, index_tokens, quoted_phrases, section_title
+from quern.functions.text import STOPWORDS, compact, index_tokens, nfkc, quoted_phrases, section_title
 from quern.plans.common import exists, materialise, r6, read, shared_dir, sized, table_version, top_k
 
 K1, B = 1.5, 0.75
@@ -24,7 +24,7 @@ IN_SOURCE, PHRASE_IN_CONTENT, PHRASE_IN_SOURCE = 0.20, 0.25, 0.15
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tokens, dl); documents without tokens aren't part of the index."""
-    return docs.select(F.col(id_col).alias("doc_id"), index_tokens(text_col).alias("tokens")).withColumn("dl", F.size("tokens")).where("dl > 0")
+    return docs.select(F.col(id_col).alias("doc_id"), index_tokens(nfkc(text_col)).alias("tokens")).withColumn("dl", F.size("tokens")).where("dl > 0")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def index_of(docs: DataFrame, scope: str = "", id_col: str = "doc_id", text_col:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, token, qtf): a token that a query repeats counts as often."""
-    return queries.select("query_id", F.explode(index_tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    return queries.select("query_id", F.explode(index_tokens(nfkc("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
 def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
@@ -164,8 +164,8 @@ def phrase_hits(phrases: DataFrame, docs: DataFrame, text_col: str = "text") ->
     so that candidates are the documents with the phrase's rarest one. Phrases that are too short for
     a window are held against all documents.
     """
-    given = phrases.select("query_id", compact("phrase").alias("needle")).where("needle <> ''").distinct()
-    texts = docs.select("doc_id", compact(text_col).alias("hay"))
+    given = phrases.select("query_id", compact(nfkc("phrase")).alias("needle")).where("needle <> ''").distinct()
+    texts = docs.select("doc_id", compact(nfkc(text_col)).alias("hay"))
     long = F.length("needle") >= GRAM + WINDOW - 1
     needles = given.where(long).select("needle").distinct()
     wanted = materialise(_grams(needles.select("needle", F.col("needle").alias("t")), "needle", "t").withColumnRenamed("id", "needle"), "phrase-grams")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,23 +9,63 @@ from pyspark.sql import functions as F
 from quern.plans.common import read
 
 MAX_BYTES = 50 << 20
-# Extensions and the kind and parser they lead to.
-FORMATS = {
-    "pdf": ("pdf", "pdf"), "docx": ("docx", "word"), "pptx": ("pptx", "pptx"), "xlsx": ("xlsx", "excel"), "xls": ("xlsx", "excel"),
-    "csv": ("tabular", "tabular"), "tsv": ("tabular", "tabular"), "html": ("html", "html"), "htm": ("html", "html"),
-    "xml": ("xml", "text"), "svg": ("xml", "text"), "json": ("json", "text"), "md": ("md", "text"), "txt": ("txt", "text"),
-}
-ENCODINGS = ("utf-8-sig", "gb18030", "big5", "latin-1")
+# Extensions with the kind, the parser and the media types they lead to.
+_PLAIN = "text/plain"
+_CODE = (_PLAIN, "text/x-python", "application/javascript", "text/javascript", "text/typescript", "application/x-sh", "text/x-shellscript", "text/css", "application/sql")
+FORMATS: dict[str, tuple[str, str | None, tuple[str, ...]]] = {
+    "pdf": ("pdf", "pdf", ("application/pdf",)),
+    "docx": ("docx", "word", ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/zip")),
+    "doc": ("other", None, ("application/msword",)),
+    "pptx": ("pptx", "pptx", ("application/vnd.openxmlformats-officedocument.presentationml.presentation", "application/zip")),
+    "xlsx": ("xlsx", "excel", ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/zip")),
+    "xls": ("xlsx", "excel", ("application/vnd.ms-excel",)),
+    "csv": ("tabular", "tabular", ("text/csv", "application/csv", "application/vnd.ms-excel", _PLAIN)),
+    "tsv": ("tabular", "tabular", ("text/tab-separated-values", _PLAIN)),
+    "html": ("html", "html", ("text/html", "application/xhtml+xml")),
+    "htm": ("html", "html", ("text/html", "application/xhtml+xml")),
+    "svg": ("xml", "text", ("image/svg+xml", "application/xml", "text/xml", _PLAIN)),
+    "txt": ("txt", "text", (_PLAIN,)),
+    "rst": ("txt", "text", (_PLAIN,)),
+    "log": ("txt", "text", (_PLAIN,)),
+    "md": ("md", "text", ("text/markdown", _PLAIN)),
+    "markdown": ("md", "text", ("text/markdown", _PLAIN)),
+    "json": ("json", "text", ("application/json", _PLAIN)),
+    "xml": ("xml", "text", ("application/xml", "text/xml", _PLAIN)),
+    "png": ("image", "image", ("image/png",)),
+    "jpg": ("image", "image", ("image/jpeg",)),
+    "jpeg": ("image", "image", ("image/jpeg",)),
+    "gif": ("image", "image", ("image/gif",)),
+    "bmp": ("image", "image", ("image/bmp",)),
+    "webp": ("image", "image", ("image/webp",)),
+} | {x: ("code", "text", _CODE) for x in "py js ts tsx jsx java c cpp cc cxx h hpp go rs rb php cs swift kt kts scala sh bash zsh bat ps1 sql yaml yml toml ini cfg conf env properties css scss less vue gitignore".split()}
+KINDS = sorted({k for k, _, _ in FORMATS.values()} | {"other"})
+# Encodings in the order in which they are tried after UTF-8.
+ENCODINGS = ("utf-8-sig", "gb18030", "gbk", "gb2312", "big5", "latin-1")
+# Cells that name a column.
+HEADER_WORDS = ("id", "name", "title", "type", "date", "time", "status", "value", "amount", "price", "count", "number", "description", "email", "phone", "address", "category", "url")
 
 
 def extension(name: Column | str) -> Column:
-    return F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1))
+    """The longest end of a name, after a dot, that the registry knows, else what follows the last dot."""
+    base = F.lower(F.regexp_extract(name, r"([^/\\\\]*)$", 1))
+    parts = F.split(base, r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    known = F.get(F.filter(ends, lambda x: x.isin(*FORMATS)), 0)
+    return F.when(F.size(parts) > 1, F.coalesce(known, F.element_at(parts, -1))).otherwise("")
 
 
 def file_kind(name: Column | str) -> Column:
-    """struct<file_type, parser>; unknown extensions are of the type `other` without a parser."""
-    table = F.create_map(*(x for k, (t, p) in FORMATS.items() for x in (F.lit(k), F.struct(F.lit(t).alias("file_type"), F.lit(p).alias("parser")))))
-    return F.coalesce(table[extension(name)], F.struct(F.lit("other").alias("file_type"), F.lit(None).cast("string").alias("parser")))
+    """struct<file_type, parser, mimes>; unknown extensions are of the type `other` without a parser."""
+    entry = lambda t, p, m: F.struct(F.lit(t).alias("file_type"), F.lit(p).cast("string").alias("parser"), F.array(*map(F.lit, m)).alias("mimes"))
+    table = F.create_map(*(x for k, v in FORMATS.items() for x in (F.lit(k), entry(*v))))
+    return F.coalesce(table[extension(name)], F.struct(F.lit("other").alias("file_type"), F.lit(None).cast("string").alias("parser"), F.array().cast("array<string>").alias("mimes")))
+
+
+def search_type(asked: Column) -> Column:
+    """What a search for a kind or an extension means: the kind that is stored; others as they are, blank ones nothing."""
+    t = F.nullif(F.lower(F.trim(asked)), F.lit(""))
+    kind = file_kind(F.concat(F.lit("query."), F.regexp_replace(t, r"^\.+", "")))["file_type"]
+    return F.when(t.isin(*KINDS), t).when(kind == "other", t).otherwise(kind)
 
 
 def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -37,23 +75,30 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return f.select("path", "length", file_kind(F.col("path")).alias("kind"), F.when(~large, F.col("content")).alias("content"), F.when(large, F.lit("too large")).alias("error"))
 
 
-def _decode_other(content: pd.Series) -> pd.Series:
-    def one(b: bytes | None) -> str | None:
-        for e in ENCODINGS if b is not None else ():
+def declared_charset(content: Column) -> Column:
+    """The character set that the first 4,096 bytes of a page declare."""
+    head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
+    return F.nullif(F.lower(F.regexp_extract(head, r"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([a-z0-9_-]+)""", 1)), F.lit(""))
+
+
+def _decode_other(content: pd.Series, declared: pd.Series) -> pd.Series:
+    def one(b: bytes | None, first: str | None) -> str | None:
+        for e in ([first] if first else []) + list(ENCODINGS) if b is not None else ():
             try:
                 return b.decode(e)
-            except UnicodeDecodeError:
+            except (UnicodeDecodeError, LookupError):
                 continue
         return None
 
-    return content.map(one)
+    return pd.Series([one(b, e) for b, e in zip(content, declared, strict=True)])
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as text: as UTF-8 where that is valid, without leaving the JVM, else by the first encoding that fits."""
+    """Bytes as text: as UTF-8 where that is valid, without leaving the JVM, else by the declared encoding or the first that fits."""
     text = content.cast("string")
     utf8 = F.is_valid_utf8(text)
-    return F.regexp_replace(F.when(utf8, text).otherwise(F.pandas_udf(_decode_other, "string")(F.when(~utf8, content))), "^﻿", "")
+    other = F.when(~utf8, content)
+    return F.regexp_replace(F.when(utf8, text).otherwise(F.pandas_udf(_decode_other, "string")(other, declared_charset(other))), "^\ufeff", "")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,27 +107,68 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.where("parsed is not null").select("row.*")
 
 
-def data_like(cell: Column) -> Column:
-    """Numbers, dates, booleans and empty cells."""
-    return cell.rlike(r"^\s*$|^[+-]?[0-9][0-9,]*(?:\.[0-9]+)?%?$|^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|^(?i:true|false|yes|no)$")
+def data_like(cell: str | None) -> bool:
+    """A formula, an address, or a number."""
+    x = (cell or "").strip()
+    return bool(x) and (x.startswith("=") or x.lower().startswith(("http://", "https://", "www.")) or x.replace(".", "", 1).replace(",", "", 1).isdigit())
+
+
+def is_header(first: list[str | None], others: list[list[str | None]]) -> bool:
+    """Whether a first row names columns: it has a word that names one; or it has no data and rows below do."""
+    cells = [x.strip() for x in first if x and x.strip()]
+    if not cells or any(x.lower() in HEADER_WORDS for x in cells):
+        return bool(cells)
+    return not any(map(data_like, cells)) and any(data_like(x) for row in others for x in row)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A delimited file whose header is inferred: a first row without data, above rows with some, names the columns."""
-    raw = spark.read.option("multiLine", "true").option("sep", sep).csv(path)
-    head = raw.limit(4).collect()
-    likely = lambda row: any(x is not None and re.match(r"^[+-]?[0-9][0-9,.]*%?$", x) for x in row)
-    if len(head) > 1 and not likely(head[0]) and any(likely(r) for r in head[1:]):
-        return spark.read.option("multiLine", "true").option("sep", sep).option("header", "true").csv(path)
-    return raw.toDF(*(f"column_{i + 1}" for i in range(len(raw.columns))))
+    """A delimited file whose header is inferred from its first four rows; blank rows are dropped, columns without a name numbered.
+
+    The header is told by its cells, so that rows equal to it are no data either.
+    """
+    raw = spark.read.option("multiLine", "true").option("sep", sep).option("escape", '"').csv(path)
+    raw = raw.where(F.greatest(*(F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in raw.columns), F.lit(0)) > 0)
+    head = [list(r) for r in raw.limit(4).collect()]
+    if not head or not is_header(head[0], head[1:]):
+        return raw.toDF(*(f"column_{i + 1}" for i in range(len(raw.columns))))
+    names = [(x or "").strip() or f"column_{i + 1}" for i, x in enumerate(head[0])]
+    same = F.lit(True)
+    for c, x in zip(raw.columns, head[0], strict=True):
+        same = same & F.col(c).eqNullSafe(F.lit(x))
+    return raw.where(~same).toDF(*names)
+
+
+def write_report(df: DataFrame, path: str, title: str = "Report") -> None:
+    """A small result as JSON lines, CSV with a header, and a Markdown table, in folders of path."""
+    df.write.mode("overwrite").json(f"{path}/json")
+    df.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns)), F.lit(" |"))
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    lines = df.sparkSession.createDataFrame([(x,) for x in head], "line string").coalesce(1).union(df.coalesce(1).select(cells))
+    lines.coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+
+
+def find_in_documents(docs: DataFrame, part: str, text_col: str = "text") -> DataFrame:
+    """Rows whose text holds a part, wildcards standing for themselves."""
+    return docs.where(F.contains(text_col, F.lit(part)))
+
+
+def field_equals(row: Column, metadata: Column, key: str, value: str) -> Column:
+    """Whether a row's field, or else the same field of its metadata (JSON), equals a value."""
+    return F.coalesce(row, F.get_json_object(metadata, f"$.{key}")).eqNullSafe(F.lit(value))
 
 
 def format_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents under file names of many kinds, counted by what the registry makes of them."""
-    names = [*FORMATS, "exe", "TXT", ""]
+    """Documents under file names of all kinds, counted by what the registry makes of them."""
+    names = [*FORMATS, "exe", "TXT", "v2.PY", ""]
     ext = F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names)).cast("int"))
-    d = read(spark, sf_dir, "documents").withColumn("kind", file_kind(F.concat_ws(".", "source", ext)))
-    return d.groupBy("kind.file_type", "kind.parser").agg(F.count("*").alias("n"))
+    d = read(spark, sf_dir, "documents").withColumn("kind", file_kind(F.concat_ws(".", "source", F.nullif(ext, F.lit("")))))
+    return d.groupBy("kind.file_type", "kind.parser", F.array_join("kind.mimes", ",").alias("mimes")).agg(F.count("*").alias("n"))
+
+
+def search_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.get(F.array(*map(F.lit, ["xls", ".CSV", "tabular", "exe", " ", "htm"])), (F.col("doc_id") % 6).cast("int"))
+    return read(spark, sf_dir, "documents").groupBy(search_type(asked).alias("file_type")).agg(F.count("*").alias("n"))
 
 
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +176,25 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host")).agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))
 
 
-_CASE = " ".join(f"when '{k}' then '{t}|{p}'" for k, (t, p) in FORMATS.items())
-_NAMES = ", ".join(f"'{x}'" for x in [*FORMATS, "exe", "TXT", ""])
-QUERIES = {"format_registry": format_registry, "page_hosts": page_hosts}
+def page_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").withColumn("bytes", F.col("html").cast("binary"))
+    return p.groupBy(declared_charset(F.col("bytes")).alias("charset")).agg(F.count("*").alias("pages"), F.count_if(decoded(F.col("bytes")) == F.col("html")).alias("decoded"))
+
+
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a text, from one source by field or metadata."""
+    d = read(spark, sf_dir, "documents").withColumn("metadata", F.to_json(F.struct(F.col("source").alias("file"))))
+    field = F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    return find_in_documents(d, "the").where(field_equals(field, F.col("metadata"), "file", "src3")).select("doc_id")
+
+
+_CASE = " ".join(f"when '{k}' then '{t}|{p or ''}|{','.join(m)}'" for k, (t, p, m) in FORMATS.items())
+_NAMES = ", ".join(f"'{x}'" for x in [*FORMATS, "exe", "TXT", "v2.PY", ""])
+QUERIES = {f.__name__: f for f in (format_registry, search_types, page_hosts, page_charsets, document_search)}
 ORACLE = {
-    "format_registry": f"with a as (select lower([{_NAMES}][(doc_id % {len(FORMATS) + 3}) + 1]) as x from documents), b as (select case x {_CASE} else 'other|' end as k from a) select split_part(k, '|', 1) as file_type, nullif(split_part(k, '|', 2), '') as parser, count(*) as n from b group by 1, 2",
+    "format_registry": f"with a as (select lower([{_NAMES}][(doc_id % {len(FORMATS) + 4}) + 1]) as x from documents), b as (select case string_split(x, '.')[-1] {_CASE} else 'other||' end as k from a) select split_part(k, '|', 1) as file_type, nullif(split_part(k, '|', 2), '') as parser, split_part(k, '|', 3) as mimes, count(*) as n from b group by 1, 2, 3",
+    "search_types": "select ['xlsx', 'tabular', 'tabular', 'exe', null, 'html'][(doc_id % 6) + 1] as file_type, count(*) as n from documents group by 1",
     "page_hosts": "select regexp_extract(url, '^https?://([^/:?#]+)', 1) as host, count(*) as pages, sum(length(html))::bigint as chars from pages group by 1",
+    "page_charsets": """select nullif(lower(regexp_extract(html[1:4096], '(?i)<meta[^>]+charset\\s*=\\s*["'']?\\s*([a-z0-9_-]+)', 1)), '') as charset, count(*) as pages, count(*) as decoded from pages group by 1""",
+    "document_search": "select doc_id from documents where contains(text, 'the') and source = 'src3'",
 }

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.plans.common import r6, read, sized
+from quern.plans.common import exists, r6, read, sized
 
 #: Arrivals in one range of late_data.
 RANGE = 20_000
@@ -38,29 +39,107 @@ def first_of_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
+def _accept(held: deque, at: int, limit: int, window: int) -> bool:
+    """Whether a call is taken after those held; it is held then, and what is out of the window isn't any more."""
+    while held and held[0] <= at - window:
+        held.popleft()
+    if len(held) < limit:
+        held.append(at)
+        return True
+    return False
+
+
 def accepted_calls(df: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """(user_id, event_id, accepted): a call is accepted if fewer than limit accepted ones lie in the seconds before it.
+    """(user_id, event_id, accepted, reset_at): a call is accepted if fewer than limit accepted ones lie in the seconds before it.
 
     Only accepted calls count, so the state is sequential. Rows are sorted within partitions and
-    pass as a stream; what is held of a key is its last accepted times, limit at most.
+    pass as a stream; what is held of a key is its last accepted times, limit at most. Calls without
+    a user are one user's. reset_at: when the oldest call that counts leaves the window, in microseconds.
     """
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, deque()
-        for f in frames:
-            ok = []
-            for user, at in zip(f["user_id"], f["at"], strict=True):
+    window = seconds * 1_000_000
+    kinds = [df.schema[c].dataType.simpleString() for c in ("user_id", "event_id")]
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: object = rows  # no user's
+        held: deque = deque()
+        for b in batches:
+            ok, reset = [], []
+            for user, at in zip(b.column("user_id").to_pylist(), b.column("at").to_pylist(), strict=True):
                 if user != key:
                     key, held = user, deque()
-                while held and held[0] <= at - seconds * 1_000_000:
-                    held.popleft()
-                ok.append(len(held) < limit)
-                if ok[-1]:
-                    held.append(at)
-            yield pd.DataFrame({"user_id": f["user_id"], "event_id": f["event_id"], "accepted": ok})
+                ok.append(_accept(held, at, limit, window))
+                reset.append(held[0] + window)
+            yield pa.RecordBatch.from_arrays([b.column("user_id"), b.column("event_id"), pa.array(ok, pa.bool_()), pa.array(reset, pa.int64())], ["user_id", "event_id", "accepted", "reset_at"])
 
     timed = df.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return timed.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(rows, "user_id bigint, event_id bigint, accepted boolean")
+    return timed.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInArrow(rows, f"user_id {kinds[0]}, event_id {kinds[1]}, accepted boolean, reset_at bigint")
+
+
+def accepted_stream(stream: DataFrame, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """The same for a stream (user_id, event_id, ts): the held times of a user are state, dropped once the watermark has passed them."""
+    window = seconds * 1_000_000
+
+    def of(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = deque(state.get[0]) if state.exists else deque()
+        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        ok = [_accept(held, int(at), limit, window) for at in rows["at"]]
+        state.update((list(held),))
+        if held and held[-1] + window > state.getCurrentWatermarkMs() * 1000:
+            state.setTimeoutTimestamp((held[-1] + window) // 1000)
+        yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "accepted": ok})
+
+    timed = event_time(stream, late=late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at"))
+    return timed.groupBy("user_id").applyInPandasWithState(of, "user_id bigint, event_id bigint, accepted boolean", "held array<bigint>", "append", "EventTimeTimeout")
+
+
+def unexpired(df: DataFrame, keys: list[str], ts: str, ttl: Column, as_of: Column) -> DataFrame:
+    """The latest row of each key, unless its time to live has passed; entries for a key replace those before."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.where(F.col(ts) <= as_of).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*([ts] + [c for c in rest if c != ts]))).alias("row")).select(*keys, "row.*")
+    return last.where(F.col(ts) + ttl > as_of)
+
+
+def followed(first: DataFrame, second: DataFrame, key: str, within: str, late: str | None = None) -> DataFrame:
+    """Rows of first (key, ts, id) with those of second that follow them within a time: key, first_id, second_id. Streams join the same way, with watermarks."""
+    a = event_time(first, late=late).select(F.col(key), F.col("ts").alias("first_ts"), F.col("id").alias("first_id"))
+    b = event_time(second, late=late).select(F.col(key).alias("key_"), F.col("ts").alias("second_ts"), F.col("id").alias("second_id"))
+    near = (F.col("second_ts") >= F.col("first_ts")) & (F.col("second_ts") <= F.col("first_ts") + F.expr(f"interval {within}"))
+    return a.join(b, (F.col(key) == F.col("key_")) & near).select(key, "first_id", "second_id")
+
+
+def usage_of(df: DataFrame) -> DataFrame:
+    """Calls at two grains, (tool, user, day) and (tool, day); the user is null in the second."""
+    e = df.withColumn("day", F.to_date("ts"))
+    return e.groupingSets([[F.col("event_type"), F.col("user_id"), F.col("day")], [F.col("event_type"), F.col("day")]], "event_type", "user_id", "day").agg(F.grouping("user_id").alias("all_users"), F.count("*").alias("calls"), F.sum("value").alias("total"))
+
+
+def start_usage_rollup(stream: DataFrame, path: str, checkpoint: str):
+    """Keeps usage at both grains up to date: each micro-batch adds its own sums under its number.
+
+    A batch that is run again replaces its own folder, so that nothing counts twice; read_usage adds
+    the batches up.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        usage_of(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The present usage: sums over all batches that have been written."""
+    if not exists(spark, path):
+        raise ValueError(f"nothing has been rolled up at {path}")
+    return spark.read.parquet(path).groupBy("event_type", "user_id", "day", "all_users").agg(F.sum("calls").alias("calls"), F.sum("total").alias("total"))
+
+
+def latest_state(df: DataFrame, key: str, order: str, created: str) -> DataFrame:
+    """An upsert of all rows: the latest of each key, with the time of creation of the first."""
+    rest = [c for c in df.columns if c not in (key, created)]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("row"), F.min_by(created, order).alias(created)).select(key, "row.*", created)
 
 
 def start_daily_rollup(stream: DataFrame, path: str, checkpoint: str):
@@ -121,6 +200,29 @@ def rate_limit_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted_calls(read(spark, sf_dir, "events"), limit=3, seconds=86_400)
 
 
+def live_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as writes to a cache of one day: what is still in it at a time."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    day = F.expr("interval 1 day")
+    return unexpired(e, ["user_id", "event_type"], "ts", day, F.expr("timestamp_ntz'2024-01-15 00:00:00'")).select("user_id", "event_type", "event_id")
+
+
+def followed_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks that a purchase of the same user follows within two hours."""
+    e = read(spark, sf_dir, "events").withColumnRenamed("event_id", "id")
+    return followed(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "user_id", "2 hours")
+
+
+def usage_two_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage_of(read(spark, sf_dir, "events")).select("event_type", "user_id", F.col("day").cast("string").alias("day"), F.col("all_users").cast("int").alias("all_users"), "calls", F.round("total", 4).alias("total"))
+
+
+def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as checkpoints of each user's task: the latest state, since when, and created when."""
+    e = read(spark, sf_dir, "events").withColumn("version", F.struct("ts", "event_id")).withColumn("created_at", F.col("ts"))
+    return latest_state(e.select("user_id", "event_type", "event_id", "ts", "version", "created_at"), "user_id", "version", "created_at").select("user_id", "event_type", "event_id", "ts", "created_at")
+
+
 def running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's share of its conversation that is done, in percent."""
     t = read(spark, sf_dir, "conversations")
@@ -128,8 +230,17 @@ def running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", r6(F.count("*").over(by.orderBy("turn")) * 100.0 / F.count("*").over(by)).alias("percent"))
 
 
-QUERIES = {f.__name__: f for f in (tumbling_counts, sliding_counts, session_windows, late_data, rate_limit_attempts, rate_limit_accepted, running_progress)}
+QUERIES = {f.__name__: f for f in (tumbling_counts, sliding_counts, session_windows, late_data, rate_limit_attempts, rate_limit_accepted, running_progress, live_entries, followed_purchases, usage_two_grains, task_states)}
 ORACLE = {
+    "rate_limit_accepted": """with recursive e as materialized (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events),
+        r as (select user_id, n, event_id, true as accepted, [us] as held from e where n = 1 union all
+            select user_id, n, event_id, len(held) < 3, case when len(held) < 3 then list_append(held, us) else held end from
+            (select e.user_id, e.n, e.event_id, e.us, list_filter(r.held, lambda x: x > e.us - 86400000000) as held from r join e on e.user_id is not distinct from r.user_id and e.n = r.n + 1))
+        select user_id, event_id, accepted, held[1] + 86400000000 as reset_at from r""",
+    "live_entries": "select user_id, event_type, event_id from (select * from events where ts <= timestamp '2024-01-15' qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1) where ts + interval 1 day > timestamp '2024-01-15'",
+    "followed_purchases": "select a.user_id, a.event_id as first_id, b.event_id as second_id from events a join events b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'purchase' and b.ts >= a.ts and b.ts <= a.ts + interval 2 hour",
+    "usage_two_grains": "select event_type, user_id, ts::date::varchar as day, grouping(user_id)::int as all_users, count(*) as calls, round(sum(value), 4) as total from events group by grouping sets ((event_type, user_id, ts::date), (event_type, ts::date))",
+    "task_states": "select user_id, event_type, event_id, ts, first_ts as created_at from (select *, min(ts) over (partition by user_id) as first_ts from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)",
     "tumbling_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "sliding_counts": "select strftime(time_bucket(interval 6 hour, ts) - i * interval 6 hour, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from events, range(4) t(i) group by 1, 2",
     "session_windows": "with a as (select *, case when ts - lag(ts) over w < interval 2 hour then 0 else 1 end as fresh from events window w as (partition by user_id order by ts, event_id)), b as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from a) select strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start, user_id, count(*) as n from b group by user_id, s",
