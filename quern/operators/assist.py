@@ -7,17 +7,48 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.dom import main_content
 from quern.functions.markup import DROPPED, ENTITIES, line_kind, rendered
-from quern.functions.text import index_tokens, quoted_phrases
-from quern.plans.common import r6, read
-
-SYNONYMS: Mapping[str, tuple[str, ...]] = {"ention": ("mention",), "hand": ("palm", "fist"), "erth": ("earth",)}
-STATUSES = {"uploaded": "pending", "queued": "pending", "parsing": "processing", "vectorising": "processing", "done": "completed", "ready": "completed", "error": "failed"}
+from quern.functions.text import citation_indices, is_page_number, json_in, preview, quoted_phrases, source_name, with_source_names
+from quern.plans.common import materialise, r6, read, sized
+
+# Words that mean much the same.
+SYNONYMS: Mapping[str, tuple[str, ...]] = {
+    "公司": ("企业", "组织", "机构"),
+    "产品": ("商品", "服务", "项目"),
+    "文档": ("文件", "资料", "材料"),
+    "政策": ("规定", "制度", "条例"),
+    "报告": ("报表", "总结", "汇报"),
+}
+# Words that are no keywords.
+NO_KEYWORDS = ("的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一个", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这")
+# Stored states and what they are shown as.
+STATUSES = {
+    "pending": "pending", "queued": "pending", "running": "processing", "processing": "processing", "retrying": "processing",
+    "succeeded": "completed", "completed": "completed", "success": "completed", "failed": "failed", "cancelled": "failed", "timed_out": "failed",
+}
+# What to do about an answer.
+RECOMMENDATIONS = ("内容质量良好，与检索结果高度一致", "内容基本可靠，建议增加更多引用标记", "检测到可能的幻觉内容，建议重新生成并严格基于检索结果", "内容与检索结果一致性较低，强烈建议重新生成")
 
 
 def keywords(text: Column | str, most: int = 10) -> Column:
-    """Quoted phrases first, then tokens in their order, without repeats; a top of the list is the feature."""
-    return F.slice(F.array_distinct(F.concat(quoted_phrases(text), index_tokens(text))), 1, most)
+    """Quoted phrases first, then Latin words and Han runs in their order, without repeats; a top of the list is the feature.
+
+    A Han run of up to eight characters counts as a whole, and one of three or more also gives its
+    parts of four, three and two characters.
+    """
+    t = F.lower(F.col(text) if isinstance(text, str) else text)
+    runs = F.regexp_extract_all(t, F.lit("([a-z0-9]+|[一-鿿]+)"), F.lit(0))
+    parts = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - n + 1)), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def of(r: Column) -> Column:
+        whole = F.when(F.length(r) <= 8, F.array(r)).otherwise(none)
+        han = F.when(F.length(r) <= 2, F.array(r)).otherwise(F.concat(whole, *(parts(r, n) for n in (4, 3, 2))))
+        return F.when(r.rlike("^[a-z0-9]"), F.when(F.length(r) > 1, F.array(r)).otherwise(none)).otherwise(han)
+
+    words = F.filter(F.flatten(F.transform(runs, of)), lambda w: ~w.isin(*NO_KEYWORDS))
+    return F.slice(F.array_distinct(F.concat(quoted_phrases(t), words)), 1, most)
 
 
 def with_synonyms(tokens: Column, synonyms: Mapping[str, tuple[str, ...]] = SYNONYMS) -> Column:
@@ -27,11 +58,102 @@ def with_synonyms(tokens: Column, synonyms: Mapping[str, tuple[str, ...]] = SYNO
     return F.array_distinct(F.concat(tokens, more))
 
 
+def sanitised_queries(rewritten: Column, most: int = 3) -> Column:
+    """Rewritten queries without numbering, labels, quotes, placeholders and repeats."""
+    bare = F.transform(rewritten, lambda q: F.trim(F.regexp_replace(F.regexp_replace(F.trim(q), r"^(?:[-*•]|\d+[.)、])\s*|^(?i:query|rewritten query|查询|改写)\s*\d*\s*[:：]\s*", ""), "^[\"“'‘]+|[\"”'’]+$", "")))
+    kept = F.filter(bare, lambda q: (q != "") & ~q.rlike(r"^(?:[\[{<].*[\]}>]|\.\.\.|…|(?i:n/a|none|null))$"))
+    return F.slice(F.array_distinct(kept), 1, most)
+
+
 def mapped_status(*stored: Column) -> Column:
-    """The first status that is given, in the four words of the engine; pending if none is."""
+    """The first status that is given, in the four words of the engine; pending if none is, or it isn't known."""
     table = F.create_map(*(F.lit(x) for kv in STATUSES.items() for x in kv))
-    known = [F.when(s.isin("pending", "processing", "completed", "failed"), s).otherwise(table[s]) for s in stored]
-    return F.coalesce(*known, F.lit("pending"))
+    return F.coalesce(table[F.lower(F.trim(F.coalesce(*stored, F.lit(""))))], F.lit("pending"))
+
+
+def recommendation(score: Column, flagged: Column) -> Column:
+    good, fair, doubtful, poor = map(F.lit, RECOMMENDATIONS)
+    return F.when(~flagged & (score >= 0.9), good).when(~flagged & (score >= 0.7), fair).when(flagged & (score >= 0.5), doubtful).otherwise(poor)
+
+
+def extracted_citations(answers: DataFrame, results: DataFrame) -> DataFrame:
+    """(answer_id, index, source_id, source_name, score, preview) for each cited number that a result has.
+
+    answers: (answer_id, query_id, answer); results: (query_id, rank, source_id, source_name, score, content).
+    """
+    cited = answers.select("answer_id", "query_id", F.explode(citation_indices("answer")).alias("index"))
+    found = cited.join(results, (cited["query_id"] == results["query_id"]) & (F.col("index") == F.col("rank")))
+    return found.select("answer_id", "index", "source_id", "source_name", "score", preview("content", 100).alias("preview"))
+
+
+def formatted_citations(citations: DataFrame, style: str = "markdown") -> DataFrame:
+    """(answer_id, text): an answer's citations as Markdown, HTML or plain text, in the order of their numbers."""
+    relevance = F.when(F.col("score").isNotNull(), F.format_string("(相关度: %.2f)", F.col("score").cast("double")))
+    number, name = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("]")), F.col("source_name")
+    if style == "html":
+        line = F.concat(F.lit("<li><strong>"), name, F.lit("</strong>"), F.coalesce(F.concat(F.lit(' <span class="score">'), relevance, F.lit("</span>")), F.lit("")), F.lit("</li>"))
+        head, tail = ['<div class="citations">', "<h3>参考来源</h3>", "<ol>"], ["</ol>", "</div>"]
+    else:
+        line = F.concat_ws(" ", number, F.concat(F.lit("**"), name, F.lit("**")) if style == "markdown" else name, relevance)
+        head, tail = (["## 参考来源", ""] if style == "markdown" else ["参考来源："]), []
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("index", line.alias("line")))), lambda x: x["line"])
+    return citations.groupBy("answer_id").agg(F.array_join(F.concat(F.array(*map(F.lit, head)), lines, F.array(*map(F.lit, tail)) if tail else F.array().cast("array<string>")), "\n").alias("text"))
+
+
+def validated_citations(answers: DataFrame, citations: DataFrame) -> DataFrame:
+    """(answer_id, cited, total, unmatched, coverage, is_valid): the numbers in an answer against its extracted citations."""
+    held = citations.groupBy("answer_id").agg(F.collect_set("index").alias("known"), F.count("*").alias("total"))
+    joined = answers.select("answer_id", citation_indices("answer").alias("cited")).join(held, "answer_id", "left")
+    unmatched = F.array_except("cited", F.coalesce("known", F.array().cast("array<int>")))
+    total = F.coalesce("total", F.lit(0))
+    return joined.select("answer_id", F.size("cited").alias("cited"), total.alias("total"), F.size(unmatched).alias("unmatched"), r6(F.when(total > 0, F.size("cited") / total).otherwise(0.0)).alias("coverage"), (F.size(unmatched) == 0).alias("is_valid"))
+
+
+def without_edges(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, page_no, text) without the first and last lines that repeat over a document's pages, and without page numbers there."""
+    repeated = materialise(repeated_edges(pages).groupBy("doc_id").agg(F.collect_set(F.when(F.col("edge") == "header", F.col("line"))).alias("heads"), F.collect_set(F.when(F.col("edge") == "footer", F.col("line"))).alias("feet")), "edges")
+    joined = pages.join(sized(repeated), "doc_id", "left")
+    none = F.array().cast("array<string>")
+    first, last = F.regexp_extract("text", r"^\s*([^\n]+)", 1), F.regexp_extract("text", r"([^\n]+)\s*$", 1)
+    noise = lambda line, found: F.array_contains(F.coalesce(found, none), line) | is_page_number(F.trim(line))
+    t = F.when(noise(first, F.col("heads")), F.regexp_replace("text", r"^\s*[^\n]+\n?", "")).otherwise(F.col("text"))
+    t = F.when(noise(last, F.col("feet")), F.regexp_replace(t, r"\n?[^\n]+\s*$", "")).otherwise(t)
+    return joined.select("doc_id", "page_no", t.alias("text"))
+
+
+def same_name(df: DataFrame, id_col: str, name_col: str, scope: str) -> DataFrame:
+    """Rows whose trimmed name, in lower case, another row of the same scope has: id, scope, name, others."""
+    n = df.select(id_col, scope, F.lower(F.trim(name_col)).alias("name"))
+    counts = n.groupBy(scope, "name").agg((F.count("*") - 1).alias("others")).where("others > 0 and name <> ''")
+    return n.join(counts, [scope, "name"]).select(id_col, scope, "name", "others")
+
+
+# Routes, and the words that lead to them, in the order in which they are asked.
+ROUTES = (("tool", r"(?i)\b(?:calculate|convert|weather|time now|today's date|translate)\b|计算|天气|几点|日期|汇率|翻译"), ("retrieval", r"(?i)\b(?:what|who|when|where|which|why|how|document|file|according to)\b|什么|谁|何时|哪里|哪些|为什么|如何|怎么|文档|文件|根据|查询|介绍"))
+
+
+def route(text: Column, preferred: Column) -> Column:
+    """Where a request goes: to what is asked for by name, to a tool, to retrieval, or to generation."""
+    out = F.lit("generation")
+    for name, words in reversed(ROUTES):
+        out = F.when(text.rlike(words), name).otherwise(out)
+    return F.when(preferred.isin("tool", "retrieval", "generation"), preferred).otherwise(out)
+
+
+def is_small_talk(text: Column) -> Column:
+    return (F.length(F.trim(text)) <= 20) & text.rlike(r"^(?i)\s*(?:hi|hello|hey|thanks|thank you|bye|ok|你好|您好|谢谢|再见|好的)\b?[\s!.。！]*$")
+
+
+def follows_up(text: Column) -> Column:
+    """Whether a message refers to what was said before."""
+    return text.rlike(r"^(?i)\s*(?:and|also|then|but|continue|go on|shorter|longer|again|继续|再|还有|另外|然后|改成|换成)\b?")
+
+
+def search_hits(text: Column) -> Column:
+    """The results in the Markdown of a search: title, link and snippet of each."""
+    titles, links = (F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:\d+\.|[-*])?\s*\[([^\]]+)\]\((https?://[^)\s]+)\)[ \t]*[-–:]?[ \t]*(.*)$"), F.lit(i)) for i in (1, 2))
+    snippets = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:\d+\.|[-*])?\s*\[([^\]]+)\]\((https?://[^)\s]+)\)[ \t]*[-–:]?[ \t]*(.*)$"), F.lit(3))
+    return F.arrays_zip(titles.alias("title"), links.alias("link"), snippets.alias("snippet"))
 
 
 def combined_verdict(rule: Column, model: Column, said: Column) -> tuple[Column, Column]:
@@ -59,9 +181,13 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return typed.select("page_id", "pos", "kind", F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(above).alias("section"), "text")
 
 
+#: Synonyms for the benchmark's invented words.
+EXAMPLE = {"ention": ("mention",), "hand": ("palm", "fist"), "erth": ("earth",)}
+
+
 def query_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = keywords("text")
-    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(k, " ").alias("keywords"), F.array_join(with_synonyms(k), " ").alias("expanded"))
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(k, " ").alias("keywords"), F.array_join(with_synonyms(k, EXAMPLE), " ").alias("expanded"))
 
 
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,27 +202,88 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule scores from the labels' quality, a model's from toxicity where that is known."""
     rule = F.when(F.col("quality") == 1, 1.0).otherwise(0.5)
     score, flagged = combined_verdict(rule, 1.0 - F.col("toxic"), F.col("toxic") == 1)
-    return read(spark, sf_dir, "labels").select("doc_id", r6(score).alias("score"), flagged.alias("flagged"))
+    return read(spark, sf_dir, "labels").select("doc_id", r6(score).alias("score"), flagged.alias("flagged"), recommendation(score, flagged).alias("recommendation"))
 
 
 def status_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["uploaded", "parsing", "done", "error", "failed", "odd"]
-    s = F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % 6).cast("int"))
+    names = ["Queued", "running", "success", "timed_out", "failed", "odd", " "]
+    s = F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % 7).cast("int"))
     stored = F.when(F.col("doc_id") % 5 == 0, F.lit("completed"))
     return read(spark, sf_dir, "documents").groupBy(mapped_status(stored, s).alias("status")).agg(F.count("*").alias("n"))
 
 
 def same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose trimmed lower-case name another part has as well, and with how many they share it."""
-    p = read(spark, sf_dir, "part").withColumn("name", F.lower(F.trim("p_name")))
-    return p.groupBy("name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
+    """Parts whose trimmed lower-case name another part of their brand has as well."""
+    return same_name(read(spark, sf_dir, "part"), "p_partkey", "p_name", "p_brand")
+
+
+def _role_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "conversations")
+    page = F.concat(F.lit("Same head\n"), "text", F.lit("\nPage "), F.col("turn").cast("string"))
+    return t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), page.alias("text"))
 
 
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents, turns as pages: lines that repeat at the edges."""
+    return repeated_edges(_role_pages(spark, sf_dir)).select("doc_id", "edge", "line", "n", "pages")
+
+
+def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages without what repeats at their edges, and without their numbers."""
+    return without_edges(_role_pages(spark, sf_dir)).select("doc_id", "page_no", F.md5("text").alias("text_md5"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns that cite user turns by number."""
+    t = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    mark = F.concat(F.lit(" ["), (F.col("turn") % 3).cast("string"), F.lit("]【来源"), (F.col("turn") % 4 + 1).cast("string"), F.lit("】"))
+    return t.select(F.struct("conv_id", "turn").alias("answer_id"), F.col("conv_id").alias("query_id"), F.concat("text", mark).alias("answer"))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "conversations").where("role = 'user'")
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.select(F.col("conv_id").alias("query_id"), rank.alias("rank"), F.col("turn").alias("source_id"), source_name(F.lit(" "), F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("source_name"), (1.0 / (F.col("turn") + 1)).alias("score"), F.col("text").alias("content"))
+
+
+def citation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted_citations(_answers(spark, sf_dir), _sources(spark, sf_dir)).select("answer_id.*", "index", "source_id", "source_name", r6("score").alias("score"), F.md5("preview").alias("preview_md5"))
+
+
+def citation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _answers(spark, sf_dir)
+    return validated_citations(a, extracted_citations(a, _sources(spark, sf_dir))).select("answer_id.*", "cited", "total", "unmatched", "coverage", "is_valid")
+
+
+def citation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = extracted_citations(_answers(spark, sf_dir), _sources(spark, sf_dir)).select("answer_id", "index", "source_name", F.lit(0.5).alias("score"))
+    out = formatted_citations(c).withColumnRenamed("text", "markdown").join(formatted_citations(c, "plain").withColumnRenamed("text", "plain"), "answer_id")
+    return out.select("answer_id.*", "markdown", "plain")
+
+
+def named_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with the names of two sources in place of their marks."""
+    names = F.array(F.lit("A [2]"), F.lit("B"))
+    return _answers(spark, sf_dir).select("answer_id.*", F.md5(with_source_names(F.col("answer"), names)).alias("answer_md5"))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "conversations")
-    pages = t.select(F.col("role").alias("doc_id"), F.col("turn").alias("page_no"), F.concat(F.lit("Same head\n"), "text").alias("text"))
-    return repeated_edges(pages).select("doc_id", "edge", "line", "n", "pages")
+    return t.groupBy(route(F.col("text"), F.when(F.col("turn") % 5 == 4, "retrieval")).alias("route"), is_small_talk(F.col("text")).alias("small_talk"), follows_up(F.col("text")).alias("follow_up")).agg(F.count("*").alias("n"))
+
+
+def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a model's answers that hold JSON, fenced or not, or none."""
+    e = read(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("So: "), "props", F.lit(" it is."))).otherwise(F.lit("none {here"))
+    return e.select("event_id", F.get_json_object(json_in(text), "$.k").cast("int").alias("k"))
+
+
+def html_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main content of each page: its element and score, and how many blocks of each kind it has."""
+    p = read(spark, sf_dir, "pages").select("page_id", main_content(F.col("html")).alias("m"))
+    of = lambda kind: F.size(F.filter("m.blocks", lambda b: b["kind"] == kind))
+    return p.select("page_id", "m.title", "m.root_tag", "m.score", of("heading").alias("headings"), of("paragraph").alias("paragraphs"), F.element_at("m.blocks", -1)["section_path"].alias("last_path"))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +291,8 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("section").alias("section"))
 
 
-_STOP = "', '".join("a an and are as at be by for from in is of on or that the this to was were with".split())
-_KEYS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1 and x not in ('{_STOP}'))"
-_SYN = "[" + ", ".join(f"{{'k': '{k}', 'v': '{x}'}}" for k, v in SYNONYMS.items() for x in v) + "]"
+_KEYS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1)"
+_SYN = "[" + ", ".join(f"{{'k': '{k}', 'v': '{x}'}}" for k, v in EXAMPLE.items() for x in v) + "]"
 
 
 def _rendered_sql() -> str:
@@ -123,16 +309,37 @@ def _rendered_sql() -> str:
     return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ')), lambda x: x <> '' and not regexp_matches(x, '^(?:#+|-)$'))"
 
 
-QUERIES = {f.__name__: f for f in (query_keywords, answer_context, verdicts, status_mapping, same_names, page_furniture, html_blocks)}
+_PAGES = "p as (select conv_id as doc_id, turn as page_no, 'Same head' || chr(10) || text || chr(10) || 'Page ' || turn as t from conversations)"
+_EDGES = r"c as (select doc_id, edge, line, count(*) as n from (select doc_id, 'header' as edge, regexp_extract(t, '^\s*([^\n]+)', 1) as line from p union all select doc_id, 'footer', regexp_extract(t, '([^\n]+)\s*$', 1) from p) where line <> '' group by all), k as (select doc_id, count(*) as pages from p group by 1), ed as (select doc_id, edge, line, n, pages from c join k using (doc_id) where n >= greatest(2, (3 * pages + 4) // 5))"
+_CITED = r"""an as (select conv_id, turn, text || ' [' || (turn % 3) || ']【来源' || (turn % 4 + 1) || '】' as a from conversations where role = 'assistant'),
+    ix as (select distinct conv_id, turn, unnest(regexp_extract_all(a, '\[(\d+)\]', 1) || regexp_extract_all(a, '【(\d+)】', 1) || regexp_extract_all(a, '\((\d+)\)', 1) || regexp_extract_all(a, '【来源(\d+)】', 1))::int as index from an),
+    sr as (select conv_id, row_number() over (partition by conv_id order by turn) as rank, turn as source_id, 'turn ' || turn as source_name, 1.0::double / (turn + 1) as score, text as content from conversations where role = 'user'),
+    ci as (select ix.*, source_id, source_name, score, content from ix join sr on sr.conv_id = ix.conv_id and sr.rank = ix.index)"""
+QUERIES = {f.__name__: f for f in (query_keywords, answer_context, verdicts, status_mapping, same_names, page_furniture, stripped_pages, citation_rows, citation_checks, citation_lists, named_answers, routes, answer_json, html_roots, html_blocks)}
 ORACLE = {
     "query_keywords": f"""with a as (select item_id, {_KEYS} as t from benchmark), b as (select item_id, list_transform(list_filter(range(1, len(t) + 1), lambda i: list_position(t, t[i]) = i), lambda i: t[i])[1:10] as k from a),
         c as (select item_id, k, k || list_transform(list_filter(flatten(list_transform(k, lambda w: list_transform({_SYN}, lambda s: [s.k, s.v, w]))), lambda s: s[1] = s[3]), lambda s: s[2]) as e from b)
         select item_id, array_to_string(k, ' ') as keywords, array_to_string(list_transform(list_filter(range(1, len(e) + 1), lambda i: list_position(e, e[i]) = i), lambda i: e[i]), ' ') as expanded from c""",
-    "answer_context": "with t as (select conv_id, row_number() over (partition by conv_id order by turn) as n, case when length(text) > 100 then text[1:100] || '...' else text end as p from conversations where role = 'user') select conv_id, string_agg('[' || n || '] ' || p, chr(10) || chr(10) order by n) as context from t group by 1",
-    "verdicts": "with a as (select doc_id, case when quality = 1 then 1.0 else 0.5 end::double as r, case when doc_id % 3 > 0 then 1.0 - toxic end::double as m from labels), b as (select doc_id, coalesce(0.4 * r + 0.6 * m, r) as s from a) select doc_id, round(s, 6) as score, s < 0.7 as flagged from b",
-    "status_mapping": "select case when doc_id % 5 = 0 then 'completed' else ['pending', 'processing', 'completed', 'failed', 'failed', 'pending'][(doc_id % 6) + 1] end as status, count(*) as n from documents group by 1",
-    "same_names": "select lower(trim(p_name)) as name, count(*) as n, min(p_partkey) as first from part group by 1 having count(*) > 1",
-    "page_furniture": r"with p as (select role as doc_id, 'Same head' || chr(10) || text as t from conversations), c as (select doc_id, edge, line, count(*) as n from (select doc_id, 'header' as edge, regexp_extract(t, '^\s*([^\n]+)', 1) as line from p union all select doc_id, 'footer', regexp_extract(t, '([^\n]+)\s*$', 1) from p) where line <> '' group by all), k as (select doc_id, count(*) as pages from p group by 1) select doc_id, edge, line, n, pages from c join k using (doc_id) where n >= greatest(2, (3 * pages + 4) // 5)",
+    "answer_context": "with t as (select conv_id, row_number() over (partition by conv_id order by turn) as n, text as p from conversations where role = 'user') select conv_id, string_agg('[' || n || '] ' || p, chr(10) || chr(10) order by n) as context from t group by 1",
+    "verdicts": f"""with a as (select doc_id, case when quality = 1 then 1.0 else 0.5 end::double as r, 1.0::double - toxic as m, coalesce(toxic = 1, false) as said from labels), b as (select doc_id, coalesce(0.4 * r + 0.6 * m, r) as s, said from a), c as (select doc_id, s, s < 0.7 or said as flagged from b)
+        select doc_id, round(s, 6) as score, flagged, case when not flagged and s >= 0.9 then '{RECOMMENDATIONS[0]}' when not flagged and s >= 0.7 then '{RECOMMENDATIONS[1]}' when flagged and s >= 0.5 then '{RECOMMENDATIONS[2]}' else '{RECOMMENDATIONS[3]}' end as recommendation from c""",
+    "status_mapping": "select case when doc_id % 5 = 0 then 'completed' else ['pending', 'processing', 'completed', 'failed', 'failed', 'pending', 'pending'][(doc_id % 7) + 1] end as status, count(*) as n from documents group by 1",
+    "same_names": "select p_partkey, p_brand, lower(trim(p_name)) as name, count(*) over (partition by p_brand, lower(trim(p_name))) - 1 as others from part qualify others > 0",
+    "page_furniture": f"with {_PAGES}, {_EDGES} select doc_id, edge, line, n, pages from ed",
+    "stripped_pages": rf"""with {_PAGES}, {_EDGES}, f as (select p.doc_id, p.page_no, regexp_extract(t, '^\s*([^\n]+)', 1) in (select line from ed where ed.doc_id = p.doc_id and edge = 'header') as h, t from p)
+        select doc_id, page_no, md5(regexp_replace(case when h then regexp_replace(t, '^\s*[^\n]+\n?', '') else t end, '\n?[^\n]+\s*$', '')) as text_md5 from f""",
+    "citation_rows": f"with {_CITED} select conv_id, turn, index, source_id, source_name, round(score, 6) as score, md5(case when length(content) > 100 then content[1:100] || '...' else content end) as preview_md5 from ci",
+    "citation_checks": f"""with {_CITED}, n as (select conv_id, turn, count(*) as total from ci group by 1, 2), u as (select conv_id, turn, count(*) as hit from ix semi join ci using (conv_id, turn, index) group by 1, 2), c as (select conv_id, turn, count(*) as cited from ix group by 1, 2)
+        select conv_id, turn, cited::int as cited, coalesce(total, 0) as total, (cited - coalesce(hit, 0))::int as unmatched, round(case when total > 0 then cited / total else 0 end, 6)::double as coverage, cited = coalesce(hit, 0) as is_valid from c left join n using (conv_id, turn) left join u using (conv_id, turn)""",
+    "citation_lists": f"""with {_CITED} select conv_id, turn, '## 参考来源' || chr(10) || chr(10) || string_agg('[' || index || '] **' || source_name || '** (相关度: 0.50)', chr(10) order by index) as markdown, '参考来源：' || chr(10) || string_agg('[' || index || '] ' || source_name || ' (相关度: 0.50)', chr(10) order by index) as plain from ci group by 1, 2""",
+    "named_answers": "with a as (select conv_id, turn, text, turn % 3 as i, turn % 4 + 1 as j from conversations where role = 'assistant') select conv_id, turn, md5(text || ' ' || case i when 1 then '【A [2]】' when 2 then '【B】' else '[0]' end || case j when 1 then '【A [2]】' when 2 then '【B】' else '【来源' || j || '】' end) as answer_md5 from a",
+    "routes": rf"""select case when turn % 5 = 4 then 'retrieval' when regexp_matches(text, '{ROUTES[0][1].replace(chr(39), chr(39) * 2)}') then 'tool' when regexp_matches(text, '{ROUTES[1][1]}') then 'retrieval' else 'generation' end as route,
+        length(trim(text)) <= 20 and regexp_matches(text, '^(?i)\s*(?:hi|hello|hey|thanks|thank you|bye|ok|你好|您好|谢谢|再见|好的)\b?[\s!.。！]*$') as small_talk, regexp_matches(text, '^(?i)\s*(?:and|also|then|but|continue|go on|shorter|longer|again|继续|再|还有|另外|然后|改成|换成)\b?') as follow_up, count(*) as n from conversations group by all""",
+    "answer_json": "select event_id, case when event_id % 3 < 2 then (props->>'$.k')::int end as k from events",
+    "html_roots": r"""with a as (select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as b from pages),
+        e as (select *, replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&middot;', '·'), '&amp;', '&') as t, regexp_extract(b, '(?s)<h1>(.*?)</h1>', 1) as h from a)
+        select page_id, trim(regexp_replace(replace(title, '&amp;', '&'), '\s+', ' ', 'g')) as title, 'article' as root_tag, (100 + least(120, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) // 80))::int as score, 1 as headings,
+            len(list_filter(string_split(b, '<p>')[2:], lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) <> ''))::int as paragraphs, trim(regexp_replace(replace(h, '&amp;', '&'), '\s+', ' ', 'g')) as last_path from e""",
     "html_blocks": f"""with a as (select page_id, {_rendered_sql()} as l from pages), b as (select page_id, unnest(l) as line, generate_subscripts(l, 1) as pos from a),
         c as (select page_id, pos, case when regexp_matches(line, '^#{{1,6}} ') then 'heading' when starts_with(line, '- ') then 'list_item' else 'paragraph' end as kind, regexp_replace(line, '^(?:#{{1,6}}|-) ', '') as text from b),
         d as (select *, last_value(case when kind = 'heading' then text end ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and current row) as section from c)
