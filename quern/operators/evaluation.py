@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.chunking import _boundary_sql, _fixed_sql, boundary_chunks, fixed_chunks
 from quern.operators.fusion import LANES_SQL, lanes, merge_lanes, query_set
-from quern.plans.common import materialise, r6, read, sized, top_k
+from quern.operators.rerank import _CAND, _candidates, _reranked, _scored_sql
+from quern.operators.sparse import COMPACT_SQL, TOKENS_SQL, benchmark_queries, bm25_scores, exact_phrases, read_index, write_index
+from quern.plans.common import materialise, r6, read, scratch_path, sized, top_k
 
 KS = (1, 3, 5, 10)
 #: What counts for one strategy against another, in this order.
@@ -142,6 +145,53 @@ def q_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")
 
 
+def reranked_at(candidates: DataFrame, tops: Sequence[int]) -> DataFrame:
+    """(strategy, query_id, doc_id, rank): the order of fusion, and with its first rows re-ranked, for each number of them.
+
+    candidates: query_id, doc_id, rank, rerank_score.
+    """
+    grid = F.array(F.struct(F.lit("no_rerank").alias("strategy"), F.lit(0).alias("top")), *(F.struct(F.lit(f"rerank_top{n}").alias("strategy"), F.lit(n).alias("top")) for n in tops))
+    rows = candidates.select("query_id", "doc_id", F.col("rank").alias("old"), "rerank_score", F.explode(grid).alias("g")).select("*", "g.*")
+    inside = F.col("old") <= F.col("top")
+    by = Window.partitionBy("strategy", "query_id").orderBy(F.desc(inside), F.when(inside, -F.col("rerank_score")), "old", "doc_id")
+    return rows.withColumn("rank", F.row_number().over(by)).select("strategy", "query_id", "doc_id", "rank")
+
+
+def chunked_ranking(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, rank): documents by the best BM25 score of their chunks (doc_id, chunk_index, content)."""
+    path = scratch_path(chunks.sparkSession, "chunk-index")
+    write_index(chunks.select(F.struct("doc_id", "chunk_index").alias("id"), "content"), path, "id", "content")
+    best = bm25_scores(queries, read_index(chunks.sparkSession, path)).groupBy("query_id", F.col("doc_id.doc_id").alias("doc_id")).agg(r6(F.max("bm25")).alias("score"))
+    return top_k(best, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+
+
+def q_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held against the documents that hold them, with no re-ranking and that of the first 10 and 20."""
+    c = _reranked(_candidates(spark, sf_dir), spark, sf_dir).where("query_id like 'b%'").select("query_id", "doc_id", "rank", "rerank_score", "exact_score")
+    c = materialise(c, "grid")
+    ranked = reranked_at(c, (10, 20))
+    judged = c.where("exact_score > 0")
+    key = F.struct("strategy", "query_id")
+    names = ranked.select("strategy").distinct()
+    relevant = judged.groupBy("query_id").agg(F.count("*").alias("n_relevant")).crossJoin(F.broadcast(names)).select(key.alias("query_id"), "n_relevant")
+    hits = ranked.join(judged.select("query_id", "doc_id"), ["query_id", "doc_id"]).select(key.alias("query_id"), "rank")
+    m = graded_metrics(hits, relevant).select("query_id.strategy", "*")
+    return summarise(m, "strategy")
+
+
+def q_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items looked for in fixed and in boundary chunks, and which of both to choose."""
+    docs, queries = read(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir)
+    judged = materialise(exact_phrases(queries.withColumnRenamed("query", "phrase"), docs), "judged")
+    found = None
+    for name, chunks in (("fixed_1000_100", fixed_chunks(docs)), ("paragraph_1000_100", boundary_chunks(docs))):
+        chunks = materialise(chunks, "chunks")
+        m = summarise(ir_metrics(chunked_ranking(chunks, queries), judged)).crossJoin(chunks.agg(F.count("*").alias("chunks"))).select(F.lit(name).alias("strategy"), "rr_10", "hit_1", "recall_5", "chunks")
+        found = m if found is None else found.unionByName(m)
+    found = materialise(found, "chunkings")
+    return found.join(F.broadcast(recommended_chunking(found).select("strategy", F.lit(True).alias("recommended"))), "strategy", "left").withColumn("recommended", F.coalesce("recommended", F.lit(False)))
+
+
 def _metrics_sql(rankings: str, name: str = "m", judged: str = "ex", ids: str = "query_id") -> str:
     """CTE of the metrics by ids. rankings: (ids, doc_id, rank); judged: (ids, doc_id)."""
     cols = []
@@ -163,7 +213,21 @@ _STRATEGIES = f"""st_ as (select lane as strategy, query_id, doc_id, rank from l
 _NAMES = [f"{m}_{k}" for k in KS for m in ("hit", "precision", "recall", "rr", "ndcg")]
 _MEANS = ", ".join(f"round(avg({c}), 4) as {c}" for c in _NAMES)
 _KEY_SQL = lambda t: "(" + ", ".join(f"{t}.{c}" for c in KEY) + ")"
-QUERIES = {"ir_metrics_per_query": q_per_query, "ir_metrics_summary": q_summary, "strategy_metrics": q_strategies, "best_strategy": q_best, "strategy_compare": q_compare, "query_tags": q_tags}
+QUERIES = {"ir_metrics_per_query": q_per_query, "ir_metrics_summary": q_summary, "strategy_metrics": q_strategies, "best_strategy": q_best, "strategy_compare": q_compare, "query_tags": q_tags, "rerank_grid": q_grid, "chunking_experiment": q_chunking}
+_GRID = " union all ".join(f"select '{name}' as strategy, query_id, doc_id, row_number() over (partition by query_id order by rank <= {n} desc, case when rank <= {n} then -rerank_score end, rank, doc_id)::int as rank from bb" for name, n in (("no_rerank", 0), ("rerank_top10", 10), ("rerank_top20", 20)))
+
+
+def _chunked_sql(name: str, chunks: str) -> str:
+    """CTEs up to the summary of a chunking, whose chunks (doc_id, chunk_index, content) a select gives."""
+    n = name
+    return f"""{n}c as materialized ({chunks}), {n}d as (select doc_id, chunk_index, {TOKENS_SQL.format("content")} as tk from {n}c), {n}l as (select doc_id, chunk_index, len(tk) as dl from {n}d where len(tk) > 0), {n}s as (select count(*) as n, avg(dl) as avgdl from {n}l),
+        {n}t as (select doc_id, chunk_index, token, count(*) as tf from (select doc_id, chunk_index, unnest(tk) as token from {n}d) group by all), {n}f as (select token, count(*) as df from {n}t group by all),
+        {n}b as (select query_id, doc_id, chunk_index, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as bm from qt join {n}f using (token) join {n}t using (token) join {n}l using (doc_id, chunk_index) cross join {n}s group by all),
+        {n}o as (select query_id, doc_id, round(max(bm), 6) as score from {n}b group by all), {n}r as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from {n}o qualify rank <= 10),
+        {_metrics_sql(f"select * from {n}r", f"{n}m", "ej")}"""
+
+
+_OF = lambda n, name: f"select '{name}' as strategy, round(avg(rr_10), 4) as rr_10, round(avg(hit_1), 4) as hit_1, round(avg(recall_5), 4) as recall_5, (select count(*) from {n}c) as chunks from {n}m"
 ORACLE = {
     "ir_metrics_per_query": f"with {LANES_SQL}, ej as (select query_id, doc_id from ex), {_metrics_sql(_KEYWORD, judged='ej')} select * from m",
     "ir_metrics_summary": f"with {LANES_SQL}, ej as (select query_id, doc_id from ex), {_metrics_sql(_KEYWORD, judged='ej')} select count(*) as query_count, {_MEANS} from m",
@@ -171,5 +235,13 @@ ORACLE = {
     "best_strategy": f"with {LANES_SQL}, {_STRATEGIES}, b as (select strategy, {_MEANS} from ps group by strategy) select strategy, {', '.join(KEY)} from b order by {', '.join(f'{c} desc' for c in KEY)}, strategy limit 1",
     "strategy_compare": f"""with {LANES_SQL}, {_STRATEGIES}, c as (select a.strategy, case when {_KEY_SQL("a")} > {_KEY_SQL("b")} then 'better' when {_KEY_SQL("a")} < {_KEY_SQL("b")} then 'worse' else 'tie' end as outcome, a.rr_10 - b.rr_10 as d
         from ps a join ps b on a.query_id = b.query_id and b.strategy = 'vector' and a.strategy <> 'vector') select strategy, outcome, count(*) as queries, round(avg(d), 6) as rr_delta from c group by 1, 2""",
+    "rerank_grid": f"""with {_CAND}, {_scored_sql("fc")}, bb as materialized (select * from rr where query_id like 'b%'), gr as ({_GRID}),
+        gj as (select strategy, query_id, doc_id from bb cross join (select distinct strategy from gr) where exact_score > 0), {_metrics_sql("select * from gr", "gm", "gj", "strategy, query_id")} select strategy, count(*) as query_count, {_MEANS} from gm group by strategy""",
+    "chunking_experiment": f"""with recursive {_fixed_sql("select doc_id, text from documents", 1000, 900)}, {_boundary_sql("select doc_id, text from documents", 1000, 100)},
+        qt as (select query_id, token, count(*) as qtf from (select item_id as query_id, unnest({TOKENS_SQL.format("text")}) as token from benchmark) group by all),
+        ej as (select item_id as query_id, doc_id from benchmark b join documents d on contains({COMPACT_SQL.format("d.text")}, {COMPACT_SQL.format("b.text")})),
+        {_chunked_sql("fx", "select doc_id, chunk_index, content from k")}, {_chunked_sql("bx", "select doc_id, chunk_index, substring(text, start_char + 1, end_char - start_char) as content from bc join documents using (doc_id)")},
+        al as ({_OF("fx", "fixed_1000_100")} union all {_OF("bx", "paragraph_1000_100")})
+        select *, row_number() over (order by rr_10 desc, hit_1 desc, recall_5 desc, chunks, strategy) = 1 as recommended from al""",
     "query_tags": "with t as (select unnest([case when contains(text, '%') or contains(text, '0') then 'numeric' end, case when contains(text, 'of the') or contains(text, 'and the') then 'order' end, case when contains(text, '?') then 'question' end]) as tag from conversations) select tag, count(*) as n from t where tag is not null group by 1",
 }

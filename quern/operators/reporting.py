@@ -32,7 +32,7 @@ def scope(tenant: tuple[str, object], base: str | None, explicit: dict[str, obje
 def select_many(df: DataFrame, columns: list[str], where: dict[str, object] | None = None, order_by: list[tuple[str, bool]] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Columns of the rows that equal where, ordered by (column, ascending) with nulls first, cut by limit and offset.
 
-    Names that the table doesn't have are refused.
+    Names that the table doesn't have are refused. A limit of 0 gives no rows, None all.
     """
     for c in [*columns, *(where or {}), *(c for c, _ in order_by or [])]:
         if c not in df.columns:
@@ -47,6 +47,40 @@ def select_many(df: DataFrame, columns: list[str], where: dict[str, object] | No
     return out.select(*columns)
 
 
+def is_blank(c: Column | str) -> Column:
+    """Null or empty."""
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) == ""
+
+
+def active(df: DataFrame, flag: str = "is_active") -> DataFrame:
+    """Rows that aren't deleted softly."""
+    return df.where(F.coalesce(F.col(flag).cast("boolean"), F.lit(False)))
+
+
+def clamped(k: int, least: int = 1, most: int = 30) -> int:
+    """A number of results within what may be asked for."""
+    return max(least, min(most, int(k)))
+
+
+def newest_first(df: DataFrame, *columns: str) -> DataFrame:
+    """Ordered by the first of the columns that isn't null, latest first; rows without any come last."""
+    return df.orderBy(F.coalesce(*(F.col(c).cast("string") for c in columns), F.lit("")).desc())
+
+
+def zipped(df: DataFrame, key: str, *arrays: str) -> DataFrame:
+    """A row for each place of arrays that belong together by position; what a shorter one lacks is null."""
+    return df.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "row")).select(key, "pos", "row.*")
+
+
+def document_record(row: dict[str, Column], metadata: Column) -> list[Column]:
+    """The columns of a document's record: the row's fields, else those of its metadata (JSON), else what stands for nothing.
+
+    row: file_name, file_type, file_size, chunk_count, created_at, summary; all optional.
+    """
+    of = lambda name, kind, default: F.coalesce(row.get(name, F.lit(None)).cast(kind), F.get_json_object(metadata, f"$.{name}").try_cast(kind), F.lit(default).cast(kind)).alias(name)
+    return [of("file_name", "string", "unknown"), of("file_type", "string", "other"), of("file_size", "bigint", 0), of("chunk_count", "int", 0), of("created_at", "string", ""), of("summary", "string", "")]
+
+
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The row of each key with the largest order, without a window."""
     rest = [c for c in df.columns if c != key]
@@ -204,7 +238,48 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("k").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("avg_value"))
 
 
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: what the row lacks comes from its metadata."""
+    meta = F.to_json(F.struct(F.concat("source", F.lit(".txt")).alias("file_name"), F.col("lang").alias("file_type"), F.lit("many").alias("chunk_count")))
+    row = {"file_name": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doc"), F.col("doc_id").cast("string"))), "file_size": F.col("n_chars"), "summary": F.when(F.col("doc_id") % 3 == 0, preview("text"))}
+    return read(spark, sf_dir, "documents").select("doc_id", *document_record(row, meta))
+
+
+def newest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty latest orders by the date of shipping, or else of the order."""
+    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))).alias("shipped"))  # noqa: E741
+    o = read(spark, sf_dir, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "shipped", "o_orderdate")
+    by = F.coalesce(F.col("shipped"), F.col("o_orderdate"))
+    return newest_first(o.withColumn("key", F.concat(F.date_format(by, "yyyy-MM-dd"), F.format_string("%012d", F.col("o_orderkey")))), "key").limit(clamped(20)).select("o_orderkey", F.date_format(by, "yyyy-MM-dd").alias("day"))
+
+
+def zip_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, roles and texts of each conversation as parallel arrays, put together again."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    a = _turns(spark, sf_dir).groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.transform("t", lambda x: x["turn"]).alias("ids"), F.transform("t", lambda x: x["role"]).alias("roles"), F.transform("t", lambda x: F.length(x["text"])).alias("sizes"))
+    return zipped(a, "conv_id", "ids", "roles", "sizes").select("conv_id", "pos", "ids", "roles", "sizes")
+
+
+def rebuild_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by whether they have a vector: those to do, done, without text, and their characters."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("vector_id"))
+    d = read(spark, sf_dir, "documents").join(v, "doc_id", "left")
+    todo = is_blank("vector_id")
+    return d.agg(F.count("*").alias("total"), F.count_if(todo).alias("todo"), F.count_if(~todo).alias("done"), F.count_if(is_blank("text")).alias("empty"), F.sum(F.when(todo, F.col("n_chars")).otherwise(0)).alias("todo_chars"))
+
+
+def upload_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents uploaded source by source: how many were taken, and whether all were."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left").withColumn("is_active", F.col("quality"))
+    ok = active(d).groupBy("source").agg(F.count("*").alias("taken"))
+    return d.groupBy("source").agg(F.count("*").alias("total")).join(ok, "source", "left").select("source", "total", F.coalesce("taken", F.lit(0)).alias("taken"), (F.coalesce("taken", F.lit(0)) == F.col("total")).alias("complete"))
+
+
 CANNED = {
+    "file_chunks": "select doc_id, label, vec_id from (select vec_id, vec_id % 20 as doc_id, label from embeddings) e where doc_id = 7 order by vec_id",
+    "retrieval_results": "select user_id, event_id, value, row_number() over (partition by user_id order by value desc, event_id) as rank from events where user_id = 7 order by rank limit 10",
+    "content_generations": "select o_orderkey, o_orderstatus, o_totalprice, o_orderdate from orders where o_custkey = 7 order by o_orderdate desc, o_orderkey limit 10",
+
     "user_count": "select count(distinct user_id) as n from events",
     "user_info": "select user_id, min(ts) as first_seen, max(ts) as last_seen, count(*) as n from events where user_id = 7 group by user_id",
     "active_users": "select user_id, max(ts) as last_seen from events group by user_id order by last_seen desc, user_id limit 10",
@@ -222,7 +297,7 @@ CANNED = {
     "content_projects": "select o_custkey, count(*) as orders, round(sum(o_totalprice), 2) as total from orders group by o_custkey order by total desc, o_custkey limit 10",
     "project_chapters": "select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey in (select max(o_orderkey) from orders) order by l_linenumber",
 }
-_TABLES = ("events", "conversations", "documents", "orders", "lineitem")
+_TABLES = ("events", "conversations", "documents", "orders", "lineitem", "embeddings")
 
 
 def _canned(sql: str):
@@ -238,13 +313,18 @@ def sql_with_tables(sql: str) -> str:
     return " ".join(f"{{{w}}}" if w in _TABLES and words[i - 1] in ("from", "join") else f"{{{w[:-1]}}})" if w[:-1] in _TABLES and w.endswith(")") and words[i - 1] in ("from", "join") else w for i, w in enumerate(words))
 
 
-QUERIES = {f.__name__: f for f in (conversation_summaries, execution_stats, tool_stats, usage_ranking, file_statistics, daily_activity, system_stats, last_n_history, next_sequence, latest_row, message_search, paginate, vector_coverage, corpus_merge, last_user_message, latency_histogram, catalogue, idempotent_events, json_props)}
+QUERIES = {f.__name__: f for f in (conversation_summaries, execution_stats, tool_stats, usage_ranking, file_statistics, daily_activity, system_stats, last_n_history, next_sequence, latest_row, message_search, paginate, vector_coverage, corpus_merge, last_user_message, latency_histogram, catalogue, idempotent_events, json_props, document_records, newest_documents, zip_positions, rebuild_summary, upload_batches)}
 QUERIES |= {"usage_rollup_grouping_sets": usage_rollup, "recent_messages_topk": recent_messages, "missing_vectors_anti": missing_vectors, "allowed_docs_semi": allowed_docs}
 QUERIES |= {f"canned_{name}": _canned(sql) for name, sql in CANNED.items()}
 ORACLE = {f"canned_{name}": sql for name, sql in CANNED.items()} | {
     "conversation_summaries": """select c.conv_id, n as messages, last_turn, case when length(text) > 50 then text[1:50] || '...' else text end as last_user from
         (select conv_id, count(*) as n, max(turn) as last_turn from conversations group by 1) c left join
         (select conv_id, text from conversations where role = 'user' qualify row_number() over (partition by conv_id order by turn desc) = 1) u on c.conv_id = u.conv_id""",
+    "document_records": "select doc_id, case when doc_id % 2 = 0 then 'doc' || doc_id else coalesce(source || '.txt', 'unknown') end as file_name, coalesce(lang, 'other') as file_type, coalesce(n_chars, 0) as file_size, 0::int as chunk_count, '' as created_at, case when doc_id % 3 = 0 then coalesce(case when length(text) > 50 then text[1:50] || '...' else text end, '') else '' end as summary from documents",
+    "newest_documents": "with l as (select l_orderkey, max(case when l_returnflag = 'R' then l_shipdate end) as s from lineitem group by 1) select o_orderkey, strftime(coalesce(s, o_orderdate), '%Y-%m-%d') as day from orders left join l on o_orderkey = l_orderkey order by 2 desc, 1 desc limit 20",
+    "zip_positions": "select conv_id, (row_number() over (partition by conv_id order by turn) - 1)::int as pos, turn as ids, role as roles, length(text)::int as sizes from conversations",
+    "rebuild_summary": "select count(*) as total, count(*) filter (vec_id is null) as todo, count(*) filter (vec_id is not null) as done, count(*) filter (coalesce(text, '') = '') as empty, sum(case when vec_id is null then n_chars else 0 end)::bigint as todo_chars from documents left join embeddings on vec_id = doc_id",
+    "upload_batches": "select source, count(*) as total, count(*) filter (quality = 1) as taken, count(*) filter (quality = 1) = count(*) as complete from documents left join labels using (doc_id) group by 1",
     "execution_stats": "select user_id, event_type = 'error' as failed, count(*) as n, round(avg(value), 6) as avg_ms, max(value) as max_ms, min(value) as min_ms from events group by 1, 2",
     "tool_stats": "select event_type, count(*) as total, count(*) filter (value < 100) as ok, count(*) filter (value >= 100) as slow, round(avg(value), 6) as avg_ms, round(count(*) filter (value < 100) * 100.0::double / count(*), 6) as success_rate from events group by 1",
     "usage_ranking": "select user_id, count(*) as calls, count(*) filter (event_type <> 'error') as ok, round(count(*) filter (event_type <> 'error') * 100.0::double / count(*), 6) as success_rate from events group by 1 order by calls desc, user_id limit 10",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import citation_indices, clean_prose, is_email, is_url, preview, safe_file_name, support_score
+from quern.functions.text import canonical_json, citation_indices, clean_by_kind, clean_prose, human_size, is_email, is_given, is_page_number, is_strong_password, is_url, is_uuid, looks_like_heading, looks_like_list_item, looks_like_table_row, merged_lines, preview, safe_file_name, support_score, within
 from quern.plans.common import r6, read
 
 HEDGES = ("may be", "i think", "probably")
@@ -22,9 +22,18 @@ def date_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.add_months("d", 1).cast("string").alias("next_month"), F.date_add("d", 45).cast("string").alias("plus_45"), F.dayofweek("d").alias("weekday"), F.date_format("d", "yyyy/MM").alias("month"), F.abs(diff).alias("days"), (diff < 0).alias("is_future"))
 
 
+def time_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in another zone, with the offset between both, and how far from a time they are in days, hours, minutes and seconds."""
+    there = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Shanghai"), F.col("ts"))
+    apart = F.abs(F.unix_seconds(F.lit("2024-01-15").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp")))
+    day, hour, minute = (F.floor(apart / n).cast("long") for n in (86_400, 3_600, 60))
+    offset = F.round((F.unix_micros(there.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3_600_000_000, 2)
+    return read(spark, sf_dir, "events").select("event_id", F.date_format(there, "yyyy-MM-dd HH:mm:ss").alias("there"), offset.alias("hours_ahead"), F.date_format(there, "EEEE").alias("weekday"), day.alias("days"), (hour % 24).alias("hours"), (minute % 60).alias("minutes"), (apart % 60).alias("seconds"))
+
+
 def math_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("l_extendedprice")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(F.sqrt(v)).alias("root"), r6(F.ln(v)).alias("ln"), r6(F.log10(v)).alias("log10"), r6(F.pow(F.col("l_discount"), 2)).alias("square"), r6(F.sin(F.col("l_quantity"))).alias("sin"), r6(F.abs(F.col("l_tax") - 0.05)).alias("gap"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(F.sqrt(v)).alias("root"), r6(F.ln(v)).alias("ln"), r6(F.log10(v)).alias("log10"), r6(F.pow(F.col("l_discount"), 2)).alias("square"), r6(F.sin(F.col("l_quantity"))).alias("sin"), r6(F.cos(F.col("l_quantity"))).alias("cos"), r6(F.tan(F.col("l_quantity"))).alias("tan"), r6(F.exp(F.col("l_discount"))).alias("exp"), r6(F.pi() * F.col("l_tax") + F.e()).alias("line"), r6(F.abs(F.col("l_tax") - 0.05)).alias("gap"))
 
 
 def string_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +57,28 @@ def json_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"), F.to_json(F.struct("event_type", "user_id")).alias("packed"))
 
 
+def canonical_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scope keys as JSON with their names in order, whatever the order in which they were given."""
+    m = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("source"), "source", F.lit("lang"), "lang")).otherwise(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"))
+    return read(spark, sf_dir, "documents").groupBy(canonical_json(m).alias("scope")).agg(F.count("*").alias("n"))
+
+
+def text_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cleaned by the profile of a kind of file, with broken lines joined, and what their lines look like."""
+    kind = F.get(F.array(F.lit("py"), F.lit("md"), F.lit("txt")), (F.col("doc_id") % 3).cast("int"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.split("text", "\n")
+    count = lambda test: F.size(F.filter(lines, lambda x: test(F.trim(x))))
+    return d.select("doc_id", F.md5(clean_by_kind("text", kind)).alias("cleaned_md5"), F.length(merged_lines("text")).alias("merged_chars"), count(looks_like_heading).alias("headings"), count(looks_like_list_item).alias("items"), count(looks_like_table_row).alias("table_rows"), count(is_page_number).alias("page_numbers"))
+
+
+def field_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of customers' fields."""
+    c = read(spark, sf_dir, "customer")
+    uuid = F.concat(F.lit("123e4567-e89b-42d3-a456-"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
+    return c.select("c_custkey", is_given("c_name").alias("given"), within("c_acctbal", 0, 5000).alias("in_range"), is_uuid(F.when(F.col("c_custkey") % 2 == 0, uuid).otherwise("no")).alias("uuid_ok"), is_strong_password(F.concat("c_name", F.lit("a"))).alias("strong"), F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("choice_ok"), human_size(F.abs(F.col("c_acctbal")) * 1000).alias("size"))
+
+
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
     parts = [("both", c.intersect(s)), ("either", c.union(s).distinct()), ("customers_only", c.exceptAll(s)), ("both_all", c.intersectAll(s))]
@@ -84,13 +115,16 @@ def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(F.broadcast(bands), (F.col("p_retailprice") >= F.col("low")) & (F.col("p_retailprice") < F.col("high"))).groupBy("band").agg(F.count("*").alias("parts"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, date_ops, math_ops, string_helpers, validators, citations, json_ops, set_operations, part_cube, nation_rollup, order_windows, price_quantiles, price_bands)}
+QUERIES = {f.__name__: f for f in (clean_text, text_profiles, time_zones, canonical_scopes, field_checks, date_ops, math_ops, string_helpers, validators, citations, json_ops, set_operations, part_cube, nation_rollup, order_windows, price_quantiles, price_bands)}
 ORACLE = {
     "clean_text": r"""with a as (select doc_id, list_transform(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')) as l from documents),
         b as (select doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 or not (x = l[i - 1] and (length(x) >= 3 or x = ''))), chr(10)) as t from a)
         select doc_id, md5(regexp_replace(trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), ' '), '^\n+|\n+$', '', 'g')) as cleaned_md5 from b""",
+    "time_zones": "with e as (select event_id, ts, ts + interval 8 hour as t, abs(epoch(timestamp '2024-01-15')::bigint - floor(epoch(ts))::bigint) as a from events) select event_id, strftime(t, '%Y-%m-%d %H:%M:%S') as there, 8.0::double as hours_ahead, dayname(t) as weekday, a // 86400 as days, a // 3600 % 24 as hours, a // 60 % 60 as minutes, a % 60 as seconds from e",
+    "canonical_scopes": "select '{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' as scope, count(*) as n from documents group by 1",
+    "field_checks": "select c_custkey, coalesce(trim(c_name) <> '', false) as given, c_acctbal between 0 and 5000 as in_range, c_custkey % 2 = 0 as uuid_ok, regexp_matches(c_name, '[A-Z]') and regexp_matches(c_name, '[0-9]') and length(c_name) >= 7 as strong, c_mktsegment in ('BUILDING', 'MACHINERY') as choice_ok, case when abs(c_acctbal) * 1000 < 1024 then printf('%.2f B', abs(c_acctbal) * 1000) when abs(c_acctbal) * 1000 < 1048576 then printf('%.2f KB', abs(c_acctbal) * 1000 / 1024) else printf('%.2f MB', abs(c_acctbal) * 1000 / 1048576) end as size from customer",
     "date_ops": "with o as (select o_orderkey, o_orderdate::date as d from orders) select o_orderkey, (d + interval 1 month)::date::varchar as next_month, (d + 45)::varchar as plus_45, (dayofweek(d) + 1)::int as weekday, strftime(d, '%Y/%m') as month, abs(date '1996-01-01' - d)::int as days, date '1996-01-01' - d < 0 as is_future from o",
-    "math_ops": "select l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) as root, round(ln(l_extendedprice), 6) as ln, round(log10(l_extendedprice), 6) as log10, round(pow(l_discount, 2), 6) as square, round(sin(l_quantity), 6) as sin, round(abs(l_tax - 0.05::double), 6) as gap from lineitem",
+    "math_ops": "select l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) as root, round(ln(l_extendedprice), 6) as ln, round(log10(l_extendedprice), 6) as log10, round(pow(l_discount, 2), 6) as square, round(sin(l_quantity), 6) as sin, round(cos(l_quantity), 6) as cos, round(tan(l_quantity), 6) as tan, round(exp(l_discount), 6) as exp, round(pi() * l_tax + exp(1.0::double), 6) as line, round(abs(l_tax - 0.05::double), 6) as gap from lineitem",
     "string_helpers": "select doc_id, md5(text) as md5, sha256(text) as sha256, case when length(text) > 50 then text[1:50] || '...' else text end as preview from documents",
     "validators": r"select page_id, regexp_matches(url, '^https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s]*)?$') as url_ok, regexp_matches('a@' || regexp_extract(url, '//([^/]+)', 1), '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$') as email_ok, length(html) between 100 and 5000 as length_ok, regexp_replace(url, '[<>:\"/\\|?*\x00-\x1f]', '_', 'g') as file_name from pages",
     "citations": r"""with t as (select conv_id, turn, text || case when turn % 3 = 0 then ' [' || turn || '] (2) [2]' else '' end as t from conversations where role = 'assistant' or turn % 3 = 0),
