@@ -165,7 +165,7 @@ def yaml_blocks(docs: DataFrame) -> DataFrame:
     indent = F.length(F.regexp_extract("line", parts, 1)) + F.length(F.regexp_extract("line", parts, 2))
     marked = _lines(docs).withColumn("title", key).withColumn("level", F.when(key.isNotNull(), F.least(F.floor(indent / 2).cast("int") + 1, F.lit(6))))
     lines = under_headings(marked).where("title is not null")
-    value = F.nullif(F.regexp_extract("line", parts, 4), F.lit(""))
+    value = F.nullif(F.regexp_replace(F.regexp_extract("line", parts, 4), r"(?:^|\s+)#.*$", ""), F.lit(""))
     return lines.select("doc_id", "pos", F.concat(F.array_join("path", "."), F.lit(":"), F.coalesce(F.concat(F.lit(" "), value), F.lit(""))).alias("block"))
 
 
@@ -194,7 +194,7 @@ def json_blocks(docs: DataFrame, deepest: int = 64) -> DataFrame:
 def _xml_nodes(texts: pd.Series) -> pd.Series:
     def walk(node: ElementTree.Element, path: str, out: list) -> list:
         path = f"{path}/{node.tag.rpartition('}')[2]}"
-        out.append({"path": path, "attributes": ", ".join(f"{k}={v}" for k, v in sorted(node.attrib.items())), "children": ", ".join(dict.fromkeys(c.tag.rpartition("}")[2] for c in node)), "text": " ".join("".join([node.text or "", *(c.tail or "" for c in node)]).split())})
+        out.append({"path": path, "attributes": ", ".join(f"{k}={v}" for k, v in sorted(node.attrib.items())), "children": ", ".join(dict.fromkeys(c.tag.rpartition("}")[2] for c in node)), "text": " ".join(" ".join([node.text or "", *(c.tail or "" for c in node)]).split())})
         for c in node:
             walk(c, path, out)
         return out

@@ -31,7 +31,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, where: Column | Non
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         ids = part.column("query_id").combine_chunks()
-        q = np.array(part.column("vec").to_pylist(), np.float64).reshape(len(ids), -1)
+        q = np.array(part.column("vec").to_pylist(), np.float64) if len(ids) else np.empty((0, 0))
 
         def rows(batches: Iterable[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
             kept_s, kept_v = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)

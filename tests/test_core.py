@@ -1,7 +1,12 @@
 """The engine's own operators: golden values and properties that SQL checks don't cover."""
 
 import datetime as dt
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -100,8 +105,9 @@ def test_rerank_candidates_are_all_that_fusion_keeps(spark, tmp_path):
     from quern.operators.rerank import q_near_dup_pairs
 
     text = "river stone walks quiet morning light"
-    spark.createDataFrame([(i, text, "src1") for i in range(35)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, text, "src1") for i in range(1, 36)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, text)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(40, [1.0, 0.0], 1)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert q_near_dup_pairs(spark, str(tmp_path)).count() == 30 * 29 // 2
 
 
@@ -175,3 +181,164 @@ def test_entry_survives_without_the_training_operators(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_entry_imports_where_the_training_operators_do_not(tmp_path, broken):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "quern", tmp_path / "quern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if broken:
+        (tmp_path / "quern" / "llm").mkdir()
+        (tmp_path / "quern" / "llm" / "__init__.py").write_text("import a_library_that_is_not_there\n")
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search' in q and 'pipeline' not in q and not any(x.startswith('op') for x in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_folding_and_cleaning(spark):
+    from quern.functions.text import clean_prose, clean_structured, index_tokens, marked_phrases, merged_lines, nfkc
+
+    d = spark.createDataFrame([("ＡＢＣ ﬁne e\u0301",), ("plain é",), (None,), ("a\n\n\nbbb\nbbb\n\tx  y",)], "t string")
+    assert [r[0] for r in rows(d, nfkc("t"))] == ["ABC fine é", "plain é", None, "a\n\n\nbbb\nbbb\n\tx  y"]
+    assert [r[0] for r in rows(d, clean_prose("t"))] == ["ABC fine é", "plain é", None, "a\n\nbbb\nx y"]
+    assert rows(d, clean_structured("t"))[3][0] == "a\n\nbbb\nbbb\n    x y"
+    assert rows(d, index_tokens(nfkc("t")))[0][0] == ["abc", "fine"]
+    long = spark.createDataFrame([("\n".join(f"line {i // 2}" for i in range(40_000)),)], "t string")
+    assert len(rows(long, clean_prose("t"))[0][0].split("\n")) == 20_000
+    m = spark.createDataFrame([("A line that goes\non, with a hyphen-\nated word (\nin brackets\n).\n\n1.2 Heading\nText ends.\nNew one",)], "t string")
+    assert rows(m, merged_lines("t"))[0][0] == "A line that goes on, with a hyphenated word (in brackets).\n\n1.2 Heading\nText ends.\nNew one"
+    q = spark.createDataFrame([("it's 'not' “so bad” 《ab》 \"x\" \"yz\"",)], "t string")
+    assert rows(q, marked_phrases("t"))[0][0] == ["yz", "so bad", "ab"]
+
+
+def test_citations_in_all_their_marks(spark):
+    from quern.functions.text import citation_indices, json_in, source_name, with_source_names
+
+    c = spark.createDataFrame([("see [1] and 【来源2】, (3) [参考2] [99999999999]", ["A [1]", "B"])], "t string, n array<string>")
+    assert rows(c, citation_indices("t"), with_source_names(F.col("t"), F.col("n"))) == [([1, 2, 3], "see 【A [1]】 and 【B】, (3) 【B】 [99999999999]")]
+    j = spark.createDataFrame([('x {"a": {"b": 1}} y',), ('```json\n{"a":1}\n```',), ("none",), ("{bad",)], "t string")
+    assert [r[0] for r in rows(j, json_in("t"))] == ['{"a": {"b": 1}}', '{"a":1}', None, None]
+    assert rows(spark.range(1), source_name(F.lit(" "), F.lit(None), F.lit(" x ")), source_name(F.lit("")))[0] == ("x", "Unknown")
+
+
+def test_chunkers_by_structure(spark):
+    from quern.operators.chunking import chunker_of, code_sections, heading_sections, json_blocks, paragraph_chunks, rst_sections, xml_blocks, yaml_blocks
+
+    doc = lambda t: spark.createDataFrame([(1, t)], "doc_id bigint, text string")
+    got = sorted(rows(heading_sections(doc("# A\n## B\nx\n### C\n## D\ny\n# E")), "section", "title", "section_path"))
+    assert [g[2] for g in got] == ["A", "A / B", "A / B / C", "A / D", "E"]
+    got = sorted(rows(rst_sections(doc("Top\n===\ntext\nSub\n---\nmore\nNext\n====\nend")), "section", "title", "section_path"))
+    assert [g[1:] for g in got] == [("Top", "Top"), ("Sub", "Top / Sub"), ("Next", "Next")]
+    got = sorted(rows(code_sections(doc("import x\nclass A:\n    def f(self):\n        pass\ndef g():\n    pass")), "section", "section_path"))
+    assert [g[1] for g in got] == ["", "A", "A / f", "g"]
+    assert [r[0] for r in sorted(rows(yaml_blocks(doc("a:\n  b: 1 # no\n  c:\n    - d: x\n# e: 2\nf: y")), "block", "pos"), key=lambda r: r[1])] == ["a:", "a.b: 1", "a.c:", "a.c.d: x", "f: y"]
+    assert sorted(rows(json_blocks(doc('{"a": {"b": [1, 2]}, "c": [{"d": "x\\"y"}, {"d": null}], "e": {}}')), "path", "value"))[:2] == [("a.b", "[1,2]"), ("c[0].d", 'x\\"y')]
+    assert sorted(rows(xml_blocks(doc('<r k="1">t<c>u</c>v</r>')), "pos", "path", "attributes", "children", "text")) == [(0, "/r", "k=1", "c", "t v"), (1, "/r/c", "", "", "u")]
+    assert xml_blocks(doc("<broken")).count() == 0 and json_blocks(doc("{broken")).count() == 0
+    got = sorted(rows(paragraph_chunks(doc("first one.\n\nsecond.\n\nthird."), 12, 0), "chunk_index", "chunk_id", "content"))
+    assert len(got) >= 2 and got[0][1:] == ("paragraph_12_0::1::0", "first one.")
+    assert [r[0] for r in rows(spark.createDataFrame([("MD", ""), ("", '{"a":1}'), ("", "<?xml?>"), ("", "[s]\nk=v"), ("", "words")], "k string, t string"), chunker_of(F.col("k"), F.col("t")))] == ["markdown", "json", "xml", "ini", "text"]
+
+
+def test_main_content_of_pages(spark):
+    from quern.functions.dom import main_content
+
+    page = "<html><head><title>T &amp; U</title></head><body><nav>no</nav><div class='content'><h1>A</h1><p>one <a href='/x'>two</a><br>three</p><h2>B</h2><ul><li>i<ul><li>ii</li></ul></li></ul><table><tbody><tr><th>h</th><td>c</td></tr></tbody></table><div class='comment'>no</div></div><div class='sidebar'>no</div></body></html>"
+    m = rows(spark.createDataFrame([(page,)], "h string"), main_content(F.col("h")))[0][0]
+    assert (m.title, m.root_tag, m.score) == ("T & U", "div", 35)
+    assert [(b.kind, b.text, b.section_path) for b in m.blocks] == [("heading", "A", "A"), ("paragraph", "one two (/x)\nthree", "A"), ("heading", "B", "A / B"), ("list_item", "i", "A / B"), ("list_item", "ii", "A / B"), ("table", "h | c", "A / B")]
+    assert rows(spark.createDataFrame([(None,)], "h string"), main_content(F.col("h")))[0][0].blocks == []
+
+
+def test_index_is_built_once_for_a_tables_content(spark, tmp_path):
+    from quern.operators.sparse import bm25, index_of
+
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame([(1, "river stone"), (2, "stone stone"), (3, "")], "doc_id bigint, text string").write.parquet(path)
+    asked = spark.createDataFrame([(1, "stone river"), (2, "nothing here")], "query_id bigint, query string")
+    first = index_of(spark.read.parquet(path))
+    assert [r.doc_id for r in bm25(asked, first).orderBy("rank").collect()] == [1, 2]
+    assert index_of(spark.read.parquet(path)).postings.inputFiles() == first.postings.inputFiles()
+    spark.createDataFrame([(4, "river river stone")], "doc_id bigint, text string").write.mode("append").parquet(path)
+    assert {r.doc_id for r in bm25(asked, index_of(spark.read.parquet(path))).collect()} == {1, 2, 4}
+
+
+def test_vectors_are_asked_for_in_blocks(spark, monkeypatch):
+    from quern.operators import dense
+
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "vec_id bigint, embedding array<float>")
+    q = v.where("vec_id % 5 = 0").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").alias("vec"))
+    one = sorted(map(tuple, dense.knn(q, v, 3).collect()))
+    monkeypatch.setattr(dense, "BLOCK", 3)
+    assert sorted(map(tuple, dense.knn(q, v, 3).collect())) == one and len(one) == 30
+
+
+def test_rate_limit_of_nulls_and_large_ids(spark):
+    from quern.streaming.events import accepted_calls
+
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    e = spark.createDataFrame([(None, i, t(i)) for i in range(5)] + [(2**53 + 1, 10, t(0)), (2**53, 11, t(0))], "user_id bigint, event_id bigint, ts timestamp_ntz")
+    got = {r.event_id: (r.user_id, r.accepted) for r in accepted_calls(e, 2, 100).collect()}
+    assert [got[i][1] for i in range(5)] == [True, True, False, False, False] and got[10] == (2**53 + 1, True) and got[11] == (2**53, True)
+
+
+def test_greedy_dedup_in_small_batches(spark):
+    from quern.operators.rerank import greedy_dedup
+
+    ranked = spark.createDataFrame([(q, d, d) for q in range(20) for d in (1, 2, 3, 4)], "query_id bigint, doc_id bigint, rank int")
+    pairs = spark.createDataFrame([(q, a, b, a, b) for q in range(20) for a, b in ((2, 3), (1, 2), (3, 4))], "query_id bigint, first_id bigint, second_id bigint, first_rank int, second_rank int").repartition(7)
+    assert {(r.query_id, r.doc_id) for r in greedy_dedup(ranked, pairs).collect()} == {(q, d) for q in range(20) for d in (1, 3)}
+
+
+def test_streams_of_usage_and_limits_equal_tables(spark, sf, tmp_path):
+    from quern.streaming.events import accepted_calls, accepted_stream, followed, read_usage, start_usage_rollup, usage_of
+
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    table.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    start_usage_rollup(stream(), f"{tmp_path}/usage", f"{tmp_path}/cp1").awaitTermination(120)
+    key = lambda r: (r.event_type, str(r.user_id), r.day, r.all_users, r.calls)
+    assert sorted(map(key, read_usage(spark, f"{tmp_path}/usage").collect())) == sorted(map(key, usage_of(table).collect()))
+    table.coalesce(1).write.parquet(f"{tmp_path}/whole")
+    whole = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/whole")
+    accepted_stream(whole, 3, 86_400).writeStream.format("parquet").option("path", f"{tmp_path}/ok").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start().awaitTermination(120)
+    want = sorted((r.event_id, r.accepted) for r in accepted_calls(table, 3, 86_400).collect())
+    assert sorted((r.event_id, r.accepted) for r in spark.read.parquet(f"{tmp_path}/ok").collect()) == want
+    a, b = (lambda d: d.where("event_type = 'click'").withColumnRenamed("event_id", "id")), (lambda d: d.where("event_type = 'purchase'").withColumnRenamed("event_id", "id"))
+    joined = followed(a(whole), b(whole), "user_id", "2 hours", late="10 days")
+    joined.writeStream.format("parquet").option("path", f"{tmp_path}/j").option("checkpointLocation", f"{tmp_path}/cp3").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/j").collect())) == sorted(map(tuple, followed(a(table), b(table), "user_id", "2 hours").collect()))
+
+
+def test_functions_for_sql_and_reports(spark, tmp_path):
+    from quern.functions.registry import register
+    from quern.sources.files import write_report
+
+    assert "quern_fixed_chunks" in register(spark)
+    assert [r.content for r in spark.sql("select content from quern_fixed_chunks('abcdefghij', 5, 2)").collect()] == ["abcde", "defgh", "ghij"]
+    assert spark.sql("select quern_nfkc('ＡＢ') as x").first().x == "AB"
+    write_report(spark.createDataFrame([(1, "a|b"), (2, None)], "n int, t string"), f"{tmp_path}/r", "Title")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/r/markdown").collect()] == ["# Title", "", "| n | t |", "|-|-|", "| 1 | a\\|b |", "| 2 |  |"]
+    assert spark.read.json(f"{tmp_path}/r/json").count() == 2 == spark.read.option("header", "true").csv(f"{tmp_path}/r/csv").count()
+
+
+def test_relevance_floor_without_known_support(spark):
+    from quern.operators.fusion import relevance_floor
+
+    df = lambda strong: spark.createDataFrame([(1, 1, 0.9, strong[0]), (1, 2, 0.85, strong[1]), (1, 3, 0.5, strong[2])], "query_id int, doc_id int, score double, strong boolean")
+    kept = lambda strong: sorted(r.doc_id for r in relevance_floor(df(strong)).collect())
+    assert (kept((None,) * 3), kept((False,) * 3), kept((None, True, None)), kept((True, False, True))) == ([1, 2], [1], [2], [1])
+
+
+def test_sources_of_many_encodings(spark, tmp_path):
+    from quern.sources.files import declared_charset, decoded, is_header, read_delimited, search_type
+
+    page = '<html><head><meta charset="big5"></head>資料'.encode("big5")
+    (tmp_path / "p.html").write_bytes(page)
+    d = spark.read.format("binaryFile").load(f"{tmp_path}/p.html")
+    assert rows(d, declared_charset(F.col("content")), decoded(F.col("content")))[0] == ("big5", page.decode("big5"))
+    assert is_header(["Name", "x"], []) and not is_header(["1", "2"], [["3", "4"]]) and is_header(["a", "b"], [["1", "c"]]) and not is_header(["a", "b"], [["c", "d"]])
+    (tmp_path / "x.csv").write_text("a,b,\n1,2,3\n,,\n4,5,6\n")
+    assert read_delimited(spark, f"{tmp_path}/x.csv").columns == ["a", "b", "column_3"] and read_delimited(spark, f"{tmp_path}/x.csv").count() == 2
+    assert [r[0] for r in rows(spark.createDataFrame([("XLS",), (".csv",), ("html",), ("zzz",), (" ",)], "t string"), search_type(F.col("t")))] == ["xlsx", "tabular", "html", "zzz", None]
