@@ -2,88 +2,19 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.common import clear_scratch, materialise, read, scratch, scratch_path, shared_dir, sized
+
+__all__ = ["arrow_map", "clear_scratch", "held_out", "materialise", "read", "scratch", "scratch_path", "shared_dir", "sized"]
+
 #: Bytes and rows of input that a function gets at once; a longer single row makes a batch of its own.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2_000
-#: Rows and bytes that a side may have to be broadcast; both are looked at before use, beyond them Spark shuffles.
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 64 << 20
-
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only on a local master.
-
-    Executors of a cluster don't see the driver's temporary folder, so there an error is raised.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which clear_scratch removes."""
-    _written.append(f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back.
-
-    This cuts the lineage: a lost executor costs a re-read and not a recomputation, and every
-    later use of the table starts from the same rows.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession, since: int = 0) -> None:
-    """Removes the scratch tables written since (all by default); results that read them are no longer valid."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _written[since:]:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-    del _written[since:]
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Scratch tables written within are removed at the end; what is left must have been written elsewhere."""
-    since = len(_written)
-    try:
-        yield
-    finally:
-        clear_scratch(spark, since)
-
-
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows and bytes, else df as it is.
-
-    df should be cheap to count: a scratch table or a small source. Bytes are measured only where
-    a column has no fixed width.
-    """
-    head = df.limit(rows + 1)
-    wide = [c.name for c in df.schema if c.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
-    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string") if df.schema[c].dataType.typeName() not in ("string", "binary") else F.col(f"`{c}`")), F.lit(0)) for c in wide]
-    bytes_ = sum(texts, F.lit(0)) + 16 * len(df.columns)
-    n, total = head.agg(F.count("*"), F.sum(bytes_.cast("long"))).first()
-    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,10 +29,6 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterable[pa.RecordBatch]], Iterator
     return df.mapInArrow(lambda batches: rows(_slices(batches)), schema)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """Documents of which no label may be learnt: crc32 of the id as text leaves 2 when divided by 4."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
