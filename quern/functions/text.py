@@ -311,6 +311,17 @@ def canonical_json(entries: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
 
 
-def extractive_summary(name: Column, kind: Column, text: Column, chunks: Column, most: int = 200) -> Column:
-    """What a file is, how much it holds, and its beginning."""
-    return F.concat_ws("\n", F.concat(F.lit("File: "), name), F.concat(F.lit("Type: "), kind), F.concat(F.lit("Characters: "), F.length(text).cast("string"), F.lit(", chunks: "), chunks.cast("string")), preview(text, most))
+def extractive_summary(text: Column, chunks: Column, pages: Column | None = None, paragraphs: Column | None = None, tables: Column | None = None, most: int = 200) -> Column:
+    """How much a file holds, in brackets, and its beginning; what isn't known isn't named."""
+    counted = ((pages, " 页"), (paragraphs, " 段"), (tables, " 个表格"), (chunks, " 个文本块"))
+    stats = F.concat_ws(", ", *(F.concat(n.cast("string"), F.lit(unit)) for n, unit in counted if n is not None))
+    return F.concat(F.lit("["), stats, F.lit("] "), preview(text, most))
+
+
+# The fields of a chunk that make up its source text. Names of files are no part of it.
+SOURCE_FIELDS = ("title", "section_title", "section_path", "sheet_name", "structured_terms", "symbol_name", "node_name", "leaf_value", "column_headers", "slide_title", "source_region")
+
+
+def source_text(fields: dict[str, Column]) -> Column:
+    """The structural fields of a chunk that aren't empty, in their fixed order."""
+    return F.concat_ws(" ", *(F.nullif(fields[c].cast("string"), F.lit("")) for c in SOURCE_FIELDS if c in fields))

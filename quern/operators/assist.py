@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.dom import main_content
 from quern.functions.markup import DROPPED, ENTITIES, line_kind, rendered
-from quern.functions.text import citation_indices, is_page_number, json_in, preview, quoted_phrases, source_name, with_source_names
+from quern.functions.text import citation_indices, extractive_summary, is_page_number, json_in, preview, quoted_phrases, source_name, with_source_names
 from quern.plans.common import materialise, r6, read, sized
 
 # Words that mean much the same.
@@ -58,11 +58,16 @@ def with_synonyms(tokens: Column, synonyms: Mapping[str, tuple[str, ...]] = SYNO
     return F.array_distinct(F.concat(tokens, more))
 
 
-def sanitised_queries(rewritten: Column, most: int = 3) -> Column:
-    """Rewritten queries without numbering, labels, quotes, placeholders and repeats."""
-    bare = F.transform(rewritten, lambda q: F.trim(F.regexp_replace(F.regexp_replace(F.trim(q), r"^(?:[-*•]|\d+[.)、])\s*|^(?i:query|rewritten query|查询|改写)\s*\d*\s*[:：]\s*", ""), "^[\"“'‘]+|[\"”'’]+$", "")))
-    kept = F.filter(bare, lambda q: (q != "") & ~q.rlike(r"^(?:[\[{<].*[\]}>]|\.\.\.|…|(?i:n/a|none|null))$"))
-    return F.slice(F.array_distinct(kept), 1, most)
+# What a rewriter says before a query, and what it says instead of one.
+QUERY_LABEL = r"^(?:优化|重写)查询\s*\d*\s*[:：\-]\s*"
+NO_QUERY = r"^(?:(?:优化|重写)查询\s*\d*|基于核心意图(?:和扩展术语)?|结合同义(?:词|和相关概念)?|扩展术语|相关概念|核心意图)$"
+
+
+def sanitised_queries(original: Column, rewritten: Column, most: int = 3) -> Column:
+    """The original query and the rewritten ones, without labels, placeholders and repeats, at most so many."""
+    bare = F.transform(rewritten, lambda q: F.trim(F.regexp_replace(F.regexp_replace(F.trim(q), QUERY_LABEL, ""), r"\s+", " ")))
+    kept = F.filter(bare, lambda q: q.isNotNull() & (q != "") & ~q.rlike(NO_QUERY))
+    return F.slice(F.array_distinct(F.concat(F.array_compact(F.array(F.nullif(F.trim(original), F.lit("")))), kept)), 1, most)
 
 
 def mapped_status(*stored: Column) -> Column:
@@ -149,36 +154,42 @@ def follows_up(text: Column) -> Column:
     return text.rlike(r"^(?i)\s*(?:and|also|then|but|continue|go on|shorter|longer|again|继续|再|还有|另外|然后|改成|换成)\b?")
 
 
+def real_link(link: Column) -> Column:
+    """The target of a search engine's redirect, which is in its parameter u after a1, in base 64; other links as they are."""
+    code = F.regexp_extract(link, r"^https?://www\.bing\.com/[^#]*[?&]u=a1([A-Za-z0-9+/_-]+)", 1)
+    padded = F.rpad(code, (F.ceil(F.length(code) / 4) * 4).cast("int"), "=")
+    target = F.when(code != "", F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    return F.when(target.rlike("^https?://"), target).otherwise(link)
+
+
+HIT = r"(?m)^\s*(?:\d+\.|[-*])?\s*\[([^\]]+)\]\((https?://[^)\s]+)\)[ \t]*[-–:]?[ \t]*(.*)$"
+
+
 def search_hits(text: Column) -> Column:
     """The results in the Markdown of a search: title, link and snippet of each."""
-    titles, links = (F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:\d+\.|[-*])?\s*\[([^\]]+)\]\((https?://[^)\s]+)\)[ \t]*[-–:]?[ \t]*(.*)$"), F.lit(i)) for i in (1, 2))
-    snippets = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:\d+\.|[-*])?\s*\[([^\]]+)\]\((https?://[^)\s]+)\)[ \t]*[-–:]?[ \t]*(.*)$"), F.lit(3))
-    return F.arrays_zip(titles.alias("title"), links.alias("link"), snippets.alias("snippet"))
+    payload = F.regexp_replace(text, r"(?s)^.*?Markdown Content:", "")
+    titles, links, snippets = (F.transform(F.regexp_extract_all(payload, F.lit(HIT), F.lit(i)), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))) for i in (1, 2, 3))
+    return F.zip_with(F.zip_with(titles, F.transform(links, real_link), lambda t, k: F.struct(t.alias("title"), k.alias("link"))), snippets, lambda h, s: F.struct(h["title"].alias("title"), h["link"].alias("link"), s.alias("snippet")))
 
 
-def combined_verdict(rule: Column, model: Column, said: Column) -> tuple[Column, Column]:
-    """(score, flagged): .4 of the rules and .6 of a model where it has spoken; flagged below .7 or where the model says so."""
-    score = F.coalesce(0.4 * rule + 0.6 * model, rule)
-    return score, (score < 0.7) | F.coalesce(said, F.lit(False))
+def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' beginnings with what they hold."""
+    text = F.coalesce("text", F.lit(""))
+    paragraphs = F.size(F.filter(F.split(text, r"\n[ \t]*\n+"), lambda x: F.trim(x) != ""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(extractive_summary(text, F.ceil(F.length(text) / 1000).cast("int"), paragraphs=paragraphs)).alias("summary_md5"))
 
 
-def repeated_edges(pages: DataFrame) -> DataFrame:
-    """First and last lines that at least max(2, (3n + 4) / 5) of a document's n pages share.
-
-    pages: (doc_id, page_no, text). Counted in Spark, so that a long document isn't one task's.
-    """
-    edge = F.explode(F.array(F.struct(F.lit("header").alias("edge"), F.regexp_extract("text", r"^\s*([^\n]+)", 1).alias("line")), F.struct(F.lit("footer").alias("edge"), F.regexp_extract("text", r"([^\n]+)\s*$", 1).alias("line"))))
-    n = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
-    counts = pages.select("doc_id", edge.alias("e")).groupBy("doc_id", "e.edge", "e.line").agg(F.count("*").alias("n")).where("line <> ''")
-    return counts.join(n, "doc_id").where(F.col("n") >= F.greatest(F.lit(2), F.floor((3 * F.col("pages") + 4) / 5)))
+def parsed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the results of a search: one with its own address, one behind a redirect."""
+    p = read(spark, sf_dir, "pages")
+    hidden = F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), F.rtrim(F.regexp_replace(F.base64(F.col("url").cast("binary")), "=+$", "")))
+    text = F.concat(F.lit("Title\nMarkdown Content:\n1. [Page  "), F.col("page_id").cast("string"), F.lit("]("), "url", F.lit(") - some  text\n\n- [Other]("), hidden, F.lit(")\n"))
+    return p.select("page_id", F.explode(search_hits(text)).alias("h")).select("page_id", "h.*")
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, kind, section, text): the lines of rendered pages under the last heading before them."""
-    lines = pages.select("page_id", F.posexplode(F.split(rendered("html"), "\n")).alias("pos", "line")).where("line <> ''")
-    typed = lines.withColumn("kind", line_kind(F.col("line"))).withColumn("text", F.regexp_replace("line", "^(?:#{1,6}|-) ", ""))
-    above = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return typed.select("page_id", "pos", "kind", F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(above).alias("section"), "text")
+def rewritten_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.array(F.concat(F.lit("优化查询 1： "), "text"), F.lit("核心意图"), F.concat(F.lit(" first  of "), F.col("item_id").cast("string")), F.lit("重写查询 2"), F.lit("third"), F.lit("fourth"))
+    return read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(sanitised_queries(F.trim("text"), q)).alias("pos", "query"))
 
 
 #: Synonyms for the benchmark's invented words.
@@ -315,7 +326,7 @@ _CITED = r"""an as (select conv_id, turn, text || ' [' || (turn % 3) || ']【来
     ix as (select distinct conv_id, turn, unnest(regexp_extract_all(a, '\[(\d+)\]', 1) || regexp_extract_all(a, '【(\d+)】', 1) || regexp_extract_all(a, '\((\d+)\)', 1) || regexp_extract_all(a, '【来源(\d+)】', 1))::int as index from an),
     sr as (select conv_id, row_number() over (partition by conv_id order by turn) as rank, turn as source_id, 'turn ' || turn as source_name, 1.0::double / (turn + 1) as score, text as content from conversations where role = 'user'),
     ci as (select ix.*, source_id, source_name, score, content from ix join sr on sr.conv_id = ix.conv_id and sr.rank = ix.index)"""
-QUERIES = {f.__name__: f for f in (query_keywords, answer_context, verdicts, status_mapping, same_names, page_furniture, stripped_pages, citation_rows, citation_checks, citation_lists, named_answers, routes, answer_json, html_roots, html_blocks)}
+QUERIES = {f.__name__: f for f in (query_keywords, answer_context, verdicts, status_mapping, same_names, page_furniture, stripped_pages, citation_rows, citation_checks, citation_lists, named_answers, routes, answer_json, file_summaries, parsed_searches, rewritten_queries, html_roots, html_blocks)}
 ORACLE = {
     "query_keywords": f"""with a as (select item_id, {_KEYS} as t from benchmark), b as (select item_id, list_transform(list_filter(range(1, len(t) + 1), lambda i: list_position(t, t[i]) = i), lambda i: t[i])[1:10] as k from a),
         c as (select item_id, k, k || list_transform(list_filter(flatten(list_transform(k, lambda w: list_transform({_SYN}, lambda s: [s.k, s.v, w]))), lambda s: s[1] = s[3]), lambda s: s[2]) as e from b)
@@ -335,6 +346,9 @@ ORACLE = {
     "named_answers": "with a as (select conv_id, turn, text, turn % 3 as i, turn % 4 + 1 as j from conversations where role = 'assistant') select conv_id, turn, md5(text || ' ' || case i when 1 then '【A [2]】' when 2 then '【B】' else '[0]' end || case j when 1 then '【A [2]】' when 2 then '【B】' else '【来源' || j || '】' end) as answer_md5 from a",
     "routes": rf"""select case when turn % 5 = 4 then 'retrieval' when regexp_matches(text, '{ROUTES[0][1].replace(chr(39), chr(39) * 2)}') then 'tool' when regexp_matches(text, '{ROUTES[1][1]}') then 'retrieval' else 'generation' end as route,
         length(trim(text)) <= 20 and regexp_matches(text, '^(?i)\s*(?:hi|hello|hey|thanks|thank you|bye|ok|你好|您好|谢谢|再见|好的)\b?[\s!.。！]*$') as small_talk, regexp_matches(text, '^(?i)\s*(?:and|also|then|but|continue|go on|shorter|longer|again|继续|再|还有|另外|然后|改成|换成)\b?') as follow_up, count(*) as n from conversations group by all""",
+    "file_summaries": r"with t as (select doc_id, coalesce(text, '') as t from documents) select doc_id, md5('[' || len(list_filter(string_split_regex(t, '\n[ \t]*\n+'), lambda x: trim(x, ' ') <> '')) || ' 段, ' || ceil(length(t) / 1000.0)::int || ' 个文本块] ' || case when length(t) > 200 then t[1:200] || '...' else t end) as summary_md5 from t",
+    "parsed_searches": "select page_id, unnest(['Page ' || page_id, 'Other']) as title, unnest([url, url]) as link, unnest(['some text', '']) as snippet from pages",
+    "rewritten_queries": r"with a as (select item_id, trim(text) as t, trim(regexp_replace(trim(text), '\s+', ' ', 'g')) as n from benchmark), b as (select item_id, case when t = n then [t, 'first of ' || item_id, 'third'] else [t, n, 'first of ' || item_id] end as q from a) select item_id, (generate_subscripts(q, 1) - 1)::int as pos, unnest(q) as query from b",
     "answer_json": "select event_id, case when event_id % 3 < 2 then (props->>'$.k')::int end as k from events",
     "html_roots": r"""with a as (select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as b from pages),
         e as (select *, replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&middot;', '·'), '&amp;', '&') as t, regexp_extract(b, '(?s)<h1>(.*?)</h1>', 1) as h from a)

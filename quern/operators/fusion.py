@@ -89,6 +89,16 @@ def collapse_to_documents(chunks: DataFrame, key: str, k: int = 10) -> DataFrame
     return top_k(one, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
+def aggregate_documents(hits: DataFrame) -> DataFrame:
+    """One row for each query and document: best score and rank, number of hits, and the places of the hits in order; ranked by score, hits, rank and id.
+
+    hits: (query_id, doc_id, place, score, rank).
+    """
+    one = hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.min("rank").alias("best_rank"), F.count("*").alias("hits"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "place"))), lambda x: x["place"]).alias("places"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("hits"), "best_rank", "doc_id")
+    return one.withColumn("position", F.row_number().over(w))
+
+
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, query, vec_id): the benchmark's items, and the titles of the documents whose id 100 divides, which may have a vector."""
     items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("bigint").alias("vec_id"))
@@ -158,6 +168,12 @@ def q_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance_floor(fused.select("query_id", "doc_id", "score", strong.alias("strong"))).select("query_id", "doc_id", "score", r6("floor").alias("floor"), "strong")
 
 
+def q_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of all lanes by document; lanes and parts are their places."""
+    hits = lanes(spark, sf_dir).withColumn("place", F.concat_ws(":", "lane", F.col("sub").cast("string")))
+    return aggregate_documents(hits).select("query_id", "doc_id", "score", "best_rank", "hits", F.array_join("places", ",").alias("places"), "position")
+
+
 def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_to_documents(_sourced(spark, sf_dir).drop("rank"), "source")
 
@@ -195,13 +211,14 @@ def floor_sql(table: str, strong: str, columns: str, name: str = "") -> str:
         select {columns} from fb{name} where case when any_strong then strong else first = 1 end"""
 
 
-QUERIES = {"search_queries": q_search_queries, "lane_ranks": q_lane_ranks, "rrf_fusion": q_rrf, "fused_bonus_rank": q_fused, "fused_best_score": q_fused_scores, "diversify_top10": q_diversify, "relevance_floor": q_floor, "collapse_chunks": q_collapse}
+QUERIES = {"search_queries": q_search_queries, "lane_ranks": q_lane_ranks, "rrf_fusion": q_rrf, "fused_bonus_rank": q_fused, "fused_best_score": q_fused_scores, "diversify_top10": q_diversify, "relevance_floor": q_floor, "collapse_chunks": q_collapse, "document_hits": q_documents}
 ORACLE = {
     "search_queries": f"with {LANES_SQL} select * from sq",
     "lane_ranks": f"with {LANES_SQL} select query_id, sub, lane, doc_id, score, rank from lr",
     "rrf_fusion": f"with {LANES_SQL}, o as (select query_id, doc_id, round(rrf, 6) as rrf, lanes, best_rank from mg) select *, row_number() over (partition by query_id order by rrf desc, len(lanes) desc, best_rank, doc_id)::int as rank from o qualify rank <= 10",
     "fused_bonus_rank": f"with {LANES_SQL} select query_id, doc_id, score, vector_score, keyword_score, exact_score, lanes, hits, rank from fu",
     "fused_best_score": f"with {LANES_SQL}, o as (select *, round(least(1.0, greatest(vector_score, keyword_score, exact_score) + bonus), 6) as score from bo) select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, hits desc, len(lanes) desc, list_contains(lanes, 'exact') desc, doc_id)::int as rank from o qualify rank <= 30",
+    "document_hits": f"with {LANES_SQL}, o as (select query_id, doc_id, max(score) as score, min(rank) as best_rank, count(*) as hits, string_agg(lane || ':' || sub, ',' order by rank, lane || ':' || sub) as places from lr group by 1, 2) select *, row_number() over (partition by query_id order by score desc, hits desc, best_rank, doc_id)::int as position from o",
     "diversify_top10": f"with {LANES_SQL} select query_id, doc_id, source, score, pass, position from dp",
     "relevance_floor": f"with {LANES_SQL}, {floor_sql('fu', _SUPPORTED, 'query_id, doc_id, score, round(floor, 6) as floor, strong')}",
     "collapse_chunks": f"with {LANES_SQL}, o as (select query_id, source, max(score) as score, first(doc_id order by score desc, doc_id) as doc_id from so group by all) select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from o qualify rank <= 10",

@@ -168,6 +168,14 @@ def q_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(out, ["query_id"], [F.desc("rerank_score"), F.col("doc_id")], 10)
 
 
+def q_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-ranked as if nothing were known of the results but their texts."""
+    zero = F.lit(0.0)
+    c = _candidates(spark, sf_dir).withColumns({"score": zero, "vector_score": zero, "keyword_score": zero, "exact_score": zero, "lanes": F.array().cast("array<string>"), "hits": F.lit(0).cast("long")})
+    out = _reranked(c, spark, sf_dir).select("query_id", "doc_id", "rerank_score")
+    return top_k(out, ["query_id"], [F.desc("rerank_score"), F.col("doc_id")], 10)
+
+
 def q_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused scores as the first model's, token overlap as the second's."""
     out = _reranked(_candidates(spark, sf_dir), spark, sf_dir).select("query_id", "doc_id", "score", "relevance")
@@ -239,10 +247,12 @@ _HYBRID = f"""with recursive {_CAND}, {_PAIRS}, {_GREEDY}, {_scored_sql("kd")},
     hv as (select *, least(3, row_number() over (partition by query_id, source order by score desc, doc_id))::int as pass from hs),
     hp as (select *, row_number() over (partition by query_id order by pass, score desc, doc_id)::int as position from hv qualify position <= 10),
     {floor_sql("hp", "supported", "query_id, doc_id, source, score, lanes, position, strong")}"""
-QUERIES = {"rerank_features": q_features, "cascade_rerank": q_cascade, "near_dup_pairs": q_near_dup_pairs, "greedy_dedup": q_greedy_dedup, "hybrid_search": hybrid_search, "recency_scores": recency_scores, "authority_scores": authority_scores}
+QUERIES = {"rerank_features": q_features, "heuristic_rerank": q_heuristic, "cascade_rerank": q_cascade, "near_dup_pairs": q_near_dup_pairs, "greedy_dedup": q_greedy_dedup, "hybrid_search": hybrid_search, "recency_scores": recency_scores, "authority_scores": authority_scores}
 ORACLE = {
     "rerank_features": f"""with {_CAND}, {_scored_sql("fc")}, o as (select query_id, doc_id, round(relevance, 6) as relevance, round(signal, 6) as signal, round(feature_score, 6) as feature_score, round(diversity, 6) as diversity, rerank_score from rr)
         select *, row_number() over (partition by query_id order by rerank_score desc, doc_id)::int as rank from o qualify rank <= 10""",
+    "heuristic_rerank": f"""with {_CAND}, zc as (select * replace (0.0::double as score, 0.0::double as vector_score, 0.0::double as keyword_score, 0.0::double as exact_score, []::varchar[] as lanes, 0 as hits) from fc), {_scored_sql("zc")}, o as (select query_id, doc_id, rerank_score from rr)
+        select *, row_number() over (partition by query_id order by rerank_score desc, doc_id)::int as rank from o qualify rank <= 10""",
     "cascade_rerank": f"""with {_CAND}, {_scored_sql("fc")}, p as (select query_id, doc_id, score, relevance, row_number() over (partition by query_id order by score desc, doc_id) as place from rr),
         u as (select *, max(score) over (partition by query_id) as top, coalesce(max(case when place = 2 then score end) over (partition by query_id), 0) as second from p)
         select query_id, doc_id, top < 0.72 or top - second < 0.04 as unsure, round(case when (top < 0.72 or top - second < 0.04) and place <= 8 then 0.25 * score + 0.75 * relevance else score end, 8) as cascaded from u""",

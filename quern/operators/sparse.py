@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import STOPWORDS, compact, index_tokens, nfkc, quoted_phrases, section_title
+from quern.functions.text import STOPWORDS, compact, index_tokens, marked_phrases, nfkc, normalised, quoted_phrases, section_title, source_text
 from quern.plans.common import exists, materialise, r6, read, shared_dir, sized, table_version, top_k
 
 K1, B = 1.5, 0.75
@@ -197,6 +197,16 @@ def exact_search(phrases: DataFrame, docs: DataFrame, source: Column, content_sc
     return hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("phrase")).alias("phrases")).withColumn("in_content", F.col("score") == content_score)
 
 
+def scan_phrases(phrases: DataFrame, docs: DataFrame, fields: Column, score: float = 0.98) -> DataFrame:
+    """(query_id, doc_id, score): phrases that stand in a text or its fields, marks and blanks alike.
+
+    The way without an index: the phrases, of which there are few, are held against each text once.
+    """
+    given = phrases.select("query_id", normalised(nfkc("phrase")).alias("needle")).where("needle <> ''").distinct()
+    hay = docs.select("doc_id", normalised(F.concat_ws(" ", nfkc("text"), fields)).alias("hay"))
+    return hay.join(sized(given), F.contains("hay", F.col("needle"))).select("query_id", "doc_id").distinct().withColumn("score", F.lit(score))
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -237,6 +247,20 @@ def q_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "score", F.array_join("phrases", "|").alias("phrases"), "in_content")
 
 
+def q_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five words of each benchmark item, in texts, titles and sources."""
+    five = F.array_join(F.slice(F.split("query", " "), 1, 5), ", ")
+    asked = benchmark_queries(spark, sf_dir).select("query_id", five.alias("phrase"))
+    return scan_phrases(asked, read(spark, sf_dir, "documents"), F.concat_ws(" ", source_text({"section_title": section_title("text")}), "source"))
+
+
+def q_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases in quotation marks of all kinds round words of the benchmark's items."""
+    w = lambda i: F.coalesce(F.get(F.split("query", " "), i), F.lit(""))
+    text = F.concat(F.lit("'"), w(0), F.lit("' “"), w(1), F.lit(" "), w(2), F.lit("” 《"), w(3), F.lit("》 \""), w(1), F.lit(" "), w(2), F.lit("\" it's"))
+    return benchmark_queries(spark, sf_dir).select("query_id", F.array_join(marked_phrases(text), "|").alias("phrases"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 TOKENS_SQL = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda x: length(x) > 1 and x not in ({_STOP}))"
 COMPACT_SQL = r"regexp_replace(lower({}), '\s+', '', 'g')"
@@ -264,7 +288,7 @@ _FOUND = "select query_id, doc_id, score_raw, round(score_raw / max(score_raw) o
 _HALF = COMPACT_SQL.format("regexp_extract(query, '[\"“](.{2,}?)[\"”]', 1)")
 _BOOST = f"""(case when contains({COMPACT_SQL.format(TITLE_SQL.format("dd.text"))}, {COMPACT_SQL.format("query")}) then 0.2 else 0 end
     + case when {_HALF} = '' then 0 when contains({COMPACT_SQL.format("dd.text")}, {_HALF}) then 0.25 when contains({COMPACT_SQL.format(TITLE_SQL.format("dd.text"))}, {_HALF}) then 0.15 else 0 end)"""
-QUERIES = {"bm25_top10": q_bm25, "bm25_phrase_boost": q_boosted, "postings_df": q_postings, "doc_length_stats": q_doc_lengths, "exact_phrase": q_exact_phrases, "exact_search": q_exact_search}
+QUERIES = {"bm25_top10": q_bm25, "bm25_phrase_boost": q_boosted, "postings_df": q_postings, "doc_length_stats": q_doc_lengths, "exact_phrase": q_exact_phrases, "exact_search": q_exact_search, "scan_phrases": q_scan, "marked_phrases": q_marked}
 ORACLE = {
     "bm25_top10": f"with {BM25_SQL} {_FOUND}",
     "bm25_phrase_boost": f"""with {bm25_sql("select item_id as query_id, '\"' || text[1 : length(text) // 2] || '\" ' || text as query from benchmark", add=_BOOST)}, ok as ({_FOUND}) select * from ok where score >= 0.05""",
@@ -272,6 +296,12 @@ ORACLE = {
     "doc_length_stats": f"with t as (select len({TOKENS_SQL.format('text')}) as dl from documents) select count(*) as n, round(avg(dl), 6) as avgdl, min(dl)::int as min_dl, max(dl)::int as max_dl from t where dl > 0",
     "exact_phrase": f"""select item_id as query_id, doc_id, 0.98::double as score from benchmark b join documents d
         on contains({COMPACT_SQL.format("d.text")}, {COMPACT_SQL.format("b.text")})""",
+    "scan_phrases": f"""with p as (select item_id as query_id, trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:5], ', ')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as needle from benchmark),
+        h as (select doc_id, trim(regexp_replace(lower(coalesce(text, '') || ' ' || coalesce({TITLE_SQL.format("text")}, '') || ' ' || coalesce(source, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as hay from documents)
+        select distinct query_id, doc_id, 0.98::double as score from p join h on needle <> '' and contains(hay, needle)""",
+    "marked_phrases": """with w as (select item_id as query_id, coalesce(w[1], '') as a, coalesce(w[2], '') || ' ' || coalesce(w[3], '') as b, coalesce(w[4], '') as c from (select item_id, string_split(text, ' ') as w from benchmark)),
+        p as (select query_id, list_filter([trim(b), trim(a), trim(c)], lambda x: length(x) >= 2) as l from w)
+        select query_id, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]), '|') as phrases from p""",
     "exact_search": f"""with p as (select item_id as query_id, {COMPACT_SQL.format("array_to_string(string_split(text, ' ')[1:4], ' ')")} as phrase from benchmark),
         h as (select doc_id, {COMPACT_SQL.format("text")} as c, {COMPACT_SQL.format(TITLE_SQL.format("text"))} as s from documents)
         select query_id, doc_id, case when contains(c, phrase) then 0.98 else 0.35 end::double as score, phrase as phrases, contains(c, phrase) as in_content from p join h on contains(c, phrase) or contains(s, phrase)""",

@@ -116,7 +116,23 @@ def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (clean_text, text_profiles, time_zones, canonical_scopes, field_checks, date_ops, math_ops, string_helpers, validators, citations, json_ops, set_operations, part_cube, nation_rollup, order_windows, price_quantiles, price_bands)}
+_TRIMMED = r"list_transform(string_split(t, chr(10)), lambda x: trim(x, ' '))"
+_HEADING = r"(length(x) <= 60 and not regexp_matches(x, '[.!?。！？；;:：]$') and regexp_matches(x, '^(?i:chapter|section|appendix)\b|^\d+(?:\.\d+){0,5}\s+\S+|^第[一二三四五六七八九十0-9]+(?:章|节|部分|条)|^[A-Z0-9][A-Z0-9 _./:-]{2,}$'))"
+_ITEM = r"regexp_matches(x, '^(?:[-*+•·]|\d+[.)、]|[(（]\d+[)）])\s+\S')"
+_ROW = r"regexp_matches(x, '[|\t]|\S+\s{2,}\S+')"
+_NUMBER = r"regexp_matches(x, '^(?i:page\s+\d+(?:\s*(?:of|/)\s*\d+)?|[-–—]?\s*\d{1,4}\s*[-–—]?|\d+\s*/\s*\d+|第\s*\d+\s*页(?:\s*共\s*\d+\s*页)?)$')"
+_OF = lambda test: f"len(list_filter(l, lambda x: {test}))::int"
 ORACLE = {
+    "text_profiles": rf"""with t as (select doc_id, coalesce(text, '') as t from documents), l as (select doc_id, t, {_TRIMMED} as l, regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') as b from t),
+        m as (select doc_id, list_transform(string_split(b, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')) as c, list_transform(string_split(b, chr(10)), lambda x: rtrim(replace(x, chr(9), '    '), ' ')) as s from l),
+        c as (select doc_id, case doc_id % 3 when 0 then regexp_replace(regexp_replace(array_to_string(list_transform(s, lambda x: regexp_extract(x, '^ *', 0) || regexp_replace(ltrim(x, ' '), '[ \t]{{2,}}', ' ', 'g')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')
+            else regexp_replace(trim(regexp_replace(array_to_string(case doc_id % 3 when 1 then c else list_filter(c, lambda x, i: i = 1 or not (x = c[i - 1] and (length(x) >= 3 or x = ''))) end, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' '), '^\n+|\n+$', '', 'g') end as cleaned from m),
+        u as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as i from l), f as (select *, {_HEADING} or {_ITEM} or {_ROW} as fixed from u),
+        p as (select doc_id, i, x, fixed, lag(x) over w as p, lag(fixed) over w as pf from f window w as (partition by doc_id order by i)),
+        j as (select *, p <> '' and x <> '' and not pf and not fixed and not regexp_matches(p, '[.!?。！？；;:：]$') and case when regexp_matches(p, '[-‐‑]$') then regexp_matches(x, '^[A-Za-z0-9]') else regexp_matches(p, '[,，、/／(（]$') or regexp_matches(x, '^[),，。；;:：!?！？」』】）\]]') or regexp_matches(x, '^[a-z一-鿿“"‘（(]') or length(p) < 90 end as joined from p),
+        g as (select doc_id, string_agg(case when i = 1 then '' when not joined then chr(10) when regexp_matches(p, '[-‐‑]$') then chr(1) when regexp_matches(p, '[(（/／]$') or regexp_matches(x, '^[),，。；;:：!?！？」』】）\]]') then '' else ' ' end || x, '' order by i) as t from j group by 1)
+        select doc_id, md5(cleaned) as cleaned_md5, length(regexp_replace(regexp_replace(regexp_replace(g.t, '[-‐‑]\x01', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'))::int as merged_chars,
+            {_OF(_HEADING)} as headings, {_OF(_ITEM)} as items, {_OF(_ROW)} as table_rows, {_OF(_NUMBER)} as page_numbers from l join c using (doc_id) join g using (doc_id)""",
     "clean_text": r"""with a as (select doc_id, list_transform(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')) as l from documents),
         b as (select doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 or not (x = l[i - 1] and (length(x) >= 3 or x = ''))), chr(10)) as t from a)
         select doc_id, md5(regexp_replace(trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), ' '), '^\n+|\n+$', '', 'g')) as cleaned_md5 from b""",
