@@ -54,7 +54,8 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     counted = tokenised(docs, id_col, text_col).select("doc_id", "dl", F.explode("tokens").alias("token"))
     tf = counted.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")).withColumn("shard", _shard(F.col("token")))
-    tf.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)  # of each shard, so that a frequent token isn't one task's
+    tf.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
     p = spark.read.parquet(f"{path}/postings")
     p.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{path}/terms")
     lengths = p.groupBy("doc_id").agg(F.first("dl").alias("dl"))
