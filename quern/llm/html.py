@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from os.path import commonprefix
 from typing import NamedTuple
@@ -35,6 +36,8 @@ WINDOW = 3
 GAP = WINDOW
 #: Characters of a window at which text surges and dives; on a page of short lines a share of its largest window.
 SURGE, SHARE = 40, 0.2
+#: Layout elements further down belong to the last one that counts.
+DEEPEST = 512
 #: Characters outside links from which an element stays that is noise by a vague word alone.
 ENOUGH = 160
 
@@ -69,13 +72,13 @@ class Line(NamedTuple):
     path: tuple[int, ...]  # open layout elements
 
 
-def _holds(page: str, at: int, name: str) -> str:
-    """main or article if the element that opens before at is one or holds one, else nothing."""
+def _holds(page: str, at: int, name: str, last: int) -> str:
+    """main or article if the element that opens before at is one or holds one, else nothing. last: where the page's last one begins."""
     found = name if name in _MAIN else ""
-    if found == "main" or not _MAIN_TAG.search(page, at):
+    if found == "main" or last < at:
         return found
     depth, end = 1, len(page)
-    while depth and at < end and (m := _TOKEN.search(page, at)):
+    while depth and at <= last and (m := _TOKEN.search(page, at)):
         at, x = m.end(), (m[2] or "").lower()
         if x in _RAW and not m[1] and not m[3].endswith("/"):
             e = _RAW[x].search(page, at)
@@ -142,9 +145,12 @@ def lines_of(page: str) -> list[Line]:
     main: list[int] = []
     layout: list[int] = []  # for each open element its number if it is of the layout, or 0
     parts = 0
+    opened: Counter[str] = Counter()  # open elements by name
+    gapped = articles = 0  # open parts of the layout, and articles that stand for themselves
 
     def add(line: str, n: int = 1) -> None:
-        lines.extend([Line(line, linked, dropped > 0, tuple(vague), main[-1] if main else 0, main[-2] if len(main) > 1 else 0, tuple(filter(None, layout)))] * n)
+        path = tuple(filter(None, layout[:DEEPEST])) if line else ()
+        lines.extend([Line(line, linked, dropped > 0, tuple(vague), main[-1] if main else 0, main[-2] if len(main) > 1 else 0, path)] * n)
 
     def close() -> None:
         nonlocal linked
@@ -161,14 +167,17 @@ def lines_of(page: str) -> list[Line]:
 
     def outermost() -> bool:
         """Whether no part of the page's layout is open: what is taken out here isn't amid a text."""
-        return not any(x in _GAPPED for x, *_ in stack)
+        return not gapped
 
     def shut(name: str) -> None:
         """Closes the innermost open element of that name, and all that it holds."""
-        nonlocal dropped
-        if any(x == name for x, *_ in stack):
+        nonlocal dropped, gapped, articles
+        if opened[name]:
             while stack:
                 x, was, top, hinted = stack.pop()
+                opened[x] -= 1
+                gapped -= x in _GAPPED
+                articles -= x == "article" and top
                 if was or top or hinted:
                     close()
                 layout.pop()
@@ -181,6 +190,7 @@ def lines_of(page: str) -> list[Line]:
                     break
 
     at, end = 0, len(page)
+    last_main = max((m.start() for m in _MAIN_TAG.finditer(page)), default=-1)
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
@@ -232,8 +242,8 @@ def lines_of(page: str) -> list[Line]:
             close()
             stack = [(x, False, top, hinted) for x, _, top, hinted in stack]
             dropped = 0
-        lone = not any(x == "article" and top for x, _, top, _ in stack)
-        hint = "" if dropped else _hint(name, m[3], bool(main), lambda at=at, name=name, lone=lone: _holds(page, at, name) if lone else "")
+        lone = not articles
+        hint = "" if dropped else _hint(name, m[3], bool(main), lambda at=at, name=name, lone=lone: _holds(page, at, name, last_main) if lone else "")
         noisy = hint == "noise"
         if noisy and not main and outermost():
             gap(GAP)
@@ -246,6 +256,9 @@ def lines_of(page: str) -> list[Line]:
         else:
             top = name in _MAIN or (name in ("div", "section", "td") and _marked(m[3]))
         stack.append((name, noisy, top, hint == "vague"))
+        opened[name] += 1
+        gapped += name in _GAPPED
+        articles += name == "article" and top
         parts += 1
         layout.append(parts if name in _GAPPED else 0)
         dropped += noisy
