@@ -133,8 +133,8 @@ def clean_structured(text: Column | str) -> Column:
 
 
 # Extensions whose lines and indents, or whose lines alone, are kept.
-STRUCTURED = ("json", "yaml", "yml", "toml", "ini", "cfg", "conf", "env", "properties", "py", "js", "ts", "java", "c", "cpp", "h", "go", "rs", "sh", "sql")
-MARKUP = ("md", "markdown", "rst", "html", "htm", "xml", "svg")
+STRUCTURED = tuple("json xml svg yaml yml toml ini cfg conf env properties csv tsv py js ts tsx jsx java cc cpp cxx c h hpp cs go rb php rs swift kt kts scala sh bash zsh bat ps1 sql html gitignore css scss less vue".split())
+MARKUP = ("md", "markdown", "rst")
 
 
 def clean_by_kind(text: Column | str, extension: Column) -> Column:
@@ -164,12 +164,21 @@ def looks_like_table_row(line: Column) -> Column:
     return line.rlike(r"[|\t]|\S+\s{2,}\S+")
 
 
+# How a list item begins, and what a page number looks like.
+BULLET = r"^(?:[-*•●▪■]|(?:\(?\d+\)?[.)、])|(?:[A-Za-z][.)])|(?:[一二三四五六七八九十]+[、.]))\s+"
+PAGE_NUMBERS = (r"^\d+$", r"^(?i:page)\s+\d+(?:\s*(?:/|(?i:of))\s*\d+)?$", r"^第\s*\d+\s*页(?:\s*/\s*共\s*\d+\s*页)?$", r"^(?i:[ivxlcdm]+)$")
+
+
 def looks_like_list_item(line: Column) -> Column:
-    return line.rlike(r"^(?:[-*+•·]|\d+[.)、]|[(（]\d+[)）])\s+\S")
+    return line.rlike(BULLET)
 
 
 def is_page_number(line: Column) -> Column:
-    return line.rlike(r"^(?i:page\s+\d+(?:\s*(?:of|/)\s*\d+)?|[-–—]?\s*\d{1,4}\s*[-–—]?|\d+\s*/\s*\d+|第\s*\d+\s*页(?:\s*共\s*\d+\s*页)?)$")
+    """A line of up to 80 characters that is nothing but a page's number."""
+    found = F.lit(False)
+    for p in PAGE_NUMBERS:
+        found = found | line.rlike(p)
+    return found & (F.length(line) <= 80)
 
 
 def merged_lines(text: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -133,25 +134,54 @@ def same_name(df: DataFrame, id_col: str, name_col: str, scope: str) -> DataFram
     return n.join(counts, [scope, "name"]).select(id_col, scope, "name", "others")
 
 
-# Routes, and the words that lead to them, in the order in which they are asked.
-ROUTES = (("tool", r"(?i)\b(?:calculate|convert|weather|time now|today's date|translate)\b|计算|天气|几点|日期|汇率|翻译"), ("retrieval", r"(?i)\b(?:what|who|when|where|which|why|how|document|file|according to)\b|什么|谁|何时|哪里|哪些|为什么|如何|怎么|文档|文件|根据|查询|介绍"))
+# The words that make a request one for a tool, a question, or one about documents.
+TOOL_WORDS = ("计算", "算", "天气", "搜索", "查询", "调用工具", "tool", "calculate", "search", "weather")
+ASKING = "什么|怎么|如何|为何|为什么|多少|是否|能否|请帮我|介绍|说明|总结|概括|分析|对比|列出|告诉我|解读|梳理|依据|根据"
+CUES = ("要求", "字数", "规定", "标准", "条件", "流程", "办法", "规范", "格式", "模板", "示例", "材料", "时间", "节点", "比例", "评分", "评审", "抽检", "存档", "提交")
+# What is said without a task, and how an answer is asked for again.
+SMALL_TALK = ("hi", "hello", "嗨", "你好", "您好", "在吗", "在嘛", "ok", "okay", "收到", "谢谢", "thanks", "thankyou", "测试", "test")
+AGAIN = ("重新回答", "重新作答", "重新回复", "继续回答", "继续回复")
+ABOUT_DOCUMENTS, ABOUT_ANSWERS, BY_SEARCH = ("知识库", "资料", "文档"), ("回答", "回复", "作答"), ("检索", "查询", "搜索", "基于", "根据", "使用", "用")
 
 
-def route(text: Column, preferred: Column) -> Column:
-    """Where a request goes: to what is asked for by name, to a tool, to retrieval, or to generation."""
-    out = F.lit("generation")
-    for name, words in reversed(ROUTES):
-        out = F.when(text.rlike(words), name).otherwise(out)
-    return F.when(preferred.isin("tool", "retrieval", "generation"), preferred).otherwise(out)
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
+
+
+def asks_for_information(text: Column) -> Column:
+    return text.rlike(ASKING) | F.contains(text, F.lit("?")) | F.contains(text, F.lit("？")) | _any(text, CUES)
+
+
+def route(text: Column, preferred: Column, has_base: Column) -> Column:
+    """Where a request goes: to what is asked for by name, to a tool, to retrieval where there is a knowledge base, or to generation."""
+    named = F.lower(F.trim(preferred))
+    found = F.when(_any(F.lower(text), TOOL_WORDS), "tool").when(has_base & asks_for_information(text), "retrieval").otherwise("generation")
+    return F.when(named.isin("tool", "retrieval", "generation"), named).otherwise(found)
+
+
+def _said(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"(?U)[\s\.,，。!！?？~～:：;；、]+", "")
 
 
 def is_small_talk(text: Column) -> Column:
-    return (F.length(F.trim(text)) <= 20) & text.rlike(r"^(?i)\s*(?:hi|hello|hey|thanks|thank you|bye|ok|你好|您好|谢谢|再见|好的)\b?[\s!.。！]*$")
+    said = _said(text)
+    return said.isin(*SMALL_TALK) | said.rlike("^(?:哈|呵|嘿|嗨|嗯|哦|啊)+$")
 
 
 def follows_up(text: Column) -> Column:
-    """Whether a message refers to what was said before."""
-    return text.rlike(r"^(?i)\s*(?:and|also|then|but|continue|go on|shorter|longer|again|继续|再|还有|另外|然后|改成|换成)\b?")
+    """Whether a message asks for the last question to be answered again, or from the documents."""
+    said = _said(text)
+    return (_any(said, ABOUT_DOCUMENTS) & _any(said, ABOUT_ANSWERS) & _any(said, BY_SEARCH)) | said.isin(*AGAIN)
+
+
+def needs_documents(text: Column, has_base: Column) -> Column:
+    return ~is_small_talk(text) & (text.rlike("知识库|文档|资料|出处|引用") | (has_base & asks_for_information(text)))
+
+
+def asked_form(text: Column) -> tuple[Column, Column]:
+    """(format, style) that a request asks for."""
+    has = lambda *w: _any(text, w)
+    return F.when(has("表格"), "table").when(has("列表", "清单"), "list").otherwise("paragraph"), F.when(has("详细"), "detailed").when(has("简洁", "简要"), "brief").otherwise("balanced")
 
 
 def real_link(link: Column) -> Column:
@@ -192,6 +222,31 @@ def rewritten_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(sanitised_queries(F.trim("text"), q)).alias("pos", "query"))
 
 
+def combined_verdict(rule: Column, model: Column, said: Column) -> tuple[Column, Column]:
+    """(score, flagged): .4 of the rules and .6 of a model where it has spoken; flagged below .7 or where the model says so."""
+    score = F.coalesce(0.4 * rule + 0.6 * model, rule)
+    return score, (score < 0.7) | F.coalesce(said, F.lit(False))
+
+
+def repeated_edges(pages: DataFrame) -> DataFrame:
+    """First and last lines that at least max(2, (3n + 4) / 5) of a document's n pages share.
+
+    pages: (doc_id, page_no, text). Counted in Spark, so that a long document isn't one task's.
+    """
+    edge = F.explode(F.array(F.struct(F.lit("header").alias("edge"), F.regexp_extract("text", r"^\s*([^\n]+)", 1).alias("line")), F.struct(F.lit("footer").alias("edge"), F.regexp_extract("text", r"([^\n]+)\s*$", 1).alias("line"))))
+    n = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    counts = pages.select("doc_id", edge.alias("e")).groupBy("doc_id", "e.edge", "e.line").agg(F.count("*").alias("n")).where("line <> ''")
+    return counts.join(n, "doc_id").where(F.col("n") >= F.greatest(F.lit(2), F.floor((3 * F.col("pages") + 4) / 5)))
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, kind, section, text): the lines of rendered pages under the last heading before them."""
+    lines = pages.select("page_id", F.posexplode(F.split(rendered("html"), "\n")).alias("pos", "line")).where("line <> ''")
+    typed = lines.withColumn("kind", line_kind(F.col("line"))).withColumn("text", F.regexp_replace("line", "^(?:#{1,6}|-) ", ""))
+    above = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return typed.select("page_id", "pos", "kind", F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(above).alias("section"), "text")
+
+
 #: Synonyms for the benchmark's invented words.
 EXAMPLE = {"ention": ("mention",), "hand": ("palm", "fist"), "erth": ("earth",)}
 
@@ -280,7 +335,17 @@ def named_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "conversations")
-    return t.groupBy(route(F.col("text"), F.when(F.col("turn") % 5 == 4, "retrieval")).alias("route"), is_small_talk(F.col("text")).alias("small_talk"), follows_up(F.col("text")).alias("follow_up")).agg(F.count("*").alias("n"))
+    return t.groupBy(route(F.col("text"), F.when(F.col("turn") % 5 == 4, " Retrieval"), F.col("conv_id") % 2 == 0).alias("route")).agg(F.count("*").alias("n"))
+
+
+def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with words of intents put before them: what each asks for."""
+    words = ("Hi!", "根据知识库回答：", "用表格简要说明", "详细的清单", "测试。", "哈哈")
+    t = read(spark, sf_dir, "conversations")
+    word = F.get(F.array(*map(F.lit, words)), (F.col("turn") % 6).cast("int"))
+    text = F.when(F.col("conv_id") % 3 == 0, word).otherwise(F.concat(word, "text"))
+    form, style = asked_form(text)
+    return t.groupBy(is_small_talk(text).alias("small_talk"), follows_up(text).alias("follow_up"), needs_documents(text, F.col("conv_id") % 2 == 0).alias("documents"), form.alias("form"), style.alias("style")).agg(F.count("*").alias("n"))
 
 
 def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +391,9 @@ _CITED = r"""an as (select conv_id, turn, text || ' [' || (turn % 3) || ']【来
     ix as (select distinct conv_id, turn, unnest(regexp_extract_all(a, '\[(\d+)\]', 1) || regexp_extract_all(a, '【(\d+)】', 1) || regexp_extract_all(a, '\((\d+)\)', 1) || regexp_extract_all(a, '【来源(\d+)】', 1))::int as index from an),
     sr as (select conv_id, row_number() over (partition by conv_id order by turn) as rank, turn as source_id, 'turn ' || turn as source_name, 1.0::double / (turn + 1) as score, text as content from conversations where role = 'user'),
     ci as (select ix.*, source_id, source_name, score, content from ix join sr on sr.conv_id = ix.conv_id and sr.rank = ix.index)"""
-QUERIES = {f.__name__: f for f in (query_keywords, answer_context, verdicts, status_mapping, same_names, page_furniture, stripped_pages, citation_rows, citation_checks, citation_lists, named_answers, routes, answer_json, file_summaries, parsed_searches, rewritten_queries, html_roots, html_blocks)}
+_any_sql = lambda text, words: "(" + " or ".join(f"contains({text}, '{w}')" for w in words) + ")"
+_ASKS = "(regexp_matches({0}, '" + ASKING + "') or contains({0}, '?') or contains({0}, '？') or " + _any_sql("{0}", CUES) + ")"
+QUERIES = {f.__name__: f for f in (query_keywords, answer_context, verdicts, status_mapping, same_names, page_furniture, stripped_pages, citation_rows, citation_checks, citation_lists, named_answers, routes, intents, answer_json, file_summaries, parsed_searches, rewritten_queries, html_roots, html_blocks)}
 ORACLE = {
     "query_keywords": f"""with a as (select item_id, {_KEYS} as t from benchmark), b as (select item_id, list_transform(list_filter(range(1, len(t) + 1), lambda i: list_position(t, t[i]) = i), lambda i: t[i])[1:10] as k from a),
         c as (select item_id, k, k || list_transform(list_filter(flatten(list_transform(k, lambda w: list_transform({_SYN}, lambda s: [s.k, s.v, w]))), lambda s: s[1] = s[3]), lambda s: s[2]) as e from b)
@@ -344,8 +411,14 @@ ORACLE = {
         select conv_id, turn, cited::int as cited, coalesce(total, 0) as total, (cited - coalesce(hit, 0))::int as unmatched, round(case when total > 0 then cited / total else 0 end, 6)::double as coverage, cited = coalesce(hit, 0) as is_valid from c left join n using (conv_id, turn) left join u using (conv_id, turn)""",
     "citation_lists": f"""with {_CITED} select conv_id, turn, '## 参考来源' || chr(10) || chr(10) || string_agg('[' || index || '] **' || source_name || '** (相关度: 0.50)', chr(10) order by index) as markdown, '参考来源：' || chr(10) || string_agg('[' || index || '] ' || source_name || ' (相关度: 0.50)', chr(10) order by index) as plain from ci group by 1, 2""",
     "named_answers": "with a as (select conv_id, turn, text, turn % 3 as i, turn % 4 + 1 as j from conversations where role = 'assistant') select conv_id, turn, md5(text || ' ' || case i when 1 then '【A [2]】' when 2 then '【B】' else '[0]' end || case j when 1 then '【A [2]】' when 2 then '【B】' else '【来源' || j || '】' end) as answer_md5 from a",
-    "routes": rf"""select case when turn % 5 = 4 then 'retrieval' when regexp_matches(text, '{ROUTES[0][1].replace(chr(39), chr(39) * 2)}') then 'tool' when regexp_matches(text, '{ROUTES[1][1]}') then 'retrieval' else 'generation' end as route,
-        length(trim(text)) <= 20 and regexp_matches(text, '^(?i)\s*(?:hi|hello|hey|thanks|thank you|bye|ok|你好|您好|谢谢|再见|好的)\b?[\s!.。！]*$') as small_talk, regexp_matches(text, '^(?i)\s*(?:and|also|then|but|continue|go on|shorter|longer|again|继续|再|还有|另外|然后|改成|换成)\b?') as follow_up, count(*) as n from conversations group by all""",
+    "routes": f"""select case when turn % 5 = 4 then 'retrieval' when {_any_sql("lower(text)", TOOL_WORDS)} then 'tool' when conv_id % 2 = 0 and {_ASKS.format("text")} then 'retrieval' else 'generation' end as route, count(*) as n from conversations group by 1""",
+    "intents": f"""with w as (select conv_id, ['Hi!', '根据知识库回答：', '用表格简要说明', '详细的清单', '测试。', '哈哈'][(turn % 6) + 1] || case when conv_id % 3 = 0 then '' else text end as t from conversations),
+        s as (select *, regexp_replace(lower(t), '[\\s\\.,，。!！?？~～:：;；、]+', '', 'g') as said from w),
+        k as (select *, said in ({", ".join(f"'{x}'" for x in SMALL_TALK)}) or regexp_matches(said, '^(?:哈|呵|嘿|嗨|嗯|哦|啊)+$') as small_talk from s)
+        select small_talk, ({_any_sql("said", ABOUT_DOCUMENTS)} and {_any_sql("said", ABOUT_ANSWERS)} and {_any_sql("said", BY_SEARCH)}) or said in ({", ".join(f"'{x}'" for x in AGAIN)}) as follow_up,
+            not small_talk and (regexp_matches(t, '知识库|文档|资料|出处|引用') or (conv_id % 2 = 0 and {_ASKS.format("t")})) as documents,
+            case when contains(t, '表格') then 'table' when contains(t, '列表') or contains(t, '清单') then 'list' else 'paragraph' end as form,
+            case when contains(t, '详细') then 'detailed' when contains(t, '简洁') or contains(t, '简要') then 'brief' else 'balanced' end as style, count(*) as n from k group by all""",
     "file_summaries": r"with t as (select doc_id, coalesce(text, '') as t from documents) select doc_id, md5('[' || len(list_filter(string_split_regex(t, '\n[ \t]*\n+'), lambda x: trim(x, ' ') <> '')) || ' 段, ' || ceil(length(t) / 1000.0)::int || ' 个文本块] ' || case when length(t) > 200 then t[1:200] || '...' else t end) as summary_md5 from t",
     "parsed_searches": "select page_id, unnest(['Page ' || page_id, 'Other']) as title, unnest([url, url]) as link, unnest(['some text', '']) as snippet from pages",
     "rewritten_queries": r"with a as (select item_id, trim(text) as t, trim(regexp_replace(trim(text), '\s+', ' ', 'g')) as n from benchmark), b as (select item_id, case when t = n then [t, 'first of ' || item_id, 'third'] else [t, n, 'first of ' || item_id] end as q from a) select item_id, (generate_subscripts(q, 1) - 1)::int as pos, unnest(q) as query from b",

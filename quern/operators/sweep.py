@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import canonical_json, citation_indices, clean_by_kind, clean_prose, human_size, is_email, is_given, is_page_number, is_strong_password, is_url, is_uuid, looks_like_heading, looks_like_list_item, looks_like_table_row, merged_lines, preview, safe_file_name, support_score, within
+from quern.functions.text import BULLET, PAGE_NUMBERS, canonical_json, citation_indices, clean_by_kind, clean_prose, human_size, is_email, is_given, is_page_number, is_strong_password, is_url, is_uuid, looks_like_heading, looks_like_list_item, looks_like_table_row, merged_lines, preview, safe_file_name, support_score, within
 from quern.plans.common import r6, read
 
 HEDGES = ("may be", "i think", "probably")
@@ -118,9 +118,9 @@ def price_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (clean_text, text_profiles, time_zones, canonical_scopes, field_checks, date_ops, math_ops, string_helpers, validators, citations, json_ops, set_operations, part_cube, nation_rollup, order_windows, price_quantiles, price_bands)}
 _TRIMMED = r"list_transform(string_split(t, chr(10)), lambda x: trim(x, ' '))"
 _HEADING = r"(length(x) <= 60 and not regexp_matches(x, '[.!?。！？；;:：]$') and regexp_matches(x, '^(?i:chapter|section|appendix)\b|^\d+(?:\.\d+){0,5}\s+\S+|^第[一二三四五六七八九十0-9]+(?:章|节|部分|条)|^[A-Z0-9][A-Z0-9 _./:-]{2,}$'))"
-_ITEM = r"regexp_matches(x, '^(?:[-*+•·]|\d+[.)、]|[(（]\d+[)）])\s+\S')"
+_ITEM = f"regexp_matches(x, '{BULLET}')"
 _ROW = r"regexp_matches(x, '[|\t]|\S+\s{2,}\S+')"
-_NUMBER = r"regexp_matches(x, '^(?i:page\s+\d+(?:\s*(?:of|/)\s*\d+)?|[-–—]?\s*\d{1,4}\s*[-–—]?|\d+\s*/\s*\d+|第\s*\d+\s*页(?:\s*共\s*\d+\s*页)?)$')"
+_NUMBER = "(length(x) <= 80 and (" + " or ".join(f"regexp_matches(x, '{p}')" for p in PAGE_NUMBERS) + "))"
 _OF = lambda test: f"len(list_filter(l, lambda x: {test}))::int"
 ORACLE = {
     "text_profiles": rf"""with t as (select doc_id, coalesce(text, '') as t from documents), l as (select doc_id, t, {_TRIMMED} as l, regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') as b from t),

@@ -42,7 +42,7 @@ KINDS = sorted({k for k, _, _ in FORMATS.values()} | {"other"})
 # Encodings in the order in which they are tried after UTF-8.
 ENCODINGS = ("utf-8-sig", "gb18030", "gbk", "gb2312", "big5", "latin-1")
 # Cells that name a column.
-HEADER_WORDS = ("id", "name", "title", "type", "date", "time", "status", "value", "amount", "price", "count", "number", "description", "email", "phone", "address", "category", "url")
+HEADER_WORDS = ("名称", "说明", "描述", "标题", "内容", "类型", "状态", "备注", "金额", "数量", "日期", "name", "title", "description", "content", "type", "status", "remark", "remarks", "amount", "count", "date", "id")
 
 
 def extension(name: Column | str) -> Column:
