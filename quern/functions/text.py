@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +18,20 @@ _HAN = "一-鿿"
 _FOLDED = r"[^\x00-\x9f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃ一-鿿]"
 
 
+#: Cheap tests for what folding, or cleaning, may change: any character beyond Latin-1, and those within it.
+_BEYOND = r"[\u0100-\x{10ffff}]"
+_FOLDS = r"[\xa0\xa8\xaa\xaf\xb2-\xb5\xb8-\xba\xbc-\xbe]"
+_DIRTY = r"[\x00-\x08\x0b-\x1f\x7f\xa0\xad]"
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _fold(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _fold(x: pa.Array) -> pa.Array:
+    if x.null_count == len(x):
+        return pa.nulls(len(x), pa.string())
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in x.to_pylist()], pa.string())
 
 
 def nfkc(text: Column | str) -> Column:
@@ -33,8 +41,8 @@ def nfkc(text: Column | str) -> Column:
     batches; Latin and Han texts pass by.
     """
     t = _c(text)
-    other = t.rlike(_FOLDED)
-    return F.when(other, F.pandas_udf(_fold, "string")(F.when(other, t))).otherwise(t)
+    other = t.rlike(_FOLDS) | (t.rlike(_BEYOND) & t.rlike(_FOLDED))
+    return F.coalesce(F.arrow_udf(_fold, "string")(F.when(other, t)), t)
 
 
 def _pairs_of(run: Column) -> Column:
@@ -45,22 +53,26 @@ def index_tokens(text: Column | str) -> Column:
     """Tokens of the inverted index, with repeats.
 
     Latin runs in lower case without single characters and stopwords; Han runs of up to two
-    characters whole, longer ones as all their pairs, and also whole up to twelve characters.
+    characters whole, longer ones as all their pairs, and also whole up to twelve characters. Texts
+    without Han take one expression; only others are looked at run by run.
     """
-    runs = F.regexp_extract_all(F.lower(_c(text)), F.lit(f"([a-z0-9]+|[{_HAN}]+)"), F.lit(0))
+    t = F.lower(_c(text))
+    plain = F.regexp_extract_all(t, F.lit(rf"(?<![a-z0-9])(?!(?:{'|'.join(STOPWORDS)})(?![a-z0-9]))[a-z0-9]{{2,}}+"), F.lit(0))
+    runs = F.regexp_extract_all(t, F.lit(f"([a-z0-9]+|[{_HAN}]+)"), F.lit(0))
 
     def of(run: Column) -> Column:
         latin = F.when((F.length(run) > 1) & ~run.isin(*STOPWORDS), F.array(run)).otherwise(F.array().cast("array<string>"))
         long_run = F.concat(_pairs_of(run), F.when(F.length(run) <= 12, F.array(run)).otherwise(F.array().cast("array<string>")))
         return F.when(run.rlike("^[a-z0-9]"), latin).when(F.length(run) <= 2, F.array(run)).otherwise(long_run)
 
-    return F.flatten(F.transform(runs, of))
+    return F.when(t.rlike(f"[{_HAN}]"), F.flatten(F.transform(runs, of))).otherwise(plain)
 
 
 def rerank_tokens(text: Column | str) -> Column:
     """The set of tokens that re-ranking compares: nothing is left out, Han runs give their pairs."""
-    runs = F.regexp_extract_all(F.lower(_c(text)), F.lit(f"([a-z0-9]+|[{_HAN}]+)"), F.lit(0))
-    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[a-z0-9]") | (F.length(r) == 1), F.array(r)).otherwise(_pairs_of(r)))))
+    t = F.lower(_c(text))
+    runs = F.regexp_extract_all(t, F.lit(f"([a-z0-9]+|[{_HAN}]+)"), F.lit(0))
+    return F.when(~t.rlike(f"[{_HAN}]"), F.array_distinct(runs)).otherwise(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[a-z0-9]") | (F.length(r) == 1), F.array(r)).otherwise(_pairs_of(r))))))
 
 
 def compact(text: Column | str) -> Column:
@@ -104,22 +116,28 @@ def _bare(text: Column) -> Column:
     t = F.regexp_replace(text, "[\ufeff\u00ad\u200b-\u200f\u2060]", "")
     t = F.regexp_replace(t, "\r\n?", "\n")
     t = F.regexp_replace(t, "[\u00a0\u3000]", " ")
-    return F.regexp_replace(t, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
+    t = F.regexp_replace(t, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
+    return F.when(text.rlike(_DIRTY) | text.rlike(_BEYOND), t).otherwise(text)
+
+
+def _collapsed(text: Column | str) -> Column:
+    """One blank for runs of them, and none at the ends of lines."""
+    return F.trim(F.regexp_replace(F.regexp_replace(_bare(nfkc(text)), "[ \t]{2,}|\t", " "), " \n ?|\n ", "\n"))
 
 
-def _ended(lines: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n")), "^\n+|\n+$", "")
+def _ended(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
 
 
 def clean_prose(text: Column | str) -> Column:
     """Compatibility forms folded, marks of no width dropped, line ends and blanks unified, blank runs and repeated lines collapsed."""
-    collapsed = F.transform(F.split(_bare(nfkc(text)), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
-    return _ended(distinct_lines(collapsed))
+    once = F.regexp_replace(_collapsed(text), r"(?md)^(.{3,}+)(?:\n\1)+$", "$1")  # lines that repeat the one before
+    return _ended(once)
 
 
 def clean_markup(text: Column | str) -> Column:
     """As prose, but every line stays."""
-    return _ended(F.transform(F.split(_bare(nfkc(text)), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " "))))
+    return _ended(_collapsed(text))
 
 
 def clean_structured(text: Column | str) -> Column:

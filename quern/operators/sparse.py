@@ -85,16 +85,32 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(index_tokens(nfkc("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, doc_id, bm25, matched_terms) for every document that has a token of the query."""
+def _weighted(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """The postings of the queries' tokens, and (query_id, token, avgdl, w)."""
     terms = materialise(query_terms(queries).withColumn("shard", _shard(F.col("token"))), "query-terms")
     shards = [r.shard for r in terms.select("shard").distinct().collect()]  # SHARDS at most
     df = index.terms.join(sized(terms.select("token").distinct()), "token", "left_semi")
     weights = terms.join(df, "token").crossJoin(F.broadcast(index.stats))
-    weights = weights.select("query_id", "token", "avgdl", (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    weights = materialise(weights.select("query_id", "token", "avgdl", (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")), "query-weights")
+    return index.postings.where(F.col("shard").isin(shards)).drop("shard"), weights
+
+
+def _scores(held: DataFrame, weights: DataFrame) -> DataFrame:
     gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    held = index.postings.where(F.col("shard").isin(shards)).drop("shard")
-    return held.join(sized(weights), "token").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("bm25"), F.array_sort(F.collect_set("token")).alias("matched_terms"))
+    return held.join(sized(weights), "token").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("bm25"))
+
+
+def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
+    """(query_id, doc_id, bm25) for every document that has a token of the query."""
+    return _scores(*_weighted(queries, index))
+
+
+def _with_terms(best: DataFrame, held: DataFrame, weights: DataFrame) -> DataFrame:
+    """The results with their matched_terms, which are gathered for what is left alone."""
+    best = materialise(best, "best")
+    found = held.join(sized(best.select("query_id", "doc_id")), "doc_id").select("query_id", "doc_id", "token").join(sized(weights.select("query_id", "token")), ["query_id", "token"], "left_semi")
+    terms = found.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("token")).alias("matched_terms"))
+    return best.join(terms, ["query_id", "doc_id"]).select("query_id", "doc_id", "score_raw", "score", "matched_terms", "rank")
 
 
 def phrase_boost(query: Column, phrases: Column, content: Column, source: Column) -> Column:
@@ -108,23 +124,25 @@ def phrase_boost(query: Column, phrases: Column, content: Column, source: Column
 
 
 def ranked_scores(scored: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
-    """query_id, doc_id, score_raw, score, matched_terms, rank: score is score_raw over the query's largest, ties go to the smaller id."""
+    """query_id, doc_id, score_raw, score, rank: score is score_raw over the query's largest, ties go to the smaller id."""
     best = top_k(scored, ["query_id"], [F.desc("score_raw"), F.col("doc_id")], k)
     out = best.withColumn("score", r6(F.col("score_raw") / F.max("score_raw").over(Window.partitionBy("query_id"))))
-    return out.where(F.col("score") >= min_score).select("query_id", "doc_id", "score_raw", "score", "matched_terms", "rank")
+    return out.where(F.col("score") >= min_score).select("query_id", "doc_id", "score_raw", "score", "rank")
 
 
 def bm25(queries: DataFrame, index: Index, k: int = 10, min_score: float = 0.0) -> DataFrame:
     """The k best documents of each query by BM25 alone."""
-    return ranked_scores(bm25_scores(queries, index).withColumn("score_raw", r6("bm25")), k, min_score)
+    held, weights = _weighted(queries, index)
+    return _with_terms(ranked_scores(_scores(held, weights).withColumn("score_raw", r6("bm25")), k, min_score), held, weights)
 
 
 def bm25_boosted(queries: DataFrame, index: Index, texts: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
     """The k best documents of each query by BM25 and phrase boosts. texts: (doc_id, content, source), compact."""
     asked = queries.select("query_id", compact("query").alias("whole"), F.transform(quoted_phrases("query"), compact).alias("phrases"))
-    scored = bm25_scores(queries, index).join(texts, "doc_id").join(sized(asked), "query_id")
+    held, weights = _weighted(queries, index)
+    scored = _scores(held, weights).join(texts, "doc_id").join(sized(asked), "query_id")
     boost = phrase_boost(F.col("whole"), F.col("phrases"), F.col("content"), F.col("source"))
-    return ranked_scores(scored.select("query_id", "doc_id", r6(F.col("bm25") + boost).alias("score_raw"), "matched_terms"), k, min_score)
+    return _with_terms(ranked_scores(scored.select("query_id", "doc_id", r6(F.col("bm25") + boost).alias("score_raw")), k, min_score), held, weights)
 
 
 def minimisers(text: str) -> np.ndarray:
