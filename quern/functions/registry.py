@@ -33,14 +33,14 @@ class FixedChunks:
                 break
 
 
-FUNCTIONS = {"nfkc": F.pandas_udf(_folded, "string"), "html_content": F.pandas_udf(_parse, SCHEMA), "xml_nodes": F.pandas_udf(_xml_nodes, XML)}
+FUNCTIONS = {"nfkc": (_folded, "string"), "html_content": (_parse, SCHEMA), "xml_nodes": (_xml_nodes, XML)}
 TABLE_FUNCTIONS = {"fixed_chunks": (FixedChunks, "chunk_index int, start_char int, end_char int, content string")}
 
 
 def register(spark: SparkSession, prefix: str = "quern_") -> list[str]:
     """Makes all functions callable from SQL, and gives their names, by which they are told apart from others."""
-    for name, f in FUNCTIONS.items():
-        spark.udf.register(prefix + name, f)
+    for name, (f, kind) in FUNCTIONS.items():
+        spark.udf.register(prefix + name, F.pandas_udf(f, kind))
     for name, (f, kind) in TABLE_FUNCTIONS.items():
         spark.udtf.register(prefix + name, F.udtf(f, returnType=kind))
     return sorted(prefix + name for name in [*FUNCTIONS, *TABLE_FUNCTIONS])
