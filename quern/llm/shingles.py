@@ -20,8 +20,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """One number for each word [^\\x20\\x09-\\x0D]+ with A-Z in lower case, in order.
+def word_hashes(text: str, lower: bool = True) -> np.ndarray:
+    """One number for each word [^\\x20\\x09-\\x0D]+, in order; lower: with A-Z in lower case.
 
     A word's number adds up a scattered number for each (place, byte), so it depends on all of it.
     """
@@ -35,7 +35,7 @@ def word_hashes(text: str) -> np.ndarray:
     at = np.arange(len(raw), dtype=np.uint64)
     first = np.repeat(starts.astype(np.uint64), np.diff(np.append(starts, len(raw))))
     body = raw[starts[0] :]
-    part = mix(_LOWER[body] | ((at[starts[0] :] - first) << np.uint64(8)))
+    part = mix((_LOWER[body] if lower else body.astype(np.uint64)) | ((at[starts[0] :] - first) << np.uint64(8)))
     part[blank[starts[0] :]] = 0
     return mix(np.add.reduceat(part, starts - starts[0]))
 
