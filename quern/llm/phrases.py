@@ -2,17 +2,18 @@
 
 1. Of every window of 20 words the least hash of its 8-word grams is its anchor. Equal windows have
    equal anchors, and a text has about one for every seven words, so anchors are what is counted.
-2. Documents that hold an anchor which recurs give the windows around it; windows are confirmed as
-   recurring by counting them, and belong to the smallest document that holds them.
-3. Runs of such windows in their own document are passages. They are dealt to shards by the place
-   where their anchors were first seen, so a group of copies needs few of the shards; each shard
-   becomes one Aho-Corasick automaton of the 8-word blocks that lie in every window of a passage.
-4. Every document that holds anchors of a shard is streamed through its automaton; around each block
-   that it finds the windows are compared word by word with the shard's passages. A shard that
-   many documents need is handed out several times, each time to a part of them.
+2. Anchors that recur are dealt to shards by one document that holds them, so that a group of copies
+   needs few of the shards. The parts of a document with such anchors are its pieces; no window that
+   recurs lies outside of them.
+3. Windows of pieces are confirmed as recurring by counting them, and belong to the smallest document
+   that holds them. Runs of such windows in their own document are passages; those of a shard become
+   one Aho-Corasick automaton of 8-word blocks, one of which lies in every window of a passage.
+4. All pieces of a shard are streamed through its automaton; around each block that it finds the
+   windows are compared word by word with the shard's passages. A shard that many documents need is
+   handed out several times, each time to a part of them.
 5. Words under windows that aren't the first of their kind are removed.
 
-Words are compared as numbers of 64 bits, windows are counted by 128.
+Words are compared as numbers of 64 bits, windows are counted by 95.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ WINDOW = 20
 GRAM = 8
 #: Places of a gram within a window; blocks of GRAM words at this distance leave no window without one.
 SPAN = WINDOW - GRAM + 1
-#: Words of a very long document whose anchors are dealt out together, windows of a shard, bytes of the documents that meet one copy of it.
-SLOT_WORDS = 1 << 16
+#: Bytes (as a power of two) of a very long document whose anchors are dealt out together, windows of a shard, bytes of the pieces that meet one copy of it.
+SLOT_BITS = 19
 SHARD_WINDOWS = 50_000
 PART_BYTES = 4 << 20
 
@@ -72,27 +73,27 @@ def anchors(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, at
 
 
+def with_uid(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, sig, text) with a number for each; its six lowest bits say in how many shards, as a power of two, the anchors first seen in it may go."""
+    bits = F.length(F.bin(F.shiftright(F.octet_length("text"), SLOT_BITS)))
+    return texts.withColumn("uid", F.xxhash64("doc_id", "sig").bitwiseAND(~63).bitwiseOR((bits - 1).cast("long")))
+
+
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """doc_id, sig, slot, gram for each anchor of texts (doc_id, sig, text)."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    """uid, gram for each anchor of texts (uid, text)."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of, slot, gram = [], [], []
-            for k, text in enumerate(b.column("text").to_pylist()):
-                w = word_hashes(text or "", lower=False)
-                if len(w) < WINDOW:
-                    continue
-                g, at = anchors(w)
-                at = np.unique(at)
-                of.append(np.full(len(at), k))
-                slot.append(at // SLOT_WORDS)
-                gram.append(g[at])
-            of, slot, gram = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((of, np.int64), (slot, np.int64), (gram, np.uint64)))
-            of = pa.array(of)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("sig").take(of), pa.array(slot, pa.int32()), pa.array(gram.view(np.int64))], ["doc_id", "sig", "slot", "gram"])
+            uid, gram = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for k, text in zip(*(b.column(c).to_pylist() for c in ("uid", "text")), strict=True):
+                w = word_hashes(text, lower=False)
+                if len(w) >= WINDOW:
+                    g, at = anchors(w)
+                    gram.append(g[np.unique(at)])
+                    uid.append(np.full(len(gram[-1]), k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(uid)), pa.array(np.concatenate(gram).view(np.int64))], ["uid", "gram"])
 
-    return arrow_map(texts, rows, f"doc_id {kind}, sig bigint, slot int, gram bigint")
+    return arrow_map(texts.select("uid", "text"), rows, "uid bigint, gram bigint")
 
 
 def _first(c: str = "doc_id") -> Column:
@@ -105,76 +106,110 @@ def _null_sig() -> Column:
     return F.min(F.when(F.col("doc_id").isNull(), F.col("sig")))
 
 
-def _marked(w: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows whose anchor's gram is in marked (sorted), and the place of that gram in marked."""
-    if len(w) < WINDOW or not len(marked):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    g, at = anchors(w)
-    where = np.searchsorted(marked, g)
-    where[where == len(marked)] = 0
-    hit = (marked[where] == g)[at]
-    starts = np.flatnonzero(hit)
-    return starts, where[at[starts]]
+def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of windows that touch or overlap."""
+    cut = np.flatnonzero(np.diff(starts) > WINDOW) + 1
+    return starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)]
 
 
-def _marks(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """A document's recurring grams, sorted, and the keys of their shards."""
-    items = lists[k].values
-    gram = items.field("gram").to_numpy(zero_copy_only=False).view(np.uint64)
-    order = np.argsort(gram, kind="stable")
-    return gram[order], items.field("key").to_numpy(zero_copy_only=False)[order]
+def piece_rows(held: DataFrame) -> DataFrame:
+    """doc_id, sig, shard, starts, texts: the parts of held (doc_id, sig, text, marks) that hold the windows whose anchors recur, for each shard of these anchors.
 
-
-def window_rows(held: DataFrame) -> DataFrame:
-    """doc_id, sig, h1, h2, key, twice for each distinct window of held (doc_id, sig, text, marks) whose anchor recurs; twice: in the document itself."""
+    A part also holds windows of other shards; where both copies of such a window lie in parts of this
+    shard they are found here too, which changes nothing.
+    """
     kind = held.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
+            of, shards, begins, texts = [], [], [], []
             for k, text in enumerate(b.column("text").to_pylist()):
                 w = word_hashes(text, lower=False)
-                marked, keys = _marks(b.column("marks"), k)
-                starts, of = _marked(w, marked)
-                h1, h2 = grams(w, WINDOW, _A)[starts], grams(w, WINDOW, _B)[starts]
+                items = b.column("marks")[k].values
+                gram = items.field("gram").to_numpy(zero_copy_only=False).view(np.uint64)
+                order = np.argsort(gram, kind="stable")
+                gram, to = gram[order], items.field("shard").to_numpy(zero_copy_only=False)[order]
+                if len(w) < WINDOW:
+                    continue
+                g, at = anchors(w)
+                where = np.searchsorted(gram, g)
+                where[where == len(gram)] = 0
+                starts = np.flatnonzero((gram[where] == g)[at])
+                shard = to[where[at[starts]]]
+                words = text.encode("utf-8", "surrogatepass").split()
+                for x in np.unique(shard).tolist():
+                    first, last = _runs(starts[shard == x])
+                    of.append(k)
+                    shards.append(x)
+                    begins.append(first.tolist())
+                    texts.append([b" ".join(words[i : j + WINDOW]).decode("utf-8", "surrogatepass") for i, j in zip(first.tolist(), last.tolist(), strict=True)])
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(of), b.column("sig").take(of), pa.array(shards, pa.int64()), pa.array(begins, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "sig", "shard", "starts", "texts"]
+            )
+
+    return arrow_map(held.select("doc_id", "sig", "text", "marks"), rows, f"doc_id {kind}, sig bigint, shard bigint, starts array<bigint>, texts array<string>")
+
+
+def _windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The words of each text, and two numbers for each window of all of them."""
+    runs = [word_hashes(t, lower=False) for t in texts]
+    none = [np.empty(0, np.uint64)]
+    h1, h2 = (np.concatenate([*(grams(r, WINDOW, base) for r in runs), *none]) for base in (_A, _B))
+    return runs, h1.view(np.int64), (h2 >> np.uint64(33)).astype(np.int32)
+
+
+def window_rows(pieces: DataFrame) -> DataFrame:
+    """doc_id, sig, shard, h1, h2, n for each distinct window of pieces; n: 2 if the document has it more than once, else 1."""
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, a, c, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+            for k, texts in enumerate(b.column("texts").to_pylist()):
+                _, h1, h2 = _windows(texts)
                 order = np.lexsort((h2, h1))
-                h1, h2, key = h1[order], h2[order], keys[of[order]]
+                h1, h2 = h1[order], h2[order]
                 new = np.ones(len(h1), bool)
                 new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
                 at = np.flatnonzero(new)
-                found.append((np.full(len(at), k), h1[at], h2[at], key[at], np.diff(np.append(at, len(h1))) > 1))
-            of, h1, h2, key, twice = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, bool))
-            of = pa.array(of)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("sig").take(of), *(pa.array(x.view(np.int64)) for x in (h1, h2, key)), pa.array(twice)], ["doc_id", "sig", "h1", "h2", "key", "twice"])
+                of.append(np.full(len(at), k))
+                a.append(h1[at])
+                c.append(h2[at])
+                n.append(np.minimum(np.diff(np.append(at, len(h1))), 2).astype(np.int32))
+            of = pa.array(np.concatenate(of))
+            yield pa.RecordBatch.from_arrays([*(b.column(x).take(of) for x in ("doc_id", "sig", "shard")), *(pa.array(np.concatenate(x)) for x in (a, c, n))], ["doc_id", "sig", "shard", "h1", "h2", "n"])
 
-    return arrow_map(held.select("doc_id", "sig", "text", "marks"), rows, f"doc_id {kind}, sig bigint, h1 bigint, h2 bigint, key bigint, twice boolean")
+    return arrow_map(pieces.select("doc_id", "sig", "shard", "texts"), rows, f"doc_id {kind}, sig bigint, shard bigint, h1 bigint, h2 int, n int")
 
 
 def passage_rows(firsts: DataFrame) -> DataFrame:
-    """doc_id, key, n, text: runs of windows that begin in their document and go to one shard.
+    """owner, shard, n, text: the runs of windows that begin in their document.
 
-    firsts: doc_id, text, marks, windows (struct h1, h2) of the recurring windows that are the document's own.
+    firsts: doc_id, shard, texts, windows (struct h1, h2) of the recurring windows that are the document's own.
     """
     kind = firsts.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, text in enumerate(b.column("text").to_pylist()):
-                w = word_hashes(text, lower=False)
-                marked, keys = _marks(b.column("marks"), k)
-                starts, of = _marked(w, marked)
+            of, sizes, found = [], [], []
+            for k, texts in enumerate(b.column("texts").to_pylist()):
                 own = b.column("windows")[k].values
-                h1, h2 = (grams(w, WINDOW, base)[starts].view(np.int64) for base in (_A, _B))
-                mine = np.isin(h1, own.field("h1").to_numpy(zero_copy_only=False)) & np.isin(h2, own.field("h2").to_numpy(zero_copy_only=False))
-                starts, key = starts[mine], keys[of[mine]]
-                cut = np.flatnonzero((np.diff(starts) > 1) | (np.diff(key) != 0)) + 1
-                begin, n = np.append(0, cut)[: len(starts)], np.diff(np.append(np.append(0, cut), len(starts)))[: len(starts)]
-                words = text.encode("utf-8", "surrogatepass").split()
-                runs = [b" ".join(words[s : s + m + WINDOW - 1]).decode("utf-8", "surrogatepass") for s, m in zip(starts[begin].tolist(), n.tolist(), strict=True)]
-                ids = b.column("doc_id").take(pa.array(np.full(len(runs), k)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key[begin]), pa.array(n, pa.int64()), pa.array(runs, pa.string())], ["doc_id", "key", "n", "text"])
-
-    return arrow_map(firsts.select("doc_id", "text", "marks", "windows"), rows, f"doc_id {kind}, key bigint, n bigint, text string")
+                for text in texts:
+                    _, h1, h2 = _windows([text])
+                    starts = np.flatnonzero(np.isin(h1, own.field("h1").to_numpy(zero_copy_only=False)) & np.isin(h2, own.field("h2").to_numpy(zero_copy_only=False)))
+                    if not len(starts):
+                        continue
+                    cut = np.flatnonzero(np.diff(starts) > 1) + 1
+                    words = text.split(" ")
+                    for i, j in zip(starts[np.append(0, cut)].tolist(), starts[np.append(cut - 1, len(starts) - 1)].tolist(), strict=True):
+                        of.append(k)
+                        sizes.append(j - i + 1)
+                        found.append(" ".join(words[i : j + WINDOW]))
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("shard").take(of), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], ["owner", "shard", "n", "text"])
+
+    return arrow_map(firsts.select("doc_id", "shard", "texts", "windows"), rows, f"owner {kind}, shard bigint, n bigint, text string")
 
 
 class Shard:
@@ -206,14 +241,14 @@ class Shard:
         parts[~known] = 0x300
         return parts.astype("<u4").tobytes().decode("utf-32-le")
 
-    def repeats(self, doc_id: object, text: str) -> np.ndarray:
-        """Starts of the windows of text that are in the shard and aren't the first of their kind."""
-        w = word_hashes(text, lower=False)
+    def found(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows of w that are in the shard, and their places in it."""
+        nothing = np.empty(0, np.int64)
         if len(w) < WINDOW or not len(self.hashes):
-            return np.empty(0, np.int64)
+            return nothing, nothing
         ends = np.fromiter((end for end, _ in self.automaton.iter(self.coded(w))), np.int64)
         if not len(ends):
-            return ends
+            return nothing, nothing
         edge = np.zeros(len(w) + 2, np.int64)  # windows that hold a block found at words b to b + GRAM - 1 start at b - SPAN + 1 to b
         block = ends // 3 - GRAM + 1
         np.add.at(edge, np.maximum(block - SPAN + 1, 0), 1)
@@ -231,77 +266,81 @@ class Shard:
             open_ = open_[~same]
             at[open_] += 1
             open_ = open_[at[open_] < len(self.hashes)]
-        starts, found = starts[found >= 0], found[found >= 0]
+        return starts[found >= 0], found[found >= 0]
+
+    def repeats(self, doc_id: object, places: list[int], texts: list[str]) -> np.ndarray:
+        """Starts of the windows of a document's pieces that are in the shard and aren't the first of their kind."""
+        both = [(s + at, of) for at, t in zip(places, texts, strict=True) for s, of in [self.found(word_hashes(t, lower=False))]]
+        starts, found = (np.concatenate(x) for x in zip(*both, strict=True))
         own = self.owner[found] == self.codes.get(doc_id, -1)
         first = np.zeros(len(found), bool)
         first[np.unique(found, return_index=True)[1]] = True
         return starts[~(own & first)]
 
 
-def located(passages: DataFrame, routed: DataFrame) -> DataFrame:
-    """doc_id, sig, starts, ends: word ranges to remove, of each document in each shard that it was routed to."""
-    kind = routed.schema["doc_id"].dataType.simpleString()
+def located(passages: DataFrame, pieces: DataFrame) -> DataFrame:
+    """doc_id, sig, starts, ends: word ranges to remove, of each document in each shard that it has pieces for."""
+    kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def scan(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         shard = Shard(left.column("text").to_pylist(), left.column("owner").to_pylist())
         keep, begins, ends = [], [], []
-        ids = right.column("doc_id")
-        for k, text in enumerate(right.column("text")):
-            at = shard.repeats(ids[k].as_py(), text.as_py())
+        for k, (doc_id, places, texts) in enumerate(zip(*(right.column(c).to_pylist() for c in ("doc_id", "starts", "texts")), strict=True)):
+            at = shard.repeats(doc_id, places, texts)
             if len(at):
-                cut = np.flatnonzero(np.diff(at) > WINDOW) + 1
+                first, last = _runs(at)
                 keep.append(k)
-                begins.append(at[np.append(0, cut)].tolist())
-                ends.append((at[np.append(cut - 1, len(at) - 1)] + WINDOW).tolist())
+                begins.append(first.tolist())
+                ends.append((last + WINDOW).tolist())
         of = pa.array(keep, pa.int64())
         whole = pa.list_(pa.int64())
-        return pa.table([ids.take(of), right.column("sig").take(of), pa.array(begins, whole), pa.array(ends, whole)], ["doc_id", "sig", "starts", "ends"])
+        return pa.table([right.column("doc_id").take(of), right.column("sig").take(of), pa.array(begins, whole), pa.array(ends, whole)], ["doc_id", "sig", "starts", "ends"])
 
     by = ("shard", "part")
-    return passages.groupBy(*by).cogroup(routed.groupBy(*by)).applyInArrow(scan, f"doc_id {kind}, sig bigint, starts array<bigint>, ends array<bigint>")
+    return passages.groupBy(*by).cogroup(pieces.groupBy(*by)).applyInArrow(scan, f"doc_id {kind}, sig bigint, starts array<bigint>, ends array<bigint>")
 
 
 def removals(texts: DataFrame) -> DataFrame:
-    """doc_id, sig, starts, ends: the word ranges of texts (doc_id, sig, text; no text twice under different ids) that repeat earlier ones."""
+    """doc_id, sig, text, starts, ends: those of texts (doc_id, sig, text) that repeat earlier ones, with the ranges of their repeated words.
+
+    All tables here grow with the corpus, so none is broadcast by us.
+    """
+    texts = with_uid(texts)
     every = materialise(anchor_rows(texts), "anchors")
-    seen = every.groupBy("gram").agg(F.count("*").alias("n"), _first().alias("home"), F.min("slot").alias("slot")).where("n > 1")
-    seen = materialise(seen.select("gram", F.xxhash64("home", "slot").alias("key")), "grams")
-    marks = every.join(sized(seen), "gram").groupBy("doc_id", "sig").agg(F.collect_set(F.struct("gram", "key")).alias("marks"))
-    marks = materialise(marks.withColumnsRenamed({"doc_id": "of", "sig": "of_sig"}), "marks")
-    held = texts.join(sized(marks), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig"))).select("doc_id", "sig", "text", "marks")
-    held = materialise(held, "held")
-
-    again = window_rows(held).groupBy("h1", "h2", "key").agg(F.count("*").alias("n"), F.bool_or("twice").alias("twice"), _first().alias("home"), _null_sig().alias("home_sig")).where("n > 1 or twice")
-    again = materialise(again.groupBy("home", "home_sig").agg(F.collect_list(F.struct("h1", "h2")).alias("windows")), "windows")
-    owner = F.col("doc_id").eqNullSafe(F.col("home")) & F.when(F.col("doc_id").isNull(), F.col("sig")).eqNullSafe(F.col("home_sig"))
-    passages = materialise(passage_rows(held.join(sized(again), owner)), "passages")
-
-    n = passages.agg(F.sum("n")).first()[0] or 0
-    shard = lambda key: F.pmod(F.xxhash64(key), F.lit(n // SHARD_WINDOWS + 1))
-    placed = passages.select("doc_id", shard(F.col("key")).alias("shard"), "text")
-    routed = held.select("doc_id", "sig", "text", F.explode(F.array_distinct(F.transform("marks", lambda m: shard(m["key"])))).alias("shard"))
-    routed = routed.join(sized(placed.select("shard").distinct()), "shard")
-    loads = routed.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("text")) / PART_BYTES).cast("int").alias("parts"))
-    loads = sized(materialise(loads, "loads"))
-    routed = routed.join(loads, "shard").select("doc_id", "sig", "text", "shard", F.pmod(F.xxhash64("doc_id", "sig"), "parts").cast("int").alias("part"))
-    placed = placed.join(loads, "shard").select(F.col("doc_id").alias("owner"), "text", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    found = materialise(located(placed, routed), "located")
-    return found.groupBy("doc_id", "sig").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-
-
-def remove_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of docs (doc_id, text, copy, starts, ends); all words of a copy with a window go."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    seen = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("uid").alias("home")).where("n > 1")
+    seen = materialise(seen.select("gram", "home"), "grams")
+    shards = seen.count() * SPAN // 2 // SHARD_WINDOWS + 1  # an anchor has about as many windows as half its span
+    slot = F.pmod(F.col("gram"), F.pow(F.lit(2), F.col("home").bitwiseAND(63)).cast("long"))
+    shard = F.pmod(F.xxhash64("home", slot), F.lit(shards))
+    marks = every.join(seen.select("gram", shard.alias("shard")), "gram").groupBy("uid").agg(F.collect_set(F.struct("gram", "shard")).alias("marks"))
+    held = materialise(texts.join(materialise(marks, "marks"), "uid").select("doc_id", "sig", "text", "marks"), "held")
+    pieces = materialise(piece_rows(held), "pieces")
+
+    again = window_rows(pieces).groupBy("h1", "h2", "shard").agg(F.sum("n").alias("n"), _first().alias("home"), _null_sig().alias("home_sig")).where("n > 1")
+    again = again.groupBy("home", "home_sig", F.col("shard").alias("of_shard")).agg(F.collect_list(F.struct("h1", "h2")).alias("windows"))
+    owner = F.col("doc_id").eqNullSafe(F.col("home")) & (F.col("shard") == F.col("of_shard")) & F.when(F.col("doc_id").isNull(), F.col("sig")).eqNullSafe(F.col("home_sig"))
+    passages = materialise(passage_rows(pieces.join(materialise(again, "windows"), owner)), "passages")
+
+    size = F.aggregate("texts", F.lit(0), lambda n, t: n + F.octet_length(t))
+    loads = pieces.groupBy("shard").agg(F.ceil(F.sum(size) / PART_BYTES).cast("int").alias("parts"))
+    loads = sized(materialise(loads.join(passages.select("shard").distinct(), "shard"), "loads"))
+    dealt = pieces.join(loads, "shard").select("doc_id", "sig", "starts", "texts", "shard", F.pmod(F.xxhash64("doc_id", "sig"), "parts").cast("int").alias("part"))
+    placed = passages.join(loads, "shard").select("owner", "text", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    found = materialise(located(placed, dealt), "located").groupBy("doc_id", "sig").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    found = found.withColumnsRenamed({"doc_id": "of", "sig": "of_sig"})
+    return held.select("doc_id", "sig", "text").join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig"))).select("doc_id", "sig", "text", "starts", "ends")
+
+
+def kept_words(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of keep, n_words, n_removed and kept_sha256 of docs (text, starts, ends, gone); all words go where gone is true and there is a window."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, kept = [], [], []
-            for text, copy, starts, ends in zip(*(b.column(c).to_pylist() for c in ("text", "copy", "starts", "ends")), strict=True):
+            for text, none, starts, ends in zip(*(b.column(c).to_pylist() for c in ("text", "gone", "starts", "ends")), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                left = words
-                if copy and len(words) >= WINDOW:
-                    left = []
-                elif starts:
+                left = [] if none and len(words) >= WINDOW else words
+                if starts:
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, ends, -1)
@@ -309,9 +348,10 @@ def remove_ranges(docs: DataFrame) -> DataFrame:
                 n.append(len(words))
                 gone.append(len(words) - len(left))
                 kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*keep, "n_words", "n_removed", "kept_sha256"])
 
-    return arrow_map(docs, rows, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return arrow_map(docs.select(*keep, "text", "starts", "ends", "gone"), rows, f"{kinds}n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def repeated_phrases(docs: DataFrame) -> DataFrame:
@@ -330,14 +370,17 @@ def repeated_phrases(docs: DataFrame) -> DataFrame:
     small = sized(groups)
     if small is not groups:
         known = rows.withColumn("digest", digest).join(small, "digest", "left")
-        rows = known.select("doc_id", "text", "sig", (F.col("home").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("home"))).alias("copy"))
+        rows = known.select("doc_id", "text", "sig", (F.col("home").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("home"))).alias("gone"))
     else:  # by document and not by text, so that a text of many documents isn't one task's
         ids = rows.select("doc_id", "sig", digest.alias("digest")).distinct().join(groups, "digest").where(~F.col("doc_id").eqNullSafe(F.col("home")))
-        ids = ids.select(F.col("doc_id").alias("of"), F.col("sig").alias("of_sig"), F.lit(True).alias("copy_"))
-        rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig")), "left").select("doc_id", "text", "sig", F.coalesce("copy_", F.lit(False)).alias("copy"))
-    found = materialise(removals(rows.where(~F.col("copy")).select("doc_id", "sig", "text")).withColumnsRenamed({"doc_id": "of", "sig": "of_sig"}), "removals")
-    both = rows.join(sized(found), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig")), "left")
-    return remove_ranges(both.select("doc_id", "text", "copy", "starts", "ends"))
+        ids = ids.select(F.col("doc_id").alias("of"), F.col("sig").alias("of_sig"), F.lit(True).alias("copy"))
+        rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig")), "left").select("doc_id", "text", "sig", F.coalesce("copy", F.lit(False)).alias("gone"))
+    none = F.array().cast("array<bigint>")
+    cut = kept_words(removals(rows.where(~F.col("gone")).select("doc_id", "sig", "text")).withColumn("gone", F.lit(False)), ["doc_id", "sig"]).distinct()
+    cut = materialise(cut.select(F.col("doc_id").alias("of"), F.col("sig").alias("of_sig"), F.col("n_removed").alias("less"), F.col("kept_sha256").alias("rest")), "removals")
+    whole = kept_words(rows.withColumns({"starts": none, "ends": none}), ["doc_id", "sig"])  # nothing but counts and hashes is shuffled
+    both = whole.join(cut, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig")), "left")
+    return both.select("doc_id", "n_words", F.coalesce("less", "n_removed").alias("n_removed"), F.coalesce("rest", "kept_sha256").alias("kept_sha256"))
 
 
 def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_repeated_phrases_in_very_long_texts_and_small_shards(spark, monkeypatch
 
     monkeypatch.setattr(phrases, "SHARD_WINDOWS", 40)
     monkeypatch.setattr(phrases, "PART_BYTES", 2_000)
-    monkeypatch.setattr(phrases, "SLOT_WORDS", 100)
+    monkeypatch.setattr(phrases, "SLOT_BITS", 7)
     rng = random.Random(12)
     long = [f"v{rng.randint(0, 5_000)}" for _ in range(20_000)]
     docs = [(1, " ".join(long)), (2, " ".join(long[7_000:9_000] + ["new"] + long[100:160])), *((10 + k, " ".join([f"own{k}", *long[50:250]])) for k in range(40))]
