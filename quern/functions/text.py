@@ -57,7 +57,7 @@ def index_tokens(text: Column | str) -> Column:
     without Han take one expression; only others are looked at run by run.
     """
     t = F.lower(_c(text))
-    plain = F.regexp_extract_all(t, F.lit(rf"(?<![a-z0-9])(?!(?:{'|'.join(STOPWORDS)})(?![a-z0-9]))[a-z0-9]{{2,}}+"), F.lit(0))
+    plain = F.filter(F.regexp_extract_all(t, F.lit("[a-z0-9]{2,}+"), F.lit(0)), lambda x: ~x.isin(*STOPWORDS))
     runs = F.regexp_extract_all(t, F.lit(f"([a-z0-9]+|[{_HAN}]+)"), F.lit(0))
 
     def of(run: Column) -> Column:

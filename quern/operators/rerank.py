@@ -25,20 +25,22 @@ def _lookup(table: dict[str, object], key: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[key]
 
 
-def query_relevance(asked: dict[str, Column], content: Column, structured: Column, reference: Column, exact_lane: Column) -> Column:
+def query_relevance(asked: dict[str, Column], content: Column, structured: Column, reference: Column, exact_lane: Column, content_tokens: Column | None = None) -> Column:
     """How much of the query's tokens the content (.72), structural fields (.14) and titles (.04) have, and exact hits.
 
-    asked: tokens, whole (compact) and phrases (compact) of the query; the others are texts. A quoted
+    asked: tokens, whole (compact) and phrases (compact) of the query; the others are texts, and
+    content_tokens the content's tokens where they are known. A quoted
     phrase in the content or structure adds .08 unless the exact lane has it already; the whole query
     in the titles adds .02, a phrase there .012. Without a query it is .5.
     """
     n = F.size(asked["tokens"])
-    share = lambda text: F.when(n > 0, F.size(F.array_intersect(asked["tokens"], rerank_tokens(F.coalesce(text, F.lit(""))))) / n).otherwise(0.0)
+    of = lambda tokens: F.when(n > 0, F.size(F.array_intersect(asked["tokens"], tokens)) / n).otherwise(0.0)
+    share = lambda text: of(rerank_tokens(F.coalesce(text, F.lit(""))))
     has = lambda text: F.exists(asked["phrases"], lambda p: F.contains(compact(F.coalesce(text, F.lit(""))), p))
     named = compact(F.coalesce(reference, F.lit("")))
     in_titles = F.when((asked["whole"] != "") & F.contains(named, asked["whole"]), 1.0).when(has(reference), 0.6).otherwise(0.0)
     phrase = F.when(~exact_lane & (has(content) | has(structured)), 1.0).otherwise(0.0)
-    score = 0.72 * share(content) + 0.14 * share(structured) + 0.04 * share(reference) + 0.08 * phrase + 0.02 * in_titles
+    score = 0.72 * (share(content) if content_tokens is None else of(content_tokens)) + 0.14 * share(structured) + 0.04 * share(reference) + 0.08 * phrase + 0.02 * in_titles
     return F.when(asked["whole"] == "", 0.5).otherwise(F.least(F.lit(1.0), score))
 
 
@@ -138,19 +140,21 @@ def greedy_dedup(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused results with their documents' texts and what comparing them needs."""
     fused = materialise(fused_results(spark, sf_dir), "fused")
-    docs = read(spark, sf_dir, "documents").join(sized(fused), "doc_id")
-    return materialise(docs.select(*fused.columns, "text", "source", rerank_tokens("text").alias("tokens"), F.length(normalised("text")).alias("len")), "candidates")
+    docs = read(spark, sf_dir, "documents").join(sized(fused.select("doc_id").distinct()), "doc_id", "left_semi")
+    once = docs.select("doc_id", "text", "source", rerank_tokens("text").alias("tokens"), F.length(normalised("text")).alias("len"))  # once for each document, not for each result
+    return materialise(once.join(sized(fused), "doc_id").select(*fused.columns, "text", "source", "tokens", "len"), "candidates")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, title: Column, recent: Column, trusted: Column, semantic: Column) -> DataFrame:
     """Adds relevance, signal, feature_score, diversity and rerank_score to candidates.
 
-    candidates: query_id, doc_id, score, the lanes' scores, lanes, hits, text; queries: (query_id, query).
+    candidates: query_id, doc_id, score, the lanes' scores, lanes, hits, text, and tokens of the text where
+    they are known; queries: (query_id, query).
     """
     asked = queries.select("query_id", rerank_tokens("query").alias("asked"), compact("query").alias("whole"), F.transform(quoted_phrases("query"), compact).alias("phrases"))
     c = candidates.join(sized(asked), "query_id")
     exact = F.array_contains("lanes", "exact")
-    relevance = query_relevance({"tokens": F.col("asked"), "whole": F.col("whole"), "phrases": F.col("phrases")}, F.col("text"), title, title, exact)
+    relevance = query_relevance({"tokens": F.col("asked"), "whole": F.col("whole"), "phrases": F.col("phrases")}, F.col("text"), title, title, exact, F.col("tokens") if "tokens" in candidates.columns else None)
     c = c.withColumn("relevance", relevance).withColumn("signal", retrieval_signal(F.col("vector_score"), F.col("keyword_score"), F.col("exact_score")))
     c = c.withColumn("feature_score", feature_score(F.col("score"), F.col("signal"), recent, trusted, F.col("relevance"), F.col("hits"))).withColumn("diversity", diversity_score(F.col("lanes")))
     return c.withColumn("rerank_score", r6(semantic_blend(F.col("feature_score"), F.col("diversity"), semantic, F.col("relevance"), exact, F.col("exact_score")))).drop("asked", "whole", "phrases")

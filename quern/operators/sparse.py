@@ -2,208 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import STOPWORDS, compact, index_tokens, marked_phrases, nfkc, normalised, quoted_phrases, section_title, source_text
-from quern.plans.common import exists, materialise, r6, read, shared_dir, sized, table_version, top_k
+from quern.functions.text import STOPWORDS, compact, marked_phrases, nfkc, normalised, quoted_phrases, section_title, source_text
+from quern.operators.grams import Grams, grams_of, phrase_hits
+from quern.operators.inverted import Index, bm25, bm25_pruned, bm25_scores, index_of, pruned, query_weights, ranked_scores, with_terms
+from quern.plans.common import materialise, r6, read, sized
 
-K1, B = 1.5, 0.75
-#: Parts of the postings by the hash of their token; a search reads only those of its tokens.
-SHARDS = 64
-#: Characters of a gram, and grams of a window; a shorter phrase is held against all texts.
-GRAM, WINDOW = 6, 12
 # What a query in the source text, a quoted phrase in the content, and one in the source text add.
 IN_SOURCE, PHRASE_IN_CONTENT, PHRASE_IN_SOURCE = 0.20, 0.25, 0.15
 
 
-def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens, dl); documents without tokens aren't part of the index."""
-    return docs.select(F.col(id_col).alias("doc_id"), index_tokens(nfkc(text_col)).alias("tokens")).withColumn("dl", F.size("tokens")).where("dl > 0")
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """(token, doc_id, tf, dl) of a tokenised table."""
-    return docs.select("doc_id", "dl", F.explode("tokens").alias("token")).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
-
-
-@dataclass(frozen=True)
-class Index:
-    """postings: (token, doc_id, tf, dl, shard); terms: (token, df, cf); stats: one row (n, avgdl, min_dl, max_dl)."""
-
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
-
-def _shard(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(SHARDS)).cast("int")
-
-
-def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Builds the index of docs under path, from one pass over the texts; what is there already is replaced.
-
-    Documents are counted within themselves, so that their postings need no shuffle but the one that
-    gathers each shard; terms and statistics are read from the postings.
-    """
-    spark = docs.sparkSession
-    counted = tokenised(docs, id_col, text_col).select("doc_id", "dl", F.explode("tokens").alias("token"))
-    tf = counted.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")).withColumn("shard", _shard(F.col("token")))
-    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)  # of each shard, so that a frequent token isn't one task's
-    tf.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-    p = spark.read.parquet(f"{path}/postings")
-    p.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{path}/terms")
-    lengths = p.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl")).write.mode("overwrite").parquet(f"{path}/stats")
-    spark.createDataFrame([(True,)], "done boolean").write.mode("overwrite").parquet(f"{path}/done")
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
-
-
-def index_of(docs: DataFrame, scope: str = "", id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The index of a table of files, built once for its present content and kept in the shared folder.
-
-    A scope names what docs was restricted to, so that each scope has an index of its own. When the
-    table's files change, so does the index's name, and a new one is built.
-    """
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/quern/index-{table_version(docs)}-{text_col}-{scope}"
-    if not exists(spark, f"{path}/done/_SUCCESS"):
-        write_index(docs, path, id_col, text_col)
-    return read_index(spark, path)
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, token, qtf): a token that a query repeats counts as often."""
-    return queries.select("query_id", F.explode(index_tokens(nfkc("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-
-
-def _weighted(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
-    """The postings of the queries' tokens, and (query_id, token, avgdl, w)."""
-    terms = materialise(query_terms(queries).withColumn("shard", _shard(F.col("token"))), "query-terms")
-    shards = [r.shard for r in terms.select("shard").distinct().collect()]  # SHARDS at most
-    df = index.terms.join(sized(terms.select("token").distinct()), "token", "left_semi")
-    weights = terms.join(df, "token").crossJoin(F.broadcast(index.stats))
-    weights = materialise(weights.select("query_id", "token", "avgdl", (F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")), "query-weights")
-    return index.postings.where(F.col("shard").isin(shards)).drop("shard"), weights
-
-
-def _scores(held: DataFrame, weights: DataFrame) -> DataFrame:
-    gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return held.join(sized(weights), "token").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("bm25"))
-
-
-def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, doc_id, bm25) for every document that has a token of the query."""
-    return _scores(*_weighted(queries, index))
-
-
-def _with_terms(best: DataFrame, held: DataFrame, weights: DataFrame) -> DataFrame:
-    """The results with their matched_terms, which are gathered for what is left alone."""
-    best = materialise(best, "best")
-    found = held.join(sized(best.select("query_id", "doc_id")), "doc_id").select("query_id", "doc_id", "token").join(sized(weights.select("query_id", "token")), ["query_id", "token"], "left_semi")
-    terms = found.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("token")).alias("matched_terms"))
-    return best.join(terms, ["query_id", "doc_id"]).select("query_id", "doc_id", "score_raw", "score", "matched_terms", "rank")
-
-
-def phrase_boost(query: Column, phrases: Column, content: Column, source: Column) -> Column:
+def phrase_boost(query: Column, phrases: Column, held: Column, source: Column) -> Column:
     """What phrases add to a score: .20 if the whole query stands in the source text; and .25 or .15 for the first quoted phrase that the content or else the source text has.
 
-    All of them are compact forms; phrases is an array.
+    All of them are compact forms; phrases is an array, and held are those of them that the content has.
     """
-    hit = lambda p: F.when(F.contains(content, p), PHRASE_IN_CONTENT).when(F.contains(source, p), PHRASE_IN_SOURCE)
+    hit = lambda p: F.when(F.array_contains(held, p), PHRASE_IN_CONTENT).when(F.contains(source, p), PHRASE_IN_SOURCE)
     first = F.get(F.filter(F.transform(phrases, hit), lambda x: x.isNotNull()), 0)
     return F.when((query != "") & F.contains(source, query), IN_SOURCE).otherwise(0.0) + F.coalesce(first, F.lit(0.0))
 
 
-def ranked_scores(scored: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
-    """query_id, doc_id, score_raw, score, rank: score is score_raw over the query's largest, ties go to the smaller id."""
-    best = top_k(scored, ["query_id"], [F.desc("score_raw"), F.col("doc_id")], k)
-    out = best.withColumn("score", r6(F.col("score_raw") / F.max("score_raw").over(Window.partitionBy("query_id"))))
-    return out.where(F.col("score") >= min_score).select("query_id", "doc_id", "score_raw", "score", "rank")
+def bm25_boosted(queries: DataFrame, index: Index, grams: Grams, k: int = 10, min_score: float = 0.0) -> DataFrame:
+    """The k best documents of each query by BM25 and phrase boosts.
 
-
-def bm25(queries: DataFrame, index: Index, k: int = 10, min_score: float = 0.0) -> DataFrame:
-    """The k best documents of each query by BM25 alone."""
-    held, weights = _weighted(queries, index)
-    return _with_terms(ranked_scores(_scores(held, weights).withColumn("score_raw", r6("bm25")), k, min_score), held, weights)
-
-
-def bm25_boosted(queries: DataFrame, index: Index, texts: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
-    """The k best documents of each query by BM25 and phrase boosts. texts: (doc_id, content, source), compact."""
-    asked = queries.select("query_id", compact("query").alias("whole"), F.transform(quoted_phrases("query"), compact).alias("phrases"))
-    held, weights = _weighted(queries, index)
-    scored = _scores(held, weights).join(texts, "doc_id").join(sized(asked), "query_id")
-    boost = phrase_boost(F.col("whole"), F.col("phrases"), F.col("content"), F.col("source"))
-    return _with_terms(ranked_scores(scored.select("query_id", "doc_id", r6(F.col("bm25") + boost).alias("score_raw")), k, min_score), held, weights)
-
-
-def minimisers(text: str) -> np.ndarray:
-    """The smallest hash of each window of grams; a text that holds another one has all of the other's."""
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(x) - GRAM + 1
-    if n < WINDOW:
-        return np.empty(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        h = (h ^ x[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    least = h[: n - WINDOW + 1]
-    for k in range(1, WINDOW):
-        least = np.minimum(least, h[k : k + n - WINDOW + 1])
-    return np.unique(least).view(np.int64)
-
-
-def _grams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, gram): the minimisers of each row's text."""
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 200):  # so that the grams of few texts are held at once
-                part = b.slice(at, 200)
-                found = [minimisers(x or "") for x in part.column(1).to_pylist()]
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(found) if found else [], pa.int64())], ["id", "gram"])
-
-    small = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return small.mapInArrow(rows, f"id {small.schema['id'].dataType.simpleString()}, gram bigint")
-
-
-def phrase_hits(phrases: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(query_id, phrase, doc_id): documents that hold a query's phrase, white space and case aside.
-
-    phrases: (query_id, phrase). A document that holds a phrase has all minimisers of its characters,
-    so that candidates are the documents with the phrase's rarest one. Phrases that are too short for
-    a window are held against all documents.
+    Quoted phrases are found in the contents by grams; what stands in the source text is read from the
+    index. No text of a document is read but where a long phrase is confirmed.
     """
-    given = phrases.select("query_id", compact(nfkc("phrase")).alias("needle")).where("needle <> ''").distinct()
-    texts = docs.select("doc_id", compact(nfkc(text_col)).alias("hay"))
-    long = F.length("needle") >= GRAM + WINDOW - 1
-    needles = given.where(long).select("needle").distinct()
-    wanted = materialise(_grams(needles.select("needle", F.col("needle").alias("t")), "needle", "t").withColumnRenamed("id", "needle"), "phrase-grams")
-    found = _grams(texts, "doc_id", "hay").join(sized(wanted.select("gram").distinct()), "gram", "left_semi").withColumnRenamed("id", "doc_id")
-    found = materialise(found, "text-grams")  # the grams of phrases only; read twice
-    df = found.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = wanted.join(df, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    candidates = found.join(sized(rarest), "gram").select("needle", F.col("doc_id").alias("id")).distinct()
-    holds = F.contains("hay", F.col("needle"))
-    held = texts.join(sized(candidates), F.col("id").eqNullSafe(F.col("doc_id"))).where(holds).select("needle", "doc_id")
-    short = materialise(given.where(~long).select("needle").distinct(), "short-phrases")
-    if short.limit(1).count():
-        held = held.union(texts.join(sized(short), holds).select("needle", "doc_id"))
-    return given.join(held, "needle").select("query_id", F.col("needle").alias("phrase"), "doc_id").distinct()
+    asked = materialise(queries.select("query_id", compact("query").alias("whole"), F.transform(quoted_phrases("query"), compact).alias("phrases")), "asked")
+    found = phrase_hits(asked.select("query_id", F.explode("phrases").alias("phrase")), grams).groupBy("query_id", "doc_id").agg(F.collect_set("phrase").alias("held"))
+    found = materialise(found.withColumnsRenamed({"query_id": "of_query", "doc_id": "of_doc"}), "held-phrases")
+    scored = bm25_scores(queries, index).join(index.forward.select("doc_id", "source"), "doc_id").join(sized(asked), "query_id")
+    scored = scored.join(sized(found), (F.col("query_id") == F.col("of_query")) & (F.col("doc_id") == F.col("of_doc")), "left")
+    boost = phrase_boost(F.col("whole"), F.col("phrases"), F.coalesce("held", F.array().cast("array<string>")), F.col("source"))
+    return with_terms(ranked_scores(scored.select("query_id", "doc_id", r6(F.col("bm25") + boost).alias("score_raw")), k, min_score), index, query_weights(queries, index))
 
 
 def exact_phrases(phrases: DataFrame, docs: DataFrame, content_score: float = 0.98) -> DataFrame:
     """(query_id, doc_id, score) of documents that hold a query's phrase."""
-    return phrase_hits(phrases, docs).select("query_id", "doc_id").distinct().withColumn("score", F.lit(content_score))
+    return phrase_hits(phrases, grams_of(docs)).select("query_id", "doc_id").distinct().withColumn("score", F.lit(content_score))
 
 
 def exact_search(phrases: DataFrame, docs: DataFrame, source: Column, content_score: float = 0.98, source_score: float = 0.35) -> DataFrame:
@@ -211,8 +49,7 @@ def exact_search(phrases: DataFrame, docs: DataFrame, source: Column, content_sc
 
     A document's score is that of its best phrase; phrases are all that it holds, in order.
     """
-    rows = docs.select("doc_id", "text", source.alias("source_text"))
-    hits = phrase_hits(phrases, rows).withColumn("score", F.lit(content_score)).union(phrase_hits(phrases, rows, "source_text").withColumn("score", F.lit(source_score)))
+    hits = phrase_hits(phrases, grams_of(docs)).withColumn("score", F.lit(content_score)).union(phrase_hits(phrases, grams_of(docs, source)).withColumn("score", F.lit(source_score)))
     return hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("phrase")).alias("phrases")).withColumn("in_content", F.col("score") == content_score)
 
 
@@ -242,8 +79,45 @@ def q_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as queries, their first half quoted; the source text of a document is its section title."""
     half = F.expr("substring(query, 1, cast(length(query) / 2 as int))")
     asked = benchmark_queries(spark, sf_dir).select("query_id", F.concat(F.lit('"'), half, F.lit('" '), "query").alias("query"))
-    texts = read(spark, sf_dir, "documents").select("doc_id", compact("text").alias("content"), compact(section_title("text")).alias("source"))
-    return bm25_boosted(asked, documents_index(spark, sf_dir), texts, min_score=0.05)
+    docs = read(spark, sf_dir, "documents")
+    titled = index_of(docs, {"text": F.col("text"), "section_title": section_title("text")}, weights={"section_title": 0.0})
+    return bm25_boosted(asked, titled, grams_of(docs), min_score=0.05)
+
+
+def q_bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_pruned(benchmark_queries(spark, sf_dir), documents_index(spark, sf_dir))
+
+
+def q_bm25_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each query the postings of its tokens, and whether the search scored no more than these."""
+    work = pruned(benchmark_queries(spark, sf_dir), documents_index(spark, sf_dir)).work
+    return work.select("query_id", "postings", (F.col("scored") <= F.col("postings")).alias("within"))
+
+
+#: Fields of documents that the fielded queries search, with what a word in them counts.
+FIELDS = {"text": 1.0, "section_title": 2.0, "sheet_name": 0.5, "source_region": 0.5, "structured_terms": 1.5}
+
+
+def fielded_index(spark: SparkSession, sf_dir: str) -> Index:
+    """Documents by their text, title, language (as a sheet's name), source (as a region) and key-like terms of their first line."""
+    title = section_title("text")
+    terms = F.array_join(F.regexp_extract_all(title, F.lit("[A-Za-z]{3,}"), F.lit(0)), " ")
+    return index_of(read(spark, sf_dir, "documents"), {"text": F.col("text"), "section_title": title, "sheet_name": F.col("lang"), "source_region": F.col("source"), "structured_terms": terms}, weights=FIELDS)
+
+
+def _field_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first six words of each benchmark item, and a language and a source."""
+    six = F.array_join(F.slice(F.split("query", " "), 1, 6), " ")
+    words = F.concat_ws(" ", six, F.get(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("query_id") % 4).cast("int")), F.lit("src1"))
+    return benchmark_queries(spark, sf_dir).select("query_id", words.alias("query"))
+
+
+def q_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25(_field_queries(spark, sf_dir), fielded_index(spark, sf_dir))
+
+
+def q_bm25_fields_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_pruned(_field_queries(spark, sf_dir), fielded_index(spark, sf_dir))
 
 
 def q_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,9 +181,22 @@ _FOUND = "select query_id, doc_id, score_raw, round(score_raw / max(score_raw) o
 _HALF = COMPACT_SQL.format("regexp_extract(query, '[\"“](.{2,}?)[\"”]', 1)")
 _BOOST = f"""(case when contains({COMPACT_SQL.format(TITLE_SQL.format("dd.text"))}, {COMPACT_SQL.format("query")}) then 0.2 else 0 end
     + case when {_HALF} = '' then 0 when contains({COMPACT_SQL.format("dd.text")}, {_HALF}) then 0.25 when contains({COMPACT_SQL.format(TITLE_SQL.format("dd.text"))}, {_HALF}) then 0.15 else 0 end)"""
-QUERIES = {"bm25_top10": q_bm25, "bm25_phrase_boost": q_boosted, "postings_df": q_postings, "doc_length_stats": q_doc_lengths, "exact_phrase": q_exact_phrases, "exact_search": q_exact_search, "scan_phrases": q_scan, "marked_phrases": q_marked}
+_FIELD = {"text": "text", "section_title": TITLE_SQL.format("text"), "sheet_name": "lang", "source_region": "source", "structured_terms": f"array_to_string(regexp_extract_all({TITLE_SQL.format('text')}, '[A-Za-z]{{3,}}'), ' ')"}
+_BM25_FIELDS = f"""with t as ({" union all ".join(f"select doc_id, {w}::double as w, unnest({TOKENS_SQL.format(_FIELD[f])}) as token from documents" for f, w in FIELDS.items())}),
+    tf as (select doc_id, token, sum(w) as tf from t group by all), dl as (select doc_id, sum(w) as dl from t group by all), st as (select count(*) as n, avg(dl) as avgdl from dl),
+    df as (select token, count(*) as df from tf group by all),
+    qs as (select item_id as query_id, array_to_string(string_split(text, ' ')[1:6], ' ') || ' ' || (['en', 'de', 'fr', 'es'])[(item_id % 4) + 1] || ' src1' as query from benchmark),
+    q as (select query_id, token, count(*) as qtf from (select query_id, unnest({TOKENS_SQL.format("query")}) as token from qs) group by all),
+    sb as (select query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score_raw, list_sort(list(distinct q.token)) as matched_terms
+        from q join df using (token) join tf using (token) join dl using (doc_id) cross join st group by query_id, doc_id),
+    bm as (select *, row_number() over (partition by query_id order by score_raw desc, doc_id) as rank from sb qualify rank <= 10) {_FOUND}"""
+QUERIES = {"bm25_top10": q_bm25, "bm25_pruned": q_bm25_pruned, "bm25_skipped": q_bm25_skipped, "bm25_fields": q_bm25_fields, "bm25_fields_pruned": q_bm25_fields_pruned, "bm25_phrase_boost": q_boosted, "postings_df": q_postings, "doc_length_stats": q_doc_lengths, "exact_phrase": q_exact_phrases, "exact_search": q_exact_search, "scan_phrases": q_scan, "marked_phrases": q_marked}
 ORACLE = {
     "bm25_top10": f"with {BM25_SQL} {_FOUND}",
+    "bm25_pruned": f"with {BM25_SQL} {_FOUND}",
+    "bm25_fields": _BM25_FIELDS,
+    "bm25_fields_pruned": _BM25_FIELDS,
+    "bm25_skipped": f"with {BM25_SQL} select query_id, sum(df)::bigint as postings, true as within from q join df using (token) group by query_id",
     "bm25_phrase_boost": f"""with {bm25_sql("select item_id as query_id, '\"' || text[1 : length(text) // 2] || '\" ' || text as query from benchmark", add=_BOOST)}, ok as ({_FOUND}) select * from ok where score >= 0.05""",
     "postings_df": f"with t as (select doc_id, unnest({TOKENS_SQL.format('text')}) as token from documents), p as (select doc_id, token, count(*) as tf from t group by all) select token, count(*) as df, sum(tf)::bigint as cf from p group by token",
     "doc_length_stats": f"with t as (select len({TOKENS_SQL.format('text')}) as dl from documents) select count(*) as n, round(avg(dl), 6) as avgdl, min(dl)::int as min_dl, max(dl)::int as max_dl from t where dl > 0",

@@ -55,10 +55,8 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
 
 def clear_scratch(spark: SparkSession, since: int = 0) -> None:
     """Removes the scratch tables written since (all by default); results that read them are no longer valid."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in _written[since:]:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+        remove(spark, path)
     del _written[since:]
 
 
@@ -86,21 +84,63 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def table_version(df: DataFrame) -> str:
-    """A name for the present content of a table of files: it changes when a file is added, removed or rewritten."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """A name for the present content of a table of files: it changes when a file is added, removed or rewritten.
+
+    Folders are listed, one call for each; single files aren't asked for.
+    """
+    spark, files = df.sparkSession, set(df.inputFiles())
     seen = []
-    for name in sorted(df.inputFiles()):
-        place = jvm.org.apache.hadoop.fs.Path(name)
-        status = place.getFileSystem(conf).getFileStatus(place)
-        seen.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
-    return uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(seen)).hex
+    for folder in sorted({f.rpartition("/")[0] for f in files}):
+        place, store = _place(spark, folder)
+        for status in store.listStatus(place):
+            name = status.getPath().toString()
+            if name in files or status.getPath().toUri().toString() in files or f"{folder}/{status.getPath().getName()}" in files:
+                seen.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(sorted(seen))).hex
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    place, store = _place(spark, path)
+    return store.exists(place)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    place, store = _place(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(place)) if store.exists(place) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole; an error if it is there already."""
+    place, store = _place(spark, path)
+    draft, _ = _place(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = store.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if store.exists(place) or not store.rename(draft, place):
+        store.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    place, store = _place(spark, path)
+    held = store.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(held)).decode()
+    finally:
+        held.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, store = _place(spark, path)
+    store.delete(place, True)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

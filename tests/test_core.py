@@ -259,7 +259,7 @@ def test_index_is_built_once_for_a_tables_content(spark, tmp_path):
     asked = spark.createDataFrame([(1, "stone river"), (2, "nothing here")], "query_id bigint, query string")
     first = index_of(spark.read.parquet(path))
     assert [r.doc_id for r in bm25(asked, first).orderBy("rank").collect()] == [1, 2]
-    assert index_of(spark.read.parquet(path)).postings.inputFiles() == first.postings.inputFiles()
+    assert index_of(spark.read.parquet(path)).blocks.inputFiles() == first.blocks.inputFiles()
     spark.createDataFrame([(4, "river river stone")], "doc_id bigint, text string").write.mode("append").parquet(path)
     assert {r.doc_id for r in bm25(asked, index_of(spark.read.parquet(path))).collect()} == {1, 2, 4}
 
