@@ -11,9 +11,10 @@ before and after that lie in the same parent as they. A block that surges in an
 element stands for all of that element. Blocks of one parent are one block, whatever lies between
 them and however they are wrapped.
 
-Hints decide by themselves only where a word of a class says plainly what an element is (a comment,
-an advert, a cookie notice). The other words (social, widget, related) need the text's consent: an
-element with them that has much text of its own is kept, and none of them makes an article noise.
+A class or id decides by itself only if all of its words say what part of a page a container is (a
+comment list, an advert box, a cookie notice). With any other word in it, or on an element of text,
+it needs the text's consent: what has a sentence of its own outside links is kept, and none of them
+makes an article noise.
 """
 
 from __future__ import annotations
@@ -38,13 +39,15 @@ GAP = WINDOW
 SURGE, SHARE = 40, 0.2
 #: Layout elements further down belong to the last one that counts.
 DEEPEST = 512
-#: Characters outside links from which an element stays that is noise by a vague word alone.
-ENOUGH = 160
+#: Characters outside links from which an element stays that is noise by a vague hint alone, and the share of the largest article's weight from which another one of the same main element belongs to it.
+ENOUGH = 60
+PART = 0.25
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _MAIN_TAG = re.compile(r"<(?:article|main)[\s/>]", re.I)
 _RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "select", "title", "canvas", "audio", "video")}
-_DROP = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "button", "head", "label", "fieldset"}
+_DROP = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "head", "fieldset"}
+_INLINE = {x: re.compile(rf"(?:(?!<(?:p|div|article|section|main|h[1-6]|ul|ol|table)\b).)*?</{x}\s*>", re.I | re.S) for x in ("button", "label")}
 _MAIN = {"article", "main"}
 _BLOCK = {"p", "div", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "header", "footer", "nav", "aside", "form", "address", "details", "summary", "body", "html", "dialog", "fieldset", "center", "title"}
 _NESTED = {"div", "section", "ul", "ol", "dl", "table", "tr", "td", "span", "p", "li", "figure", "details", "blockquote"} | _DROP | _MAIN
@@ -55,6 +58,11 @@ _NOISE = frozenset(
     "ad ads advert advertisement advertising adsense sponsor sponsored comment comments disqus reply replies respond sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr popup modal newsletter subscribe subscription footer masthead pagination pager toolbar topbar".split()
 )
 _VAGUE = frozenset("promo promotion banner notice alert overlay share sharing social related recommended widget login signup skip".split())
+#: Words that say nothing more beside a word of noise, and elements of which a class says what part of a page they are.
+_STRUCTURE = frozenset(
+    "list lists section sections box area wrapper wrap container bar block form thread content body item items row col column inner outer header top bottom left right main panel slot unit feed group holder page site global primary secondary text image img label link links title heading count button icon module region zone user users reader readers visitor guest the".split()
+)
+_CONTAINERS = frozenset("div section ul ol dl table tr td li details article main".split())
 #: Classes or ids of the article's container where the page has no element for it.
 _CONTENT = frozenset("content main article post story main-content maincontent page-content post-content post-body article-content article-body articlebody entry-content story-body".split())
 #: First parts of a class that keep an article, or what holds one, from being the page's article.
@@ -108,18 +116,15 @@ def _hint(name: str, attributes: str, inside: bool, holds=lambda: "") -> str:
             return "noise"
         if key in ("class", "id"):
             for token in value.split():
-                parts = re.split(r"[-_]+", token)
-                if parts[0] in ("has", "no", "with", "without"):
+                parts = [x for x in re.split(r"[-_]+", token) if x]
+                if not parts or parts[0] in ("has", "no", "with", "without") or _NOISE.isdisjoint(parts) and _VAGUE.isdisjoint(parts):
                     continue
-                if parts[0] in ("post", "entry", "article"):
-                    if parts[1:] and not {"comment", "comments", "share", "related", "nav", "navigation", "footer", "ad", "ads"}.isdisjoint(parts[1:]):
-                        plain.append(parts)
-                elif not _NOISE.isdisjoint(parts):
-                    plain.append(parts)
-                elif parts[0] in _ASIDE:
-                    plain.append(parts[:1] * 2)
+                own = parts[1:] if parts[0] in ("post", "entry", "article") else parts
+                said = all(x in _NOISE or x in _VAGUE or x in _STRUCTURE or x[0].isdigit() for x in own)
+                if name in _CONTAINERS and said and not _NOISE.isdisjoint(own):
+                    plain.append(own)
                 else:
-                    vague = vague or not _VAGUE.isdisjoint(parts)
+                    vague = True
     if not plain and not vague:
         return ""
     held = holds()
@@ -204,6 +209,10 @@ def lines_of(page: str) -> list[Line]:
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
+        if name in _INLINE:
+            e = None if m[1] else _INLINE[name].match(page, at)  # its text goes, the line around it stays whole
+            at = e.end() if e else at
+            continue
         if not m[1] and name in _RAW and not m[3].endswith("/"):
             e = _RAW[name].search(page, at)
             at = e.end() if e else end
@@ -362,19 +371,21 @@ def extract(page: str | None) -> str:
     best = max(at, key=lambda k: (at[k], -k))
     if best:
         outer = within[best] or best
-        inner = best if within[best] else _largest_article(outer, weights, lines)
-        return "\n".join(x.text for x, n in zip(lines, noise, strict=True) if x.text and not n and x.main in (outer, inner))
+        kept_in = {outer, *_articles(outer, weights, lines)}
+        return "\n".join(x.text for x, n in zip(lines, noise, strict=True) if x.text and not n and x.main in kept_in)
     parent = tuple(commonprefix([x.path for x, n in zip(lines[first:last], weights[first:last], strict=True) if n]))
     kept = lambda i: not noise[i] and (first <= i < last or lines[i].path[: len(parent)] == parent)
     return "\n".join(lines[i].text for i in range(surge, dive) if lines[i].text and kept(i))
 
 
-def _largest_article(outer: int, weights: list[int], lines: list[Line]) -> int:
+def _articles(outer: int, weights: list[int], lines: list[Line]) -> set[int]:
+    """The articles of a main element: the one with the most weight, and others that aren't teasers beside it."""
     held: dict[int, int] = {}
     for x, n in zip(lines, weights, strict=True):
         if x.within == outer:
             held[x.main] = held.get(x.main, 0) + n
-    return max(held, key=lambda k: (held[k], -k), default=outer)
+    most = max(held, key=lambda k: (held[k], -k), default=outer)
+    return {most} | {k for k, n in held.items() if n >= max(ENOUGH, PART * held[most])}
 
 
 def _densest(found: list[tuple[int, int]], weights: list[int], lines: list[Line]) -> tuple[int, int]:

@@ -649,6 +649,30 @@ def test_html_points_decide(page, text):
     assert extract(page) == text
 
 
+LONG = "A sentence of the article that is long enough to be one, with more than eighty characters."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=story><p>{LONG}</p><div class=sponsor-story><p>{LONG}</p></div></div>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><blockquote class=reply>{LONG}</blockquote><div id=footer-notes>{LONG}</div></article>", f"{LONG}\n{LONG}\n{LONG}"),
+        (f"<main><p>{LONG}</p><section class='ad-hoc networks'><p>{LONG}</p></section></main>", f"{LONG}\n{LONG}"),
+        (f"<div><p>{LONG}</p><div class=comment-on-law><p>{LONG}</p></div></div>", f"{LONG}\n{LONG}"),
+        (f"<article><p>Press <button>OK</button> or <label>name</label> it. {LONG}</p></article>", f"Press or it. {LONG}"),
+        (f"<main><article><p>{LONG}</p></article><article><p>{LONG} Two.</p></article><article>teaser</article></main>", f"{LONG}\n{LONG} Two."),
+        (f"<div class=widget>{'A lead paragraph of the text with some words in it, sixty or more.'}</div><p>{LONG}</p>", f"A lead paragraph of the text with some words in it, sixty or more.\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><div class='user-comments'><p>{LONG}</p></div><div class='ad-box'>{LONG}</div>", LONG),
+        (f"<article><p>{LONG}</p><div class='comments-section'><p>{LONG}</p></div><div class='ad'>{LONG}</div><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f"<article><p>never <button>closed</p><p>{LONG}</p></article>", f"never closed\n{LONG}"),
+    ],
+)
+def test_html_classes_need_the_texts_consent(page, text):
+    from quern.llm.html import extract
+
+    assert extract(page) == text
+
+
 def test_html_surge_and_dive_equal_plain_windows():
     from quern.llm.html import SHARE, SURGE, WINDOW, core
 
