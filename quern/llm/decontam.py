@@ -33,6 +33,8 @@ MIN_WORDS = 8
 #: Seeds that go to the documents as they are, and 64-bit words of the bitmap beyond that.
 FEW_SEEDS = 1_000_000
 SLOTS = 1 << 20
+#: Items that are verified beside one copy of a document.
+GROUP = 64
 
 
 def words(text: Column) -> Column:
@@ -92,9 +94,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seeds = materialise(seeds.withColumnRenamed("at", "item_at").distinct(), "seeds")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     hits = _meeting(_runs(texts, "doc_id", masks), seeds).select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    hits = hits.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts"))
-    hits = hits.join(sized(items.select("item_id", "item")), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "shifts")).alias("hits"))
-    hits = materialise(hits.withColumnRenamed("doc_id", "hit_id"), "hits")
+    hits = materialise(hits.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts")), "hits")
+    # A document that many items meet is dealt out in groups of them, each verified beside its text by itself.
+    many = hits.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select(F.col("doc_id").alias("many_id"), F.ceil(F.col("n") / GROUP).alias("groups"))
+    hits = hits.join(sized(materialise(many, "many")), F.col("doc_id").eqNullSafe(F.col("many_id")), "left").withColumn("group", F.coalesce(F.pmod(F.xxhash64("item_id"), "groups"), F.lit(0)))
+    hits = hits.join(sized(items.select("item_id", "item")), "item_id").groupBy("doc_id", "group").agg(F.collect_list(F.struct("item_id", "item", "shifts")).alias("hits"))
+    hits = materialise(hits.withColumnRenamed("doc_id", "hit_id").drop("group"), "hits")
     found = texts.join(sized(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")))
     verified = lambda doc: F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), F.least(F.size(h["item"]), F.lit(WINDOW)).alias("window_words"), F.array_max(F.transform(h["shifts"], lambda s: _best_window(h["item"], doc, s))).alias("matched_words")))
     found = found.select("doc_id", F.explode(F.get(F.transform(F.array(words(F.col("text"))), verified), 0)).alias("v")).select("doc_id", "v.*")
@@ -111,8 +116,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     row = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     found = contaminated(docs.select(row.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
     found = materialise(found.select("doc_id.*").distinct().toDF("contaminated_id", "contaminated_hash"), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("contaminated_id")) & (F.xxhash64("text") == F.col("contaminated_hash"))
-    return docs.join(sized(found), same, "left_anti").select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("contaminated_id")) & (F.col("hash") == F.col("contaminated_hash"))
+    return whole.join(sized(found), same, "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

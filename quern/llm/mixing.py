@@ -29,7 +29,11 @@ NONE = "(none)"
 
 @dataclass(frozen=True)
 class Mix:
-    """domains: (name, pattern of the source), the first that matches counts; weights by level and name, else 1."""
+    """domains: (name, pattern of the source), the first that matches counts; weights by level and name.
+
+    A name without a weight weighs as the least named one of its level that isn't 0, and no more; on a
+    level without weights all names weigh the same.
+    """
 
     domains: Sequence[tuple[str, str]] = (("forum", "^src[0-4]$"), ("news", "^src[5-9]$"), ("books", "^src1[0-4]$"))
     other: str = "misc"
@@ -41,9 +45,10 @@ class Mix:
 
 def _weight(level: str, mix: Mix) -> Column:
     given = mix.weights.get(level) or {}
+    rest = F.lit(float(min((w for w in given.values() if w > 0), default=1.0)))
     if not given:
-        return F.lit(1.0)
-    return F.coalesce(F.create_map(*(F.lit(x) for kv in given.items() for x in kv))[F.col(level)], F.lit(1.0))
+        return rest
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in given.items() for x in kv))[F.col(level)], rest)
 
 
 def _tree(mix: Mix) -> list[Column]:
@@ -187,8 +192,8 @@ ORACLE = {
                 len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents),
         leaf as (select domain, language, origin, sum(n_tokens)::double as tokens from rw group by all),
         top as (select floor(sum(tokens) * 0.6) as budget from leaf),
-        {_level_sql("l1", "top", ["domain"], "case domain when 'forum' then 0.15::double when 'news' then 0.35::double when 'books' then 0.3::double else 0.2::double end")},
-        {_level_sql("l2", "l1", ["domain", "language"], "case language when 'en' then 0.4::double when 'de' then 0.2::double when 'fr' then 0.2::double when 'es' then 0.2::double else 1::double end")},
+        {_level_sql("l1", "top", ["domain"], "case domain when 'forum' then 0.15::double when 'news' then 0.35::double when 'books' then 0.3::double when 'misc' then 0.2::double else 0.15::double end")},
+        {_level_sql("l2", "l1", ["domain", "language"], "case language when 'en' then 0.4::double when 'de' then 0.2::double when 'fr' then 0.2::double when 'es' then 0.2::double else 0.2::double end")},
         {_level_sql("l3", "l2", ["domain", "language", "origin"], "1::double")},
         b as (select *, floor(floor(budget + 1e-6) / tokens)::bigint as full_, floor(budget + 1e-6) - floor(floor(budget + 1e-6) / tokens) * tokens as part from l3 join leaf using (domain, language, origin) where tokens > 0),
         o as (select rw.*, full_, part, sum(n_tokens) over (partition by domain, language, origin order by md5('17:' || full_ || ':' || doc_id), doc_id rows between unbounded preceding and current row) as upto

@@ -150,13 +150,15 @@ def fit(x: np.ndarray, label: np.ndarray, l2: float = 1e-2) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
     """Fits on at most MAX_LABELLED labelled rows of docs, the first by the hash of their id.
 
-    Rows with a null id or label are left out.
+    Rows with a null id or label are left out; of rows that repeat an id each text counts. The bound
+    holds for rows, however often an id repeats.
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).distinct()
-    ids = ids.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
-    sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(MAX_LABELLED)
-    rows = features_of(docs.select(F.col(id_col).alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "label"]).toPandas()
-    rows = rows.sort_values(["doc_id", "label"], kind="stable")
+    texts = docs.select(F.col(id_col).alias("doc_id"), "text", F.xxhash64("text").alias("sig"))
+    order = (F.xxhash64("doc_id"), "doc_id", "label", "sig")
+    sample = ids.join(texts.select("doc_id", "sig").distinct(), "doc_id").orderBy(*order).limit(MAX_LABELLED)
+    rows = features_of(texts.join(F.broadcast(sample), ["doc_id", "sig"]), ["doc_id", "label", "sig"]).orderBy(*order).limit(MAX_LABELLED).toPandas()
+    rows = rows.sort_values(["doc_id", "label", "sig"], kind="stable")
     x = np.array(rows["x"].tolist()) if len(rows) else np.empty((0, N_FEATURES))
     return fit(x, rows["label"].to_numpy())
 

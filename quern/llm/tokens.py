@@ -12,6 +12,7 @@ held are bounded by the bytes of their pieces; beyond the bound they are forgott
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -27,7 +28,7 @@ CALL_BYTES = 1 << 18
 HELD_BYTES = 4 << 20
 #: Characters whose pieces are looked at together.
 GROUP_CHARS = 1 << 19
-#: Here the byte-level pre-tokenizer always starts a new piece.
+#: Here the byte-level pre-tokenizer always starts a new piece; texts for any other one aren't cut.
 SAFE = re.compile(r"(?<=\S)(?= [^\W\d_])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?])")
 
 _loaded: dict[object, object] = {}
@@ -54,11 +55,19 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+def cuttable(tokenizer: object) -> bool:
+    """Whether SAFE holds: a byte-level pre-tokenizer that splits by its own expression, and nothing that changes texts before it."""
+    made = json.loads(tokenizer.to_str())
+    before = made.get("pre_tokenizer") or {}
+    return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not made.get("normalizer") and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in made.get("added_tokens") or [])
+
+
 class Lengths(dict):
     """Token counts of pieces, encoded by the library in calls of CALL_BYTES."""
 
     def __init__(self, path: str):
         self.tokenizer, self.size = _tokenizer(path), 0
+        self.cut = cuttable(self.tokenizer)
 
     def learn(self, pieces: Iterable[str]) -> None:
         batch: list[str] = []
@@ -92,8 +101,8 @@ class Lengths(dict):
             group.clear()
 
         for i, text in enumerate(texts):
-            for part in segments(text):
-                group.append((i, SAFE.split(part)))
+            for part in segments(text) if self.cut else (text,):
+                group.append((i, SAFE.split(part) if self.cut else [part]))
                 size += len(part)
                 if size >= GROUP_CHARS:
                     add()

@@ -21,7 +21,7 @@ def frame(spark, rows, schema=DOCS):
 
 def clashing(df):
     """Extra columns with names that operators use themselves."""
-    names = ("key", "score", "words", "spans", "component_id", "text_", "row", "epoch", "tokens", "digest", "page", "out", "at")
+    names = ("contaminated_id", "contaminated_hash", "id", "hash", "group", "sig", "key", "score", "words", "spans", "component_id", "text_", "row", "epoch", "tokens", "digest", "page", "out", "at")
     return df.select("*", *(F.lit("x").alias(n) for n in names if n not in df.columns))
 
 
@@ -402,7 +402,7 @@ def test_budgets_equal_stepwise_sharing(spark, total):
     mix = Mix(epochs=2)
     got = {(r.domain, r.language, r.origin): r.budget for r in budgets(frame(spark, leaves, "domain string, language string, origin string, tokens bigint"), mix, total).collect()}
     cap = lambda *k: sum(2.0 * x[3] for x in leaves if x[: len(k)] == k)
-    weight = lambda level, k: (mix.weights.get(level) or {}).get(k, 1.0)
+    weight = lambda level, k: (mix.weights.get(level) or {}).get(k, min(mix.weights.get(level, {}).values(), default=1.0))
     top = brute_budget({d: weight("domain", d) for d in ("forum", "news", "misc")}, {d: cap(d) for d in ("forum", "news", "misc")}, total)
     for d in top:
         mid = brute_budget({g: weight("language", g) for g in ("en", "de")}, {g: cap(d, g) for g in ("en", "de")}, top[d])
@@ -421,6 +421,13 @@ def test_a_weight_of_zero_leaves_its_budget_to_others(spark):
     assert {r.origin: r.budget for r in budgets(leaves, Mix(weights={"origin": {"b": 0.0}}, epochs=1), 700).collect()} == {"a": 400, "b": 0, "c": 300}
 
 
+def test_a_name_without_a_weight_weighs_no_more_than_a_named_one(spark):
+    from quern.llm.mixing import Mix, budgets
+
+    leaves = frame(spark, [("forum", g, "a", 1_000) for g in ("en", "it", "(none)")], "domain string, language string, origin string, tokens bigint")
+    assert {r.language: r.budget for r in budgets(leaves, Mix(), 300).collect()} == {"en": 150, "it": 75, "(none)": 75}
+
+
 def test_mixing_takes_seeded_prefixes(spark):
     from quern.llm import mixing
 

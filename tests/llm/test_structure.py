@@ -249,3 +249,70 @@ def test_filter_audit_equals_plain_loops(spark, n):
     got = {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley) for r in audit(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
     assert got == brute_audit(docs, labels)
     assert len(got) == 600 * len({d[2] or "" for d in docs})
+
+
+# Bounds of earlier operators
+
+
+def test_quality_bounds_rows_and_not_ids(spark, monkeypatch):
+    from quern.llm import quality
+
+    seen = []
+    plain = quality.fit
+    monkeypatch.setattr(quality, "MAX_LABELLED", 10)
+    monkeypatch.setattr(quality, "fit", lambda x, label: seen.append(len(x)) or plain(x, label))
+    docs = spark.createDataFrame([(i % 4, f"text {i} of some words.", None) for i in range(400)] + [(1, "the same text", None)] * 50, "doc_id bigint, text string, lang string")
+    quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, quality int"))
+    assert seen == [10]
+
+
+def test_decontamination_of_a_prompt_that_all_items_share(spark):
+    from quern.llm import decontam
+
+    prompt = "choose the right answer to this question about the text below and explain it"
+    items = spark.createDataFrame([(i, f"{prompt} number{i} {' '.join(f'q{i}x{k}' for k in range(12))}") for i in range(2_000)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"a page with {prompt} and more"), (2, "nothing of it"), (None, prompt)], "doc_id bigint, text string")
+    got = decontam.contaminated(docs, items)
+    assert {r.doc_id: r.n for r in got.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()} == {1: 2_000, None: 2_000}
+
+
+def test_decontamination_equals_all_alignments(spark):
+    from quern.llm import decontam
+
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(9)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, text(rng.choice([3, 8, 13, 20]))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = text(rng.randint(0, 30))
+        part = list(rng.choice(items)[1])
+        for at in rng.sample(range(len(part)), min(len(part), rng.choice([0, 1, 2, 4]))):
+            part[at] = "other"
+        docs.append((d, w[:10] + part + w[10:]))
+
+    def best(item, doc):
+        size, most = min(len(item), 13), 0
+        for shift in range(-len(item), len(doc)):
+            same = [0 <= i + shift < len(doc) and doc[i + shift] == x for i, x in enumerate(item)]
+            most = max(most, *(sum(same[s : s + size]) for s in range(len(item) - size + 1)))
+        return most, size
+
+    want = {(d, i): best(item, doc)[0] for d, doc in docs for i, item in items if (lambda m, n: m == n if n < 8 else 100 * m >= 80 * n)(*best(item, doc))}
+    got = decontam.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id): r.matched_words for r in got.collect()} == want
+
+
+def test_token_counts_of_other_tokenizers_equal_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quern.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", "A few words, and more.", "don't  stop\n\n" * 40, "日本語 text", "x" * 3_000]
+    got = tokens.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path)
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(library.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+    assert tokens.Lengths(public_tokenizers.path("byte_bpe_50k.json")).cut
