@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import section_title, token_estimate
-from quern.plans.common import materialise, r6, read
+from quern.operators.structure import budget_chunks, code_sections, json_blocks, yaml_blocks
+from quern.plans.common import r6, read
 
 
 def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
@@ -144,53 +145,6 @@ def rst_sections(docs: DataFrame) -> DataFrame:
     return _sections(ranked.withColumn("level", F.when(F.col("mark").isNotNull(), F.least(level, F.lit(6)))).withColumn("title", F.when(F.col("mark").isNotNull(), F.trim("line"))).drop("below", "mark", "first"))
 
 
-#: How a definition begins, in the usual languages; the first group is its name.
-SYMBOL = r"^\s*(?:export\s+|public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|async\s+|pub(?:\([a-z]+\))?\s+)*(?:def|class|function|func|fn|interface|struct|enum|trait|impl|type|module|namespace)\s+([A-Za-z_][A-Za-z0-9_]*)"
-
-
-def code_sections(docs: DataFrame) -> DataFrame:
-    """Lines of a program gathered under the definition they follow; section_path names those round it, by indents of four blanks."""
-    name = F.nullif(F.regexp_extract("line", SYMBOL, 1), F.lit(""))
-    indent = F.length(F.regexp_extract(F.replace(F.col("line"), F.lit("\t"), F.lit("    ")), "^ *", 0))
-    return _sections(_lines(docs).withColumn("title", name).withColumn("level", F.when(name.isNotNull(), F.least(F.floor(indent / 4).cast("int") + 1, F.lit(6)))))
-
-
-def yaml_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, block): `path.to.key: value` for each line of a YAML text; keys that only hold others are blocks too.
-
-    Levels are indents of two blanks, a list's dash counts as its item's indent, comments are left out.
-    """
-    parts = r"^( *)((?:- +)*)([^\s#:][^:#]*?)\s*:(?:\s+(.*?))?\s*$"
-    key = F.nullif(F.trim(F.regexp_extract("line", parts, 3)), F.lit(""))
-    indent = F.length(F.regexp_extract("line", parts, 1)) + F.length(F.regexp_extract("line", parts, 2))
-    marked = _lines(docs).withColumn("title", key).withColumn("level", F.when(key.isNotNull(), F.least(F.floor(indent / 2).cast("int") + 1, F.lit(6))))
-    lines = under_headings(marked).where("title is not null")
-    value = F.nullif(F.regexp_replace(F.regexp_extract("line", parts, 4), r"(?:^|\s+)#.*$", ""), F.lit(""))
-    return lines.select("doc_id", "pos", F.concat(F.array_join("path", "."), F.lit(":"), F.coalesce(F.concat(F.lit(" "), value), F.lit(""))).alias("block"))
-
-
-def json_blocks(docs: DataFrame, deepest: int = 64) -> DataFrame:
-    """(doc_id, path, value): the leaves of JSON texts; arrays of scalars stay whole.
-
-    Containers are opened one level of all texts at a time, so that no text is walked through by itself.
-    """
-    spark = docs.sparkSession
-    open_ = docs.select("doc_id", F.lit("").alias("path"), F.try_parse_json("text").alias("v")).where("v is not null")
-    done = None
-    for _ in range(deepest):
-        typed = materialise(open_.select("doc_id", "path", F.to_json("v").alias("j"), F.schema_of_variant("v").alias("kind")), "json-level")
-        nested = F.col("kind").startswith("OBJECT") | (F.col("kind").startswith("ARRAY<") & F.col("kind").rlike("OBJECT|ARRAY<ARRAY|VARIANT"))
-        leaves = typed.where(~nested & (F.col("j") != "{}")).select("doc_id", "path", F.regexp_replace("j", '^"(.*)"$', "$1").alias("value"))
-        done = leaves if done is None else done.unionByName(leaves)
-        if not typed.where(nested).limit(1).count():
-            break
-        again = typed.where(nested).select("doc_id", "path", F.parse_json("j").alias("v"))
-        inner = again.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("at", "key", "inner"))
-        name = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("at").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
-        open_ = inner.select("doc_id", F.concat("path", name).alias("path"), F.col("inner").alias("v"))
-    return done
-
-
 def _xml_nodes(texts: pd.Series) -> pd.Series:
     def walk(node: ElementTree.Element, path: str, out: list) -> list:
         path = f"{path}/{node.tag.rpartition('}')[2]}"
@@ -378,6 +332,20 @@ def q_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundary_chunks(read(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "start_char", "end_char")
 
 
+def q_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of at most 120 words, their starts at boundaries."""
+    return budget_chunks(read(spark, sf_dir, "documents"), 1000, 100, 120).select("doc_id", "chunk_index", "start_char", "end_char", "tokens")
+
+
+def q_yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as YAML of varying shapes: nested keys as deep as the id says, lists of scalars and of maps, and a comment."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("x")).alias("lang"), F.coalesce("source", F.lit("x")).alias("source"), (F.col("doc_id") % 9 + 1).cast("int").alias("deep"))
+    nest = F.array_join(F.transform(F.sequence(F.lit(1), "deep"), lambda k: F.concat(F.repeat(F.lit("  "), k - 1), F.lit("k"), k.cast("string"), F.lit(":"))), "\n")
+    items = F.array_join(F.transform(F.sequence(F.lit(1), "deep"), lambda k: F.when(k % 2 == 0, F.concat(F.lit("  - n: "), k.cast("string"), F.lit('\n    "a b": '), F.col("source"))).otherwise(F.concat(F.lit("  - "), F.col("lang")))), "\n")
+    text = F.concat(nest, F.lit(" "), F.col("lang"), F.lit("  # deepest\nlist:\n"), items, F.lit("\nlast: '# no comment'"))
+    return yaml_blocks(d.select("doc_id", text.alias("text"))).select("doc_id", "pos", "block")
+
+
 def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as Markdown: a heading for each turn, then its text."""
     t = read(spark, sf_dir, "conversations")
@@ -391,7 +359,7 @@ def q_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "fixed_chunks": q_fixed, "chunk_stats": q_chunk_stats, "paragraph_blocks": q_paragraphs, "boundary_chunks": q_boundary, "heading_sections": q_sections, "token_estimate": q_token_estimate,
+    "budget_chunks": q_budget, "yaml_documents": q_yaml_documents, "fixed_chunks": q_fixed, "chunk_stats": q_chunk_stats, "paragraph_blocks": q_paragraphs, "boundary_chunks": q_boundary, "heading_sections": q_sections, "token_estimate": q_token_estimate,
     "page_chunks": q_page_chunks, "paragraph_chunks": q_paragraph_chunks, "rst_sections": q_rst, "code_sections": q_code, "yaml_blocks": q_yaml, "ini_blocks": q_ini, "json_blocks": q_json, "xml_blocks": q_xml, "keyed_blocks": q_keyed, "packed_rows": q_packed, "chunker_dispatch": q_dispatch, "structured_terms": q_terms}
 _BARE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -417,8 +385,36 @@ def _boundary_sql(source: str, size: int, overlap: int) -> str:
         bc as (select b.doc_id, i::int as chunk_index, s::int as start_char, e::int as end_char from b join t using (doc_id) where {_BARE.format("substring(text, s + 1, e - s)")} <> '')"""
 
 
+def _budget_sql(size: int, overlap: int, budget: int) -> str:
+    """CTEs up to gc: budget chunks of documents, one chunk of all texts at a time."""
+    low = min(120, max(20, size // 4))
+    back = lambda e: f"case when {e} >= n then n else coalesce(list_max(list_filter(bs, lambda x: x >= greatest(s + 1, {e} - {low}) and x <= {e})), {e}) end"
+    mid = "case when s > 0 and not regexp_matches(cs[s], '\\s') and not regexp_matches(cs[s + 1], '\\s') then 1 else 0 end"
+    part = lambda e: _BARE.format(f"substring(text, s + 1, {e} - s)")
+    cost = lambda e: f"case when {part(e)} = '' then 0 when not contains({part(e)}, ' ') then greatest(1, length({part(e)}) // 2) else len(list_filter(ws, lambda x: x >= s and x < {e})) + {mid} end"
+    fits = f"case when not contains({part('e0')}, ' ') then s + {2 * budget + 1} else least(e0, list_filter(ws, lambda x: x >= s)[{budget} + 1 - ({mid})]) end"
+    ends = lambda rows: f"select *, case when c0 <= {budget} then e0 else {back('l')} end as e from (select *, {cost('e0')} as c0, {fits} as l from (select *, {back(f'least(n, s + {size})')} as e0 from ({rows})))"
+    due = f"select g.doc_id, g.i, g.s, g.e, greatest(g.s + 1, g.e - {overlap}) as due, t.bs from g join t using (doc_id) where g.e < t.n"
+    around = f"select doc_id, i, s, e, due, list_min(list_filter(bs, lambda x: x >= due)) as ahead, list_max(list_filter(bs, lambda x: x <= due)) as behind from ({due})"
+    start = "case when ahead <= least(e, due + 80) then ahead when behind >= greatest(s + 1, due - 80) then behind else due end"
+    return rf"""ch as (select doc_id, text, string_split(text, '') as cs, length(text) as n from documents where length(text) > 0),
+        t as materialized (select doc_id, text, n, cs, list_filter(range(0, n + 1), lambda i: i = 0 or i = n or regexp_matches(cs[i], '\s') or (contains('。！？!?；;:.', cs[i]) and (regexp_matches(cs[i + 1], '\s') or (cs[i + 1] >= '一' and cs[i + 1] <= '鿿')))) as bs,
+            list_filter(range(0, n), lambda i: not regexp_matches(cs[i + 1], '\s') and (i = 0 or regexp_matches(cs[i], '\s'))) as ws from ch),
+        g as (select doc_id, i, s, e from ({ends("select *, 0 as i, 0::bigint as s from t")}) union all
+            select doc_id, i, s, e from ({ends(f"select t.*, q.i + 1 as i, q.start as s from (select *, {start} as start from ({around})) q join t using (doc_id)")})),
+        gc as (select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_index, s::int as start_char, e::int as end_char, ({cost("e")})::int as tokens from g join t using (doc_id) where {part("e")} <> '')"""
+
+
 _FIXED = _fixed_sql("select doc_id, text from documents", 1000, 900)
 ORACLE = {
+    "budget_chunks": f"with recursive {_budget_sql(1000, 100, 120)} select * from gc",
+    "yaml_documents": """with d as (select doc_id, coalesce(lang, 'x') as lang, coalesce(source, 'x') as source, (doc_id % 9 + 1)::int as deep from documents),
+        k as (select doc_id, unnest(range(1, deep + 1))::int as k, deep, lang, source from d)
+        select doc_id, (k - 1)::int as pos, array_to_string(list_transform(range(1, k + 1), lambda i: 'k' || i), '.') || ':' || case when k = deep then ' ' || lang else '' end as block from k
+        union all select doc_id, deep, 'list:' from d
+        union all select doc_id, (deep + k + (k - 1) // 2)::int, case when k % 2 = 0 then 'list[' || (k - 1) || '].n: ' || k else 'list[' || (k - 1) || ']: ' || lang end from k
+        union all select doc_id, (deep + k + k // 2)::int, 'list[' || (k - 1) || '].a b: ' || source from k where k % 2 = 0
+        union all select doc_id, (deep + deep + deep // 2 + 1)::int, 'last: ' || chr(39) || '# no comment' || chr(39) from d""",
     "fixed_chunks": f"with {_FIXED} select doc_id, chunk_index, start_char, end_char, md5(content) as content_md5 from k",
     "chunk_stats": f"with {_FIXED} select count(*) as chunks, round(avg(length(content)), 6) as avg_chars, min(length(content))::int as min_chars, max(length(content))::int as max_chars from k",
     "boundary_chunks": f"with recursive {_boundary_sql('select doc_id, text from documents', 1000, 100)} select * from bc",
