@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.plans.common import exists, r6, read, sized
+from quern.plans.common import materialise, r6, read, scratch_path, sized
+from quern.streaming.kept import keep, keep_latest, read_kept, read_latest
 
 #: Arrivals in one range of late_data.
 RANGE = 20_000
@@ -54,7 +55,8 @@ def accepted_calls(df: DataFrame, limit: int, seconds: int) -> DataFrame:
 
     Only accepted calls count, so the state is sequential. Rows are sorted within partitions and
     pass as a stream; what is held of a key is its last accepted times, limit at most. Calls without
-    a user are one user's. reset_at: when the oldest call that counts leaves the window, in microseconds.
+    a user are one user's, and a user's calls pass through one task, in order. reset_at: when the oldest call
+    that counts leaves the window, in microseconds; null if none counts, as with a limit of 0.
     """
     window = seconds * 1_000_000
     kinds = [df.schema[c].dataType.simpleString() for c in ("user_id", "event_id")]
@@ -68,7 +70,7 @@ def accepted_calls(df: DataFrame, limit: int, seconds: int) -> DataFrame:
                 if user != key:
                     key, held = user, deque()
                 ok.append(_accept(held, at, limit, window))
-                reset.append(held[0] + window)
+                reset.append(held[0] + window if held else None)
             yield pa.RecordBatch.from_arrays([b.column("user_id"), b.column("event_id"), pa.array(ok, pa.bool_()), pa.array(reset, pa.int64())], ["user_id", "event_id", "accepted", "reset_at"])
 
     timed = df.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
@@ -92,7 +94,8 @@ def accepted_stream(stream: DataFrame, limit: int, seconds: int, late: str = "1
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "accepted": ok})
 
     timed = event_time(stream, late=late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at"))
-    return timed.groupBy("user_id").applyInPandasWithState(of, "user_id bigint, event_id bigint, accepted boolean", "held array<bigint>", "append", "EventTimeTimeout")
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in ("user_id", "event_id"))
+    return timed.groupBy("user_id").applyInPandasWithState(of, f"{kinds}, accepted boolean", "held array<bigint>", "append", "EventTimeTimeout")
 
 
 def unexpired(df: DataFrame, keys: list[str], ts: str, ttl: Column, as_of: Column) -> DataFrame:
@@ -116,24 +119,39 @@ def usage_of(df: DataFrame) -> DataFrame:
     return e.groupingSets([[F.col("event_type"), F.col("user_id"), F.col("day")], [F.col("event_type"), F.col("day")]], "event_type", "user_id", "day").agg(F.grouping("user_id").alias("all_users"), F.count("*").alias("calls"), F.sum("value").alias("total"))
 
 
-def start_usage_rollup(stream: DataFrame, path: str, checkpoint: str):
-    """Keeps usage at both grains up to date: each micro-batch adds its own sums under its number.
+USAGE = ["event_type", "user_id", "day", "all_users"]
 
-    A batch that is run again replaces its own folder, so that nothing counts twice; read_usage adds
-    the batches up.
-    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        usage_of(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+def _usage_sum(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*USAGE).agg(F.sum("calls").alias("calls"), F.sum("total").alias("total"))
+
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_usage_rollup(stream: DataFrame, path: str, checkpoint: str):
+    """Keeps usage at both grains up to date; a batch that is run again doesn't count twice."""
+    return keep(stream, path, checkpoint, USAGE, usage_of, _usage_sum)
 
 
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    """The present usage: sums over all batches that have been written."""
-    if not exists(spark, path):
-        raise ValueError(f"nothing has been rolled up at {path}")
-    return spark.read.parquet(path).groupBy("event_type", "user_id", "day", "all_users").agg(F.sum("calls").alias("calls"), F.sum("total").alias("total"))
+    """The present usage."""
+    return read_kept(spark, path)
+
+
+#: The relative standard error of the sketches of users: 1.04 / sqrt(2 ** 12); and the largest error of a rank in those of values, with k = 200.
+HLL_BITS, HLL_ERROR, KLL_K, KLL_ERROR = 12, 0.0163, 200, 0.0133
+
+
+def daily_sketches(events: DataFrame) -> DataFrame:
+    """(day, event_type, users, values): sketches of a day's distinct users and of its values, which add up over any days."""
+    e = events.withColumn("day", F.to_date("ts"))
+    return e.groupBy("day", "event_type").agg(F.hll_sketch_agg("user_id", F.lit(HLL_BITS)).alias("users"), F.kll_sketch_agg_double("value", F.lit(KLL_K)).alias("values"))
+
+
+def merged_sketches(daily: DataFrame, by: list[str], ranks: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """by, users (about), values (how many), and the values at some ranks (about): from sketches alone, without the events."""
+    kll = F.reduce(F.slice(F.collect_list("values"), 2, F.count("*").cast("int")), F.get(F.collect_list("values"), F.lit(0)), lambda a, b: F.kll_sketch_merge_double(a, b))
+    some = daily.where("values is not null").groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), kll.alias("sketch"))
+    found = F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, ranks)))
+    return some.select(*by, "users", F.kll_sketch_get_n_double("sketch").alias("values"), found.alias("quantiles"))
 
 
 def latest_state(df: DataFrame, key: str, order: str, created: str) -> DataFrame:
@@ -223,6 +241,38 @@ def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_state(e.select("user_id", "event_type", "event_id", "ts", "version", "created_at"), "user_id", "version", "created_at").select("user_id", "event_type", "event_id", "ts", "created_at")
 
 
+def _streamed(df: DataFrame, name: str) -> DataFrame:
+    """A table as a stream of four batches."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(4).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def task_states_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as task_states, kept by a stream."""
+    e = read(spark, sf_dir, "events").withColumn("version", F.struct("ts", "event_id")).withColumn("created_at", F.col("ts"))
+    stream, root = _streamed(e.select("user_id", "event_type", "event_id", "ts", "version", "created_at"), "events"), scratch_path(spark, "states")
+    keep_latest(stream, root, scratch_path(spark, "states-checkpoint"), "user_id", "version", "created_at").awaitTermination()
+    return read_latest(spark, root).select("user_id", "event_type", "event_id", "ts", "created_at")
+
+
+def usage_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as usage_two_grains, kept by a stream."""
+    stream, root = _streamed(read(spark, sf_dir, "events"), "events"), scratch_path(spark, "usage")
+    start_usage_rollup(stream, root, scratch_path(spark, "usage-checkpoint")).awaitTermination()
+    return read_usage(spark, root).select("event_type", "user_id", F.col("day").cast("string").alias("day"), F.col("all_users").cast("int").alias("all_users"), "calls", F.round("total", 4).alias("total"))
+
+
+def usage_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and median values of each week and kind from daily sketches, next to the exact answers' bounds."""
+    daily = materialise(daily_sketches(read(spark, sf_dir, "events")), "sketches")
+    week = F.date_trunc("week", F.col("day")).cast("date")
+    found = merged_sketches(daily.withColumn("week", week), ["week", "event_type"])
+    exact = read(spark, sf_dir, "events").withColumn("week", F.date_trunc("week", F.col("ts")).cast("date")).groupBy("week", "event_type").agg(F.countDistinct("user_id").alias("exact_users"), F.count("value").alias("n"))
+    within = F.abs(F.col("users") - F.col("exact_users")) <= F.greatest(F.lit(1.0), 4 * HLL_ERROR * F.col("exact_users"))
+    return found.join(exact, ["week", "event_type"]).select(F.col("week").cast("string").alias("week"), "event_type", "exact_users", "n", within.alias("users_within"), (F.col("values") == F.col("n")).alias("counted"))
+
+
 def running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's share of its conversation that is done, in percent."""
     t = read(spark, sf_dir, "conversations")
@@ -230,7 +280,7 @@ def running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", r6(F.count("*").over(by.orderBy("turn")) * 100.0 / F.count("*").over(by)).alias("percent"))
 
 
-QUERIES = {f.__name__: f for f in (tumbling_counts, sliding_counts, session_windows, late_data, rate_limit_attempts, rate_limit_accepted, running_progress, live_entries, followed_purchases, usage_two_grains, task_states)}
+QUERIES = {f.__name__: f for f in (tumbling_counts, sliding_counts, session_windows, late_data, rate_limit_attempts, rate_limit_accepted, running_progress, live_entries, followed_purchases, usage_two_grains, task_states, task_states_kept, usage_kept, usage_sketches)}
 ORACLE = {
     "rate_limit_accepted": """with recursive e as materialized (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events),
         r as (select user_id, n, event_id, true as accepted, [us] as held from e where n = 1 union all
@@ -248,3 +298,9 @@ ORACLE = {
     "rate_limit_attempts": "with e as (select *, floor(epoch(ts))::bigint as s from events), a as (select user_id, event_id, count(*) over (partition by user_id order by s range between 86399 preceding and current row) as attempts from e) select *, attempts > 3 as rejected from a",
     "running_progress": "select conv_id, turn, round(count(*) over (partition by conv_id order by turn) * 100.0::double / count(*) over (partition by conv_id), 6) as percent from conversations",
 }
+
+ORACLE |= {
+    "task_states_kept": ORACLE["task_states"],
+    "usage_kept": ORACLE["usage_two_grains"],
+    "usage_sketches": "select date_trunc('week', ts)::date::varchar as week, event_type, count(distinct user_id) as exact_users, count(value) as n, true as users_within, true as counted from events group by 1, 2",
+}
