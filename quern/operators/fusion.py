@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import index_tokens, quoted_phrases, section_title
 from quern.operators.dense import distance_to_similarity, knn
+from quern.operators.grams import grams_of, phrase_hits
 from quern.operators.sparse import COMPACT_SQL, TITLE_SQL, TOKENS_SQL, bm25, bm25_sql, documents_index, exact_phrases
 from quern.plans.common import materialise, r6, read, sized, top_k
 
@@ -29,6 +30,23 @@ def lane_ranks(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w))
 
 
+def provenance(ranked: DataFrame, parts: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
+    """How each result of a query came about: matched_queries (its parts that hit, in order), ranks (the best one by lane) and matched_phrases.
+
+    ranked: query_id, sub, lane, doc_id, rank; parts: query_id, sub, query; phrases: query_id, phrase,
+    doc_id of the exact lane.
+    """
+    best = ranked.groupBy("query_id", "doc_id", "lane").agg(F.min("rank").alias("rank"), F.collect_set("sub").alias("subs"))
+    one = best.groupBy("query_id", "doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lane", "rank")))).alias("ranks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("subs")))).alias("subs"))
+    named = parts.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("sub", "query"))).alias("named"))
+    out = one.join(named, "query_id", "left").select("query_id", "doc_id", "ranks", F.transform("subs", lambda s: F.col("named")[s]).alias("matched_queries"))
+    none = F.array().cast("array<string>")
+    if phrases is None:
+        return out.withColumn("matched_phrases", none)
+    held = phrases.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("phrase")).alias("matched_phrases"))
+    return out.join(held, ["query_id", "doc_id"], "left").withColumn("matched_phrases", F.coalesce("matched_phrases", none))
+
+
 def merge_lanes(ranked: DataFrame) -> DataFrame:
     """One row for each query and document: the best score of each kind of lane, the rrf of the best rank in each lane of each part, how many parts hit, and the lanes."""
     best = ranked.groupBy("query_id", "doc_id", "lane", "sub").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
@@ -130,6 +148,15 @@ def fused_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse(merge_lanes(lanes(spark, sf_dir)))
 
 
+def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the fused results of the query set come from."""
+    parts, ranked = search_queries(query_set(spark, sf_dir)), lanes(spark, sf_dir)
+    fused = fuse(merge_lanes(ranked)).select("query_id", "doc_id", F.col("rank").alias("place"))
+    found = provenance(ranked, parts, phrase_hits(query_set(spark, sf_dir).select("query_id", F.col("query").alias("phrase")), grams_of(read(spark, sf_dir, "documents"))))
+    rank = lambda lane: F.col("ranks")[lane].alias(f"{lane}_rank")
+    return fused.join(found, ["query_id", "doc_id"]).select("query_id", "doc_id", "place", rank("keyword"), rank("exact"), rank("vector"), F.size("matched_queries").alias("parts"), F.md5(F.array_join("matched_queries", "|")).alias("queries_md5"), F.size("matched_phrases").alias("phrases"))
+
+
 def q_lane_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes(spark, sf_dir)
 
@@ -211,9 +238,13 @@ def floor_sql(table: str, strong: str, columns: str, name: str = "") -> str:
         select {columns} from fb{name} where case when any_strong then strong else first = 1 end"""
 
 
-QUERIES = {"search_queries": q_search_queries, "lane_ranks": q_lane_ranks, "rrf_fusion": q_rrf, "fused_bonus_rank": q_fused, "fused_best_score": q_fused_scores, "diversify_top10": q_diversify, "relevance_floor": q_floor, "collapse_chunks": q_collapse, "document_hits": q_documents}
+QUERIES = {"search_queries": q_search_queries, "lane_ranks": q_lane_ranks, "rrf_fusion": q_rrf, "fused_bonus_rank": q_fused, "fused_best_score": q_fused_scores, "diversify_top10": q_diversify, "relevance_floor": q_floor, "collapse_chunks": q_collapse, "document_hits": q_documents, "result_provenance": q_provenance}
 ORACLE = {
     "search_queries": f"with {LANES_SQL} select * from sq",
+    "result_provenance": f"""with {LANES_SQL}, pq as (select query_id, doc_id, min(case when lane = 'keyword' then rank end)::int as keyword_rank, min(case when lane = 'exact' then rank end)::int as exact_rank, min(case when lane = 'vector' then rank end)::int as vector_rank, list_sort(list(distinct sub)) as subs from lr group by 1, 2)
+        select query_id, doc_id, fu.rank as place, keyword_rank, exact_rank, vector_rank, len(subs)::int as parts,
+            md5(array_to_string(list_transform(subs, lambda s: case when s = 0 then q0.query else p1.query end), '|')) as queries_md5, case when exact_rank is null then 0 else 1 end::int as phrases
+        from fu join pq using (query_id, doc_id) join q0 using (query_id) left join (select query_id, query from sq where sub = 1) p1 using (query_id)""",
     "lane_ranks": f"with {LANES_SQL} select query_id, sub, lane, doc_id, score, rank from lr",
     "rrf_fusion": f"with {LANES_SQL}, o as (select query_id, doc_id, round(rrf, 6) as rrf, lanes, best_rank from mg) select *, row_number() over (partition by query_id order by rrf desc, len(lanes) desc, best_rank, doc_id)::int as rank from o qualify rank <= 10",
     "fused_bonus_rank": f"with {LANES_SQL} select query_id, doc_id, score, vector_score, keyword_score, exact_score, lanes, hits, rank from fu",

@@ -172,6 +172,17 @@ def q_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(out, ["query_id"], [F.desc("rerank_score"), F.col("doc_id")], 10)
 
 
+def q_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-ranked by dates and kinds of their own: a document is as recent as the last event of the user with its number, and of a type by its number; both may be unknown."""
+    last = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max("ts").alias("last"))
+    c = _candidates(spark, sf_dir).join(last, "doc_id", "left")
+    kind = F.get(F.array(*map(F.lit, [*SOURCE_OF, "exe"])), (F.col("doc_id") % (len(SOURCE_OF) + 1)).cast("int"))
+    semantic = F.when(F.array_contains("lanes", "vector"), F.col("vector_score"))
+    region = F.when(F.col("doc_id") % 7 == 0, "header")
+    out = rerank(c, query_set(spark, sf_dir).select("query_id", "query"), section_title("text"), recency(F.col("last"), "2024-06-01"), authority(F.lit(""), region, kind), semantic)
+    return top_k(out.select("query_id", "doc_id", r6("feature_score").alias("feature_score"), "rerank_score"), ["query_id"], [F.desc("rerank_score"), F.col("doc_id")], 10)
+
+
 def q_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-ranked as if nothing were known of the results but their texts."""
     zero = F.lit(0.0)
@@ -233,14 +244,14 @@ _GREEDY = """gd as (select 0 as r, query_id, []::bigint[] as kept from (select d
     kd as (select fc.* from fc join gd on gd.r = 30 and gd.query_id = fc.query_id and list_contains(gd.kept, fc.doc_id))"""
 
 
-def _scored_sql(table: str, name: str = "rr") -> str:
-    """CTEs up to name: table re-ranked."""
+def _scored_sql(table: str, name: str = "rr", known: str = "0.075 + 0.075") -> str:
+    """CTEs up to name: table re-ranked. known: what recency and trust add."""
     title = TITLE_SQL.format("text")
     share = lambda x: f"case when len(asked) = 0 then 0 else len(list_intersect(asked, {_TOK.format(x)})) / len(asked)::double end"
     return f"""qt as (select query_id, {_TOK.format("query")} as asked, {COMPACT_SQL.format("query")} as whole from q0),
         ra as (select c.*, case when whole = '' then 0.5 else least(1.0, 0.72 * {share("text")} + 0.18 * {share(title)} + 0.02 * case when contains({COMPACT_SQL.format(title)}, whole) then 1 else 0 end) end as relevance,
             least(1.0, 0.45 * vector_score + 0.2 * keyword_score + 0.35 * exact_score) as signal from {table} c join qt using (query_id)),
-        rb as (select *, 0.6 * greatest(case when score = 0 then 0.5 else score end, signal) + 0.075 + 0.075 + 0.15 * least(1.0, 0.8 * relevance + 0.2 * least(1.0, hits / 3)) as feature_score, least(1.0, len(lanes) / 3) as diversity,
+        rb as (select *, 0.6 * greatest(case when score = 0 then 0.5 else score end, signal) + {known} + 0.15 * least(1.0, 0.8 * relevance + 0.2 * least(1.0, hits / 3)) as feature_score, least(1.0, len(lanes) / 3) as diversity,
             case when list_contains(lanes, 'vector') then vector_score end as semantic, list_contains(lanes, 'exact') as exact from ra),
         rc as (select *, feature_score + 0.05 * diversity as own, case when semantic >= 0.55 and (relevance >= 0.28 or exact) then 0.08 when semantic < 0.33 and relevance < 0.196 and not exact then -0.12 else 0 end as moved from rb),
         {name} as (select *, round(greatest(0.0, least(1.0, case when semantic is null then own else 0.25 * own + 0.75 * semantic + moved end)), 6) as rerank_score from rc)"""
@@ -251,8 +262,13 @@ _HYBRID = f"""with recursive {_CAND}, {_PAIRS}, {_GREEDY}, {_scored_sql("kd")},
     hv as (select *, least(3, row_number() over (partition by query_id, source order by score desc, doc_id))::int as pass from hs),
     hp as (select *, row_number() over (partition by query_id order by pass, score desc, doc_id)::int as position from hv qualify position <= 10),
     {floor_sql("hp", "supported", "query_id, doc_id, source, score, lanes, position, strong")}"""
-QUERIES = {"rerank_features": q_features, "heuristic_rerank": q_heuristic, "cascade_rerank": q_cascade, "near_dup_pairs": q_near_dup_pairs, "greedy_dedup": q_greedy_dedup, "hybrid_search": hybrid_search, "recency_scores": recency_scores, "authority_scores": authority_scores}
+QUERIES = {"rerank_features": q_features, "rerank_dated": q_dated, "heuristic_rerank": q_heuristic, "cascade_rerank": q_cascade, "near_dup_pairs": q_near_dup_pairs, "greedy_dedup": q_greedy_dedup, "hybrid_search": hybrid_search, "recency_scores": recency_scores, "authority_scores": authority_scores}
+_RECENT = "case when age is null then 0.5 when age <= 7 then 1.0 when age <= 30 then 0.9 when age <= 180 then 0.75 when age <= 365 then 0.6 else 0.45 end"
+_TRUST = "case when doc_id % 7 = 0 then 0.2 else coalesce((select v from au join sk on au.k = sk.k where sk.f = ([" + ", ".join(f"'{k}'" for k in SOURCE_OF) + f", 'exe'])[(doc_id % {len(SOURCE_OF) + 1}) + 1]), 0.5) end"
 ORACLE = {
+    "rerank_dated": f"""with {_CAND}, ag as (select user_id, date '2024-06-01' - max(ts)::date as age from events group by 1), au as (select * from (values {", ".join(f"('{k}', {v})" for k, v in AUTHORITY.items())}) t(k, v)), sk as (select * from (values {", ".join(f"('{k}', '{v}')" for k, v in SOURCE_OF.items())}) t(f, k)),
+        dc as (select fc.*, {_RECENT} as recent, {_TRUST} as trust from fc left join ag on ag.user_id = fc.doc_id), {_scored_sql("dc", known="0.15 * recent + 0.1 * trust")}, o as (select query_id, doc_id, round(feature_score, 6) as feature_score, rerank_score from rr)
+        select *, row_number() over (partition by query_id order by rerank_score desc, doc_id)::int as rank from o qualify rank <= 10""",
     "rerank_features": f"""with {_CAND}, {_scored_sql("fc")}, o as (select query_id, doc_id, round(relevance, 6) as relevance, round(signal, 6) as signal, round(feature_score, 6) as feature_score, round(diversity, 6) as diversity, rerank_score from rr)
         select *, row_number() over (partition by query_id order by rerank_score desc, doc_id)::int as rank from o qualify rank <= 10""",
     "heuristic_rerank": f"""with {_CAND}, zc as (select * replace (0.0::double as score, 0.0::double as vector_score, 0.0::double as keyword_score, 0.0::double as exact_score, []::varchar[] as lanes, 0 as hits) from fc), {_scored_sql("zc")}, o as (select query_id, doc_id, rerank_score from rr)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +42,6 @@ FORMATS: dict[str, tuple[str, str | None, tuple[str, ...]]] = {
     "webp": ("image", "image", ("image/webp",)),
 } | {x: ("code", "text", _CODE) for x in "py js ts tsx jsx java c cpp cc cxx h hpp go rs rb php cs swift kt kts scala sh bash zsh bat ps1 sql yaml yml toml ini cfg conf env properties css scss less vue gitignore".split()}
 KINDS = sorted({k for k, _, _ in FORMATS.values()} | {"other"})
-# Encodings in the order in which they are tried after UTF-8.
-ENCODINGS = ("utf-8-sig", "gb18030", "gbk", "gb2312", "big5", "latin-1")
 # Cells that name a column.
 HEADER_WORDS = ("名称", "说明", "描述", "标题", "内容", "类型", "状态", "备注", "金额", "数量", "日期", "name", "title", "description", "content", "type", "status", "remark", "remarks", "amount", "count", "date", "id")
 
@@ -81,12 +82,59 @@ def declared_charset(content: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(head, r"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([a-z0-9_-]+)""", 1)), F.lit(""))
 
 
+#: Encodings that are scored where a file is no UTF-8 and declares nothing that fits; equal scores go to the first.
+LEGACY = ("gb18030", "big5", "shift_jis", "latin-1")
+#: Frequent characters of simplified and of traditional Chinese; what a wrong reading yields is hardly ever among them.
+_SIMPLE = frozenset("的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里用道行所然家种事成方多经么去法学如都同现当没动面起看定天分还进好小部其些主样理心她本前开但因只从想实日")
+_TRADITIONAL = frozenset("的一是不了在人有我他這個們中來上大為和國地到以說時要就出會可也你對生能而子那得於著下自之年過發後作裡用道行所然家種事成方多經麼去法學如都同現當沒動面起看定天分還進好小部其些主樣理心她本前開但因只從想實日")
+
+
+def _pair_share(text: str, encoding: str) -> float:
+    """How many of the characters beyond ASCII lie where an encoding keeps the frequent ones of its language, the most frequent counted more."""
+    n = good = 0.0
+    for c, times in Counter(c for c in text if c > "\x7f").items():
+        b = c.encode(encoding)
+        n += times
+        if len(b) != 2:
+            continue
+        pair = b[0] << 8 | b[1]
+        if encoding == "gb18030":
+            good += times * (0xB0A1 <= pair <= 0xD7F9 and b[1] >= 0xA1 or b[0] in (0xA1, 0xA3) and b[1] >= 0xA1) + 0.5 * times * (c in _SIMPLE)
+        elif encoding == "big5":
+            good += times * (0xA140 <= pair <= 0xA3BF or 0xA440 <= pair <= 0xC67E) + 0.5 * times * (c in _TRADITIONAL)
+        else:
+            good += times * (0x8140 <= pair <= 0x81AC or 0x889F <= pair <= 0x9872) + 1.5 * times * (0x829F <= pair <= 0x82F1 or 0x8340 <= pair <= 0x8396)
+    return good / n if n else 0.0
+
+
+def _latin_share(b: bytes) -> float:
+    """How many bytes beyond ASCII are letters of Western Europe, or marks of it, that stand alone or in twos beside ASCII."""
+    runs = re.findall(rb"[\x80-\xff]+", b)
+    n = sum(map(len, runs))
+    return sum(len(x) for x in runs if len(x) <= 2 and all(c >= 0xC0 and c not in (0xD7, 0xF7) or c in b"\xa0\xa1\xab\xb0\xb7\xbb\xbf\x92\x93\x94\x96" for c in x)) / n if n else 1.0
+
+
+def detected(b: bytes) -> str | None:
+    """The legacy encoding whose frequent pairs a file's bytes are most like; each byte sequence is one of them."""
+    best, most = None, -1.0
+    for e in LEGACY:
+        try:
+            score = _latin_share(b) if e == "latin-1" else _pair_share(b.decode(e), e)
+        except (UnicodeDecodeError, UnicodeEncodeError):
+            continue
+        if score > most:
+            best, most = e, score
+    return best
+
+
 def _decode_other(content: pd.Series, declared: pd.Series) -> pd.Series:
     def one(b: bytes | None, first: str | None) -> str | None:
-        for e in ([first] if first else []) + list(ENCODINGS) if b is not None else ():
+        if b is None:
+            return None
+        for e in (first, detected(b)):
             try:
                 return b.decode(e)
-            except (UnicodeDecodeError, LookupError):
+            except (UnicodeDecodeError, LookupError, TypeError):
                 continue
         return None
 
@@ -94,7 +142,7 @@ def _decode_other(content: pd.Series, declared: pd.Series) -> pd.Series:
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as text: as UTF-8 where that is valid, without leaving the JVM, else by the declared encoding or the first that fits."""
+    """Bytes as text: as UTF-8 where that is valid, without leaving the JVM, else by the declared encoding, or by the legacy one that its pairs of bytes are most like."""
     text = content.cast("string")
     utf8 = F.is_valid_utf8(text)
     other = F.when(~utf8, content)
@@ -122,20 +170,18 @@ def is_header(first: list[str | None], others: list[list[str | None]]) -> bool:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A delimited file whose header is inferred from its first four rows; blank rows are dropped, columns without a name numbered.
+    """Delimited files of one kind whose header is inferred from the first four rows; blank rows are dropped, columns without a name numbered.
 
-    The header is told by its cells, so that rows equal to it are no data either.
+    Where there is a header, it is the first row of each file, and of no file more than that.
     """
-    raw = spark.read.option("multiLine", "true").option("sep", sep).option("escape", '"').csv(path)
-    raw = raw.where(F.greatest(*(F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in raw.columns), F.lit(0)) > 0)
-    head = [list(r) for r in raw.limit(4).collect()]
+    reader = lambda header: spark.read.option("multiLine", "true").option("sep", sep).option("escape", '"').option("header", header).option("enforceSchema", "true")
+    filled = lambda df: df.where(F.greatest(*(F.length(F.trim(F.coalesce(F.col(f"`{c}`"), F.lit("")))) for c in df.columns), F.lit(0)) > 0)
+    raw = reader("false").csv(path)
+    head = [list(r) for r in filled(raw).limit(4).collect()]
     if not head or not is_header(head[0], head[1:]):
-        return raw.toDF(*(f"column_{i + 1}" for i in range(len(raw.columns))))
+        return filled(raw).toDF(*(f"column_{i + 1}" for i in range(len(raw.columns))))
     names = [(x or "").strip() or f"column_{i + 1}" for i, x in enumerate(head[0])]
-    same = F.lit(True)
-    for c, x in zip(raw.columns, head[0], strict=True):
-        same = same & F.col(c).eqNullSafe(F.lit(x))
-    return raw.where(~same).toDF(*names)
+    return filled(reader("true").schema(raw.schema).csv(path)).toDF(*names)
 
 
 def write_report(df: DataFrame, path: str, title: str = "Report") -> None:

@@ -311,6 +311,62 @@ def test_streams_of_usage_and_limits_equal_tables(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/j").collect())) == sorted(map(tuple, followed(a(table), b(table), "user_id", "2 hours").collect()))
 
 
+@pytest.mark.parametrize("encoding", ["gb18030", "big5", "shift_jis", "latin-1"])
+def test_legacy_encodings_are_told_apart(encoding):
+    from quern.sources.files import detected
+
+    texts = {
+        "gb18030": ["你好", "检索", "数据库的查询和更新", "中文abc混合 text 内容，以及标点。", "系统将在今天晚上进行升级，请大家提前保存文件。"],
+        "big5": ["資料", "您好嗎", "資料庫的查詢與更新", "中文abc混合 text 內容，以及標點。", "系統將在今天晚上進行升級，請大家提前保存檔案。", "這是繁體"],
+        "shift_jis": ["こんにちは", "データ", "日本語のテキストです。", "検索エンジンの更新", "abc とカタカナ"],
+        "latin-1": ["café", "Größe", "¿Qué pasa, señor?", "à", "Élève à l'école, été", "naïve façade — no"[:12]],
+    }
+    for t in texts[encoding]:
+        b = t.encode(encoding)
+        assert detected(b) == encoding and b.decode(detected(b)) == t, t
+
+
+def test_files_of_legacy_encodings_are_decoded(spark):
+    from quern.sources.files import decoded
+
+    texts = [("資料庫的查詢與更新", "big5"), ("数据库的查询和更新", "gb18030"), ("日本語のテキストです", "shift_jis"), ("Größe", "latin-1"), ("é", "utf-8"), ("", "utf-8")]
+    df = spark.createDataFrame([(i, bytearray(t.encode(e))) for i, (t, e) in enumerate(texts)] + [(9, None)], "i int, b binary")
+    assert [r[0] for r in df.orderBy("i").select(decoded(F.col("b"))).collect()] == [*(t for t, _ in texts), None]
+
+
+def test_rows_equal_to_the_header_are_data(spark, tmp_path):
+    from quern.sources.files import read_delimited
+
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.csv").write_text("name,size\nname,size\nb,2\n,\n")
+    (tmp_path / "x" / "b.csv").write_text("name,size\nc,3\n")
+    got = read_delimited(spark, f"{tmp_path}/x")
+    assert got.columns == ["name", "size"] and sorted(map(tuple, got.collect())) == [("b", "2"), ("c", "3"), ("name", "size")]
+
+
+def test_results_know_where_they_come_from(spark):
+    from quern.operators.fusion import provenance
+
+    ranked = spark.createDataFrame([(1, 0, "keyword", 5, 2), (1, 1, "keyword", 5, 1), (1, 0, "exact", 5, 3), (1, 1, "keyword", 6, 4)], "query_id int, sub int, lane string, doc_id int, rank int")
+    parts = spark.createDataFrame([(1, 0, "whole query"), (1, 1, "whole")], "query_id int, sub int, query string")
+    phrases = spark.createDataFrame([(1, "p b", 5), (1, "a", 5)], "query_id int, phrase string, doc_id int")
+    got = {r.doc_id: r for r in provenance(ranked, parts, phrases).collect()}
+    assert (got[5].ranks, got[5].matched_queries, got[5].matched_phrases) == ({"exact": 3, "keyword": 1}, ["whole query", "whole"], ["a", "p b"])
+    assert (got[6].ranks, got[6].matched_queries, got[6].matched_phrases) == ({"keyword": 4}, ["whole"], [])
+
+
+def test_corners_of_limits_and_metadata(spark):
+    from quern.operators.chunking import METADATA, with_metadata
+    from quern.operators.reporting import clamped, select_many
+
+    df = spark.createDataFrame([(1, "t")], "doc_id int, section_title string")
+    one = with_metadata(df).first()
+    assert one.section_title == "t" and all(one[c] is None for c in METADATA if c != "section_title")
+    many = spark.range(50)
+    assert select_many(many, ["id"], limit=0).count() == 0 and select_many(many, ["id"], limit=None).count() == 50 and select_many(many, ["id"], limit=clamped(500), offset=45).count() == 5
+    assert [clamped(k) for k in (-3, 0, 1, 30, 31)] == [1, 1, 1, 30, 30]
+
+
 def test_functions_for_sql_and_reports(spark, tmp_path):
     from quern.functions.registry import register
     from quern.sources.files import write_report
