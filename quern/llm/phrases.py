@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, materialise, read, sized
-from quern.llm.shingles import mix, word_hashes
+from quern.llm.shingles import mix, words_of
 
 WINDOW = 20
 GRAM = 8
@@ -79,19 +79,20 @@ def with_uid(texts: DataFrame) -> DataFrame:
     return texts.withColumn("uid", F.xxhash64("doc_id", "sig").bitwiseAND(~63).bitwiseOR((bits - 1).cast("long")))
 
 
+def windows_in(of: np.ndarray) -> np.ndarray:
+    """Starts of the windows that lie within one text; of: the text of each word."""
+    return np.flatnonzero(of[: 1 - WINDOW] == of[WINDOW - 1 :])
+
+
 def anchor_rows(texts: DataFrame) -> DataFrame:
     """uid, gram for each anchor of texts (uid, text)."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uid, gram = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            for k, text in zip(*(b.column(c).to_pylist() for c in ("uid", "text")), strict=True):
-                w = word_hashes(text, lower=False)
-                if len(w) >= WINDOW:
-                    g, at = anchors(w)
-                    gram.append(g[np.unique(at)])
-                    uid.append(np.full(len(gram[-1]), k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(uid)), pa.array(np.concatenate(gram).view(np.int64))], ["uid", "gram"])
+            w, of = words_of(b.column("text").to_pylist())
+            g, at = anchors(w)
+            at = np.unique(at[windows_in(of)])
+            yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(of[at])), pa.array(g[at].view(np.int64))], ["uid", "gram"])
 
     return arrow_map(texts.select("uid", "text"), rows, "uid bigint, gram bigint")
 
@@ -106,57 +107,81 @@ def _null_sig() -> Column:
     return F.min(F.when(F.col("doc_id").isNull(), F.col("sig")))
 
 
-def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of windows that touch or overlap."""
-    cut = np.flatnonzero(np.diff(starts) > WINDOW) + 1
-    return starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)]
+def _words(texts: list[str]) -> list[bytes]:
+    return " ".join(texts).encode("utf-8", "surrogatepass").split()
+
+
+def _texts(words: list[bytes], first: np.ndarray, last: np.ndarray) -> list[str]:
+    """The words from the start of one window to the end of another, as texts."""
+    return [b" ".join(words[i : j + WINDOW]).decode("utf-8", "surrogatepass") for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+
+
+def _cuts(new: np.ndarray) -> np.ndarray:
+    """Starts of runs; new: whether each but the first begins one."""
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _nested(group: np.ndarray, values: list | np.ndarray, kind: pa.DataType) -> pa.Array:
+    """values as lists, one for each run of equal groups."""
+    starts = _cuts(group[1:] != group[:-1]) if len(group) else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(group)), pa.int32()), pa.array(values, kind))
 
 
 def piece_rows(held: DataFrame) -> DataFrame:
     """doc_id, sig, shard, starts, texts: the parts of held (doc_id, sig, text, marks) that hold the windows whose anchors recur, for each shard of these anchors.
 
     A part also holds windows of other shards; where both copies of such a window lie in parts of this
-    shard they are found here too, which changes nothing.
+    shard they are found here too, which changes nothing. What recurs in one document of a batch
+    recurs in all of it, so that their marks are looked up together.
     """
     kind = held.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of, shards, begins, texts = [], [], [], []
-            for k, text in enumerate(b.column("text").to_pylist()):
-                w = word_hashes(text, lower=False)
-                items = b.column("marks")[k].values
-                gram = items.field("gram").to_numpy(zero_copy_only=False).view(np.uint64)
-                order = np.argsort(gram, kind="stable")
-                gram, to = gram[order], items.field("shard").to_numpy(zero_copy_only=False)[order]
-                if len(w) < WINDOW:
-                    continue
-                g, at = anchors(w)
-                where = np.searchsorted(gram, g)
-                where[where == len(gram)] = 0
-                starts = np.flatnonzero((gram[where] == g)[at])
-                shard = to[where[at[starts]]]
-                words = text.encode("utf-8", "surrogatepass").split()
-                for x in np.unique(shard).tolist():
-                    first, last = _runs(starts[shard == x])
-                    of.append(k)
-                    shards.append(x)
-                    begins.append(first.tolist())
-                    texts.append([b" ".join(words[i : j + WINDOW]).decode("utf-8", "surrogatepass") for i, j in zip(first.tolist(), last.tolist(), strict=True)])
-            of = pa.array(of, pa.int64())
+            texts = b.column("text").to_pylist()
+            w, of = words_of(texts)
+            items = b.column("marks").flatten()
+            gram, first = np.unique(items.field("gram").to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
+            to = items.field("shard").to_numpy(zero_copy_only=False)[first]
+            g, at = anchors(w)
+            starts = windows_in(of)
+            where = np.searchsorted(gram, g)
+            where[where == len(gram)] = 0
+            hit = gram[where] == g if len(gram) else np.zeros(len(g), bool)
+            starts = starts[hit[at[starts]]]
+            shard, doc = to[where[at[starts]]], of[starts]
+            order = np.lexsort((starts, shard, doc))
+            starts, shard, doc = starts[order], shard[order], doc[order]
+            if len(starts):
+                same = (shard[1:] == shard[:-1]) & (doc[1:] == doc[:-1])
+                cut = _cuts(~same | (starts[1:] - starts[:-1] > WINDOW))
+                first, last = starts[cut], starts[np.append(cut[1:], len(starts)) - 1]
+                doc, shard = doc[cut], shard[cut]
+            else:
+                first = last = starts
+            found = _texts(_words(texts), first, last)
+            group = np.cumsum(np.concatenate([[0], (shard[1:] != shard[:-1]) | (doc[1:] != doc[:-1])]))[: len(doc)]
+            one = _cuts(group[1:] != group[:-1]) if len(group) else np.empty(0, np.int64)
+            begin = np.searchsorted(of, doc)  # the place of each document's first word
+            ids = pa.array(doc[one])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(of), b.column("sig").take(of), pa.array(shards, pa.int64()), pa.array(begins, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "sig", "shard", "starts", "texts"]
+                [b.column("doc_id").take(ids), b.column("sig").take(ids), pa.array(shard[one]), _nested(group, first - begin, pa.int64()), _nested(group, found, pa.string())], ["doc_id", "sig", "shard", "starts", "texts"]
             )
 
     return arrow_map(held.select("doc_id", "sig", "text", "marks"), rows, f"doc_id {kind}, sig bigint, shard bigint, starts array<bigint>, texts array<string>")
 
 
-def _windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The words of each text, and two numbers for each window of all of them."""
-    runs = [word_hashes(t, lower=False) for t in texts]
-    none = [np.empty(0, np.uint64)]
-    h1, h2 = (np.concatenate([*(grams(r, WINDOW, base) for r in runs), *none]) for base in (_A, _B))
-    return runs, h1.view(np.int64), (h2 >> np.uint64(33)).astype(np.int32)
+def _pieces(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of a column of lists, the words of all of them, and the text and the row of each word."""
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    texts = lists.flatten().to_pylist()
+    w, of = words_of(texts)
+    return texts, w, of, row[of] if len(of) else of
+
+
+def _numbers(w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each window."""
+    return grams(w, WINDOW, _A)[starts].view(np.int64), (grams(w, WINDOW, _B)[starts] >> np.uint64(33)).astype(np.int32)
 
 
 def window_rows(pieces: DataFrame) -> DataFrame:
@@ -165,20 +190,16 @@ def window_rows(pieces: DataFrame) -> DataFrame:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of, a, c, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
-            for k, texts in enumerate(b.column("texts").to_pylist()):
-                _, h1, h2 = _windows(texts)
-                order = np.lexsort((h2, h1))
-                h1, h2 = h1[order], h2[order]
-                new = np.ones(len(h1), bool)
-                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                at = np.flatnonzero(new)
-                of.append(np.full(len(at), k))
-                a.append(h1[at])
-                c.append(h2[at])
-                n.append(np.minimum(np.diff(np.append(at, len(h1))), 2).astype(np.int32))
-            of = pa.array(np.concatenate(of))
-            yield pa.RecordBatch.from_arrays([*(b.column(x).take(of) for x in ("doc_id", "sig", "shard")), *(pa.array(np.concatenate(x)) for x in (a, c, n))], ["doc_id", "sig", "shard", "h1", "h2", "n"])
+            _, w, of, row = _pieces(b.column("texts"))
+            starts = windows_in(of)
+            h1, h2 = _numbers(w, starts)
+            row = row[starts]
+            order = np.lexsort((h2, h1, row))
+            h1, h2, row = h1[order], h2[order], row[order]
+            at = _cuts((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
+            n = np.minimum(np.diff(np.append(at, len(row))), 2).astype(np.int32)
+            ids = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([*(b.column(x).take(ids) for x in ("doc_id", "sig", "shard")), pa.array(h1[at]), pa.array(h2[at]), pa.array(n)], ["doc_id", "sig", "shard", "h1", "h2", "n"])
 
     return arrow_map(pieces.select("doc_id", "sig", "shard", "texts"), rows, f"doc_id {kind}, sig bigint, shard bigint, h1 bigint, h2 int, n int")
 
@@ -192,22 +213,20 @@ def passage_rows(firsts: DataFrame) -> DataFrame:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of, sizes, found = [], [], []
-            for k, texts in enumerate(b.column("texts").to_pylist()):
-                own = b.column("windows")[k].values
-                for text in texts:
-                    _, h1, h2 = _windows([text])
-                    starts = np.flatnonzero(np.isin(h1, own.field("h1").to_numpy(zero_copy_only=False)) & np.isin(h2, own.field("h2").to_numpy(zero_copy_only=False)))
-                    if not len(starts):
-                        continue
-                    cut = np.flatnonzero(np.diff(starts) > 1) + 1
-                    words = text.split(" ")
-                    for i, j in zip(starts[np.append(0, cut)].tolist(), starts[np.append(cut - 1, len(starts) - 1)].tolist(), strict=True):
-                        of.append(k)
-                        sizes.append(j - i + 1)
-                        found.append(" ".join(words[i : j + WINDOW]))
-            of = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("shard").take(of), pa.array(sizes, pa.int64()), pa.array(found, pa.string())], ["owner", "shard", "n", "text"])
+            texts, w, of, row = _pieces(b.column("texts"))
+            starts = windows_in(of)
+            key = lambda h1, h2, row: mix(mix(h1.view(np.uint64) + row.astype(np.uint64)) ^ h2.astype(np.uint64))
+            own = b.column("windows").flatten()
+            number = lambda c: own.field(c).to_numpy(zero_copy_only=False)
+            mine = key(number("h1"), number("h2"), np.repeat(np.arange(b.num_rows), b.column("windows").value_lengths().to_numpy(zero_copy_only=False)))
+            starts = starts[np.isin(key(*_numbers(w, starts), row[starts]), mine)]
+            if len(starts):
+                cut = _cuts((starts[1:] - starts[:-1] > 1) | (of[starts[1:]] != of[starts[:-1]]))
+                first, last = starts[cut], starts[np.append(cut[1:], len(starts)) - 1]
+            else:
+                first = last = starts
+            ids = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(ids), b.column("shard").take(ids), pa.array(last - first + 1), pa.array(_texts(_words(texts), first, last), pa.string())], ["owner", "shard", "n", "text"])
 
     return arrow_map(firsts.select("doc_id", "shard", "texts", "windows"), rows, f"owner {kind}, shard bigint, n bigint, text string")
 
@@ -216,20 +235,22 @@ class Shard:
     """The automaton of a shard's passages: blocks of GRAM words, SPAN apart, so that every window holds a whole one."""
 
     def __init__(self, passages: list[str], owners: list[object]) -> None:
-        runs = [word_hashes(p, lower=False) for p in passages]
-        self.words = np.concatenate(runs) if runs else np.empty(0, np.uint64)
+        self.words, of = words_of(passages)
         self.codes = {x: k for k, x in enumerate(dict.fromkeys(owners))}
-        owner = np.repeat([self.codes[x] for x in owners], [len(r) - WINDOW + 1 for r in runs]).astype(np.int64)
-        base = np.cumsum([0, *(len(r) for r in runs)])[:-1]
-        self.at = np.concatenate([np.arange(len(r) - WINDOW + 1) + s for r, s in zip(runs, base, strict=True)]) if runs else np.empty(0, np.int64)
-        h = np.concatenate([grams(r, WINDOW, _A) for r in runs]) if runs else np.empty(0, np.uint64)
+        owner = np.array([self.codes[x] for x in owners], np.int64)
+        at = windows_in(of)
+        h = grams(self.words, WINDOW, _A)[at]
         order = np.argsort(h, kind="stable")
-        self.hashes, self.at, self.owner = h[order], self.at[order], owner[order]
-        blocks = {tuple(r[s : s + GRAM].tolist()) for r in runs for s in range(0, len(r) - GRAM + 1, SPAN)}
-        self.vocabulary = np.unique(np.array([x for blk in blocks for x in blk], np.uint64))
+        self.hashes, self.at = h[order], at[order]
+        self.owner = owner[of[self.at]]
+        begin = np.searchsorted(of, np.arange(len(passages)))
+        blocks = np.flatnonzero(of[: 1 - GRAM] == of[GRAM - 1 :])
+        blocks = blocks[(blocks - begin[of[blocks]]) % SPAN == 0]
+        self.vocabulary = np.unique(self.words[blocks[:, None] + np.arange(GRAM)])
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for blk in blocks:
-            self.automaton.add_word(self.coded(np.array(blk, np.uint64)))
+        text = self.coded(self.words)
+        for word in {text[3 * k : 3 * (k + GRAM)] for k in blocks.tolist()}:
+            self.automaton.add_word(word)
         self.automaton.make_automaton()
 
     def coded(self, w: np.ndarray) -> str:
@@ -241,8 +262,8 @@ class Shard:
         parts[~known] = 0x300
         return parts.astype("<u4").tobytes().decode("utf-32-le")
 
-    def found(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows of w that are in the shard, and their places in it."""
+    def found(self, w: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows of several texts (w: their words, of: the text of each) that are in the shard, and their places in it."""
         nothing = np.empty(0, np.int64)
         if len(w) < WINDOW or not len(self.hashes):
             return nothing, nothing
@@ -253,7 +274,9 @@ class Shard:
         block = ends // 3 - GRAM + 1
         np.add.at(edge, np.maximum(block - SPAN + 1, 0), 1)
         np.add.at(edge, block + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge)[: len(w) - WINDOW + 1] > 0)
+        near = np.cumsum(edge) > 0
+        starts = windows_in(of)
+        starts = starts[near[starts]]
         h = grams(w, WINDOW, _A)[starts]
         at = np.searchsorted(self.hashes, h)
         found = np.full(len(h), -1)
@@ -268,15 +291,6 @@ class Shard:
             open_ = open_[at[open_] < len(self.hashes)]
         return starts[found >= 0], found[found >= 0]
 
-    def repeats(self, doc_id: object, places: list[int], texts: list[str]) -> np.ndarray:
-        """Starts of the windows of a document's pieces that are in the shard and aren't the first of their kind."""
-        both = [(s + at, of) for at, t in zip(places, texts, strict=True) for s, of in [self.found(word_hashes(t, lower=False))]]
-        starts, found = (np.concatenate(x) for x in zip(*both, strict=True))
-        own = self.owner[found] == self.codes.get(doc_id, -1)
-        first = np.zeros(len(found), bool)
-        first[np.unique(found, return_index=True)[1]] = True
-        return starts[~(own & first)]
-
 
 def located(passages: DataFrame, pieces: DataFrame) -> DataFrame:
     """doc_id, sig, starts, ends: word ranges to remove, of each document in each shard that it has pieces for."""
@@ -284,17 +298,25 @@ def located(passages: DataFrame, pieces: DataFrame) -> DataFrame:
 
     def scan(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         shard = Shard(left.column("text").to_pylist(), left.column("owner").to_pylist())
-        keep, begins, ends = [], [], []
-        for k, (doc_id, places, texts) in enumerate(zip(*(right.column(c).to_pylist() for c in ("doc_id", "starts", "texts")), strict=True)):
-            at = shard.repeats(doc_id, places, texts)
-            if len(at):
-                first, last = _runs(at)
-                keep.append(k)
-                begins.append(first.tolist())
-                ends.append((last + WINDOW).tolist())
-        of = pa.array(keep, pa.int64())
-        whole = pa.list_(pa.int64())
-        return pa.table([right.column("doc_id").take(of), right.column("sig").take(of), pa.array(begins, whole), pa.array(ends, whole)], ["doc_id", "sig", "starts", "ends"])
+        right = right.combine_chunks()
+        ids, lists, places = (right.column(c).combine_chunks() for c in ("doc_id", "texts", "starts"))
+        _, w, of, row = _pieces(lists)
+        starts, found = shard.found(w, of)
+        doc = row[starts]
+        mine = np.array([shard.codes.get(x, -1) for x in ids.to_pylist()], np.int64)
+        first = np.zeros(len(found), bool)  # of a document's windows of one kind
+        first[np.unique(doc * (len(shard.hashes) + 1) + found, return_index=True)[1]] = True
+        again = ~((shard.owner[found] == mine[doc]) & first)
+        starts, doc = starts[again], doc[again]
+        place = starts - np.searchsorted(of, of[starts]) + places.flatten().to_numpy(zero_copy_only=False)[of[starts]]
+        if len(place):
+            cut = _cuts((place[1:] - place[:-1] > WINDOW) | (place[1:] < place[:-1]) | (doc[1:] != doc[:-1]))
+            begin, end, doc = place[cut], place[np.append(cut[1:], len(place)) - 1] + WINDOW, doc[cut]
+        else:
+            begin = end = place
+        one = pa.array(np.unique(doc))
+        whole = pa.int64()
+        return pa.table([ids.take(one), right.column("sig").take(one), _nested(doc, begin, whole), _nested(doc, end, whole)], ["doc_id", "sig", "starts", "ends"])
 
     by = ("shard", "part")
     return passages.groupBy(*by).cogroup(pieces.groupBy(*by)).applyInArrow(scan, f"doc_id {kind}, sig bigint, starts array<bigint>, ends array<bigint>")

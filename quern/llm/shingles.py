@@ -20,24 +20,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str, lower: bool = True) -> np.ndarray:
-    """One number for each word [^\\x20\\x09-\\x0D]+, in order; lower: with A-Z in lower case.
+def _hashed(raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of some bytes, and the place of its first byte.
 
     A word's number adds up a scattered number for each (place, byte), so it depends on all of it.
     """
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
     blank = _BLANK[raw]
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(raw) else np.empty(0, np.int64)
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts
     at = np.arange(len(raw), dtype=np.uint64)
     first = np.repeat(starts.astype(np.uint64), np.diff(np.append(starts, len(raw))))
     body = raw[starts[0] :]
     part = mix((_LOWER[body] if lower else body.astype(np.uint64)) | ((at[starts[0] :] - first) << np.uint64(8)))
     part[blank[starts[0] :]] = 0
-    return mix(np.add.reduceat(part, starts - starts[0]))
+    return mix(np.add.reduceat(part, starts - starts[0])), starts
+
+
+def word_hashes(text: str, lower: bool = True) -> np.ndarray:
+    """One number for each word [^\\x20\\x09-\\x0D]+, in order; lower: with A-Z in lower case."""
+    return _hashed(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), lower)[0]
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of several texts as numbers, case kept, one text after the other, and the text of each."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    w, starts = _hashed(np.frombuffer(b" ".join(parts), np.uint8), lower=False)
+    ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.empty(0, np.int64)
+    return w, np.searchsorted(ends, starts, "right")
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
