@@ -16,6 +16,7 @@ from quern.llm.mixing import mix_documents
 from quern.llm.neardup import drop_near_duplicates
 from quern.llm.pii import redact_personal_data
 from quern.llm.quality import keep_good
+from quern.plans.common import remove
 
 STAGES = [
     ("quality", keep_good),
@@ -30,12 +31,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each returns is written and read again, and its scratch tables removed."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents; what each returns is written and read again, and its scratch tables and its input removed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"stage-{name}")
         with scratch(spark):
             out = stage(spark, docs, sf_dir)
             out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)  # no later stage reads it
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -96,14 +96,12 @@ def table_version(df: DataFrame) -> str:
     Folders are listed, one call for each; single files aren't asked for.
     """
     spark, files = df.sparkSession, set(df.inputFiles())
-    seen = []
+    seen = sorted(files)
     for folder in sorted({f.rpartition("/")[0] for f in files}):
         place, store = _place(spark, folder)
-        for status in store.listStatus(place):
-            name = status.getPath().toString()
-            if name in files or status.getPath().toUri().toString() in files or f"{folder}/{status.getPath().getName()}" in files:
-                seen.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
-    return uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(sorted(seen))).hex
+        found = (f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in store.listStatus(place) if not s.isDirectory())
+        seen += sorted(found)  # all files of the folder, whatever their names look like as addresses
+    return uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(seen)).hex
 
 
 def exists(spark: SparkSession, path: str) -> bool:
