@@ -66,24 +66,23 @@ class _Builder(HTMLParser):
             self.at.children.append(data)
 
 
-def _texts(root: Node, links: bool = False) -> str:
-    """What is visible in an element, or in its links alone, with single blanks."""
-    out, stack = [], [(root, root.tag == "a")]
+def _texts(root: Node) -> str:
+    """What is visible in an element, with single blanks."""
+    out, stack = [], [root]
     while stack:
-        node, linked = stack.pop()
+        node = stack.pop()
         if isinstance(node, str):
-            if linked or not links:
-                out.append(node)
+            out.append(node)
         elif node is root or not node.noise():
-            stack += [(c, linked or node.tag == "a") for c in reversed(node.children)]
+            stack += reversed(node.children)
     return " ".join(" ".join(out).split())
 
 
-def score(node: Node) -> tuple[int, int]:
-    """The score of a candidate and its visible characters."""
-    n, words = len(_texts(node)), node.tokens()
-    found = CANDIDATES[node.tag] + 35 * len(words & POSITIVE) - 80 * len(words & NEGATIVE) + min(120, n // 80)
-    return found - 60 * (len(_texts(node, links=True)) > max(40, 0.6 * n)), n
+def score(node: Node, visible: int, linked: int) -> int:
+    """The score of a candidate, of its visible characters and those in links."""
+    words = node.tokens()
+    found = CANDIDATES[node.tag] + 35 * len(words & POSITIVE) - 80 * len(words & NEGATIVE) + min(120, visible // 80)
+    return found - 60 * (linked > max(40, 0.6 * visible))
 
 
 def _nodes(root: Node):
@@ -94,14 +93,35 @@ def _nodes(root: Node):
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
+def lengths(root: Node) -> dict[int, tuple[int, int]]:
+    """Visible characters of each element below root (by id), and those in its links, with single blanks: added up once, from the leaves."""
+    sums: dict[int, tuple[int, int, int, int]] = {}  # characters and words, all and in links
+    for node in reversed(list(_nodes(root))):
+        c = w = lc = lw = 0
+        for x in node.children:
+            if isinstance(x, str):
+                words = x.split()
+                c, w = c + sum(map(len, words)), w + len(words)
+            elif not x.noise():
+                xc, xw, xlc, xlw = sums[id(x)]
+                c, w = c + xc, w + xw
+                lc, lw = (lc + xc, lw + xw) if x.tag == "a" else (lc + xlc, lw + xlw)
+        sums[id(node)] = (c, w, lc, lw)
+    return {k: (c + max(0, w - 1), lc + max(0, lw - 1)) for k, (c, w, lc, lw) in sums.items()}
+
+
 def pick(root: Node) -> tuple[Node, int, int]:
     """The best candidate with its score and characters; the body if none is above nothing."""
     body = next((n for n in _nodes(root) if n.tag == "body"), root)
+    size = lengths(body)
     best, key = body, (0, 0)
     for node in _nodes(body):
-        if node.tag in CANDIDATES and not node.noise() and score(node) > key:
-            best, key = node, score(node)
-    return best, *(key if key > (0, 0) else (0, len(_texts(body))))
+        if node.tag in CANDIDATES and not node.noise():
+            visible, linked = size[id(node)]
+            own = (score(node, visible, linked), visible)
+            if own > key:
+                best, key = node, own
+    return best, *(key if key > (0, 0) else (0, size[id(body)][0]))
 
 
 def _inline(node: Node) -> str:

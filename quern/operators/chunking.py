@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import section_title, token_estimate
-from quern.operators.structure import budget_chunks, code_sections, json_blocks, yaml_blocks
+from quern.operators.structure import budget_chunks, code_sections, json_blocks, packed_rows, yaml_blocks
 from quern.plans.common import r6, read
 
 
@@ -178,28 +178,6 @@ def keyed_blocks(docs: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"))
 
 
-def packed_rows(sheets: DataFrame, budget: int = 480) -> DataFrame:
-    """Rows of sheets packed into chunks of at most a token budget: doc_id, chunk_index, content, rows.
-
-    sheets: doc_id, columns (names), rows (arrays of cells). A row reads `row 3: name: x; size: 2`, and
-    a row above the budget is a chunk of its own.
-    """
-    named = lambda row: F.array_join(F.filter(F.zip_with("columns", row, lambda c, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(c, F.lit(": "), v))), lambda x: x.isNotNull()), "; ")
-    texts = F.transform("rows", lambda row, i: F.concat(F.lit("row "), (i + 1).cast("string"), F.lit(": "), named(row)))
-    costs = F.transform(texts, lambda t: F.struct(t.alias("text"), token_estimate(t).alias("n")))
-    kind = "struct<n:int,chunk:int,out:array<struct<text:string,chunk:int>>>"
-
-    def step(acc, x):
-        full = (acc["n"] > 0) & (acc["n"] + x["n"] > budget)
-        chunk = acc["chunk"] + F.when(full, 1).otherwise(0)
-        return F.struct(F.when(full, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"), chunk.alias("chunk"), F.array_append(acc["out"], F.struct(x["text"].alias("text"), chunk.alias("chunk"))).alias("out")).cast(kind)
-
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.array().cast("array<struct<text:string,chunk:int>>").alias("out")).cast(kind)
-    placed = sheets.select("doc_id", F.posexplode(F.aggregate(costs, zero, step, lambda acc: acc["out"])).alias("pos", "x"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.col("x.text").alias("text"))))
-    return placed.groupBy("doc_id", F.col("x.chunk").alias("chunk_index")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("content"), F.count("*").alias("rows"))
-
-
 def structured_terms(*fields: Column, headers: Column | None = None) -> Column:
     """The fields of a chunk that aren't blank, and its column headers, once each."""
     terms = F.array(*(F.nullif(F.trim(f), F.lit("")) for f in fields))

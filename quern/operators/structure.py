@@ -130,6 +130,47 @@ def budget_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100, budget:
     return walked(docs, of, "chunk_index int, start_char int, end_char int, tokens int, content string")
 
 
+# Sheets
+
+
+def packed(columns: list[str], rows: list[list[str | None]], budget: int) -> list[tuple[int, str, int]]:
+    """(chunk_index, content, rows) of a sheet, in one pass."""
+    out: list[tuple[int, list[str]]] = []
+    held: list[str] = []
+    used = 0
+    for i, row in enumerate(rows, 1):
+        cells = "; ".join(f"{c}: {v}" for c, v in zip(columns, row or [], strict=False) if c is not None and v)
+        text = f"row {i}: {cells}"
+        n = len([x for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x])
+        if held and used + n > budget:
+            out.append((len(out), held))
+            held, used = [], 0
+        held.append(text)
+        used += n
+    if held:
+        out.append((len(out), held))
+    return [(k, "\n".join(texts), len(texts)) for k, texts in out]
+
+
+def packed_rows(sheets: DataFrame, budget: int = 480) -> DataFrame:
+    """Rows of sheets packed into chunks of at most a token budget: doc_id, chunk_index, content, rows.
+
+    sheets: doc_id, columns (names), rows (arrays of cells). A row reads `row 3: name: x; size: 2`,
+    without blank cells and those beyond the names; one above the budget is a chunk of its own.
+    """
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):  # a sheet at a time
+                part = b.slice(k, 1)
+                found = packed(part.column("columns")[0].as_py() or [], part.column("rows")[0].as_py() or [], budget)
+                cols = list(zip(*found, strict=True)) if found else [[], [], []]
+                ids = part.column("doc_id").take(pa.array([0] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["doc_id", "chunk_index", "content", "rows"])
+
+    return sheets.select("doc_id", "columns", "rows").mapInArrow(rows, f"doc_id {sheets.schema['doc_id'].dataType.simpleString()}, chunk_index int, content string, rows bigint")
+
+
 # Programs
 
 #: How a definition begins, in the usual languages; the first group is its name.
