@@ -105,8 +105,8 @@ def _per_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = materialise(asked, "asked")
     counts = vectors.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("n_relevant"))
     names = spark.createDataFrame([("exact",), ("hybrid",), ("keyword",), ("vector",)], "strategy string")
-    results = strategies(spark, sf_dir).join(sized(asked), "query_id")
-    graded = vectors.join(F.broadcast(results), F.col("vec_id") == F.col("doc_id")).where("label = wanted") if results.limit(100_001).count() <= 100_000 else vectors.join(results, F.col("vec_id") == F.col("doc_id")).where("label = wanted")
+    results = materialise(strategies(spark, sf_dir).join(sized(asked), "query_id"), "results")
+    graded = vectors.join(sized(results), F.col("vec_id") == F.col("doc_id")).where("label = wanted")
     key = F.struct("strategy", "query_id")
     wanted = asked.join(counts, "wanted").crossJoin(F.broadcast(names)).select(key.alias("query_id"), "n_relevant")
     return graded_metrics(graded.select(key.alias("query_id"), "rank"), wanted).withColumnRenamed("query_id", "of").select("of.*", "*").drop("of")

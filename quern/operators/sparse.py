@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import STOPWORDS, compact, marked_phrases, nfkc, normalised, quoted_phrases, section_title, source_text
+from quern.functions.text import STOPWORDS, compact, marked_phrases, normalised, quoted_phrases, section_title, source_text
 from quern.operators.grams import Grams, grams_of, phrase_hits
 from quern.operators.inverted import Index, bm25, bm25_pruned, bm25_scores, index_of, pruned, query_weights, ranked_scores, with_terms
 from quern.plans.common import materialise, r6, read, sized
@@ -54,13 +54,9 @@ def exact_search(phrases: DataFrame, docs: DataFrame, source: Column, content_sc
 
 
 def scan_phrases(phrases: DataFrame, docs: DataFrame, fields: Column, score: float = 0.98) -> DataFrame:
-    """(query_id, doc_id, score): phrases that stand in a text or its fields, marks and blanks alike.
-
-    The way without an index: the phrases, of which there are few, are held against each text once.
-    """
-    given = phrases.select("query_id", normalised(nfkc("phrase")).alias("needle")).where("needle <> ''").distinct()
-    hay = docs.select("doc_id", normalised(F.concat_ws(" ", nfkc("text"), fields)).alias("hay"))
-    return hay.join(sized(given), F.contains("hay", F.col("needle"))).select("query_id", "doc_id").distinct().withColumn("score", F.lit(score))
+    """(query_id, doc_id, score): phrases that stand in a text or its fields, marks and blanks alike."""
+    index = grams_of(docs, F.concat_ws(" ", F.col("text"), fields), normalised)
+    return phrase_hits(phrases, index).select("query_id", "doc_id").distinct().withColumn("score", F.lit(score))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
