@@ -26,6 +26,8 @@ SAMPLE, MAX_CELLS, WIDTH, VALUES = 20_000, 4_096, 2, 64
 RECALL, NEAREST = 0.975, 10
 #: Vectors and queries that meet in one task.
 PART_ROWS, QUERY_ROWS = 1 << 16, 2_048
+#: Vectors that are coded at once, and scores of codes that are computed at once.
+CODED_ROWS, SCORES = 512, 1 << 20
 _ROUNDS = 10
 
 
@@ -141,10 +143,11 @@ def write_index(vectors: DataFrame, path: str) -> None:
     columns = vectors.columns
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array(b.column("embedding").to_pylist(), np.float64)
-            cell, code = model.encode(x) if len(x) else (np.empty(0, np.int64), np.empty((0, 1), np.uint8))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], [*columns, "cell", "code"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, CODED_ROWS):
+                b = whole.slice(at, CODED_ROWS)
+                cell, code = model.encode(np.array(b.column("embedding").to_pylist(), np.float64))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], [*columns, "cell", "code"])
 
     kinds = "".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}, " for c in columns)
     coded = held.mapInArrow(rows, f"{kinds}cell int, code binary")
@@ -211,8 +214,9 @@ def search(queries: DataFrame, index: Index, k: int = 10, where: Column | None =
         ids, vec_ids, out = q.column("query_id").combine_chunks(), v.column("vec_id").combine_chunks(), []
         if len(ids) and len(vec_ids):
             codes = np.frombuffer(b"".join(v.column("code").to_pylist()), np.uint8).reshape(len(vec_ids), -1)
-            for at in range(0, len(ids), 128):
-                s = model.scores(np.array(q.column("vec")[at : at + 128].to_pylist(), np.float64), key[0].as_py(), codes)
+            step = max(1, min(128, SCORES // len(codes)))
+            for at in range(0, len(ids), step):
+                s = model.scores(np.array(q.column("vec")[at : at + step].to_pylist(), np.float64), key[0].as_py(), codes)
                 best = np.argpartition(-s, most - 1, axis=1)[:, :most] if s.shape[1] > most else np.broadcast_to(np.arange(s.shape[1]), s.shape)
                 out.append((np.repeat(np.arange(at, at + len(s)), best.shape[1]), best.ravel(), np.take_along_axis(s, best, 1).ravel()))
         qs, vs, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.operators.chunking import _boundary_sql, _fixed_sql, boundary_chunks, fixed_chunks
 from quern.operators.fusion import LANES_SQL, lanes, merge_lanes, query_set
 from quern.operators.rerank import _CAND, _candidates, _reranked, _scored_sql
-from quern.operators.inverted import bm25_scores, create, open_index
+from quern.operators.inverted import best_scores, create, open_index, query_weights
 from quern.operators.sparse import COMPACT_SQL, TOKENS_SQL, benchmark_queries, exact_phrases
 from quern.plans.common import materialise, r6, read, scratch_path, sized, top_k
 
@@ -162,7 +162,8 @@ def chunked_ranking(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataF
     """(query_id, doc_id, rank): documents by the best BM25 score of their chunks (doc_id, chunk_index, content)."""
     path = scratch_path(chunks.sparkSession, "chunk-index")
     create(chunks.select(F.struct("doc_id", "chunk_index").alias("id"), "content"), path, {"content": F.col("content")}, id_col="id")
-    best = bm25_scores(queries, open_index(chunks.sparkSession, path)).groupBy("query_id", F.col("doc_id.doc_id").alias("doc_id")).agg(r6(F.max("bm25")).alias("score"))
+    index = open_index(chunks.sparkSession, path)
+    best = best_scores(query_weights(queries, index), index, k, F.col("doc_id.doc_id")).select("query_id", "doc_id", r6("bm25").alias("score"))
     return top_k(best, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
