@@ -263,12 +263,29 @@ def preview(text: Column | str, n: int = 50) -> Column:
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
 
 
+def _two_places(x: Column) -> Column:
+    """Two decimals as printf gives them: of the number's exact binary value, halves to the even digit. Java rounds halves up."""
+
+    def of(x: Column) -> Column:
+        size = F.abs(x)
+        part = (size - F.floor(size)) * 2.0**52
+        beyond = (part - F.floor(part)) * 100  # nothing but below 1
+        hundredths = F.floor(part) * 100 + F.floor(beyond)
+        down, rest = F.shiftright(hundredths, 52), hundredths.bitwiseAND((1 << 52) - 1)
+        up = (rest > 1 << 51) | ((rest == 1 << 51) & ((beyond > F.floor(beyond)) | (down % 2 == 1)))
+        c = F.floor(size) * 100 + down + up.cast("long")
+        short = F.format_string("%s%d.%02d", F.when(x < 0, "-").otherwise(""), F.floor(c / 100), c % 100)
+        return F.when(size < 2.0**43, short).otherwise(F.format_string("%.2f", x))
+
+    return bind(x, of)
+
+
 def human_size(n: Column | str) -> Column:
     b = _c(n).cast("double")
-    out = F.format_string("%.2f TB", b / 1024**4)
+    out = F.concat(_two_places(b / 1024**4), F.lit(" TB"))
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(b < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", b / 1024.0**k)).otherwise(out)
-    return out
+        out = F.when(b < 1024.0 ** (k + 1), F.concat(_two_places(b / 1024.0**k), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(b.isNotNull(), out)
 
 
 def is_email(x: Column | str) -> Column:

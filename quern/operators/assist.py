@@ -115,15 +115,31 @@ def validated_citations(answers: DataFrame, citations: DataFrame) -> DataFrame:
     return joined.select("answer_id", F.size("cited").alias("cited"), total.alias("total"), F.size(unmatched).alias("unmatched"), r6(F.when(total > 0, F.size("cited") / total).otherwise(0.0)).alias("coverage"), (F.size(unmatched) == 0).alias("is_valid"))
 
 
+_BLANKS = " \t\n\x0b\f\r"
+
+
+def last_line(text: Column) -> tuple[Column, Column]:
+    """The last line that isn't blank, with the blanks behind it, and the text before its line end; of a blank text the first line with blanks.
+
+    The same as `([^\\n]+)\\s*$` and what is left without `\\n?[^\\n]+\\s*$`, which try every place of every line.
+    """
+    body = F.rtrim(text, F.lit(_BLANKS))
+    own = F.substring_index(body, "\n", -1)
+    behind = F.substring_index(F.substr(text, F.length(body) + 1), "\n", 1)
+    line = F.when(body == "", F.regexp_extract(text, r"([^\n]+)\s*$", 1)).otherwise(F.concat(own, behind))
+    before = F.when(body == "", F.regexp_replace(text, r"\n?[^\n]+\s*$", "")).otherwise(F.substr(body, F.lit(1), F.greatest(F.lit(0), F.length(body) - F.length(own) - 1)))
+    return line, before
+
+
 def without_edges(pages: DataFrame) -> DataFrame:
     """Pages (doc_id, page_no, text) without the first and last lines that repeat over a document's pages, and without page numbers there."""
     repeated = materialise(repeated_edges(pages).groupBy("doc_id").agg(F.collect_set(F.when(F.col("edge") == "header", F.col("line"))).alias("heads"), F.collect_set(F.when(F.col("edge") == "footer", F.col("line"))).alias("feet")), "edges")
     joined = pages.join(sized(repeated), "doc_id", "left")
     none = F.array().cast("array<string>")
-    first, last = F.regexp_extract("text", r"^\s*([^\n]+)", 1), F.regexp_extract("text", r"([^\n]+)\s*$", 1)
+    first, last = F.regexp_extract("text", r"^\s*([^\n]+)", 1), last_line(F.col("text"))[0]
     noise = lambda line, found: F.array_contains(F.coalesce(found, none), line) | is_page_number(F.trim(line))
     t = F.when(noise(first, F.col("heads")), F.regexp_replace("text", r"^\s*[^\n]+\n?", "")).otherwise(F.col("text"))
-    t = F.when(noise(last, F.col("feet")), F.regexp_replace(t, r"\n?[^\n]+\s*$", "")).otherwise(t)
+    t = F.when(noise(last, F.col("feet")), last_line(t)[1]).otherwise(t)
     return joined.select("doc_id", "page_no", t.alias("text"))
 
 
@@ -212,7 +228,7 @@ def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the results of a search: one with its own address, one behind a redirect."""
     p = read(spark, sf_dir, "pages")
-    hidden = F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), F.rtrim(F.regexp_replace(F.base64(F.col("url").cast("binary")), "=+$", "")))
+    hidden = F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), F.regexp_replace(F.base64(F.col("url").cast("binary")), r"[=\s]+", ""))
     text = F.concat(F.lit("Title\nMarkdown Content:\n1. [Page  "), F.col("page_id").cast("string"), F.lit("]("), "url", F.lit(") - some  text\n\n- [Other]("), hidden, F.lit(")\n"))
     return p.select("page_id", F.explode(search_hits(text)).alias("h")).select("page_id", "h.*")
 
@@ -233,7 +249,7 @@ def repeated_edges(pages: DataFrame) -> DataFrame:
 
     pages: (doc_id, page_no, text). Counted in Spark, so that a long document isn't one task's.
     """
-    edge = F.explode(F.array(F.struct(F.lit("header").alias("edge"), F.regexp_extract("text", r"^\s*([^\n]+)", 1).alias("line")), F.struct(F.lit("footer").alias("edge"), F.regexp_extract("text", r"([^\n]+)\s*$", 1).alias("line"))))
+    edge = F.explode(F.array(F.struct(F.lit("header").alias("edge"), F.regexp_extract("text", r"^\s*([^\n]+)", 1).alias("line")), F.struct(F.lit("footer").alias("edge"), last_line(F.col("text"))[0].alias("line"))))
     n = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
     counts = pages.select("doc_id", edge.alias("e")).groupBy("doc_id", "e.edge", "e.line").agg(F.count("*").alias("n")).where("line <> ''")
     return counts.join(n, "doc_id").where(F.col("n") >= F.greatest(F.lit(2), F.floor((3 * F.col("pages") + 4) / 5)))
@@ -424,9 +440,9 @@ ORACLE = {
     "rewritten_queries": r"with a as (select item_id, trim(text) as t, trim(regexp_replace(trim(text), '\s+', ' ', 'g')) as n from benchmark), b as (select item_id, case when t = n then [t, 'first of ' || item_id, 'third'] else [t, n, 'first of ' || item_id] end as q from a) select item_id, (generate_subscripts(q, 1) - 1)::int as pos, unnest(q) as query from b",
     "answer_json": "select event_id, case when event_id % 3 < 2 then (props->>'$.k')::int end as k from events",
     "html_roots": r"""with a as (select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as b from pages),
-        e as (select *, replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&middot;', '·'), '&amp;', '&') as t, regexp_extract(b, '(?s)<h1>(.*?)</h1>', 1) as h from a)
-        select page_id, trim(regexp_replace(replace(title, '&amp;', '&'), '\s+', ' ', 'g')) as title, 'article' as root_tag, (100 + least(120, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) // 80))::int as score, 1 as headings,
-            len(list_filter(string_split(b, '<p>')[2:], lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) <> ''))::int as paragraphs, trim(regexp_replace(replace(h, '&amp;', '&'), '\s+', ' ', 'g')) as last_path from e""",
+        e as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&nbsp;?', ' ', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') as t, regexp_extract(b, '(?s)<h1>(.*?)</h1>', 1) as h from a)
+        select page_id, trim(regexp_replace(regexp_replace(title, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as title, 'article' as root_tag, (100 + least(120, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) // 80))::int as score, 1 as headings,
+            len(list_filter(string_split(b, '<p>')[2:], lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) <> ''))::int as paragraphs, trim(regexp_replace(regexp_replace(h, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as last_path from e""",
     "html_blocks": f"""with a as (select page_id, {_rendered_sql()} as l from pages), b as (select page_id, unnest(l) as line, generate_subscripts(l, 1) as pos from a),
         c as (select page_id, pos, case when regexp_matches(line, '^#{{1,6}} ') then 'heading' when starts_with(line, '- ') then 'list_item' else 'paragraph' end as kind, regexp_replace(line, '^(?:#{{1,6}}|-) ', '') as text from b),
         d as (select *, last_value(case when kind = 'heading' then text end ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and current row) as section from c)
