@@ -440,9 +440,9 @@ ORACLE = {
     "rewritten_queries": r"with a as (select item_id, trim(text) as t, trim(regexp_replace(trim(text), '\s+', ' ', 'g')) as n from benchmark), b as (select item_id, case when t = n then [t, 'first of ' || item_id, 'third'] else [t, n, 'first of ' || item_id] end as q from a) select item_id, (generate_subscripts(q, 1) - 1)::int as pos, unnest(q) as query from b",
     "answer_json": "select event_id, case when event_id % 3 < 2 then (props->>'$.k')::int end as k from events",
     "html_roots": r"""with a as (select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as b from pages),
-        e as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&nbsp;?', ' ', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') as t, regexp_extract(b, '(?s)<h1>(.*?)</h1>', 1) as h from a)
-        select page_id, trim(regexp_replace(regexp_replace(title, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as title, 'article' as root_tag, (100 + least(120, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) // 80))::int as score, 1 as headings,
-            len(list_filter(string_split(b, '<p>')[2:], lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) <> ''))::int as paragraphs, trim(regexp_replace(regexp_replace(h, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as last_path from e""",
+        e as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&nbsp;?', ' ', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') as t, regexp_extract(b, '(?s)<h1>(.*?)</h1>', 1) as h from a)
+        select page_id, trim(regexp_replace(regexp_replace(regexp_replace(title, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as title, 'article' as root_tag, (100 + least(120, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) // 80))::int as score, 1 as headings,
+            len(list_filter(string_split(b, '<p>')[2:], lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) <> ''))::int as paragraphs, trim(regexp_replace(regexp_replace(regexp_replace(h, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as last_path from e""",
     "html_blocks": f"""with a as (select page_id, {_rendered_sql()} as l from pages), b as (select page_id, unnest(l) as line, generate_subscripts(l, 1) as pos from a),
         c as (select page_id, pos, case when regexp_matches(line, '^#{{1,6}} ') then 'heading' when starts_with(line, '- ') then 'list_item' else 'paragraph' end as kind, regexp_replace(line, '^(?:#{{1,6}}|-) ', '') as text from b),
         d as (select *, last_value(case when kind = 'heading' then text end ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and current row) as section from c)

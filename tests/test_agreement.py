@@ -45,7 +45,7 @@ def test_sql_of_quoted_titles_and_open_references(spark, tmp_path):
     docs = [(0, 'one token "abc def" two', None, "s"), (100, 'the «x» 《some lore》 more "q"', None, "s"), (200, "plain words", None, "s")]
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 'lists "of things" here')], "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
-    pages = [(1, "<html><head><title>A &amp B&amp</title></head><body><article><h1>A &amp B&amp</h1><p>text &lt with &amp</p></article></body></html>", "u")]
+    pages = [(1, "<html><head><title>A &amp B&amp</title></head><body><article><h1>A &amp B&amp</h1><p>text &lt with &quot;&quot;&quot; &amp " + "x" * 55 + "</p></article></body></html>", "u")]
     spark.createDataFrame(pages, "page_id bigint, html string, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(0, [1.0, 0.0], 1)], "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     c = duckdb.connect()
