@@ -112,7 +112,9 @@ def similar_results(ranked: DataFrame, threshold: float = DUPLICATE) -> DataFram
     chunks; at most the ranking's length for each query. The same chunk is a duplicate whatever it
     holds. Results without text have no duplicates, nor has a text of another source.
     """
-    a, b = ranked.alias("a"), ranked.alias("b")
+    extra = [c for c in ("file_id", "chunk_index") if c in ranked.columns]
+    narrow = ranked.select("query_id", "doc_id", "rank", "len", "source", *extra, F.size(F.array_distinct("tokens")).alias("n"))
+    a, b = narrow.alias("a"), narrow.alias("b")
     pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")) & (F.col("a.len") > 0) & (F.col("b.len") > 0))
     same = F.coalesce("a.source", F.lit("")) == F.coalesce("b.source", F.lit(""))
     again = F.lit(False)
@@ -120,8 +122,17 @@ def similar_results(ranked: DataFrame, threshold: float = DUPLICATE) -> DataFram
         file = F.col("a.file_id") == F.col("b.file_id")
         again = F.coalesce(file & (F.col("a.chunk_index") == F.col("b.chunk_index")), F.lit(False))
         same = same | F.coalesce(file, F.lit(False))
-    scored = pairs.select(F.col("a.query_id").alias("query_id"), F.col("a.doc_id").alias("first_id"), F.col("b.doc_id").alias("second_id"), F.col("a.rank").alias("first_rank"), F.col("b.rank").alias("second_rank"), r6(text_similarity(F.col("a.tokens"), F.col("b.tokens"), F.col("a.len"), F.col("b.len"))).alias("similarity"), same.alias("same"), again.alias("again"))
-    return scored.where(F.col("again") | (F.col("same") & (F.col("similarity") >= threshold))).drop("same", "again")
+    # Two sets are no more alike than their sizes; only pairs that may reach the threshold get their tokens.
+    most = 0.75 * F.when(F.greatest("a.n", "b.n") == 0, 0.0).otherwise(F.least("a.n", "b.n") / F.greatest("a.n", "b.n")) + 0.25 * F.least("a.len", "b.len") / F.greatest("a.len", "b.len")
+    may = pairs.where(again | (same & (most >= threshold - 1e-5)))
+    may = materialise(may.select("a.query_id", F.col("a.doc_id").alias("first_id"), F.col("b.doc_id").alias("second_id"), F.col("a.rank").alias("first_rank"), F.col("b.rank").alias("second_rank"), F.col("a.len").alias("first_len"), F.col("b.len").alias("second_len"), again.alias("again")), "pairs")
+    of = lambda which: ranked.select("query_id", F.col("rank").alias(f"{which}_rank"), F.col("tokens").alias(f"{which}_tokens"))
+    first = of("first").join(sized(may), ["query_id", "first_rank"])
+    second = of("second").join(sized(may.select("query_id", "first_rank", "second_rank")), ["query_id", "second_rank"])
+    both = first.join(second, ["query_id", "first_rank", "second_rank"])
+    similarity = r6(text_similarity(F.col("first_tokens"), F.col("second_tokens"), F.col("first_len"), F.col("second_len")))
+    scored = both.select("query_id", "first_id", "second_id", "first_rank", "second_rank", similarity.alias("similarity"), "again")
+    return scored.where(F.col("again") | (F.col("similarity") >= threshold)).drop("again")
 
 
 def greedy_dedup(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -134,7 +145,7 @@ def greedy_dedup(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     kind = pairs.schema["second_id"].dataType.simpleString()
     gone = F.aggregate(ordered, F.array().cast(f"array<{kind}>"), lambda out, p: F.when(F.array_contains(out, p["first_id"]), out).otherwise(F.array_append(out, p["second_id"])))
     losers = pairs.groupBy("query_id").agg(gone.alias("gone")).select("query_id", F.explode(F.array_distinct("gone")).alias("doc_id"))
-    return ranked.join(losers, ["query_id", "doc_id"], "left_anti")
+    return ranked.join(sized(materialise(losers, "losers")), ["query_id", "doc_id"], "left_anti")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +186,9 @@ def q_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-ranked by dates and kinds of their own: a document is as recent as the last event of the user with its number, and of a type by its number; both may be unknown."""
     last = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max("ts").alias("last"))
-    c = _candidates(spark, sf_dir).join(last, "doc_id", "left")
+    c = _candidates(spark, sf_dir)
+    dates = materialise(c.select("doc_id").distinct().join(last, "doc_id"), "dates")
+    c = c.join(sized(dates), "doc_id", "left")
     kind = F.get(F.array(*map(F.lit, [*SOURCE_OF, "exe"])), (F.col("doc_id") % (len(SOURCE_OF) + 1)).cast("int"))
     semantic = F.when(F.array_contains("lanes", "vector"), F.col("vector_score"))
     region = F.when(F.col("doc_id") % 7 == 0, "header")

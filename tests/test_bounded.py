@@ -117,3 +117,60 @@ def test_vectors_are_scored_and_coded_in_bounded_blocks(spark, tmp_path, monkeyp
     monkeypatch.setattr(cells, "fit", lambda *_: cells.Model(x[:2_000].astype(np.float64), np.zeros((d // 2, 4, 2)), 1, 1))
     cells.write_index(vectors, f"file://{tmp_path}/cells")
     assert most_held(functions.pop(), batch) < 60 << 20  # all distances at once are several times 160 MB
+
+
+def test_hits_of_queries_that_ask_the_same_are_ranked_once(spark):
+    from quern.operators.grams import grams_of, ranked_hits
+
+    docs = spark.createDataFrame([(i, "Stone River" if i % 2 else "nothing") for i in range(400)] + [(7, "stone river")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([("a", "stone river"), ("b", "STONE  river"), ("c", "nothing"), ("d", "absent"), ("e", " "), ("f", "nothing"), ("f", "stone")], "query_id string, phrase string")
+    odd, even = list(range(1, 400, 2)), list(range(0, 400, 2))
+    want = {(q, d, k + 1, len(ids)) for q, ids in (("a", odd), ("b", odd), ("c", even), ("f", range(400))) for k, d in enumerate(ids)}
+    assert {tuple(r) for r in ranked_hits(asked, grams_of(docs)).collect()} == want
+    beside = spark.createDataFrame([("a", 399), ("c", 3), ("zz", 1)], "query_id string, doc_id bigint")
+    few = {tuple(r) for r in ranked_hits(asked, grams_of(docs), 5, beside).collect()}
+    assert few == {r for r in want if r[2] <= 5 or (r[0] in "ab" and r[1] == 399)}
+
+
+def test_fusion_needs_no_more_of_the_exact_lane(spark, monkeypatch):
+    """Every fusion of the lanes as they are cut for it equals that of the whole lanes."""
+    from quern.operators import fusion
+
+    monkeypatch.setattr(fusion, "FUSED", 4)
+    rng = np.random.default_rng(5)
+    whole, cut = [], []
+    for q in range(40):
+        other = [(lane, sub, int(d), float(rng.integers(1, 100)) / 100, r + 1) for lane, sub in (("keyword", 0), ("keyword", 1), ("vector", 0)) for r, d in enumerate(rng.permutation(80)[: rng.integers(0, 4)])]
+        exact = [("exact", 0, int(d), 0.98, r + 1) for r, d in enumerate(np.sort(rng.permutation(80)[: rng.integers(0, 60)]))]
+        mixed = {d for _, _, d, _, _ in other}
+        whole += [(q, *x) for x in other + exact]
+        cut += [(q, *x) for x in other + [x for x in exact if x[4] <= 4 + 3 * 3 or x[2] in mixed]]
+    assert len(cut) < len(whole)
+    made = lambda rows: spark.createDataFrame(rows, "query_id bigint, lane string, sub int, doc_id bigint, score double, rank int")
+    for rrf in (True, False):
+        one, two = (sorted(tuple(r) for r in fusion.fuse(fusion.merge_lanes(made(x)), 4, rrf).collect()) for x in (whole, cut))
+        assert one == two
+
+
+def test_only_pairs_that_may_be_alike_get_their_tokens(spark, tmp_path, monkeypatch):
+    from quern.operators.rerank import similar_results, text_similarity
+
+    shared(monkeypatch, tmp_path)
+    rng = np.random.default_rng(2)
+    rows = [(q, 100 * q + r, r, [f"w{x}" for x in range(int(n))] + [f"w{x}" for x in rng.permutation(int(n))[:3]], int(n) * 5, f"s{r % 2}") for q in range(6) for r, n in enumerate(rng.integers(1, 40, 12))]
+    ranked = spark.createDataFrame(rows, "query_id bigint, doc_id bigint, rank int, tokens array<string>, len int, source string")
+    a, b = ranked.alias("a"), ranked.alias("b")
+    alike = F.round(text_similarity(F.col("a.tokens"), F.col("b.tokens"), F.col("a.len"), F.col("b.len")), 6)
+    every = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")) & (F.col("a.source") == F.col("b.source"))).select("a.query_id", "a.doc_id", "b.doc_id", alike.alias("s")).where("s >= 0.9")
+    got = {(r.query_id, r.first_id, r.second_id, r.similarity) for r in similar_results(ranked).collect()}
+    assert got == {tuple(r) for r in every.collect()} and got
+    held = spark.read.parquet(next(str(p) for p in Path(tmp_path).glob("shared/quern/pairs-*")))
+    assert "tokens" not in " ".join(held.columns) and held.count() < 6 * 12 * 11 / 4
+
+
+def test_one_chunking_index_lies_on_disk_at_a_time(spark, sf, tmp_path, monkeypatch):
+    from quern.operators import evaluation
+
+    shared(monkeypatch, tmp_path)
+    evaluation.q_chunking(spark, sf).collect()
+    assert not list(Path(tmp_path).glob("shared/quern/chunk*-index-*")) and not list(Path(tmp_path).glob("shared/quern/chunks-*"))
