@@ -149,11 +149,16 @@ def greedy_dedup(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused results with their documents' texts and what comparing them needs."""
+    """Fused results with their documents' texts and what comparing them needs. Not written: texts are read where they lie, once for each use."""
     fused = materialise(fused_results(spark, sf_dir), "fused")
     docs = read(spark, sf_dir, "documents").join(sized(fused.select("doc_id").distinct()), "doc_id", "left_semi")
     once = docs.select("doc_id", "text", "source", rerank_tokens("text").alias("tokens"), F.length(normalised("text")).alias("len"))  # once for each document, not for each result
-    return materialise(once.join(sized(fused), "doc_id").select(*fused.columns, "text", "source", "tokens", "len"), "candidates")
+    return once.join(sized(fused), "doc_id").select(*fused.columns, "text", "source", "tokens", "len")
+
+
+def _comparable(candidates: DataFrame, *keep: str) -> DataFrame:
+    """keep and what similar_results needs of candidates, as a scratch table without their texts."""
+    return materialise(candidates.select("query_id", "doc_id", "rank", "source", "tokens", "len", *keep), "candidates")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, title: Column, recent: Column, trusted: Column, semantic: Column) -> DataFrame:
@@ -211,22 +216,23 @@ def q_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_results(_candidates(spark, sf_dir))
+    return similar_results(_comparable(_candidates(spark, sf_dir)))
 
 
 def q_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _candidates(spark, sf_dir)
+    c = _comparable(_candidates(spark, sf_dir), "score")
     return greedy_dedup(c.select("query_id", "doc_id", "score", "rank"), similar_results(c))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three lanes, fusion, duplicates dropped, re-ranked, spread over sources, and the relevance floor, for the whole query set."""
-    c = _candidates(spark, sf_dir)
-    kept = greedy_dedup(c, similar_results(c))
-    scored = _reranked(kept, spark, sf_dir)
+    # A result is scored by itself, so that all are while their texts are at hand, and duplicates go afterwards.
+    scored = _reranked(_candidates(spark, sf_dir), spark, sf_dir)
     semantic = F.when(F.array_contains("lanes", "vector"), F.col("vector_score"))
     strong = strong_support(F.array_contains("lanes", "exact"), F.col("hits"), F.col("relevance"), semantic, F.col("signal"))
-    scored = scored.select("query_id", "doc_id", "source", F.col("rerank_score").alias("score"), "lanes", strong.alias("strong"))
+    c = _comparable(scored.withColumn("strong", strong), "rerank_score", "lanes", "strong")
+    kept = greedy_dedup(c.drop("tokens"), similar_results(c))
+    scored = kept.select("query_id", "doc_id", "source", F.col("rerank_score").alias("score"), "lanes", "strong")
     return relevance_floor(diversify(materialise(scored, "reranked"), "source")).select("query_id", "doc_id", "source", "score", "lanes", "position", "strong")
 
 

@@ -193,3 +193,18 @@ def test_texts_and_tokens_come_in_small_batches(spark, tmp_path, monkeypatch):
     with kept(spark, 2):
         sizes = spark.range(0, 9, 1, 1).mapInArrow(lambda bs: (b for b in bs if not b.num_rows > 2), "id bigint").count()
     assert sizes == 9
+
+
+def test_reranking_writes_no_texts(spark, sf, tmp_path, monkeypatch):
+    from quern.operators import rerank
+
+    shared(monkeypatch, tmp_path)
+    ids = [r.query_id for r in rerank.query_set(spark, sf).limit(2).collect()]
+    rows = [(q, d, 0.0, 0.5, 0.0, ["keyword"], 1, 0.9 - d / 100, d) for q in ids for d in range(1, 7)]
+    fused = spark.createDataFrame(rows, "query_id string, doc_id bigint, vector_score double, keyword_score double, exact_score double, lanes array<string>, hits bigint, score double, rank int").coalesce(1)
+    monkeypatch.setattr(rerank, "fused_results", lambda *_: fused)
+    tables = lambda: [spark.read.parquet(str(p)).columns for p in Path(tmp_path).glob("shared/quern/*-*")]
+    assert rerank.q_features(spark, sf).count() == 12
+    assert tables() and not any({"text", "tokens"} & set(c) for c in tables())
+    assert rerank.hybrid_search(spark, sf).count() >= 2
+    assert any("tokens" in c for c in tables()) and not any("text" in c for c in tables())
