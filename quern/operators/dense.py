@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.best import Best
-from quern.plans.common import r6, read, scratch_path, top_k
+from quern.operators.best import Best, Floor, best_in_rounds
+from quern.plans.common import r6, read
 
 #: Queries that one pass over the vectors takes along; the driver never holds more.
 BLOCK = 2_000
@@ -20,36 +21,32 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, where: Column | Non
     """(query_id, vec_id, similarity, rank): the k vectors with the largest dot product.
 
     queries: (query_id, vec); vectors: (vec_id, embedding). The queries go to the vectors in blocks;
-    every task keeps k for each query, so that what is shuffled doesn't grow with the vectors' width.
-    Similarities are rounded to 6 places, ties go to the smaller id.
+    every task keeps k for each query, and of these what the rounds before don't surpass, so that what is
+    shuffled grows neither with the vectors' width nor with their square. Similarities are rounded to 6 places, ties go to the smaller id.
     """
     if where is not None:
         vectors = vectors.where(where)
     asked = queries.where("vec is not null").select("query_id", "vec")
     blocks = max(1, -(-asked.count() // BLOCK))
-    kind = asked.schema["query_id"].dataType.simpleString()
-    path = scratch_path(queries.sparkSession, "nearest")
+    held = vectors.where("embedding is not null").select("vec_id", "embedding")
+    n, names, paths = held.count(), ("query_id", "vec_id", "similarity"), []
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, vec_id {held.schema['vec_id'].dataType.simpleString()}, similarity double"
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         ids = part.column("query_id").combine_chunks()
         q = np.array(part.column("vec").to_pylist(), np.float64) if len(ids) else np.empty((0, 0))
 
-        def rows(batches: Iterable[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best = Best(ids, k)
+        def rows(batches: Iterable[pa.RecordBatch], floor: Floor | None, ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            best = Best(ids, k, floor=floor)
             for b in batches:
                 for at in range(0, b.num_rows if len(ids) else 0, best.step):
                     few = b.slice(at, best.step)
                     e = few.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(few.num_rows, -1)
                     best.add(few.column("vec_id"), np.round(e @ q.T, 6))
-            yield from best.rows(["query_id", "vec_id", "similarity"])
-
-        held = vectors.where("embedding is not null").select("vec_id", "embedding")
-        found = held.mapInArrow(rows, f"query_id {kind}, vec_id {held.schema['vec_id'].dataType.simpleString()}, similarity double")
-        best = top_k(found, ["query_id"], [F.desc("similarity"), F.col("vec_id")], k)
-        if blocks == 1:
-            return best
-        best.write.mode("append").parquet(path)
-    return queries.sparkSession.read.parquet(path)
+            yield from best.rows(names)
+
+        paths.append(best_in_rounds(held, n, ids, k, names, schema, lambda floor, rows=rows: functools.partial(rows, floor=floor)))
+    return queries.sparkSession.read.schema(f"{schema}, rank int").parquet(*paths)
 
 
 def distance_to_similarity(distance: Column, metric: str = "cosine") -> Column:

@@ -208,3 +208,38 @@ def test_reranking_writes_no_texts(spark, sf, tmp_path, monkeypatch):
     assert tables() and not any({"text", "tokens"} & set(c) for c in tables())
     assert rerank.hybrid_search(spark, sf).count() >= 2
     assert any("tokens" in c for c in tables()) and not any("text" in c for c in tables())
+
+
+def test_tasks_return_only_what_earlier_rounds_do_not_surpass(spark, tmp_path, monkeypatch):
+    """The best of the rounds are those of one pass, ties and null ids included, and don't grow with the tasks."""
+    from quern.operators import best, dense, inverted
+
+    rng = np.random.default_rng(4)
+    texts = [(None if i == 5 else i, " ".join(f"w{x}" for x in rng.integers(0, 30, 12))) for i in range(600)] + [(i, "w1 w2 w3") for i in range(600, 1_400)] + [(700, "w1 w2")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(40)
+    inverted.create(docs, f"file://{tmp_path}/ix", {"text": F.col("text")})
+    index = inverted.open_index(spark, f"file://{tmp_path}/ix")
+    asked = spark.createDataFrame([(k, f"w{k % 30} w{k % 7} w3") for k in range(60)] + [(None, "w1 w2 w3")], "query_id bigint, query string")
+    weights = inverted.query_weights(asked, index)
+    scored = inverted._summed(inverted._postings(inverted._held(index, weights), index, "query_id", "token", "w"), index)
+    # A document is the better one of two rows with its id.
+    ranked = inverted.ranked_scores(scored.where("doc_id is null or doc_id <> 700").withColumn("score_raw", inverted.r6("bm25")), 5)
+    want = sorted(map(tuple, ranked.collect()), key=str)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(900)], "vec_id bigint, embedding array<float>").repartition(40)
+    near = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    nearest = sorted(map(tuple, dense.knn(near, vectors, 5).collect()))
+    returned, plain = [], type(docs).mapInArrow
+
+    def counted(self, *args, **kwargs):
+        out = plain(self, *args, **kwargs)
+        if {"bm25", "similarity"} & set(out.columns):
+            returned.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    monkeypatch.setattr(best, "FIRST", 64)
+    assert sorted(map(tuple, inverted.bm25_ranked(asked, index, 5).collect()), key=str) == want
+    assert len(returned) > 1 and sum(returned) < 60 * 5 * 12  # 40 tasks have about 60 * 5 each
+    returned.clear()
+    assert sorted(map(tuple, dense.knn(near, vectors, 5).collect())) == nearest
+    assert len(returned) > 1 and sum(returned) < 45 * 5 * 12
