@@ -243,3 +243,47 @@ def test_tasks_return_only_what_earlier_rounds_do_not_surpass(spark, tmp_path, m
     returned.clear()
     assert sorted(map(tuple, dense.knn(near, vectors, 5).collect())) == nearest
     assert len(returned) > 1 and sum(returned) < 45 * 5 * 12
+
+
+def test_equal_searches_are_scored_once(spark):
+    from quern.operators.fusion import distinct_searches
+
+    parts = [("a", 0, "Red stone"), ("a", 1, "stone red"), ("b", 0, "the red, Stone."), ("c", 0, "red stone stone"), ("d", 0, "?"), (None, 0, "red stone")]
+    of, searches = distinct_searches(spark.createDataFrame(parts, "query_id string, sub int, query string"))
+    number = {(r.query_id, r["sub"]): r.search for r in of.collect()}
+    assert len(number) == 6 and searches.count() == 3
+    assert number["a", 0] == number["a", 1] == number["b", 0] == number[None, 0] != number["c", 0] != number["d", 0]
+
+
+def test_tokens_that_cannot_reach_the_floor_are_left_out_at_first():
+    """Few documents get the gains of frequent tokens once there is a floor, and the best are those of all sums."""
+    from quern.operators.best import Best
+    from quern.operators.inverted import _gain, _Scores
+
+    rng = np.random.default_rng(6)
+    n, words, asked, k = 3_000, 400, 300, 5
+    common = 1 / np.arange(1, words + 1)
+    tf = rng.binomial(3, np.minimum(0.9, 8 * common), (n, words))
+    tf[:, 40:] *= rng.random((n, words - 40)) < 0.1
+    dl = tf.sum(axis=1) + 1.0
+    w = np.log(1 + (n + 0.5) / ((tf > 0).sum(axis=0) + 0.5))
+    wants = np.array([rng.random(words) < np.where(np.arange(words) < 20, 0.4, 0.02) for _ in range(asked)])
+    gain = np.where(tf > 0, _gain(tf, dl[:, None], dl.mean()), 0.0)
+    sums = np.round(gain @ (wants * w).T, 6)
+    term, query = np.nonzero(wants.T)
+    ids, doc_ids = pa.array(range(asked)), pa.array(range(n))
+
+    def search(few, floor):
+        s = _Scores(ids, pa.array([f"w{i}" for i in range(words)]), query, w[term], np.searchsorted(term, np.arange(words + 1)), Best(ids, k, once=True, floor=floor))
+        doc, t = np.nonzero(gain[few])
+        s.add(doc_ids.take(pa.array(few)), doc, t, gain[few][doc, t])
+        return s, {(r["q"], r["d"]): round(r["s"], 6) for b in s.best.rows(("q", "d", "s")) for r in b.to_pylist()}
+
+    first, rest = np.arange(n // 2), np.arange(n // 2, n)
+    _, found = search(first, None)
+    held = [sorted(((-s, d) for (q, d), s in found.items() if q == x))[k - 1] for x in range(asked)]
+    s, more = search(rest, (np.array([-h[0] for h in held]), pa.array([h[1] for h in held])))
+    assert len(s.out_w) > len(s.w) // 2 and len(more) < len(found)
+    for q in range(asked):
+        every = sorted([(-v, d) for (x, d), v in (found | more).items() if x == q])[:k]
+        assert [d for _, d in every] == np.lexsort((np.arange(n), -sums[:, q]))[:k].tolist()
