@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import compact, normalised, quoted_phrases, rerank_tokens, section_title
 from quern.operators.fusion import LANES_SQL, diversify, floor_sql, fused_results, query_set, relevance_floor, strong_support
 from quern.operators.sparse import COMPACT_SQL, TITLE_SQL
-from quern.plans.common import materialise, r6, read, sized, top_k
+from quern.plans.common import BROADCAST_IDS, materialise, r6, read, sized, top_k
 
 AS_OF = "2024-02-01"
 # How far a kind of source is trusted.
@@ -98,22 +98,36 @@ def cascade(df: DataFrame, first: str, second: str) -> DataFrame:
     return ranked.withColumn("cascaded", F.when(F.col("unsure") & (F.col("place") <= SECOND_TOP), blended).otherwise(F.col(first)))
 
 
+def word_share(a_tokens: Column, b_tokens: Column) -> Column:
+    """Jaccard of two token sets, 0 without tokens."""
+    union = F.size(F.array_union(a_tokens, b_tokens))
+    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a_tokens, b_tokens)) / union)
+
+
+def word_set(tokens: Column) -> Column:
+    """A name for a set of tokens, which hold no line breaks."""
+    return F.sha2(F.concat_ws("\n", F.sort_array(F.array_distinct(tokens))), 256)
+
+
+def blended_similarity(share: Column, a_len: Column, b_len: Column) -> Column:
+    return 0.75 * share + 0.25 * F.when(F.greatest(a_len, b_len) == 0, 1.0).otherwise(F.least(a_len, b_len) / F.greatest(a_len, b_len))
+
+
 def text_similarity(a_tokens: Column, b_tokens: Column, a_len: Column, b_len: Column) -> Column:
     """Three quarters Jaccard of the token sets, one quarter the ratio of the lengths."""
-    union = F.size(F.array_union(a_tokens, b_tokens))
-    jaccard = F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a_tokens, b_tokens)) / union)
-    return 0.75 * jaccard + 0.25 * F.when(F.greatest(a_len, b_len) == 0, 1.0).otherwise(F.least(a_len, b_len) / F.greatest(a_len, b_len))
+    return blended_similarity(word_share(a_tokens, b_tokens), a_len, b_len)
 
 
 def similar_results(ranked: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     """Pairs of a query's results that are duplicates: similar texts of the same source, or neighbouring chunks of one file.
 
-    ranked: query_id, doc_id, rank, tokens, len, source, and file_id and chunk_index where results are
+    ranked: query_id, doc_id, rank, tokens, len, source, the word_set words if it is known, and file_id and chunk_index where results are
     chunks; at most the ranking's length for each query. The same chunk is a duplicate whatever it
     holds. Results without text have no duplicates, nor has a text of another source.
     """
     extra = [c for c in ("file_id", "chunk_index") if c in ranked.columns]
-    narrow = ranked.select("query_id", "doc_id", "rank", "len", "source", *extra, F.size(F.array_distinct("tokens")).alias("n"))
+    ranked = ranked if "words" in ranked.columns else ranked.withColumn("words", word_set(F.col("tokens")))
+    narrow = ranked.select("query_id", "doc_id", "rank", "len", "source", *extra, "words", F.size(F.array_distinct("tokens")).alias("n"))
     a, b = narrow.alias("a"), narrow.alias("b")
     pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")) & (F.col("a.len") > 0) & (F.col("b.len") > 0))
     same = F.coalesce("a.source", F.lit("")) == F.coalesce("b.source", F.lit(""))
@@ -122,16 +136,22 @@ def similar_results(ranked: DataFrame, threshold: float = DUPLICATE) -> DataFram
         file = F.col("a.file_id") == F.col("b.file_id")
         again = F.coalesce(file & (F.col("a.chunk_index") == F.col("b.chunk_index")), F.lit(False))
         same = same | F.coalesce(file, F.lit(False))
-    # Two sets are no more alike than their sizes; only pairs that may reach the threshold get their tokens.
+    # Two sets are no more alike than their sizes; only pairs that may reach the threshold are compared.
     most = 0.75 * F.when(F.greatest("a.n", "b.n") == 0, 0.0).otherwise(F.least("a.n", "b.n") / F.greatest("a.n", "b.n")) + 0.25 * F.least("a.len", "b.len") / F.greatest("a.len", "b.len")
     may = pairs.where(again | (same & (most >= threshold - 1e-5)))
-    may = materialise(may.select("a.query_id", F.col("a.doc_id").alias("first_id"), F.col("b.doc_id").alias("second_id"), F.col("a.rank").alias("first_rank"), F.col("b.rank").alias("second_rank"), F.col("a.len").alias("first_len"), F.col("b.len").alias("second_len"), again.alias("again")), "pairs")
-    of = lambda which: ranked.select("query_id", F.col("rank").alias(f"{which}_rank"), F.col("tokens").alias(f"{which}_tokens"))
-    first = of("first").join(sized(may), ["query_id", "first_rank"])
-    second = of("second").join(sized(may.select("query_id", "first_rank", "second_rank")), ["query_id", "second_rank"])
-    both = first.join(second, ["query_id", "first_rank", "second_rank"])
-    similarity = r6(text_similarity(F.col("first_tokens"), F.col("second_tokens"), F.col("first_len"), F.col("second_len")))
-    scored = both.select("query_id", "first_id", "second_id", "first_rank", "second_rank", similarity.alias("similarity"), "again")
+    of = [F.col(f"{t}.{c}").alias(f"{which}_{name}") for c, name in (("doc_id", "id"), ("rank", "rank"), ("len", "len"), ("words", "words")) for t, which in (("a", "first"), ("b", "second"))]
+    may = materialise(may.select("a.query_id", *of, F.col("a.n").alias("n"), again.alias("again")), "pairs")
+    # Texts of the same words need no tokens, and two sets of words are compared once, however many results have them.
+    differ = materialise(may.where("first_words <> second_words").select(F.least("first_words", "second_words").alias("one"), F.greatest("first_words", "second_words").alias("other")).distinct(), "word-sets")
+    wanted = materialise(differ.select(F.col("one").alias("words")).union(differ.select("other")).distinct(), "words")
+    tokens = materialise(ranked.select("words", "tokens").join(sized(wanted), "words", "left_semi").groupBy("words").agg(F.first("tokens").alias("tokens")), "tokens-of-words")
+    one = differ.join(tokens.select(F.col("words").alias("one"), F.col("tokens").alias("a")), "one").join(tokens.select(F.col("words").alias("other"), F.col("tokens").alias("b")), "other")
+    shares = materialise(one.select("one", "other", word_share(F.col("a"), F.col("b")).alias("share")), "word-shares")
+    ordered = may.withColumns({"one": F.least("first_words", "second_words"), "other": F.greatest("first_words", "second_words")})
+    found = ordered.join(sized(shares), ["one", "other"], "left")
+    share = F.when(F.col("first_words") != F.col("second_words"), F.col("share")).otherwise(F.when(F.col("n") == 0, 0.0).otherwise(1.0))
+    similarity = r6(blended_similarity(share, F.col("first_len"), F.col("second_len")))
+    scored = found.select("query_id", "first_id", "second_id", "first_rank", "second_rank", similarity.alias("similarity"), "again")
     return scored.where(F.col("again") | (F.col("similarity") >= threshold)).drop("again")
 
 
@@ -151,14 +171,16 @@ def greedy_dedup(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused results with their documents' texts and what comparing them needs. Not written: texts are read where they lie, once for each use."""
     fused = materialise(fused_results(spark, sf_dir), "fused")
-    docs = read(spark, sf_dir, "documents").join(sized(fused.select("doc_id").distinct()), "doc_id", "left_semi")
+    ids = materialise(fused.select("doc_id").distinct(), "fused-ids")
+    docs = read(spark, sf_dir, "documents").join(sized(ids, BROADCAST_IDS), "doc_id", "left_semi")
     once = docs.select("doc_id", "text", "source", rerank_tokens("text").alias("tokens"), F.length(normalised("text")).alias("len"))  # once for each document, not for each result
-    return once.join(sized(fused), "doc_id").select(*fused.columns, "text", "source", "tokens", "len")
+    once = once.withColumn("words", word_set(F.col("tokens")))
+    return once.join(sized(fused), "doc_id").select(*fused.columns, "text", "source", "tokens", "len", "words")
 
 
 def _comparable(candidates: DataFrame, *keep: str) -> DataFrame:
     """keep and what similar_results needs of candidates, as a scratch table without their texts."""
-    return materialise(candidates.select("query_id", "doc_id", "rank", "source", "tokens", "len", *keep), "candidates")
+    return materialise(candidates.select("query_id", "doc_id", "rank", "source", "tokens", "len", "words", *keep), "candidates")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, title: Column, recent: Column, trusted: Column, semantic: Column) -> DataFrame:

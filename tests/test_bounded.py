@@ -287,3 +287,18 @@ def test_tokens_that_cannot_reach_the_floor_are_left_out_at_first():
     for q in range(asked):
         every = sorted([(-v, d) for (x, d), v in (found | more).items() if x == q])[:k]
         assert [d for _, d in every] == np.lexsort((np.arange(n), -sums[:, q]))[:k].tolist()
+
+
+def test_copies_among_results_are_compared_once(spark, tmp_path, monkeypatch):
+    from quern.operators.rerank import similar_results
+
+    shared(monkeypatch, tmp_path)
+    words = [f"w{x}" for x in range(20)]
+    texts = [words, words[:19], [*words, "w1"], [], []]
+    rows = [(q, d, d + 1, texts[d % 5], 0 if texts[d % 5] is None else 50, "s") for q in range(8) for d in range(10)]
+    ranked = spark.createDataFrame(rows, "query_id bigint, doc_id bigint, rank int, tokens array<string>, len int, source string")
+    got = {(r.query_id, r.first_id, r.second_id, r.similarity) for r in similar_results(ranked).collect()}
+    alike = {(a, b): 1.0 if {a % 5, b % 5} <= {0, 2} or a % 5 == b % 5 == 1 else 0.9625 for a in range(10) for b in range(a + 1, 10) if a % 5 < 3 and b % 5 < 3}
+    assert got == {(q, *pair, s) for q in range(8) for pair, s in alike.items()}
+    held = {name: spark.read.parquet(str(next(Path(tmp_path).glob(f"shared/quern/{name}-*")))).count() for name in ("word-sets", "tokens-of-words")}
+    assert held == {"word-sets": 1, "tokens-of-words": 2}
